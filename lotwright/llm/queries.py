@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import poisson_mix, simhash, token_files, weighted_sampling
 
 
 def queries():
     return {
+        "op1_weighted_sampling": weighted_sampling.op1,
+        "op3_token_files": token_files.op3,
+        "op6_poisson_mix": poisson_mix.op6,
         "op10_simhash_near_dedup": simhash.op10,
     }
 
 
 def oracle_sql():
-    return {}
+    return {"op6_poisson_mix": poisson_mix.OP6_SQL}
