@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import poisson_mix, simhash, token_files, weighted_sampling
+from . import language_id, poisson_mix, simhash, token_files, weighted_sampling
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_weighted_sampling": weighted_sampling.op1,
         "op3_token_files": token_files.op3,
         "op6_poisson_mix": poisson_mix.op6,
+        "op8_language_id": language_id.op8,
         "op10_simhash_near_dedup": simhash.op10,
     }
 
