@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import language_id, poisson_mix, simhash, token_files, weighted_sampling
+from . import language_id, poisson_mix, quality, simhash, token_files, toxicity, weighted_sampling
 
 
 def queries():
     return {
         "op1_weighted_sampling": weighted_sampling.op1,
+        "op2_toxicity": toxicity.op2,
         "op3_token_files": token_files.op3,
+        "op4_quality": quality.op4,
         "op6_poisson_mix": poisson_mix.op6,
         "op8_language_id": language_id.op8,
         "op10_simhash_near_dedup": simhash.op10,
