@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_text, language_id, poisson_mix, quality, simhash, token_files, toxicity, weighted_sampling
+from . import html_text, language_id, poisson_mix, quality, simhash, suffix_dedup, token_files, toxicity, weighted_sampling
 
 
 def queries():
@@ -14,6 +14,7 @@ def queries():
         "op6_poisson_mix": poisson_mix.op6,
         "op7_html_text": html_text.op7,
         "op8_language_id": language_id.op8,
+        "op9_suffix_dedup": suffix_dedup.op9,
         "op10_simhash_near_dedup": simhash.op10,
     }
 
