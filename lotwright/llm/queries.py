@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_text, language_id, poisson_mix, quality, simhash, suffix_dedup, token_files, toxicity, weighted_sampling
+from . import decontaminate, html_text, language_id, poisson_mix, quality, simhash, suffix_dedup, token_files, toxicity, weighted_sampling
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op2_toxicity": toxicity.op2,
         "op3_token_files": token_files.op3,
         "op4_quality": quality.op4,
+        "op5_decontaminate": decontaminate.op5,
         "op6_poisson_mix": poisson_mix.op6,
         "op7_html_text": html_text.op7,
         "op8_language_id": language_id.op8,
