@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import crc_mod, table
 from .labelled import labelled_sample
@@ -136,34 +137,37 @@ def fit(sample: DataFrame) -> Network | float:
 
 
 def score(docs: DataFrame, model: Network | float) -> DataFrame:
-    """(doc_id, score) of every document; texts without words, null ones too, have 0. Other columns are ignored."""
+    """``docs`` with a column ``score``; texts without words, null ones too, have 0.
+
+    A column ``score`` of ``docs`` is replaced.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop("score")
 
     def run(batches):
         net = sent.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                bags = [passages(t) for t in part.column(1).to_pylist()]
+                bags = [passages(t) for t in part.column("text").to_pylist()]
                 sizes = np.array([len(b) for b in bags])
                 out = np.zeros(len(bags))
                 if sizes.any():
                     full = sizes[sizes > 0]
                     first = np.concatenate([[0], np.cumsum(full)[:-1]])
                     out[sizes > 0] = net if isinstance(net, float) else 1 / (1 + np.exp(-net.forward(np.concatenate(bags), first)[0]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.float64())], names=[*part.schema.names, "score"])
 
-    kept = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return kept.mapInArrow(run, "doc_id bigint, score double")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
-def quality_scores(docs: DataFrame, sf_docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, score) of ``docs`` by a model fitted on the labelled rows of ``sf_docs`` outside the held-out fold."""
-    sample = labelled_sample(sf_docs, labels, "quality", crc_mod(F.col("doc_id"), 4) != 2, TRAIN_ROWS)
+def scored(docs: DataFrame, fitted_on: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` with scores by a model fitted on the labelled rows of ``fitted_on`` outside the held-out fold."""
+    sample = labelled_sample(fitted_on, labels, "quality", crc_mod(F.col("doc_id"), 4) != 2, TRAIN_ROWS)
     return score(docs, fit(sample))
 
 
 def op4(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    found = quality_scores(docs, docs, table(spark, sf_dir, "labels"))
+    found = scored(docs.select("doc_id", "text"), docs, table(spark, sf_dir, "labels"))
     return found.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

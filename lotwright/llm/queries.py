@@ -5,8 +5,15 @@ from __future__ import annotations
 from . import decontaminate, html_text, language_id, poisson_mix, quality, simhash, suffix_dedup, token_files, toxicity, weighted_sampling
 
 
+def _pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
     return {
+        "pipeline": _pipeline,
         "op1_weighted_sampling": weighted_sampling.op1,
         "op2_toxicity": toxicity.op2,
         "op3_token_files": token_files.op3,
