@@ -10,6 +10,8 @@ ids of any document, without copying the rest.
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 import zlib
 
@@ -23,8 +25,12 @@ from pyspark.sql import functions as F
 from .common import scratch, table
 
 SEQUENCE_LENGTH, BATCH_SEQUENCES, END_ID = 2048, 64, 1
-_CACHED_WORDS, _CACHED_LENGTH = 400_000, 64
-_SPACES = str.maketrans("\n\t\r", "   ")
+_CACHED_WORDS, _CACHED_LENGTH = 250_000, 64
+#: Fixed value: the pattern of parts in the tokenizer's file.
+_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same for words without the characters of _RARE.
+_CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+_RARE = re.compile("[\x1c-\x1f\x85\xa0\xb2\xb3\xb9\xbc-\xbe\u0130\u0250-\U0010ffff]")
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -33,11 +39,34 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class _Cache:
+    """A dict that forgets what has long not been used: of two generations the older goes."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def missing(self, keys) -> list:
+        """Those of the different ``keys`` that are not held; the others are held until the next call."""
+        if len(self.new) > self.most:
+            self.old, self.new = self.new, {}
+        new, old, out = self.new, self.old, []
+        for k in keys:
+            if k not in new:
+                if k in old:
+                    new[k] = old[k]
+                else:
+                    out.append(k)
+        return out
+
+
 class WordEncoder:
     """Encodes texts as the tokenizer at ``path`` does, each different word once.
 
-    Holds for tokenizers that drop white space, so that a text's ids are those
-    of its words one after the other; for others pass ``by_word=False``.
+    With ``by_word`` the tokenizer must drop white space, so that a text's ids
+    are those of its words one after the other. Where it also lower-cases, cuts
+    words at the pattern _PARTS and marks each part's last piece, as its file
+    tells, words are cut here and only new parts are encoded; words with rare
+    characters, whose cutting may differ, are left to the tokenizer.
     """
 
     _made: dict = {}
@@ -48,8 +77,19 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.by_word, self.known = Tokenizer.from_file(path), by_word, {}
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        steps = [x.get("type") for x in (told.get("normalizer") or {}).get("normalizers", [])]
+        cutter = ((told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        self.by_part = by_word and steps == ["NFC", "Replace", "Lowercase"] and (cutter.get("pattern") or {}).get("Regex") == _PARTS and told["model"].get("end_of_word_suffix") == "</w>"
+        self.words, self.parts = _Cache(_CACHED_WORDS), _Cache(_CACHED_WORDS)
+        if self.by_part:
+            self.last = np.zeros(size, dtype=bool)
+            for piece, i in self.tokenizer.get_vocab().items():
+                self.last[i] = piece.endswith("</w>")
 
     @classmethod
     def of(cls, path: str, by_word: bool = True) -> WordEncoder:
@@ -62,22 +102,46 @@ class WordEncoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype=self.dtype).tobytes() for x in found]
 
+    def _encode_parts(self, parts: list[str]) -> list[bytes]:
+        """The ids of parts, encoded as one text and cut after each last piece."""
+        ids = np.array(self.tokenizer.encode(" ".join(parts), add_special_tokens=False).ids, dtype=self.dtype)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(parts):
+            return self._encode(parts)
+        raw, at = ids.tobytes(), [0, *(ends * self.dtype.itemsize).tolist()]
+        return [raw[i:j] for i, j in zip(at, at[1:], strict=False)]
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Puts new words into the cache; returns those too long for it."""
+        known, extra = self.words.new, {}
+        plain, other = {}, []
+        for w in words:
+            if self.by_part and len(w) <= _CACHED_LENGTH and not _RARE.search(w) and "<|" not in w:
+                plain[w] = _CUT.findall(w.lower())
+            else:
+                other.append(w)
+        new = self.parts.missing({p for parts in plain.values() for p in parts})
+        parts = self.parts.new
+        for at in range(0, len(new), 1024):
+            piece = new[at : at + 1024]
+            parts.update(zip(piece, self._encode_parts(piece), strict=True))
+        for w, cut in plain.items():
+            known[w] = parts[cut[0]] if len(cut) == 1 else b"".join([parts[p] for p in cut])
+        for at in range(0, len(other), 1024):
+            piece = other[at : at + 1024]
+            for w, ids in zip(piece, self._encode(piece), strict=True):
+                (known if len(w) <= _CACHED_LENGTH else extra)[w] = ids
+        return extra
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian bytes of ``dtype``."""
         if not self.by_word:
             return self._encode(texts)
-        if len(self.known) > _CACHED_WORDS:
-            self.known.clear()
-        split = [t.translate(_SPACES).split(" ") for t in texts]
-        known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        extra = {}
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, ids in zip(part, self._encode(part), strict=True):
-                (known if len(w) <= _CACHED_LENGTH else extra)[w] = ids
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        extra = self._learn(self.words.missing(set().union(*split)))
+        known = self.words.new
         if extra:
-            return [b"".join([known[w] if w in known else extra[w] for w in words]) for words in split]
+            return [b"".join([extra[w] if w in extra else known[w] for w in words]) for words in split]
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
