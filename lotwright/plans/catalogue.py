@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import geometry_queries, relational_queries, spatial_queries
+
+_PARTS = (relational_queries, geometry_queries, spatial_queries)
+
 
 def queries():
-    return {}
+    return {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for part in _PARTS for name, sql in part.SQL.items()}

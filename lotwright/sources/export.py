@@ -51,7 +51,7 @@ def feature_collection(df: DataFrame, group: str, text: str, order: list[str]) -
 
 def script_lines(df: DataFrame, key: str, ring: str, height: Column, floors: Column) -> DataFrame:
     """(key, place, line): drawing commands for a ring, extruded and copied floor by floor."""
-    number = lambda c: F.format_number(c, "0.####")
+    number = lambda c: F.call_function("format_number", F.lit(c).cast("double"), F.lit("0.####"))
     corner = lambda p: F.concat_ws(",", number(p["x"]), number(p["y"]), F.lit("0"))
     outline = F.concat(F.array(F.lit("3dpoly")), F.transform(ring, corner), F.array(F.lit("c")))
     solid = F.array(F.concat(F.lit("extrude last  "), number(height)))
@@ -62,7 +62,7 @@ def script_lines(df: DataFrame, key: str, ring: str, height: Column, floors: Col
 
 def face_lines(ring: Column, height: Column) -> Column:
     """The walls of a prism as 3DFACE commands."""
-    number = lambda c: F.format_number(c, "0.####")
+    number = lambda c: F.call_function("format_number", F.lit(c).cast("double"), F.lit("0.####"))
     n = F.size(ring)
     at = lambda i, z: F.concat_ws(",", number(F.get(ring, F.pmod(i, n))["x"]), number(F.get(ring, F.pmod(i, n))["y"]), number(z))
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat_ws(" ", F.lit("3DFACE"), at(i, F.lit(0)), at(i + 1, F.lit(0)), at(i + 1, height), at(i, height)))

@@ -1 +1 @@
-
+"""No operator streams: the bounded queue of jobs is a batch of rows with a status column."""
