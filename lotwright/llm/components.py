@@ -13,14 +13,14 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """The smallest node that each node with an edge can reach.
+    """The smallest node that each node can reach, where that isn't itself.
 
     ``edges`` has two bigint columns ``a`` and ``b``. Rounds of large-star and
     small-star alternate until nothing changes; each needs aggregations with
     map-side partial sums and equality joins (which adaptive execution splits
     where a node is hot), and is written to the shared folder. Only a count and
-    a checksum reach the driver. Nulls and loops are ignored; nodes without a
-    link to another node are absent from the result ``(node, component)``.
+    a checksum reach the driver. Nulls and loops are ignored. The result
+    ``(node, component)`` lists the nodes that reach a smaller one.
     """
     e = edges.where(F.col("a") != F.col("b"))
     e = cut(e.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges")

@@ -231,7 +231,10 @@ def _shard(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
             mine = to == k
             if mine.any():
                 rows.append((h[0], None, None, None, None, k, digest[mine].tobytes(), at[mine].tobytes()))
-    return pd.DataFrame(rows, columns=["h", "c1", "c2", "lo", "hi", "slice", "digests", "windows"]).astype({"c1": "Int64", "c2": "Int64", "slice": "Int32"})
+    columns = list(zip(*rows, strict=True)) or [[]] * 8
+    # Nulls beside integers of 64 bits must not make floats of them.
+    kinds = {"h": "int64", "c1": "Int64", "c2": "Int64", "lo": object, "hi": object, "slice": "Int32", "digests": object, "windows": object}
+    return pd.DataFrame({n: pd.Series(list(c), dtype=k) for (n, k), c in zip(kinds.items(), columns, strict=True)})
 
 
 def _merge(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
