@@ -37,3 +37,11 @@ def test_against_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(catalogue.queries().keys() - catalogue.oracle_sql().keys() - {"best_building"}))
 def test_without_sql_gives_rows(spark, name):
     assert catalogue.queries()[name](spark, SF).count() > 0
+
+
+def test_imports_without_a_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; assert e.oracle_sql().keys() <= e.queries().keys(); from pyspark import SparkContext; assert SparkContext._active_spark_context is None"
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
