@@ -12,6 +12,7 @@ from . import geo_udf, kernel
 
 #: Fixed values of the planning rules.
 FUSION_BONUS, CONTEXT_PER_METRE, CONTEXT_MOST, HABITANTS_PER_DWELLING = 1.3, 2.7474774194546216, 140.0, 4.0
+MOST_PLANS = 100
 SOCIAL_FLOORS, SOCIAL_DENSITY, SOCIAL_TO_FLOORS, SOCIAL_HEIGHT = (3, 4, 5), 1.25, 4, 14.0
 DEFAULTS = {"shadow_slope": 5.0, "parking_per_unit": 1.0, "visitor_share": 0.15, "parking_area": 30.0, "storage_area": 5.0, "bikes_per_parking": 0.5, "bikes_per_space": 3.0, "max_basements": 7, "parking_coverage": 0.8, "wing_separation": 7.0}
 
@@ -39,13 +40,17 @@ def context_radius(floors: Column, floor_height: Column) -> Column:
 
 
 def with_social_plan(df: DataFrame, plan: DataFrame) -> DataFrame:
-    """``df`` for each row (template, social, floors) of the plan, with the limits that then hold.
+    """``df`` for each row (template, social) of the plan, with the limits that then hold.
 
     Social housing where 3 to 5 floors are allowed gets more density, 4 floors,
     14 m, and no floor-area and coverage limits (-1). The allowed floors of the
     parcel count for each row, not what an earlier row made of them.
     """
-    each = df.join(F.broadcast(plan), how="inner") if not set(df.columns) & set(plan.columns) else df.join(F.broadcast(plan.select(*[F.col(c).alias(f"plan_{c}") for c in plan.columns])))
+    rows = plan.select("template", "social").limit(MOST_PLANS + 1).collect()
+    if len(rows) > MOST_PLANS:
+        raise ValueError(f"a plan has at most {MOST_PLANS} rows")
+    told = F.array(*[F.struct(F.lit(r.template).alias("template"), F.lit(r.social).alias("social")) for r in rows])
+    each = df.withColumn("_plan", F.explode(told)).select("*", "_plan.*").drop("_plan")
     on = (F.col("social") == 1) & F.col("max_floors").isin(*SOCIAL_FLOORS)
     return each.select(
         *[c for c in each.columns if c not in ("density", "max_floors", "max_height", "far", "coverage")],

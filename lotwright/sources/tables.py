@@ -67,10 +67,10 @@ def insert_rows(df: DataFrame, rows: DataFrame, key: str, order: list[str]) -> D
     ``rows`` is one batch of a user's insertions: its numbering is one sort of
     those rows alone.
     """
-    top = df.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
+    top = df.agg(F.coalesce(F.max(key), F.lit(0))).first()[0]
     number = F.row_number().over(Window.orderBy(*order))
-    new = rows.drop(key).withColumn("_n", number).join(F.broadcast(top)).withColumn(key, (F.col("_top") + F.col("_n")).cast(df.schema[key].dataType))
-    return df.unionByName(new.drop("_n", "_top"), allowMissingColumns=True)
+    new = rows.drop(key).withColumn(key, (number + F.lit(top)).cast(df.schema[key].dataType))
+    return df.unionByName(new, allowMissingColumns=True)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
