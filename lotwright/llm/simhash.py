@@ -53,8 +53,10 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            fp = np.array([simhash(t, words) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                fp = np.array([simhash(t, words) for t in part.column(1).to_pylist()], dtype=np.uint64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
     kept = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return kept.mapInArrow(run, "doc_id bigint, fp bigint")
@@ -91,7 +93,9 @@ def near_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     if not 1 <= radius <= 2:
         raise ValueError("radius must be 1 or 2")
-    entries = variants(nodes, radius)
+    # A small file of fingerprints becomes 64 times as many rows: more tasks for them.
+    spread = nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    entries = variants(spread, radius)
     shared = entries.groupBy("variant", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = cut(entries.join(shared, ["variant", "value"]), "variants")
 
