@@ -9,13 +9,15 @@ their generalised Jaccard similarity, sum of minima over sum of maxima.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
 
-#: Samples of a fingerprint: GROUPS rows of IN_GROUP columns for each word.
-GROUPS, IN_GROUP = 4, 8
+#: Samples of a fingerprint: GROUPS rows of IN_GROUP columns for each word. More columns make a method that the JVM no longer compiles.
+GROUPS, IN_GROUP = 12, 3
 SAMPLE_BITS = 24
 #: Documents of a range of ids, within which the next document is looked up; ranges are MAX_RANGES at most.
 RANGE_ROWS, MAX_RANGES = 512, 1 << 16
@@ -121,11 +123,15 @@ def with_next(docs: DataFrame) -> DataFrame:
     tops = sorted((r[0], r[1]["doc_id"], r[1]["tie"]) for r in tops.select("bucket", "t").collect())
     if not tops:
         return own.withColumn("guest", F.lit(False))
-    above = {b: tops[(k + 1) % len(tops)][0] for k, (b, _, _) in enumerate(tops)}
-    guests = docs.sparkSession.createDataFrame([(d, t, above[b]) for b, d, t in tops], "top_id bigint, top_tie bigint, host int")
-    there = own.join(F.broadcast(guests), own["doc_id"].eqNullSafe(guests["top_id"]) & (own["tie"] == guests["top_tie"]))
-    there = there.dropDuplicates(["host"]).select("doc_id", "text", F.col("host").alias("bucket"), "tie")
-    return own.withColumn("guest", F.lit(False)).union(there.withColumn("guest", F.lit(True)))
+    # By range: its largest row, and the range above it, which it visits.
+    ids, ties, hosts = ([None] * (tops[-1][0] + 1) for _ in range(3))
+    for k, (b, d, t) in enumerate(tops):
+        ids[b], ties[b], hosts[b] = d, t, tops[(k + 1) % len(tops)][0]
+    told = lambda values: F.get(F.from_json(F.lit(json.dumps(values)), "array<bigint>"), F.col("bucket"))
+    is_top = F.col("doc_id").eqNullSafe(told(ids)) & (F.col("tie") == told(ties))
+    self_, visit = F.struct("bucket", F.lit(False).alias("guest")), F.struct(told(hosts).cast("int").alias("bucket"), F.lit(True).alias("guest"))
+    both = F.explode(F.when(is_top, F.array(self_, visit)).otherwise(F.array(self_)))
+    return own.withColumn("_at", both).select("doc_id", "text", F.coalesce(F.col("_at.bucket"), F.lit(0)).alias("bucket"), "tie", F.col("_at.guest").alias("guest"))
 
 
 def op1(spark, sf_dir):
