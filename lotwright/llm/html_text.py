@@ -39,13 +39,14 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "dropped")
+    __slots__ = ("tag", "attributes", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "dropped", "soft", "text")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
         self.tag, self.attributes, self.parent, self.children = tag, attributes, parent, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
-        self.dropped = False
+        self.dropped = self.soft = False
+        self.text = 0
 
 
 def parse(source: str) -> Node:
@@ -96,21 +97,57 @@ def parse(source: str) -> Node:
 
 
 def _drops(node: Node) -> bool:
-    if node.tag in _DROPPED:
+    """Whether a node is no main text; ``soft`` is set where only a form or a name says so."""
+    if node.tag == "form":
+        node.soft = True
+    elif node.tag in _DROPPED:
         return not (node.tag == "header" and node.parent is not None and node.parent.tag in ("article", "main"))
     if not node.attributes:
-        return False
+        return node.soft
     for m in _ATTRIBUTE.finditer(node.attributes):
         name, value = m.group(1).lower(), html.unescape((m.group(2) or "").strip("\"'")).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
+            node.soft = False
             return True
         if name == "role" and value in _DROPPED_ROLES:
+            node.soft = False
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+            node.soft = False
             return True
         if name in ("class", "id") and node.tag not in ("body", "html", "article", "main") and _DROPPED_NAMES.intersection(re.split(r"[^a-z]+", value)):
-            return True
-    return False
+            node.soft = True
+    return node.soft
+
+
+def _spare(order: list[Node]) -> None:
+    """Forms and named nodes that hold most of the page's text stay: half of it, or nine tenths where an article has text outside."""
+    hard = set()
+    for node in order:
+        if node.parent in hard or _drops_hard(node):
+            hard.add(node)
+    soft, rest = set(), {}
+    for node in order:
+        if node.soft or node.parent in soft:
+            soft.add(node)
+    for node in reversed(order):
+        if node in hard:
+            continue
+        own = sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        node.text += own
+        rest[node] = rest.get(node, 0) + (0 if node in soft else own)
+        if node.parent is not None:
+            node.parent.text += node.text
+            rest[node.parent] = rest.get(node.parent, 0) + rest[node]
+    rival = any(node.tag == "article" and rest.get(node) for node in order)
+    for node in order:
+        inside = node.parent is not None and node.parent.dropped
+        large = node.soft and node not in hard and node.text * 10 > order[0].text * (9 if rival else 5)
+        node.dropped = inside or node in hard or node.soft and not large
+
+
+def _drops_hard(node: Node) -> bool:
+    return node.parent is not None and not node.soft and _drops(node)
 
 
 def _measure(root: Node) -> None:
@@ -121,6 +158,12 @@ def _measure(root: Node) -> None:
         order.append(node)
         node.dropped = node.parent is not None and (node.parent.dropped or _drops(node))
         stack += [c for c in node.children if isinstance(c, Node)]
+    # Below a dropped node nothing was looked at yet.
+    if any(node.soft for node in order):
+        for node in order:
+            if node.parent is not None and node.parent.dropped:
+                _drops(node)
+        _spare(order)
     for node in reversed(order):
         if node.dropped:
             continue
