@@ -28,9 +28,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths written in this process that nobody has removed yet.
+_SCRATCH: list[str] = []
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/lotwright/{label}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, which clear() will remove."""
+    _SCRATCH.append(f"{shared_dir(spark)}/lotwright/{label}-{uuid.uuid4().hex}")
+    return _SCRATCH[-1]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete ``path`` with what is below it, if it is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _SCRATCH:
+        _SCRATCH.remove(path)
+
+
+def clear(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
+    """Delete all scratch paths but ``keep``: only for callers that have written what they need."""
+    for path in [p for p in _SCRATCH if p not in keep]:
+        remove(spark, path)
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
@@ -41,7 +60,15 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """
     path = scratch(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of frames that cut() returned, once all that reads them is written."""
+    for df in frames:
+        remove(df.sparkSession, df._scratch)
 
 
 def crc_mod(column, modulus: int):

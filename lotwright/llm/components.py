@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -33,7 +33,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(low, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        e = cut(small.union(low.select("hi", F.col("m").alias("lo"))).distinct(), "edges")
+        done, e = e, cut(small.union(low.select("hi", F.col("m").alias("lo"))).distinct(), "edges")
+        discard(done)
         after = _state(e)
         if after == before:
             break

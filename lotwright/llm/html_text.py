@@ -2,10 +2,13 @@
 
 Every node of the page's tree gets its text's characters per tag, adjusted by
 its links. Nodes that hold the main text have children of high density, so the
-subtree with the greatest sum of its children's densities is found; the least
-density on its path to the body is the threshold that further parts must meet.
-Menus, adverts, forms, notices and comments in it are left out by their tags,
-roles and names.
+subtree with the greatest sum of its children's densities is taken; the least
+density on its path to the body is the threshold that parts beside the path
+must meet. Tags and roles that say what a node is (navigation, footers, scripts,
+fields of forms) take it out before. Names only count as evidence: the text of a
+form, or of a node whose class or id says advert, sidebar, notice or comments,
+counts as link text and for no node above; such a node inside the main subtree
+goes if its density so adjusted is below the threshold.
 """
 
 from __future__ import annotations
@@ -25,16 +28,20 @@ _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style",
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-#: Tags whose text is never main text.
-_DROPPED = frozenset("script style template noscript iframe object svg math canvas head title nav footer header aside form button select option textarea input dialog menu audio video map datalist fieldset".split())
+#: Tags and roles whose text is never main text.
+_DROPPED = frozenset("script style template noscript iframe noembed noframes head title nav menu footer header aside button select option textarea input datalist".split())
 _DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-#: Words in class and id names that mark what is not main text.
-_DROPPED_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner breadcrumb breadcrumbs comment comments commentlist disqus cookie cookies consent gdpr notice notices footer header masthead menu nav navbar navigation newsletter pager pagination popup modal overlay related recommended recommendations share sharing sharebar social sidebar subscribe subscription signup login search toolbar widget widgets skip respond reply replies".split()
+#: Words in class and id names of adverts, menus, headers, footers, sidebars, notices, forms and comments.
+_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo breadcrumb breadcrumbs comment comments commentlist disqus cookie cookies consent gdpr notice notices banner footer header masthead menu nav navbar navigation newsletter sidebar signup login".split()
 )
+#: Words after which a name tells about the rest of the page ("with-sidebar").
+_ABOUT = frozenset("with has no without".split())
 _INLINE_CLOSED = {"p": _BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "thead", "tfoot"}, "td": {"td", "th", "tr", "tbody", "thead", "tfoot"}, "th": {"td", "th", "tr", "tbody", "thead", "tfoot"}, "option": {"option"}, "thead": {"tbody", "tfoot"}, "tbody": {"tbody", "tfoot"}}
 _NOT_IN_P = _BLOCKS - {"body", "html", "tbody", "td", "tfoot", "th", "thead", "tr"}
 _SCOPES = frozenset("article aside body blockquote button div dl fieldset footer form header html main nav ol section table td th ul".split())
+#: What holds other blocks, in contrast to paragraphs, headings, lists and tables.
+_CONTAINERS = frozenset("article center div form html main section table tbody td tr".split())
 _SPACE = re.compile(r"\s+")
 
 
@@ -96,73 +103,69 @@ def parse(source: str) -> Node:
                 here = child
 
 
+def _named(value: str) -> bool:
+    words = [w for w in re.split(r"[^a-z]+", value) if w]
+    return any(w in _NAMES and (k == 0 or words[k - 1] not in _ABOUT) for k, w in enumerate(words))
+
+
 def _drops(node: Node) -> bool:
     """Whether a node is no main text; ``soft`` is set where only a form or a name says so."""
-    if node.tag == "form":
-        node.soft = True
-    elif node.tag in _DROPPED:
+    node.soft = node.tag in ("form", "dialog")
+    if node.tag in _DROPPED:
         return not (node.tag == "header" and node.parent is not None and node.parent.tag in ("article", "main"))
     if not node.attributes:
-        return node.soft
+        return False
     for m in _ATTRIBUTE.finditer(node.attributes):
         name, value = m.group(1).lower(), html.unescape((m.group(2) or "").strip("\"'")).lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            node.soft = False
-            return True
-        if name == "role" and value in _DROPPED_ROLES:
-            node.soft = False
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in _DROPPED_ROLES:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            node.soft = False
             return True
-        if name in ("class", "id") and node.tag not in ("body", "html", "article", "main") and _DROPPED_NAMES.intersection(re.split(r"[^a-z]+", value)):
+        if name in ("class", "id") and node.tag not in ("body", "html", "article", "main") and _named(value):
             node.soft = True
-    return node.soft
+    return False
 
 
 def _spare(order: list[Node]) -> None:
-    """Forms and named nodes that hold most of the page's text stay: half of it, or nine tenths where an article has text outside."""
-    hard = set()
-    for node in order:
-        if node.parent in hard or _drops_hard(node):
-            hard.add(node)
-    soft, rest = set(), {}
+    """Soft nodes with most of the page's text are no longer soft: half of it, or nine tenths where an article has text outside; all of them where nothing stands outside."""
+    rest: dict[Node, int] = {}
+    inside = set()
     for node in order:
-        if node.soft or node.parent in soft:
-            soft.add(node)
+        if node.soft or node.parent in inside:
+            inside.add(node)
     for node in reversed(order):
-        if node in hard:
+        if node.dropped:
             continue
         own = sum(len(c.strip()) for c in node.children if isinstance(c, str))
         node.text += own
-        rest[node] = rest.get(node, 0) + (0 if node in soft else own)
+        rest[node] = rest.get(node, 0) + (0 if node in inside else own)
         if node.parent is not None:
             node.parent.text += node.text
             rest[node.parent] = rest.get(node.parent, 0) + rest[node]
     rival = any(node.tag == "article" and rest.get(node) for node in order)
     for node in order:
-        inside = node.parent is not None and node.parent.dropped
-        large = node.soft and node not in hard and node.text * 10 > order[0].text * (9 if rival else 5)
-        node.dropped = inside or node in hard or node.soft and not large
+        if node.soft and (node.text * 10 > order[0].text * (9 if rival else 5) or not rest[order[0]]):
+            node.soft = False
 
 
-def _drops_hard(node: Node) -> bool:
-    return node.parent is not None and not node.soft and _drops(node)
+def _density(chars: int, tags: int, link_chars: int, link_tags: int, ratio: float) -> float:
+    """Composite text density; ``ratio``: the body's link characters per character."""
+    t = max(tags, 1)
+    plain = max(chars - link_chars, 1)
+    base = math.log(chars / plain * link_chars + ratio * chars + math.e)
+    inner = chars / max(link_chars, 1) * t / max(link_tags, 1)
+    return chars / t * math.log(max(inner, 1) + 1) / math.log(max(base, 1) + math.e)
 
 
-def _measure(root: Node) -> None:
-    """Characters, tags and link parts of every subtree, children before parents."""
+def _measure(root: Node) -> float:
+    """Characters, tags, link parts and densities of every subtree, children before parents; the body's link ratio."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
         order.append(node)
         node.dropped = node.parent is not None and (node.parent.dropped or _drops(node))
         stack += [c for c in node.children if isinstance(c, Node)]
-    # Below a dropped node nothing was looked at yet.
     if any(node.soft for node in order):
-        for node in order:
-            if node.parent is not None and node.parent.dropped:
-                _drops(node)
         _spare(order)
     for node in reversed(order):
         if node.dropped:
@@ -170,63 +173,76 @@ def _measure(root: Node) -> None:
         for c in node.children:
             if isinstance(c, str):
                 node.chars += len(c.strip())
-            elif not c.dropped:
+            elif not c.dropped and not c.soft:
                 node.chars += c.chars
                 node.tags += c.tags + 1
                 node.link_chars += c.chars if c.tag == "a" else c.link_chars
                 node.link_tags += c.link_tags + (c.tag == "a")
-    body = max(root.chars, 1)
-    ratio = root.link_chars / body
+        if node.soft:
+            node.link_chars, node.link_tags = node.chars, max(node.link_tags, 1)
+    ratio = root.link_chars / max(root.chars, 1)
     for node in reversed(order):
-        if node.dropped or not node.chars:
-            continue
-        t = max(node.tags, 1)
-        plain = max(node.chars - node.link_chars, 1)
-        base = math.log(node.chars / plain * node.link_chars + ratio * node.chars + math.e)
-        inner = node.chars / max(node.link_chars, 1) * t / max(node.link_tags, 1)
-        node.density = node.chars / t * math.log(max(inner, 1) + 1) / math.log(max(base, 1) + math.e)
-        node.total = sum(c.density for c in node.children if isinstance(c, Node))
+        if not node.dropped and node.chars:
+            node.density = _density(node.chars, node.tags, node.link_chars, node.link_tags, ratio)
+            node.total = sum(c.density for c in node.children if isinstance(c, Node) and not c.soft)
+    return ratio
 
 
 def _nodes(root: Node):
     stack = [root]
     while stack:
         node = stack.pop()
-        if not node.dropped:
+        if not node.dropped and not node.soft:
             yield node
             stack += [c for c in reversed(node.children) if isinstance(c, Node)]
 
 
-def main_nodes(root: Node) -> list[Node]:
-    """The subtree of the greatest density sum, and the further ones on its path's level that meet the threshold."""
+def main_subtree(root: Node) -> tuple[Node, float]:
+    """The node of the greatest density sum, the first of equals, and the least density from it to the body.
+
+    Where one container below has half of that sum itself, as the only long
+    paragraph's has, that one is meant.
+    """
     best = root
     for node in _nodes(root):
         if node.total > best.total:
             best = node
-    threshold, node = best.density, best
-    while node.parent is not None:
+    while True:
+        below = [c for c in best.children if isinstance(c, Node) and not c.dropped and not c.soft and c.tag in _CONTAINERS]
+        first = max(below, key=lambda c: c.total, default=None)
+        if first is None or first.total * 2 < best.total or not first.total:
+            break
+        best = first
+    threshold, node = best.density, best.parent
+    while node is not None:
+        threshold = min(threshold, node.density)
         node = node.parent
-        if node.density and node.parent is not None:
-            threshold = min(threshold, node.density)
-    # The article or main element around the best node belongs to it.
-    node, top = best, best
-    while node.parent is not None:
+    return best, threshold
+
+
+def _kept_beside(node: Node, threshold: float) -> bool:
+    """Whether a part beside the path is main text.
+
+    Containers must hold as dense parts as the path; other blocks must be as
+    dense where they stand in the body itself, titles and those further in not.
+    """
+    if node.dropped or node.soft or node.link_chars * 2 > node.chars:
+        return False
+    if node.tag in _CONTAINERS:
+        return node.total >= threshold
+    return node.density >= threshold or node.tag in ("h1", "h2") or node.parent.parent is not None
+
+
+def _is_menu(node: Node) -> bool:
+    return node.tag in _BLOCKS and node.link_tags > 2 and node.link_chars * 10 > node.chars * 9
+
+
+def blocks(root: Node, best: Node, threshold: float, ratio: float) -> list[str]:
+    """The texts of the main subtree's blocks and of what is kept beside its path, in page order, with references decoded."""
+    path, node = set(), best.parent
+    while node is not None:
+        path.add(node)
         node = node.parent
-        if node.tag in ("article", "main"):
-            top = node
-    if top is best:
-        # Headings and paragraphs beside the best node, where it is a part of the text's container.
-        while top.parent is not None and top.parent.parent is not None and top.tag not in ("article", "main", "section", "div", "td", "body"):
-            top = top.parent
-        if top.parent is not None and top.parent is not root or top.parent is root and top.tag not in ("article", "main", "section", "div", "td", "body", "html"):
-            rest = [c for c in top.parent.children if isinstance(c, Node) and not c.dropped and c.total >= threshold > 0 and c.link_chars * 3 < c.chars]
-            if len(rest) > 1:
-                return rest if top in rest else [top]
-    return [top]
-
-
-def blocks(node: Node) -> list[str]:
-    """The texts of the blocks below a node, in page order, with references decoded."""
     out: list[str] = []
     waiting: list[str] = []
 
@@ -236,23 +252,30 @@ def blocks(node: Node) -> list[str]:
         if text:
             out.append(text)
 
-    stack: list = [(node, False)]
+    stack: list = [(root, False, best is root)]
     while stack:
-        item, over = stack.pop()
+        item, over, inside = stack.pop()
         if isinstance(item, str):
-            waiting.append(item)
-        elif over:
+            if inside or _density(len(item.strip()), 1, 0, 0, ratio) >= threshold > 0:
+                waiting.append(item)
+            continue
+        inside = inside or item is best
+        if over:
             flush()
-        elif item.dropped:
-            if item.tag in _BLOCKS:
-                flush()
         elif item.tag == "br":
             waiting.append(" ")
+        elif item in path:
+            flush()
+            stack.append((item, True, False))
+            stack += [(c, False, isinstance(c, Node) and c not in path and c is not best and _kept_beside(c, threshold)) for c in reversed(item.children)]
+        elif item.dropped or not inside or item.density < threshold and (item.soft or best is root and _is_menu(item)):
+            if item.tag in _BLOCKS:
+                flush()
         else:
             if item.tag in _BLOCKS:
                 flush()
-                stack.append((item, True))
-            stack += [(c, False) for c in reversed(item.children)]
+                stack.append((item, True, inside))
+            stack += [(c, False, True) for c in reversed(item.children)]
     flush()
     return out
 
@@ -262,14 +285,20 @@ def extract(source: str | None) -> str:
     if not source:
         return ""
     root = parse(source)
-    _measure(root)
+    ratio = _measure(root)
     if not root.chars:
         return ""
-    return "\n".join(b for node in main_nodes(root) for b in blocks(node))
+    return "\n".join(blocks(root, *main_subtree(root), ratio))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of every page: its blocks, one a line. Other columns are ignored."""
+    """(page_id, url, text, n_chars) of every page: its blocks, one a line.
+
+    A null or empty page and one without text give the empty text and 0. Rows
+    that repeat a page_id, or have none, each get their row. Pages of any length
+    and depth are read whole; of subtrees with equal sums the first is taken. An
+    empty table gives no row. Other columns are ignored, whatever their names.
+    """
 
     def run(batches):
         for batch in batches:

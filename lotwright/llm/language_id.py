@@ -21,9 +21,11 @@ UNKNOWN = "und"
 #: Characters of labelled text used for each language, in expectation; all of it if there is less.
 TRAIN_CHARS = 2_000_000
 ROUNDS, SMOOTHING = 4, 0.1
-#: Longer words are scored in parts.
-WORD_CHARS, PIECE_CHARS = 24, 12
-_CACHED_WORDS = 250_000
+#: Words of so many letters are summed side by side, longer ones one by one; those beyond TRAIN_LETTERS teach nothing.
+TOGETHER, TRAIN_LETTERS = 48, 96
+#: Every piece's probability is multiplied by this for each of its characters, so that sums stay in a double's range.
+SCALE = 12.0
+_CACHED_WORDS, _CACHED_LETTERS = 250_000, 64
 _WORD = re.compile(r"[^\W\d_]+")
 _START = "▁"
 
@@ -35,22 +37,23 @@ def vocabulary(path: str | None = None) -> dict[str, int]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path("piece_bpe_32k.model"))
     found = {model.id_to_piece(i).lower() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
-    found = sorted(p for p in found if len(p) <= PIECE_CHARS and all(c.isalpha() or c == _START for c in p))
+    found = sorted(p for p in found if p and all(c.isalpha() or c == _START for c in p))
     return {p: i for i, p in enumerate(found)}
 
 
 def words_of(text: str | None) -> list[str]:
-    """The lower-case runs of letters, in parts of WORD_CHARS at most."""
-    found = _WORD.findall((text or "").lower())
-    if any(len(w) > WORD_CHARS for w in found):
-        found = [w[at : at + WORD_CHARS] for w in found for at in range(0, len(w), WORD_CHARS)]
-    return found
+    """The lower-case runs of letters."""
+    return _WORD.findall((text or "").lower())
+
+
+def longest(pieces: dict[str, int]) -> int:
+    return max(map(len, pieces), default=1)
 
 
 def _lattice(words: list[str], pieces: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """For words of one length, the piece (or -1) of each span, and the spans (from, to)."""
-    n = len(words[0]) + 1
-    spans = [(i, j) for i in range(n) for j in range(i + 1, min(n, i + PIECE_CHARS) + 1)]
+    n, most = len(words[0]) + 1, longest(pieces)
+    spans = [(i, j) for i in range(n) for j in range(i + 1, min(n, i + most) + 1)]
     get, unknown = pieces.get, len(pieces)
     ids = np.fromiter((get(w[i:j], unknown if j - i == 1 else -1) for w in (_START + x for x in words) for i, j in spans), dtype=np.int32, count=len(words) * len(spans))
     return ids.reshape(len(words), len(spans)), np.array(spans)
@@ -64,9 +67,13 @@ def _by_length(words: list[str]):
 
 
 def forward(words: list[str], pieces: dict[str, int], probs: np.ndarray) -> np.ndarray:
-    """(words, languages): the logarithm of each word's summed probability. probs: (pieces + 2, languages), the last row 0."""
+    """(words, languages): the logarithm of each word's probability, summed over all its segmentations. probs: (pieces + 2, languages), the last row 0."""
     out = np.zeros((len(words), probs.shape[1]))
-    for group in _by_length(words):
+    long, short = [k for k, w in enumerate(words) if len(w) > TOGETHER], [k for k, w in enumerate(words) if len(w) <= TOGETHER]
+    for k in long:
+        out[k] = _forward_long(words[k], pieces, probs)
+    for group in _by_length([words[k] for k in short]):
+        group = [short[k] for k in group]
         for at in range(0, len(group), 8192):
             part = group[at : at + 8192]
             ids, spans = _lattice([words[k] for k in part], pieces)
@@ -76,17 +83,39 @@ def forward(words: list[str], pieces: dict[str, int], probs: np.ndarray) -> np.n
             for s, (i, j) in enumerate(spans):
                 there = np.flatnonzero(ids[:, s] >= 0)
                 if len(there):
-                    alpha[j, there] += alpha[i, there] * probs[ids[there, s]]
-            out[part] = np.log(np.maximum(alpha[n], 1e-300))
+                    alpha[j, there] += alpha[i, there] * (probs[ids[there, s]] * SCALE ** (j - i))
+            out[part] = np.log(np.maximum(alpha[n], 1e-300)) - n * np.log(SCALE)
     return out
 
 
+def _forward_long(word: str, pieces: dict[str, int], probs: np.ndarray) -> np.ndarray:
+    """forward() for one word of any length: only as many sums as the longest piece has characters are held, and scaled."""
+    word = _START + word
+    most, unknown = longest(pieces), len(pieces)
+    held, shift = np.zeros((most, probs.shape[1])), np.zeros(probs.shape[1])
+    held[0] = 1
+    for j in range(1, len(word) + 1):
+        new = np.zeros(probs.shape[1])
+        for size in range(1, min(j, most) + 1):
+            piece = pieces.get(word[j - size : j], unknown if size == 1 else -1)
+            if piece >= 0:
+                new += held[(j - size) % most] * (probs[piece] * SCALE**size)
+        held[j % most] = new
+        top = held.max(axis=0)
+        off = (top < 1e-100) | (top > 1e100)
+        if off.any():
+            factor = np.where(off, 1 / np.maximum(top, 1e-300), 1.0)
+            held *= factor
+            shift -= np.log(factor)
+    return np.log(np.maximum(held[len(word) % most], 1e-300)) + shift - len(word) * np.log(SCALE)
+
+
 def train(counts: dict[str, dict[str, int]], pieces: dict[str, int], rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """The languages and their piece probabilities from word counts, by expectation maximisation."""
     languages = sorted(counts)
     probs = np.zeros((len(pieces) + 2, len(languages)))
     for k, lang in enumerate(languages):
-        words = sorted(counts[lang])
+        words = sorted(w for w in counts[lang] if len(w) <= TRAIN_LETTERS)
         weight = np.array([counts[lang][w] for w in words], dtype=float)
         groups = []
         for group in _by_length(words):
@@ -104,13 +133,13 @@ def train(counts: dict[str, dict[str, int]], pieces: dict[str, int], rounds: int
                 alpha, beta = np.zeros((n + 1, len(w))), np.zeros((n + 1, len(w)))
                 alpha[0], beta[n] = 1, 1
                 for s, (i, j) in enumerate(spans):
-                    alpha[j] += alpha[i] * p[ids[:, s]]
+                    alpha[j] += alpha[i] * (p[ids[:, s]] * SCALE ** (j - i))
                 for s in range(len(spans) - 1, -1, -1):
                     i, j = spans[s]
-                    beta[i] += beta[j] * p[ids[:, s]]
+                    beta[i] += beta[j] * (p[ids[:, s]] * SCALE ** (j - i))
                 scale = w / np.maximum(alpha[n], 1e-300)
                 for s, (i, j) in enumerate(spans):
-                    got += np.bincount(ids[:, s], alpha[i] * p[ids[:, s]] * beta[j] * scale, len(p))
+                    got += np.bincount(ids[:, s], alpha[i] * (p[ids[:, s]] * SCALE ** (j - i)) * beta[j] * scale, len(p))
             got[-1] = 0
             p = got / got.sum()
         probs[:, k] = p
@@ -150,7 +179,9 @@ def identify(docs: DataFrame, languages: list[str], probs: np.ndarray, pieces: d
     The score is the language's posterior probability under equal priors. A
     null text, one without a letter, and every text of a model without a
     language get UNKNOWN and 0. Ties go to the first language in order of code
-    points. Other columns are ignored.
+    points. Rows that repeat a doc_id, or have none, each get their row; texts
+    and words of any length are read whole; an empty table gives no row. Other
+    columns are ignored, whatever their names.
     """
     model = docs.sparkSession.sparkContext.broadcast((languages, probs, pieces))
 
@@ -165,6 +196,9 @@ def identify(docs: DataFrame, languages: list[str], probs: np.ndarray, pieces: d
                     at.clear()
                 split = [words_of(t) for t in part.column(1).to_pylist()]
                 new = list({w for words in split for w in words if w not in at})
+                # Long words aren't held any longer than their documents.
+                brief = [w for w in new if len(w) <= _CACHED_LETTERS]
+                new = brief + [w for w in new if len(w) > _CACHED_LETTERS]
                 if len(at) + len(new) > len(scores):
                     scores = np.concatenate([scores, np.zeros((len(at) + len(new), len(languages)))])
                 if new and languages:
@@ -180,6 +214,8 @@ def identify(docs: DataFrame, languages: list[str], probs: np.ndarray, pieces: d
                     k = int(total.argmax())
                     names.append(languages[k])
                     sure.append(float(1 / np.exp(total - total[k]).sum()))
+                for w in new[len(brief) :]:
+                    del at[w]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(sure, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     kept = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))

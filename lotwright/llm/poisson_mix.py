@@ -49,36 +49,38 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, total:
     The draw inverts the distribution function at a uniform number hashed from
     the seed and doc_id, so a row's copies don't depend on partitions or
     attempts; rows that repeat a doc_id repeat its draw. Null sources are a
-    source of their own. The columns of ``docs`` come back with ``rate``,
+    source of their own; null and empty texts count no character and are drawn
+    like others of their source; an empty table gives no row. The columns of ``docs`` come back with ``rate``,
     ``copy`` (1, 2, ...) and ``shuffle_key``, by whose hash rows are dealt and
     by which each partition is sorted (names that clash get underscores).
     """
     rate, copy, key = (unique_name(docs, n) for n in ("rate", "copy", "shuffle_key"))
+    source, mean_of, split, cdf, own, salt, first_draw, copies_of = (unique_name(docs, f"mix_{n}") for n in ("source", "rate", "parts", "cdf", "own", "salt", "draw", "copies"))
     of = rates(docs, weights, total)
-    parts = F.greatest(F.ceil(F.col("_rate") / PART_RATE), F.lit(1)).cast("int")
-    of = of.select(F.col("source").alias("_source"), F.col("rate").alias("_rate")).withColumn("_parts", parts)
-    mean = F.col("_rate") / F.col("_parts")
+    parts = F.greatest(F.ceil(F.col(mean_of) / PART_RATE), F.lit(1)).cast("int")
+    of = of.select(F.col("source").alias(source), F.col("rate").alias(mean_of)).withColumn(split, parts)
+    mean = F.col(mean_of) / F.col(split)
     first = F.struct(F.exp(-mean).alias("p"), F.array(F.exp(-mean)).alias("cdf"))
     step = lambda a, j: F.struct((a["p"] * mean / j).alias("p"), F.concat(a["cdf"], F.array(F.element_at(a["cdf"], -1) + a["p"] * mean / j)).alias("cdf"))
-    of = of.withColumn("_cdf", F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), first, step, lambda a: a["cdf"]))
-    of = of.withColumn("_cdf", F.filter("_cdf", lambda c: c < 1))
+    of = of.withColumn(cdf, F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), first, step, lambda a: a["cdf"]))
+    of = of.withColumn(cdf, F.filter(cdf, lambda c: c < 1))
 
     if of.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        met = docs.join(F.broadcast(of), docs["source"].eqNullSafe(of["_source"]), "left")
+        met = docs.join(F.broadcast(of), docs["source"].eqNullSafe(of[source]), "left")
     else:
-        salted = of.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        own = docs.withColumn("_own", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-        met = own.join(salted, own["source"].eqNullSafe(salted["_source"]) & (own["_own"] == salted["_salt"]), "left").drop("_own", "_salt")
+        salted = of.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = docs.withColumn(own, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        met = dealt.join(salted, dealt["source"].eqNullSafe(salted[source]) & (dealt[own] == salted[salt]), "left").drop(own, salt)
     name = F.coalesce(docs["doc_id"].cast("string"), F.lit("null"))
-    draw = lambda part: F.size(F.filter("_cdf", lambda c: c <= _uniform(F.lit(str(seed)), name, part.cast("string"))))
-    one = F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
-    more = F.aggregate(F.sequence(F.lit(1), F.col("_parts") - 1), F.lit(0), lambda acc, part: acc + draw(part))
-    met = met.withColumn("_u", _uniform(F.lit(str(seed)), name, F.lit("0")))
-    met = met.withColumn("_copies", F.when(F.col("_parts") > 1, one + more).otherwise(one)).where("_copies > 0")
-    copies = met.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    draw = lambda part: F.size(F.filter(cdf, lambda c: c <= _uniform(F.lit(str(seed)), name, part.cast("string"))))
+    one = F.size(F.filter(cdf, lambda c: c <= F.col(first_draw)))
+    more = F.aggregate(F.sequence(F.lit(1), F.col(split) - 1), F.lit(0), lambda acc, part: acc + draw(part))
+    met = met.withColumn(first_draw, _uniform(F.lit(str(seed)), name, F.lit("0")))
+    met = met.withColumn(copies_of, F.when(F.col(split) > 1, one + more).otherwise(one)).where(F.col(copies_of) > 0)
+    copies = met.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies_of))))
     hashed = F.md5(F.concat_ws("|", F.lit(f"{seed}#"), name, F.col(copy).cast("string")))
     out = copies.withColumn(key, F.conv(F.substring(hashed, 1, 15), 16, 10).cast("bigint"))
-    out = out.select(*[docs[c] for c in docs.columns], F.col("_rate").alias(rate), copy, key)
+    out = out.select(*[docs[c] for c in docs.columns], F.col(mean_of).alias(rate), copy, key)
     return out.repartition(key).sortWithinPartitions(key)
 
 

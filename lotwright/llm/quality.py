@@ -1,27 +1,32 @@
 """Document quality by attention-based multiple-instance learning.
 
-A document is a bag of passages. Each passage is encoded from measures of its
-characters and words; gated attention weighs the encodings; the weighted sum is
-scored. Only documents have labels, so the attention learns which passages
-decide.
+A document is a bag of passages. Each passage is encoded from learned embeddings
+of its words (hashed words and letter trigrams) and from measures of its
+characters; gated attention weighs the encodings; the weighted sum is scored.
+Only documents have labels, so the attention learns which passages decide.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, table
+from .common import crc_mod, table, unique_name
 from .labelled import labelled_sample
 
-#: Labelled rows used for fitting, in expectation; all if there are fewer.
-TRAIN_ROWS = 8_000
+#: Labelled rows used for fitting, in expectation (all if there are fewer), and passages of each, evenly spaced.
+TRAIN_ROWS, TRAIN_PASSAGES = 4_000, 64
 PASSAGE_WORDS = 64
 THRESHOLD = 0.7
-_HIDDEN, _GATE, _EPOCHS, _BATCH = 16, 8, 12, 64
+#: Rows of the table of embeddings, to which words and trigrams are hashed, and its columns.
+BUCKETS, EMBEDDING = 1 << 14, 16
+_HIDDEN, _GATE, _EPOCHS, _BATCH = 16, 8, 8, 64
+_CACHED_WORDS = 200_000
 
 _CLASSES = 10
 _CLASS = np.full(256, 9, dtype=np.uint8)  # other marks
@@ -34,15 +39,16 @@ _CLASS[list(b".,;:'\"-?()")] = 5
 _CLASS[ord("!")] = 6
 _CLASS[ord("|")] = 7
 _CLASS[10] = 8
-FEATURES = _CLASSES + 6
+MEASURES = _CLASSES + 4
+FEATURES = MEASURES + EMBEDDING
 
 
-def passages(text: str | None) -> np.ndarray:
-    """(passages, FEATURES): one row for each PASSAGE_WORDS words, none for a text without words."""
+def passages(text: str | None) -> tuple[np.ndarray, list[bytes]]:
+    """(passages, MEASURES), one row for each PASSAGE_WORDS words, and the lower-case words; none for a text without words."""
     raw = (text or "").encode("utf-8", "surrogatepass")
-    words = raw.split()
+    words = raw.lower().split()
     if not words:
-        return np.zeros((0, FEATURES), dtype=np.float32)
+        return np.zeros((0, MEASURES), dtype=np.float32), words
     codes = _CLASS[np.frombuffer(raw, dtype=np.uint8)]
     solid = (codes != 0) & (codes != 8)
     starts = np.flatnonzero(solid & ~np.concatenate([[False], solid[:-1]]))
@@ -51,7 +57,7 @@ def passages(text: str | None) -> np.ndarray:
     edges[0] = 0
     counts = np.bincount(np.repeat(np.arange(n), np.diff(edges)) * _CLASSES + codes, minlength=n * _CLASSES).reshape(n, _CLASSES).astype(np.float32)
     size = np.minimum(PASSAGE_WORDS, len(words) - PASSAGE_WORDS * np.arange(n)).astype(np.float32)
-    out = np.empty((n, FEATURES), dtype=np.float32)
+    out = np.empty((n, MEASURES), dtype=np.float32)
     out[:, :_CLASSES] = counts / np.maximum(counts.sum(1, keepdims=True), 1)
     out[:, 0] = np.log1p(size)
     out[:, _CLASSES] = (counts.sum(1) - counts[:, 0] - counts[:, 8]) / size / 10
@@ -59,25 +65,50 @@ def passages(text: str | None) -> np.ndarray:
     letters = counts[:, 1] + counts[:, 2]
     out[:, _CLASSES + 2] = counts[:, 2] / np.maximum(letters, 1)
     out[:, _CLASSES + 3] = counts[:, 9] / size
-    out[:, _CLASSES + 4] = np.log1p(len(words)) / 10
-    lines = raw.split(b"\n")
-    out[:, _CLASSES + 5] = len(set(lines)) / len(lines)
-    return out
+    return out, words
+
+
+def buckets_of(word: bytes) -> list[int]:
+    """The rows of the table for a word and its trigrams of bytes, its ends marked."""
+    w = b"<" + word + b">"
+    return [zlib.crc32(w) % BUCKETS, *(zlib.crc32(w[i : i + 3]) % BUCKETS for i in range(len(w) - 2))]
+
+
+def bag(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For fitting: TRAIN_PASSAGES passages' measures at most, and their embeddings' parts: passage, bucket, weight."""
+    x, words = passages(text)
+    chosen = np.unique(np.linspace(0, len(x) - 1, min(len(x), TRAIN_PASSAGES)).astype(int)) if len(x) else np.zeros(0, int)
+    rows, buckets, weights = [], [], []
+    for k, p in enumerate(chosen.tolist()):
+        own = words[p * PASSAGE_WORDS : (p + 1) * PASSAGE_WORDS]
+        for w in own:
+            b = buckets_of(w)
+            buckets += b
+            weights += [1 / (len(b) * len(own))] * len(b)
+        rows += [k] * (len(buckets) - len(rows))
+    key, back = np.unique(np.array(rows, np.int64) * BUCKETS + np.array(buckets, np.int64), return_inverse=True)
+    weight = np.bincount(back, weights, len(key)) if len(key) else np.zeros(0)
+    return x[chosen], (key // BUCKETS).astype(np.uint16), (key % BUCKETS).astype(np.uint16), weight.astype(np.float32)
 
 
 class Network:
-    """Encoder, gated attention and scorer over bags of passages."""
+    """Embeddings, encoder, gated attention and scorer over bags of passages."""
 
     def __init__(self, mean: np.ndarray, sd: np.ndarray, seed: int = 7):
         rng = np.random.default_rng(seed)
         init = lambda a, b: rng.normal(0, 1 / np.sqrt(a), (a, b))
         self.mean, self.sd = mean, sd
-        self.p = {"W": init(FEATURES, _HIDDEN), "b": np.zeros(_HIDDEN), "V": init(_HIDDEN, _GATE), "U": init(_HIDDEN, _GATE), "w": init(_GATE, 1)[:, 0], "c": init(_HIDDEN, 1)[:, 0], "d": np.zeros(1)}
+        self.p = {"E": rng.normal(0, 0.3, (BUCKETS, EMBEDDING)), "W": init(FEATURES, _HIDDEN), "b": np.zeros(_HIDDEN), "V": init(_HIDDEN, _GATE), "U": init(_HIDDEN, _GATE), "w": init(_GATE, 1)[:, 0], "c": init(_HIDDEN, 1)[:, 0], "d": np.zeros(1)}
+
+    def embed(self, n: int, row: np.ndarray, bucket: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """(n, EMBEDDING): weighted sums of rows of the table; ``row`` ascends and leaves none out."""
+        parts = self.p["E"][bucket] * weight[:, None]
+        return np.add.reduceat(parts, np.searchsorted(row, np.arange(n))) if n else np.zeros((0, EMBEDDING))
 
-    def forward(self, x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """Logits of the bags that start at rows ``first`` of ``x``; no bag is empty."""
+    def forward(self, x: np.ndarray, embedded: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """Logits of the bags that start at rows ``first`` of measures and embeddings; no bag is empty."""
         p, sizes = self.p, np.diff(np.append(first, len(x)))
-        x = (x - self.mean) / self.sd
+        x = np.concatenate([(x - self.mean) / self.sd, embedded], axis=1)
         h = np.tanh(x @ p["W"] + p["b"])
         t, s = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-(h @ p["U"])))
         e = (t * s) @ p["w"]
@@ -86,18 +117,20 @@ class Network:
         z = np.add.reduceat(a[:, None] * h, first)
         return z @ p["c"] + p["d"], (x, h, t, s, a, z, sizes)
 
-    def gradients(self, x: np.ndarray, first: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        p = self.p
-        logit, (x, h, t, s, a, z, sizes) = self.forward(x, first)
+    def gradients(self, x: np.ndarray, sparse: tuple[np.ndarray, np.ndarray, np.ndarray], first: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        p, (row, bucket, weight) = self.p, sparse
+        logit, (x, h, t, s, a, z, sizes) = self.forward(x, self.embed(len(x), row, bucket, weight), first)
         g = (1 / (1 + np.exp(-logit)) - y) / len(y)
         dz = np.repeat(g[:, None] * p["c"], sizes, axis=0)
         da = (dz * h).sum(1)
         de = a * (da - np.repeat(np.add.reduceat(a * da, first), sizes))
         dt, ds = de[:, None] * p["w"] * s * (1 - t * t), de[:, None] * p["w"] * t * s * (1 - s)
         dh = (a[:, None] * dz + dt @ p["V"].T + ds @ p["U"].T) * (1 - h * h)
-        return {"W": x.T @ dh, "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ ds, "w": de @ (t * s), "c": g @ z, "d": np.array([g.sum()])}
+        dx = (dh @ p["W"][MEASURES:].T)[row] * weight[:, None]
+        table = np.column_stack([np.bincount(bucket, dx[:, k], BUCKETS) for k in range(EMBEDDING)])
+        return {"E": table, "W": x.T @ dh, "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ ds, "w": de @ (t * s), "c": g @ z, "d": np.array([g.sum()])}
 
-    def train(self, bags: list[np.ndarray], y: np.ndarray, epochs: int = _EPOCHS, rate: float = 0.01, decay: float = 1e-3, seed: int = 11) -> None:
+    def train(self, bags: list[tuple], y: np.ndarray, epochs: int = _EPOCHS, rate: float = 0.01, decay: float = 1e-3, seed: int = 11) -> None:
         rng = np.random.default_rng(seed)
         m, v = ({n: np.zeros_like(a) for n, a in self.p.items()} for _ in range(2))
         k = 0
@@ -105,66 +138,125 @@ class Network:
             order = rng.permutation(len(bags))
             for at in range(0, len(order), _BATCH):
                 part = order[at : at + _BATCH]
-                sizes = [len(bags[i]) for i in part]
-                first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+                first = np.concatenate([[0], np.cumsum([len(bags[i][0]) for i in part])[:-1]])
+                row = np.concatenate([bags[i][1] + f for i, f in zip(part, first, strict=True)])
+                sparse = (row, *(np.concatenate([bags[i][c] for i in part]) for c in (2, 3)))
                 k += 1
-                for n, g in self.gradients(np.concatenate([bags[i] for i in part]), first, y[part]).items():
-                    g = g + decay * self.p[n] * (n not in "bd")
+                for n, g in self.gradients(np.concatenate([bags[i][0] for i in part]), sparse, first, y[part]).items():
+                    g = g + decay * (0.01 if n == "E" else 1) * self.p[n] * (n not in "bd")
                     m[n] = 0.9 * m[n] + 0.1 * g
                     v[n] = 0.999 * v[n] + 0.001 * g * g
                     self.p[n] = self.p[n] - rate * (m[n] / (1 - 0.9**k)) / (np.sqrt(v[n] / (1 - 0.999**k)) + 1e-8)
 
+    def rounded(self) -> Network:
+        """The same in single precision, for scoring."""
+        self.p = {n: a.astype(np.float32) for n, a in self.p.items()}
+        self.mean, self.sd = self.mean.astype(np.float32), self.sd.astype(np.float32)
+        return self
+
 
 def fit(sample: DataFrame) -> Network | float:
     """A network from (doc_id, text, label); where the labels are all the same or absent, their mean (or 1)."""
 
     def run(batches):
         for batch in batches:
-            rows = [passages(t).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column("label"), batch.column("doc_id")], names=["x", "label", "doc_id"])
-
-    got = sample.select("text", "label", "doc_id").mapInArrow(run, "x binary, label int, doc_id bigint").toArrow().sort_by("doc_id")
-    bags = [np.frombuffer(b, dtype=np.float32).reshape(-1, FEATURES) for b in got.column("x").to_pylist()]
-    y = got.column("label").to_numpy().astype(float)
-    there = [k for k, b in enumerate(bags) if len(b)]
-    bags, y = [bags[k] for k in there], y[there]
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                rows = [[a.tobytes() for a in bag(t)] for t in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.binary()) for c in zip(*rows, strict=True)), part.column(1), part.column(2)], names=["x", "r", "k", "w", "label", "doc_id"])
+
+    got = sample.select("text", "label", "doc_id").mapInArrow(run, "x binary, r binary, k binary, w binary, label int, doc_id bigint").toArrow()
+    kinds, bags, y = (np.float32, np.uint16, np.uint16, np.float32), [], []
+    # Rows come in any order; the order of training should not depend on it.
+    for row in sorted(zip(*(got.column(c).to_pylist() for c in ("doc_id", "x", "r", "k", "w", "label")), strict=True)):
+        if row[1]:
+            x, r, k, w = (np.frombuffer(c, dtype=t) for c, t in zip(row[1:5], kinds, strict=True))
+            bags.append((x.reshape(-1, MEASURES), r.astype(np.int64), k, w))
+            y.append(float(row[5]))
+    y = np.array(y)
     if not len(y) or y.min() == y.max():
         return float(y.mean()) if len(y) else 1.0
-    every = np.concatenate(bags)
+    every = np.concatenate([b[0] for b in bags]).astype(np.float64)
     net = Network(every.mean(0), every.std(0) + 1e-3)
     net.train(bags, y)
-    return net
+    return net.rounded()
+
+
+class _Words:
+    """Vectors of words, of which the last ones met are held."""
+
+    def __init__(self, table: np.ndarray):
+        self.table, self.at, self.vectors = table, {}, np.zeros((_CACHED_WORDS, EMBEDDING), np.float32)
+
+    def places(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        """The rows of ``vectors`` of each text's words."""
+        if len(self.at) > _CACHED_WORDS // 2:
+            self.at.clear()
+        at = self.at
+        new = list({w for words in texts for w in words if w not in at})
+        if len(at) + len(new) > len(self.vectors):
+            self.vectors = np.concatenate([self.vectors, np.zeros((len(at) + len(new), EMBEDDING), np.float32)])
+        for k in range(0, len(new), 4096):
+            part = [buckets_of(w) for w in new[k : k + 4096]]
+            sizes = np.array([len(b) for b in part])
+            flat = np.fromiter((b for one in part for b in one), np.int64, sizes.sum())
+            self.vectors[len(at) : len(at) + len(part)] = np.add.reduceat(self.table[flat], np.cumsum(sizes) - sizes) / sizes[:, None]
+            at.update(zip(new[k : k + 4096], range(len(at), len(at) + len(part)), strict=True))
+        return [np.fromiter(map(at.__getitem__, words), np.int64, len(words)) for words in texts]
 
 
-def score(docs: DataFrame, model: Network | float) -> DataFrame:
-    """``docs`` with a column ``score``; texts without words, null ones too, have 0.
+def scores_of(net: Network, words: _Words, texts: list[str | None]) -> np.ndarray:
+    """The score of each text, 0 for those without words."""
+    bags = [passages(t) for t in texts]
+    sizes, out = np.array([len(x) for x, _ in bags]), np.zeros(len(texts))
+    full = np.flatnonzero(sizes)
+    if not len(full):
+        return out
+    places = words.places([bags[k][1] for k in full])
+    embedded = []
+    for own in places:
+        edges = np.arange(0, len(own), PASSAGE_WORDS)
+        embedded.append(np.add.reduceat(words.vectors[own], edges) / np.diff(np.append(edges, len(own)))[:, None])
+    first = np.cumsum(sizes[full]) - sizes[full]
+    logit = net.forward(np.concatenate([bags[k][0] for k in full]), np.concatenate(embedded), first)[0]
+    out[full] = 1 / (1 + np.exp(-logit.astype(np.float64)))
+    return out
+
+
+def score(docs: DataFrame, model: Network | float, column: str = "score") -> DataFrame:
+    """``docs`` with a column ``column`` (underscores are added where it has one of that name).
 
-    A column ``score`` of ``docs`` is replaced.
+    Texts without words, null ones too, have 0; equal texts have equal scores,
+    also in rows that repeat a doc_id or have none. Texts of any length are read
+    whole, and an empty table gives no row.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("score")
+    column = unique_name(docs, column)
 
     def run(batches):
-        net = sent.value
+        net, words = sent.value, None
+        if not isinstance(net, float):
+            words = _Words(net.p["E"])
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                bags = [passages(t) for t in part.column("text").to_pylist()]
-                sizes = np.array([len(b) for b in bags])
-                out = np.zeros(len(bags))
-                if sizes.any():
-                    full = sizes[sizes > 0]
-                    first = np.concatenate([[0], np.cumsum(full)[:-1]])
-                    out[sizes > 0] = net if isinstance(net, float) else 1 / (1 + np.exp(-net.forward(np.concatenate(bags), first)[0]))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.float64())], names=[*part.schema.names, "score"])
+                texts = part.column("text").to_pylist()
+                out = scores_of(net, words, texts) if words else np.array([net if t and t.strip() else 0.0 for t in texts])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.float64())], names=[*part.schema.names, column])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
 
 
-def scored(docs: DataFrame, fitted_on: DataFrame, labels: DataFrame) -> DataFrame:
+def scored(docs: DataFrame, fitted_on: DataFrame, labels: DataFrame, column: str = "score") -> DataFrame:
     """``docs`` with scores by a model fitted on the labelled rows of ``fitted_on`` outside the held-out fold."""
     sample = labelled_sample(fitted_on, labels, "quality", crc_mod(F.col("doc_id"), 4) != 2, TRAIN_ROWS)
-    return score(docs, fit(sample))
+    return score(docs, fit(sample), column)
+
+
+def accepted(docs: DataFrame, fitted_on: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, in its columns (a column ``score`` of its own stays as it is)."""
+    column = unique_name(docs, "quality_score")
+    return scored(docs, fitted_on, labels, column).where(F.col(column) >= threshold).select(*docs.columns)
 
 
 def op4(spark, sf_dir):

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 from .components import connected_components
 
 BITS = 64
@@ -74,16 +74,16 @@ def segments(radius: int) -> list[int]:
 
 
 def variants(nodes: DataFrame, radius: int) -> DataFrame:
-    """(variant, value, fp, node): one row for each bit left out of each segment."""
+    """(variant, value, fp): one row for each bit left out of each segment."""
     masks = [(mask, 1 << bit) for mask in segments(radius) for bit in range(BITS) if mask >> bit & 1]
     values = F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(mask ^ bit))) for mask, bit in masks])
-    return nodes.select("fp", "node", F.posexplode(values).alias("variant", "value"))
+    return nodes.select("fp", F.posexplode(values).alias("variant", "value"))
 
 
 def near_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Edges (a, b) between nodes whose graph has the components of all links within ``radius``.
+    """Edges (a, b) between fingerprints whose graph has the components of all links within ``radius``.
 
-    ``nodes`` has distinct ``fp`` and their ``node``. Variants of at most
+    ``nodes`` has distinct ``fp``. Variants of at most
     PAIR_LIMIT fingerprints are joined with themselves, and pairs verified.
     Fingerprints with a more common variant take an exact second way without
     pairs, for which ``radius`` must be at most 2: two fingerprints differ by at
@@ -108,8 +108,8 @@ def near_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
                 at += 1
     cold = met.where(F.col("n") <= PAIR_LIMIT)
     mask_of = F.element_at(F.array(*[F.lit(m) for m in seg_of]), F.col("variant") + 1)
-    left = cold.select("variant", "value", F.col("fp").alias("fa"), F.col("node").alias("a"), mask_of.alias("mask"))
-    right = cold.select("variant", "value", F.col("fp").alias("fb"), F.col("node").alias("b"))
+    left = cold.select("variant", "value", F.col("fp").alias("fa"), mask_of.alias("mask"))
+    right = cold.select("variant", "value", F.col("fp").alias("fb"))
     differ = F.col("fa").bitwiseXOR(F.col("fb"))
     # Equal segments share all their variants: their pair counts at the first.
     once = (differ.bitwiseAND(F.col("mask")) != 0) | F.col("x.variant").isin(firsts)
@@ -122,21 +122,23 @@ def near_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
         & (F.col("fa") < F.col("fb"))
         & (F.bit_count(differ) <= radius)
         & once,
-    ).select("a", "b")
+    ).select(F.col("fa").alias("a"), F.col("fb").alias("b"))
 
-    hot = met.where(F.col("n") > PAIR_LIMIT).groupBy("fp").agg(F.min("node").alias("node"))
+    hot = met.where(F.col("n") > PAIR_LIMIT).select("fp").distinct()
     reach = [0, *(1 << b for b in range(BITS))] if radius == 2 else None
     if radius == 2:
         ball = F.array(*[F.col("fp").bitwiseXOR(F.lit(_signed(v))) for v in reach])
-        around = hot.select("node", F.explode(ball).alias("z")).groupBy("z")
-        stars = around.agg(F.collect_list("node").alias("of"), F.min("node").alias("a")).where(F.size("of") > 1)
+        around = hot.select("fp", F.explode(ball).alias("z")).groupBy("z")
+        stars = around.agg(F.collect_list("fp").alias("of"), F.min("fp").alias("a")).where(F.size("of") > 1)
         stars = stars.select("a", F.explode("of").alias("b")).where("a <> b")
     else:
         # At radius 1 two fingerprints meet in the value with their one different bit cleared.
         gone = F.array(*[F.struct(F.lit(b).alias("bit"), F.col("fp").bitwiseAND(F.lit(_signed(~(1 << b) & (2**64 - 1)))).alias("z")) for b in range(BITS)])
-        around = hot.select("node", F.explode(gone).alias("g")).groupBy("g.bit", "g.z")
-        stars = around.agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("a", "b")
-    return pairs.union(stars)
+        around = hot.select("fp", F.explode(gone).alias("g")).groupBy("g.bit", "g.z")
+        stars = around.agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("a", "b")
+    links = cut(pairs.union(stars), "links")
+    discard(met)
+    return links
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
@@ -144,31 +146,21 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = R
 
     ``component_id`` is the smallest doc_id that links within ``radius`` bits
     reach. Null texts and texts without words have fingerprint 0 and link like
-    any other. Repeated rows each keep their row. Rows with a null doc_id get
-    the component of their fingerprint, null if nothing else has one. Other
-    columns of ``docs`` are ignored.
+    any other. Repeated rows each keep their row. Rows with a null doc_id link
+    and are passed through like any other; a component without any doc_id has
+    null. Texts of any length are read whole; an empty table gives no row.
+    Other columns of ``docs`` are ignored, whatever their names.
     """
     fps = cut(fingerprints(docs, words), "fingerprints")
-    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null"), "nodes")
-    found = connected_components(near_links(nodes, radius))
-    classes = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """The document with the smallest doc_id of each component, in the columns of ``docs``.
-
-    Of rows that repeat that doc_id one stays; rows with a null doc_id stay
-    only if nothing else has their component.
-    """
-    found = near_duplicates(docs, words, radius)
-    kept = found.where("doc_id is null and component_id is null or doc_id = component_id")
-    kept = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies")).select(F.col("doc_id").alias("kept_id"), "copies")
-    kept = cut(kept, "kept")
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    if kept.where("copies > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id"])
-    return out
+    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "nodes")
+    links = near_links(nodes.select("fp"), radius)
+    found = cut(connected_components(links), "components")
+    discard(links)
+    placed = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "doc_id", F.coalesce("component", "fp").alias("component"))
+    least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    classes = placed.select("fp", "component").join(least, "component").select("fp", "component_id")
+    # A third of all rows may share a fingerprint: adaptive execution splits it, the other side has one row a fingerprint.
+    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
 def op10(spark, sf_dir):

@@ -19,13 +19,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, discard, table
 
 LENGTH = 400
 #: Bytes of the substrings hashed: a repeated window has a repeated substring.
 GRAM = 200
 #: Bytes of contexts in a shard, about.
 SHARD_BYTES = 1_500_000
+#: Windows of a run at most; longer runs (of one byte, say) are cut, so that no context outgrows a shard.
+_RUN = 1 << 17
 _BLOCK = 1 << 17
 _BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 _POWERS: dict = {}
@@ -94,6 +96,17 @@ def runs_of(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndar
     return value, first, np.append(first[1:] - 1, n - 1), np.concatenate(agains)
 
 
+def cut_runs(value: np.ndarray, first: np.ndarray, last: np.ndarray, again: np.ndarray, most: int = 0) -> tuple[np.ndarray, ...]:
+    """The runs, those of more than _RUN windows (or ``most``) in pieces; their windows stay apart, so counts do too."""
+    most = most or _RUN
+    pieces = (last - first) // most + 1
+    if not len(pieces) or pieces.max() == 1:
+        return value, first, last, again
+    at = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    begin = np.repeat(first, pieces) + at * most
+    return np.repeat(value, pieces), begin, np.minimum(begin + most - 1, np.repeat(last, pieces)), np.repeat(again | (pieces > 1), pieces)
+
+
 def suffix_array(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The suffix array of joined texts that end before ``ends``, each with an own end mark below all bytes.
 
@@ -199,6 +212,7 @@ def _cover(starts: np.ndarray, length: int) -> tuple[list[int], list[int]]:
     return starts[np.concatenate([[0], gap + 1])].tolist(), (starts[np.concatenate([gap, [len(starts) - 1]])] + length).tolist()
 
 
+_SALTS = 32
 _SHARD_SCHEMA = "h bigint, c1 bigint, c2 bigint, lo array<int>, hi array<int>, slice int, digests binary, windows binary"
 _WINDOW = np.dtype([("c1", "<i8"), ("c2", "<i8"), ("start", "<i4")])
 
@@ -256,7 +270,7 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM)
         for batch in batches:
             found = []
             for k, t in enumerate(batch.column(2).to_pylist()):
-                value, first, last, again = runs_of((t or "").encode("utf-8", "surrogatepass"), length, gram)
+                value, first, last, again = cut_runs(*runs_of((t or "").encode("utf-8", "surrogatepass"), length, gram))
                 if len(value):
                     found.append((np.full(len(value), k), value.view(np.int64), first, last, again))
             if found:
@@ -286,15 +300,20 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM)
 
     met = docs.join(wanted, ["doc_id", "tie"]).select("doc_id", "tie", "text", "runs")
     found = cut(met.mapInArrow(contexts, "doc_id bigint, tie bigint, h bigint, first int, ctx binary, c1 bigint, c2 bigint"), "contexts")
+    discard(runs)
     different = cut(found.groupBy("h", "c1", "c2").agg(F.count(F.lit(1)).alias("weight"), F.first("ctx").alias("ctx")), "different")
-    sizes = different.groupBy("h").agg(F.sum(F.length("ctx")).alias("bytes"))
     total = different.agg(F.coalesce(F.sum(F.length("ctx")), F.lit(0))).first()[0]
     shards = max(1, -(-total // SHARD_BYTES))
-    sized = different.join(sizes, "h").withColumn("parts", F.ceil(F.col("bytes") / SHARD_BYTES).cast("int"))
+    # Only hashes beyond one shard are joined back, and salted: one hash may have a large part of all contexts.
+    large = different.groupBy("h").agg(F.sum(F.length("ctx")).alias("bytes")).where(F.col("bytes") > SHARD_BYTES)
+    large = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    salted = different.withColumn("salt", F.pmod("c2", F.lit(_SALTS)).cast("int"))
+    sized = salted.join(large, ["h", "salt"], "left").withColumn("parts", F.coalesce(F.ceil(F.col("bytes") / SHARD_BYTES).cast("int"), F.lit(1)))
     sized = sized.withColumn("shard", F.when(F.col("parts") > 1, F.col("h")).otherwise(F.pmod(F.xxhash64("h"), F.lit(shards))))
     sized = sized.withColumn("part", F.when(F.col("parts") > 1, F.pmod("c1", "parts").cast("int") + 1).otherwise(0))
     sized = sized.withColumn("parts", F.when(F.col("parts") > 1, F.col("parts")).otherwise(1))
     done = cut(sized.groupBy("shard", "part").applyInPandas(lambda pdf: _shard(pdf, length), _SHARD_SCHEMA), "shards")
+    discard(different)
     merged = done.where("slice is not null").groupBy("h", "slice").applyInPandas(lambda pdf: _merge(pdf, length), "h bigint, c1 bigint, c2 bigint, lo array<int>, hi array<int>")
     covered = done.where("slice is null").select("h", "c1", "c2", "lo", "hi").union(merged)
     placed = found.select("doc_id", "tie", "h", "first", "c1", "c2").join(covered, ["h", "c1", "c2"])
@@ -308,8 +327,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Texts are UTF-8 bytes, null ones empty. Every byte that a string of
     ``length`` bytes covers which also starts anywhere else goes, so of copies
     nothing stays, and rows that repeat a doc_id and text are copies. A text's
-    intervals meet in one row, never more than it has bytes. Other columns are
-    ignored.
+    intervals meet in one row, never more than it has bytes. Rows without a
+    doc_id are told apart by their text. An empty table gives no row. Other
+    columns are ignored, whatever their names.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))

@@ -156,18 +156,18 @@ class SequenceWriter:
     def __init__(self, folder: str, shard: int, dtype: np.dtype, length: int, end_id: int):
         self.fs, self.folder = pyarrow.fs.FileSystem.from_uri(folder)
         self.fs.create_dir(self.folder, recursive=True)
-        self.end, self.length, self.dtype = f"{shard:06d}.arrow", length, dtype
-        self.mark, self.end_id = uuid.uuid4().hex, end_id
+        # The name tells the attempt: only that of the attempt whose row the driver gets is ever read.
+        self.name, self.length, self.dtype, self.end_id = f"{shard:06d}-{uuid.uuid4().hex}.arrow", length, dtype, end_id
         meta = {b"sequence_length": str(length).encode(), b"batch_sequences": str(BATCH_SEQUENCES).encode(), b"end_id": str(end_id).encode()}
         self.schema = _file_type(dtype, length).with_metadata(meta)
         self.doc_schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])
-        self.sinks = [self.fs.open_output_stream(self._path(k, False)) for k in ("ids", "docs")]
+        self.sinks = [self.fs.open_output_stream(self._path(k)) for k in ("ids", "docs")]
         self.ids = pa.ipc.new_file(self.sinks[0], self.schema)
         self.docs = pa.ipc.new_file(self.sinks[1], self.doc_schema)
         self.waiting, self.size, self.n_docs, self.n_tokens = [], 0, 0, 0
 
-    def _path(self, kind: str, done: bool) -> str:
-        return f"{self.folder}/{kind}-{self.end}" if done else f"{self.folder}/.{kind}-{self.end}.{self.mark}"
+    def _path(self, kind: str) -> str:
+        return f"{self.folder}/{kind}-{self.name}"
 
     def _flush(self, last: bool) -> None:
         step = self.length * BATCH_SEQUENCES
@@ -198,21 +198,18 @@ class SequenceWriter:
         self.n_tokens += int(counts.sum())
 
     def close(self) -> None:
-        """The files get their names at the end, so that an attempt that is lost leaves none."""
+        """Both files are whole before the task's row names them; a lost attempt's files are never named."""
         self._flush(True)
-        self.ids.close()
-        self.docs.close()
-        for sink, kind in zip(self.sinks, ("ids", "docs"), strict=True):
-            sink.close()
-            self.fs.move(self._path(kind, False), self._path(kind, True))
+        for part in (self.ids, self.docs, *self.sinks):
+            part.close()
 
 
 class SequenceFile:
     """Random access to the sequences and documents of one shard."""
 
-    def __init__(self, folder: str, shard: int):
+    def __init__(self, folder: str, name: str):
         fs, root = pyarrow.fs.FileSystem.from_uri(folder)
-        paths = [f"{root}/{kind}-{shard:06d}.arrow" for kind in ("ids", "docs")]
+        paths = [f"{root}/{kind}-{name}" for kind in ("ids", "docs")]
         local = isinstance(fs, pyarrow.fs.LocalFileSystem)
         self.reader, self.docs = (pa.ipc.open_file(pa.memory_map(p) if local else fs.open_input_file(p)) for p in paths)
         meta = self.reader.schema.metadata
@@ -246,13 +243,15 @@ class SequenceFile:
         return parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, dtype=np.uint16), *parts])
 
 
-def write_sequences(docs: DataFrame, folder: str, tokenizer_path: str, *, by_word: bool = True, end_id: int = END_ID, length: int = SEQUENCE_LENGTH, ordered: bool = True) -> list[tuple[int, int, int]]:
-    """Encode every text and write it to ``folder``; [(shard, documents, ids)] in order.
+def write_sequences(docs: DataFrame, folder: str, tokenizer_path: str, *, by_word: bool = True, end_id: int = END_ID, length: int = SEQUENCE_LENGTH, ordered: bool = True) -> list[tuple[int, int, int, str]]:
+    """Encode every text and write it to ``folder``; [(shard, documents, ids, file name)] in order.
 
     ``ordered``: ascending doc_id over all shards, nulls first and rows that
     repeat an id by the hash of their text; else the rows keep their order and
     partitions. Null texts count as empty: only their end id is written. An
-    empty table gives no shard. Other columns are ignored. The driver gets one
+    empty table gives no shard. A text of any length is encoded whole, and its
+    ids may span sequences and batches. Other columns are ignored, whatever
+    their names. The driver gets one
     row for each shard.
     """
     kept = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -270,25 +269,25 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer_path: str, *, by_wor
                 out.add(part.column(0), [x + end for x in encoder.encode(part.column(1).to_pylist())])
         if out:
             out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (shard, out.n_docs, out.n_tokens)], names=["shard", "n_docs", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in (shard, out.n_docs, out.n_tokens)), pa.array([out.name])], names=["shard", "n_docs", "n_tokens", "name"])
 
-    return sorted(tuple(r) for r in kept.mapInArrow(run, "shard bigint, n_docs bigint, n_tokens bigint").collect())
+    return sorted(tuple(r) for r in kept.mapInArrow(run, "shard bigint, n_docs bigint, n_tokens bigint, name string").collect())
 
 
-def read_documents(spark: SparkSession, folder: str, shards: list[tuple[int, int, int]]) -> DataFrame:
+def read_documents(spark: SparkSession, folder: str, shards: list[tuple[int, int, int, str]]) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, read from the files in ``folder``."""
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
     bases, base = [], 0
-    for shard, _, n in shards:
-        bases.append((shard, base))
+    for _, _, n, name in shards:
+        bases.append((name, base))
         base += n
     if not bases:
         return spark.createDataFrame([], schema)
 
     def run(batches):
         for batch in batches:
-            for shard, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                file, at = SequenceFile(folder, shard), 0
+            for name, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                file, at = SequenceFile(folder, name), 0
                 for k in range(file.docs.num_record_batches):
                     part = file.docs.get_batch(k)
                     counts = part.column(1).to_numpy()
@@ -297,7 +296,7 @@ def read_documents(spark: SparkSession, folder: str, shards: list[tuple[int, int
                     at += int(counts.sum())
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(starts + base), part.column(1), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    tasks = spark.createDataFrame(bases, "shard bigint, base bigint").repartition(len(bases), "shard")
+    tasks = spark.createDataFrame(bases, "name string, base bigint").repartition(len(bases), "name")
     return tasks.mapInArrow(run, schema)
 
 

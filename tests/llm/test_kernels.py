@@ -91,15 +91,16 @@ def test_trained_pieces_are_a_distribution():
 
 def test_attention_gradients():
     rng = np.random.default_rng(2)
-    net = quality.Network(np.zeros(quality.FEATURES), np.ones(quality.FEATURES))
-    x, first, y = rng.normal(size=(9, quality.FEATURES)), np.array([0, 2, 7]), np.array([1.0, 0, 1])
+    net = quality.Network(np.zeros(quality.MEASURES), np.ones(quality.MEASURES))
+    x, first, y = rng.normal(size=(9, quality.MEASURES)), np.array([0, 2, 7]), np.array([1.0, 0, 1])
+    sparse = np.repeat(np.arange(9), 3), rng.integers(0, 5, 27), rng.random(27)
 
     def loss():
-        z = net.forward(x, first)[0]
+        z = net.forward(x, net.embed(9, *sparse), first)[0]
         return float(np.mean(np.log1p(np.exp(z)) - y * z))
 
-    for name, g in net.gradients(x, first, y).items():
-        at = tuple(0 for _ in g.shape)
+    for name, g in net.gradients(x, sparse, first, y).items():
+        at = (sparse[1][4], 2) if name == "E" else tuple(0 for _ in g.shape)
         keep = net.p[name].copy()
         values = []
         for step in (1e-5, -1e-5):
@@ -111,20 +112,79 @@ def test_attention_gradients():
 
 
 def test_passages_of_odd_texts():
-    assert len(quality.passages(None)) == len(quality.passages(" \n ")) == 0
+    assert len(quality.passages(None)[0]) == len(quality.passages(" \n ")[0]) == 0
     for t in ("a", "a " * 64, "a " * 65 + "\n\n", " x", "é" * 3000):
-        p = quality.passages(t)
+        p = quality.passages(t)[0]
         assert len(p) == -(-len(t.split()) // 64) and np.isfinite(p).all()
 
 
-def test_label_model_follows_the_labels():
+def test_scores_equal_a_plain_forward_pass():
+    rng = np.random.default_rng(4)
+    net = quality.Network(rng.normal(size=quality.MEASURES), rng.random(quality.MEASURES) + 0.5)
+    texts = ["Some words, a few.", None, "x " * 200, "", "Été 12 | 13 !! " * 30, "y" * 300]
+    for text, got in zip(texts, quality.scores_of(net, quality._Words(net.p["E"]), texts), strict=True):
+        words = (text or "").encode().lower().split()
+        if not words:
+            assert got == 0
+            continue
+        x, p = quality.passages(text)[0], net.p
+        h = []
+        for k in range(len(x)):
+            own = [np.mean([p["E"][b] for b in quality.buckets_of(w)], axis=0) for w in words[k * 64 : k * 64 + 64]]
+            h.append(np.tanh(np.concatenate([(x[k] - net.mean) / net.sd, np.mean(own, axis=0)]) @ p["W"] + p["b"]))
+        e = np.exp([(np.tanh(v @ p["V"]) / (1 + np.exp(-(v @ p["U"])))) @ p["w"] for v in h])
+        z = sum(a * v for a, v in zip(e / e.sum(), h, strict=True)) @ p["c"] + p["d"][0]
+        assert got == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5)
+
+
+def test_label_model_corrects_labels_and_learns_from_unlabelled_rows():
     rng = np.random.default_rng(0)
-    gold = (rng.random(600) < 0.2).astype(int)
-    fired = np.column_stack([gold * (rng.random(600) < 0.7), gold * (rng.random(600) < 0.7), rng.random(600) < 0.1])
-    post, on, off = toxicity.label_model(fired.astype(np.uint8), gold)
-    assert ((post > 0.5) == gold).all() and on[0] > 0.5 > off[0]
+    truth = (rng.random(3000) < 0.2).astype(int)
+    voters = [np.where(truth == 1, rng.random(3000) < on, rng.random(3000) < off) for on, off in ((0.7, 0.01), (0.6, 0.02), (0.5, 0.01), (0.6, 0.02), (0.1, 0.1))]
+    fired = np.column_stack([*voters, voters[0]]).astype(np.uint8)  # the last one copies the first
+    gold = np.where(rng.random(3000) < 0.03, 1 - truth, truth)
+    gold[1500:] = toxicity.UNLABELLED
+    post, on, off, rates = toxicity.label_model(fired, gold)
+    known = gold != toxicity.UNLABELLED
+    wrong = known & (gold != truth)
+    assert ((post > 0.5) == truth)[wrong].mean() > 0.6 > (gold == truth)[wrong].mean()
+    assert np.abs(post - gold)[known].max() > 0.5 and ((post > 0.05) & (post < 0.95)).any()
+    assert ((post > 0.5) == truth)[~known].mean() > 0.95
+    assert on[0] == pytest.approx(0.7, abs=0.06) and off[0] == pytest.approx(0.01, abs=0.02)
+    assert 0.9 < rates[0] < 1 and 0 < rates[1] < 0.1
     w, b = toxicity.linear_classifier(fired.astype(float), post)
-    assert w[0] > 1 > abs(w[2]) and b < 0
+    assert w[0] + w[5] > 1 > abs(w[4]) and b < 0
+
+
+def test_shouting_is_heard_anywhere():
+    start = "some quiet words " * 200
+    for text, want in ((start + "STOP THAT NOW " * 20, 1), ("1234 " * 500 + "STOP THAT NOW " * 20, 1), (start + "STOP THAT NOW " * 10, 0), ("STOP it " * 60, 0), ("中文 字 " * 60, 0)):
+        assert toxicity.votes(text, {})[len(toxicity.LEXICONS)] == want
+
+
+def test_long_words_are_summed_whole():
+    pieces = language_id.vocabulary()
+    rng = np.random.default_rng(3)
+    probs = rng.random((len(pieces) + 2, 3)) * 1e-3
+    probs[-1] = 0
+    words = ["ab" * 20, "donaudampfschifffahrtsgesellschaft", "straße"]
+    together = language_id.forward(words, pieces, probs)
+    assert together == pytest.approx(np.array([language_id._forward_long(w, pieces, probs) for w in words]))
+    long = "internationalisierung" * 300
+    most = language_id.longest(pieces)
+    alpha = [np.zeros(3)]
+    for j in range(1, len(long) + 2):
+        w = "▁" + long
+        own = [alpha[j - n] + np.log(probs[pieces.get(w[j - n : j], len(pieces))]) for n in range(1, min(j, most) + 1) if n == 1 or w[j - n : j] in pieces]
+        alpha.append(np.logaddexp.reduce(own))
+    assert language_id.forward([long], pieces, probs)[0] == pytest.approx(alpha[-1])
+    assert language_id.words_of(long + " x") == [long, "x"]
+
+
+def test_long_runs_are_cut():
+    value, first, last, again = np.array([5, 6], np.uint64), np.array([0, 10]), np.array([9, 40]), np.array([False, False])
+    got = suffix_dedup.cut_runs(value, first, last, again, 12)
+    assert [x.tolist() for x in got] == [[5, 6, 6, 6], [0, 10, 22, 34], [9, 21, 33, 40], [False, True, True, True]]
 
 
 def test_heaviest_common_subsequence():

@@ -73,8 +73,9 @@ def test_near_links(spark, monkeypatch, limit, radius):
             x ^= 1 << int(rng.integers(64))
             fps.add(x)
     fps = sorted(fps)
-    rows = [(simhash._signed(x), k) for k, x in enumerate(fps)]
-    edges = simhash.near_links(spark.createDataFrame(rows, "fp bigint, node bigint"), radius)
+    place = {simhash._signed(x): k for k, x in enumerate(fps)}
+    edges = simhash.near_links(spark.createDataFrame([(x,) for x in place], "fp bigint"), radius)
+    edges = spark.createDataFrame([(place[r.a], place[r.b]) for r in edges.collect()], "a bigint, b bigint")
     got = {r.node: r.component for r in components.connected_components(edges).collect()}
     label = list(range(len(fps)))
     for _ in fps:
@@ -90,10 +91,32 @@ def test_simhash_odd(odd, none):
     assert len(got) == 10
     same = got[got.doc_id.isin([3, 5])]
     assert (same.component_id == 3).all() and (got[got.fp == 0].component_id == 2).all()
-    kept = simhash.keep_one(odd)
-    assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)[:2] == [2, 3]
-    assert kept.where("doc_id = 3").count() == 1
-    assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
+    assert got[got.doc_id.isin([11])].component_id.tolist() == [11] and (got[got.doc_id.isna() & (got.fp != 0)].component_id.isna()).all()
+    assert simhash.near_duplicates(none).count() == 0
+
+
+def test_rows_without_an_id_carry_links(spark, monkeypatch):
+    marks = {"a": 0b0, "b": 0b11, "c": 0b1111, "d": 0x7F << 40}
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, words: docs.select("doc_id", F.col("fp")))
+    rows = [(1, marks["a"]), (None, marks["b"]), (2, marks["c"]), (9, marks["d"])]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, fp bigint")).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (None, 1), (2, 1), (9, 9)}
+
+
+def test_simhash_query_by_brute_force(spark):
+    got = {r.doc_id: r for r in simhash.op10(spark, SF).collect()}
+    docs = pd.read_parquet(f"{SF}/documents.parquet")
+    fps = {int(d): simhash.simhash(t) for d, t in zip(docs.doc_id, docs.text, strict=True)}
+    label = {d: d for d in fps}
+    for _ in fps:
+        before = dict(label)
+        for a in fps:
+            for b in fps:
+                if (fps[a] ^ fps[b]).bit_count() <= 2:
+                    label[a] = min(label[a], label[b])
+        if label == before:
+            break
+    assert {d: (r.fingerprint, r.component_id) for d, r in got.items()} == {d: (f"{fps[d]:016x}", label[d]) for d in fps}
 
 
 def _jaccard(a, b):
@@ -139,8 +162,8 @@ def test_token_files(spark, docs, odd, none):
         assert got.n_tokens.tolist() == [len(x) for x in ids]
         assert got.start.tolist() == [0, *np.cumsum(got.n_tokens)[:-1]]
         flat = []
-        for shard, _, n in shards:
-            file = token_files.SequenceFile(folder, shard)
+        for _, _, n, name in shards:
+            file = token_files.SequenceFile(folder, name)
             own = [file.sequence(i) for i in range(len(file))]
             assert all(len(s) == len(m) == 64 for s, m in own)
             flat += [int(v) for s, m in own for v in s[m]]
@@ -160,6 +183,10 @@ def test_poisson_mix(spark, docs, odd, none):
     mixed = poisson_mix.poisson_mix(odd, {"a": 1.0}, total=900.0)
     assert {r.source for r in mixed.collect()} == {"a"} and "rate_" in mixed.columns
     assert poisson_mix.poisson_mix(odd).count() > 0 and poisson_mix.poisson_mix(none).count() == 0
+    names = ["_u", "_rate", "_cdf", "mix_cdf", "mix_rate", "mix_draw", "copy", "shuffle_key"]
+    clashing = odd.select("*", *[F.lit(n).alias(n) for n in names])
+    found = poisson_mix.poisson_mix(clashing)
+    assert found.count() == poisson_mix.poisson_mix(odd).count() and all(r[n] == n for r in found.limit(5).collect() for n in names)
 
 
 def test_poisson_mix_large_rate_and_salted_join(spark, monkeypatch):
@@ -196,8 +223,17 @@ def test_suffix_dedup(spark, monkeypatch, docs, shard):
         assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == (len(raw), int(gone.sum()), spans, kept)
 
 
-def test_suffix_dedup_odd(odd, none):
-    assert suffix_dedup.remove_repeats(odd).count() == 10 and suffix_dedup.remove_repeats(none).count() == 0
+def test_suffix_dedup_odd(spark, monkeypatch, odd, none):
+    got = suffix_dedup.remove_repeats(odd).collect()
+    want = sorted((-1 if r.doc_id is None else r.doc_id, len((r.text or "").encode())) for r in odd.collect())
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes) for r in got) == want
+    assert all(r.n_removed == 0 and len(r.kept) == r.n_bytes for r in got if r.doc_id != 11)
+    assert suffix_dedup.remove_repeats(none).count() == 0
+    # A long run of one byte, cut into several contexts.
+    monkeypatch.setattr(suffix_dedup, "_RUN", 500)
+    rows = spark.createDataFrame([(1, "a" * 5000 + "b"), (2, "c" * 400), (3, "c" * 399), (None, "d" * 800), (None, "e" * 399)], "doc_id bigint, text string")
+    got = sorted((r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(rows).collect())
+    assert got == [(399, 0, 0), (399, 0, 0), (400, 0, 0), (800, 800, 1), (5001, 5000, 1)]
 
 
 def test_decontamination(spark, docs, odd, none):
@@ -215,7 +251,7 @@ def test_decontamination(spark, docs, odd, none):
     own = {i: grams(w) for i, w in items.items()}
     want = {(d, i) for d, w in texts.items() for i, g in own.items() if g and len(g & grams(w)) > 0.8 * len(g)}
     assert {h for h in hits if h[0] < 10_000} == want
-    assert decontaminate.without_contaminated(odd, bench).count() == 10
+    assert sorted(map(str, decontaminate.without_contaminated(odd, bench).collect())) == sorted(map(str, odd.collect()))
     for a, b in ((none, bench), (odd, none.withColumn("item_id", F.col("doc_id")))):
         assert decontaminate.contaminated(a, b).count() == 0
 
@@ -233,8 +269,10 @@ def test_labelled_scores(spark, odd, none):
     assert toxicity.score(odd, *model).count() == 10 and toxicity.score(none, *model).count() == 0
     empty = quality.fit(none.select("doc_id", "text", F.lit(1).alias("label")))
     scored = quality.score(odd, empty)
-    assert scored.count() == 10 and scored.columns.count("score") == 1
-    assert {r.score for r in scored.where("doc_id in (2, 7, 9)").collect()} == {0.0}
+    assert scored.count() == 10 and scored.columns == [*odd.columns, "score_"]
+    assert {(r.score, r.score_) for r in scored.where("doc_id in (2, 7, 9)").collect()} == {(0.5, 0.0)}
+    kept = quality.accepted(odd, none, labels)
+    assert kept.columns == odd.columns and {r.score for r in kept.collect()} == {0.5} and kept.count() == 6
     assert quality.score(none, empty).count() == 0 and labels.count() > 0 and docs.count() > 0
 
 
