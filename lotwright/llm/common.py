@@ -28,28 +28,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Paths written in this process that nobody has removed yet.
-_SCRATCH: list[str] = []
+#: Paths that scratch() gave in this process and remove() has not seen.
+SCRATCH: list[str] = []
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder, which clear() will remove."""
-    _SCRATCH.append(f"{shared_dir(spark)}/lotwright/{label}-{uuid.uuid4().hex}")
-    return _SCRATCH[-1]
+    """A new path below the shared folder."""
+    SCRATCH.append(f"{shared_dir(spark)}/lotwright/{label}-{uuid.uuid4().hex}")
+    return SCRATCH[-1]
 
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete ``path`` with what is below it, if it is there."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    if path in _SCRATCH:
-        _SCRATCH.remove(path)
-
-
-def clear(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
-    """Delete all scratch paths but ``keep``: only for callers that have written what they need."""
-    for path in [p for p in _SCRATCH if p not in keep]:
-        remove(spark, path)
+    if path in SCRATCH:
+        SCRATCH.remove(path)
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
