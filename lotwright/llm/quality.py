@@ -8,8 +8,6 @@ Only documents have labels, so the attention learns which passages decide.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +24,6 @@ THRESHOLD = 0.7
 #: Rows of the table of embeddings, to which words and trigrams are hashed, and its columns.
 BUCKETS, EMBEDDING = 1 << 14, 16
 _HIDDEN, _GATE, _EPOCHS, _BATCH = 16, 8, 8, 64
-_CACHED_WORDS = 200_000
 
 _CLASSES = 10
 _CLASS = np.full(256, 9, dtype=np.uint8)  # other marks
@@ -43,52 +40,114 @@ MEASURES = _CLASSES + 4
 FEATURES = MEASURES + EMBEDDING
 
 
-def passages(text: str | None) -> tuple[np.ndarray, list[bytes]]:
-    """(passages, MEASURES), one row for each PASSAGE_WORDS words, and the lower-case words; none for a text without words."""
+def _powers(base: int, n: int, held: dict = {}) -> np.ndarray:  # noqa: B006
+    """base**0 ... base**(n - 1) modulo 2**64; the longest asked for so far is held."""
+    p = held.get(base, np.ones(1, dtype=np.uint64))
+    while len(p) < n:
+        p = np.concatenate([p, p * np.uint64(pow(base, len(p), 1 << 64))])
+    held[base] = p
+    return p[:n]
+
+
+_BASE = 0x9E3779B97F4A7C15
+
+
+class Passages:
+    """A text's passages of PASSAGE_WORDS words: measures, and the buckets of words and trigrams.
+
+    ``measures``: (passages, MEASURES). ``words`` and ``grams``: the table's rows
+    for each word, and for each byte of a word with its neighbours (white space
+    is one mark); ``word_at`` and ``gram_at``: where each passage's start. Case
+    is ignored but in the measures. A text without words has no passage.
+    """
+
+    def __init__(self, raw: bytes):
+        codes = np.frombuffer(raw, dtype=np.uint8)
+        kind = _CLASS[codes]
+        solid = (kind != 0) & (kind != 8)
+        edge = np.diff(solid.view(np.int8), prepend=np.int8(0), append=np.int8(0))
+        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        total = len(starts)
+        n = self.count = -(-total // PASSAGE_WORDS)
+        if not n:
+            self.measures = np.zeros((0, MEASURES), dtype=np.float32)
+            return
+        of_word = np.arange(total) // PASSAGE_WORDS
+        self.word_at = np.arange(0, total, PASSAGE_WORDS)
+        edges = np.append(starts[self.word_at], len(raw))
+        edges[0] = 0
+        low = np.frombuffer(raw.lower(), dtype=np.uint8)
+        sums = np.zeros(len(low) + 1, dtype=np.uint64)
+        np.cumsum((low.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(low)), out=sums[1:])
+        h = (sums[ends] - sums[starts]) * _powers(pow(_BASE, -1, 1 << 64), len(low))[starts]
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        self.words = (h >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+        mark = np.where(solid, low, 32).astype(np.uint32)
+        around = np.concatenate([[np.uint32(32)], mark, [np.uint32(32)]])
+        gram = ((around[:-2] << np.uint32(16)) | (around[1:-1] << np.uint32(8)) | around[2:])[solid] * np.uint32(2654435761)
+        self.grams = (gram >> np.uint32(32 - BUCKETS.bit_length() + 1)).astype(np.int64)
+        before = np.cumsum(solid)
+        self.gram_at = np.where(edges[:-1] > 0, before[np.maximum(edges[:-1] - 1, 0)], 0)
+
+        counts = np.bincount(np.repeat(np.arange(n), np.diff(edges)) * _CLASSES + kind, minlength=n * _CLASSES).reshape(n, _CLASSES).astype(np.float32)
+        size = np.minimum(PASSAGE_WORDS, total - PASSAGE_WORDS * np.arange(n)).astype(np.float32)
+        by = np.lexsort((h, of_word))
+        new = np.append(True, (np.diff(h[by]) != 0) | (np.diff(of_word[by]) != 0))
+        out = self.measures = np.empty((n, MEASURES), dtype=np.float32)
+        out[:, :_CLASSES] = counts / np.maximum(counts.sum(1, keepdims=True), 1)
+        out[:, 0] = np.log1p(size)
+        out[:, _CLASSES] = (counts.sum(1) - counts[:, 0] - counts[:, 8]) / size / 10
+        out[:, _CLASSES + 1] = np.bincount(of_word[by][new], minlength=n) / size
+        letters = counts[:, 1] + counts[:, 2]
+        out[:, _CLASSES + 2] = counts[:, 2] / np.maximum(letters, 1)
+        out[:, _CLASSES + 3] = counts[:, 9] / size
+
+    def embedded(self, table: np.ndarray) -> np.ndarray:
+        """(passages, EMBEDDING): half the mean of the words' rows and half that of the trigrams'."""
+        out = np.zeros((self.count, table.shape[1]), table.dtype)
+        for rows, at in ((self.words, self.word_at), (self.grams, self.gram_at)):
+            sizes = np.diff(np.append(at, len(rows)))
+            out += np.add.reduceat(table[rows], at) / (2 * sizes[:, None]).astype(table.dtype)
+        return out
+
+
+#: Bytes of a longer text that are read at once; it is cut where a passage ends, so the passages are those of the whole.
+_PART = 1 << 20
+
+
+def passages(text: str | None) -> list[Passages]:
+    """The passages of a text, in one part unless it is very long; none for a text without words."""
     raw = (text or "").encode("utf-8", "surrogatepass")
-    words = raw.lower().split()
-    if not words:
-        return np.zeros((0, MEASURES), dtype=np.float32), words
-    codes = _CLASS[np.frombuffer(raw, dtype=np.uint8)]
-    solid = (codes != 0) & (codes != 8)
-    starts = np.flatnonzero(solid & ~np.concatenate([[False], solid[:-1]]))
-    n = -(-len(words) // PASSAGE_WORDS)
-    edges = np.append(starts[::PASSAGE_WORDS], len(raw))
-    edges[0] = 0
-    counts = np.bincount(np.repeat(np.arange(n), np.diff(edges)) * _CLASSES + codes, minlength=n * _CLASSES).reshape(n, _CLASSES).astype(np.float32)
-    size = np.minimum(PASSAGE_WORDS, len(words) - PASSAGE_WORDS * np.arange(n)).astype(np.float32)
-    out = np.empty((n, MEASURES), dtype=np.float32)
-    out[:, :_CLASSES] = counts / np.maximum(counts.sum(1, keepdims=True), 1)
-    out[:, 0] = np.log1p(size)
-    out[:, _CLASSES] = (counts.sum(1) - counts[:, 0] - counts[:, 8]) / size / 10
-    out[:, _CLASSES + 1] = [len(set(words[at : at + PASSAGE_WORDS])) for at in range(0, len(words), PASSAGE_WORDS)] / size
-    letters = counts[:, 1] + counts[:, 2]
-    out[:, _CLASSES + 2] = counts[:, 2] / np.maximum(letters, 1)
-    out[:, _CLASSES + 3] = counts[:, 9] / size
-    return out, words
-
-
-def buckets_of(word: bytes) -> list[int]:
-    """The rows of the table for a word and its trigrams of bytes, its ends marked."""
-    w = b"<" + word + b">"
-    return [zlib.crc32(w) % BUCKETS, *(zlib.crc32(w[i : i + 3]) % BUCKETS for i in range(len(w) - 2))]
+    if len(raw) <= _PART:
+        parts = [raw]
+    else:
+        spaces = np.isin(np.frombuffer(raw, dtype=np.uint8), (9, 10, 11, 12, 13, 32))
+        starts = np.flatnonzero(~spaces & np.append(True, spaces[:-1]))[::PASSAGE_WORDS]
+        cuts = [0, *(starts[np.unique(np.searchsorted(starts, np.arange(_PART, len(raw), _PART)).clip(max=len(starts) - 1))].tolist() if len(starts) else []), len(raw)]
+        parts = [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+    return [p for p in map(Passages, parts) if p.count]
 
 
 def bag(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For fitting: TRAIN_PASSAGES passages' measures at most, and their embeddings' parts: passage, bucket, weight."""
-    x, words = passages(text)
-    chosen = np.unique(np.linspace(0, len(x) - 1, min(len(x), TRAIN_PASSAGES)).astype(int)) if len(x) else np.zeros(0, int)
-    rows, buckets, weights = [], [], []
-    for k, p in enumerate(chosen.tolist()):
-        own = words[p * PASSAGE_WORDS : (p + 1) * PASSAGE_WORDS]
-        for w in own:
-            b = buckets_of(w)
-            buckets += b
-            weights += [1 / (len(b) * len(own))] * len(b)
-        rows += [k] * (len(buckets) - len(rows))
-    key, back = np.unique(np.array(rows, np.int64) * BUCKETS + np.array(buckets, np.int64), return_inverse=True)
-    weight = np.bincount(back, weights, len(key)) if len(key) else np.zeros(0)
-    return x[chosen], (key // BUCKETS).astype(np.uint16), (key % BUCKETS).astype(np.uint16), weight.astype(np.float32)
+    parts = passages(text)
+    total = sum(p.count for p in parts)
+    chosen = np.unique(np.linspace(0, total - 1, min(total, TRAIN_PASSAGES)).astype(int)) if total else np.zeros(0, int)
+    measures, keys, weights, base = [np.zeros((0, MEASURES), np.float32)], [np.zeros(0, np.int64)], [np.zeros(0)], 0
+    for p in parts:
+        mine = chosen[(chosen >= base) & (chosen < base + p.count)] - base
+        measures.append(p.measures[mine])
+        place = np.full(p.count, -1)
+        place[mine] = np.searchsorted(chosen, mine + base)
+        for rows, at in ((p.words, p.word_at), (p.grams, p.gram_at)):
+            sizes = np.diff(np.append(at, len(rows)))
+            row, weight = np.repeat(place, sizes), np.repeat(0.5 / sizes, sizes)
+            keys.append(row[row >= 0] * BUCKETS + rows[row >= 0])
+            weights.append(weight[row >= 0])
+        base += p.count
+    key, back = np.unique(np.concatenate(keys), return_inverse=True)
+    weight = np.bincount(back, np.concatenate(weights), len(key)) if len(key) else np.zeros(0)
+    return np.concatenate(measures), (key // BUCKETS).astype(np.uint16), (key % BUCKETS).astype(np.uint16), weight.astype(np.float32)
 
 
 class Network:
@@ -182,44 +241,19 @@ def fit(sample: DataFrame) -> Network | float:
     return net.rounded()
 
 
-class _Words:
-    """Vectors of words, of which the last ones met are held."""
-
-    def __init__(self, table: np.ndarray):
-        self.table, self.at, self.vectors = table, {}, np.zeros((_CACHED_WORDS, EMBEDDING), np.float32)
-
-    def places(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        """The rows of ``vectors`` of each text's words."""
-        if len(self.at) > _CACHED_WORDS // 2:
-            self.at.clear()
-        at = self.at
-        new = list({w for words in texts for w in words if w not in at})
-        if len(at) + len(new) > len(self.vectors):
-            self.vectors = np.concatenate([self.vectors, np.zeros((len(at) + len(new), EMBEDDING), np.float32)])
-        for k in range(0, len(new), 4096):
-            part = [buckets_of(w) for w in new[k : k + 4096]]
-            sizes = np.array([len(b) for b in part])
-            flat = np.fromiter((b for one in part for b in one), np.int64, sizes.sum())
-            self.vectors[len(at) : len(at) + len(part)] = np.add.reduceat(self.table[flat], np.cumsum(sizes) - sizes) / sizes[:, None]
-            at.update(zip(new[k : k + 4096], range(len(at), len(at) + len(part)), strict=True))
-        return [np.fromiter(map(at.__getitem__, words), np.int64, len(words)) for words in texts]
-
-
-def scores_of(net: Network, words: _Words, texts: list[str | None]) -> np.ndarray:
+def scores_of(net: Network, texts: list[str | None]) -> np.ndarray:
     """The score of each text, 0 for those without words."""
-    bags = [passages(t) for t in texts]
-    sizes, out = np.array([len(x) for x, _ in bags]), np.zeros(len(texts))
+    measures, embedded, sizes, out = [], [], np.zeros(len(texts), int), np.zeros(len(texts))
+    for k, text in enumerate(texts):
+        for p in passages(text):
+            measures.append(p.measures)
+            embedded.append(p.embedded(net.p["E"]))
+            sizes[k] += p.count
     full = np.flatnonzero(sizes)
-    if not len(full):
-        return out
-    places = words.places([bags[k][1] for k in full])
-    embedded = []
-    for own in places:
-        edges = np.arange(0, len(own), PASSAGE_WORDS)
-        embedded.append(np.add.reduceat(words.vectors[own], edges) / np.diff(np.append(edges, len(own)))[:, None])
-    first = np.cumsum(sizes[full]) - sizes[full]
-    logit = net.forward(np.concatenate([bags[k][0] for k in full]), np.concatenate(embedded), first)[0]
-    out[full] = 1 / (1 + np.exp(-logit.astype(np.float64)))
+    if len(full):
+        first = np.cumsum(sizes[full]) - sizes[full]
+        logit = net.forward(np.concatenate(measures), np.concatenate(embedded), first)[0]
+        out[full] = 1 / (1 + np.exp(-logit.astype(np.float64)))
     return out
 
 
@@ -234,14 +268,12 @@ def score(docs: DataFrame, model: Network | float, column: str = "score") -> Dat
     column = unique_name(docs, column)
 
     def run(batches):
-        net, words = sent.value, None
-        if not isinstance(net, float):
-            words = _Words(net.p["E"])
+        net = sent.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = part.column("text").to_pylist()
-                out = scores_of(net, words, texts) if words else np.array([net if t and t.strip() else 0.0 for t in texts])
+                out = np.array([net if t and t.strip() else 0.0 for t in texts]) if isinstance(net, float) else scores_of(net, texts)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.float64())], names=[*part.schema.names, column])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))

@@ -112,26 +112,42 @@ def test_attention_gradients():
 
 
 def test_passages_of_odd_texts():
-    assert len(quality.passages(None)[0]) == len(quality.passages(" \n ")[0]) == 0
+    assert quality.passages(None) == quality.passages(" \n ") == []
     for t in ("a", "a " * 64, "a " * 65 + "\n\n", " x", "é" * 3000):
-        p = quality.passages(t)[0]
-        assert len(p) == -(-len(t.split()) // 64) and np.isfinite(p).all()
+        (p,) = quality.passages(t)
+        assert p.count == len(p.measures) == -(-len(t.split()) // 64) and np.isfinite(p.measures).all()
+
+
+def test_long_texts_have_the_passages_of_the_whole(monkeypatch):
+    rng = np.random.default_rng(1)
+    text = "  " + " ".join("x" * int(n) for n in rng.integers(1, 40, 3000)) + " \n"
+    (whole,) = quality.passages(text)
+    monkeypatch.setattr(quality, "_PART", 5000)
+    parts = quality.passages(text)
+    table = rng.random((quality.BUCKETS, 3))
+    assert len(parts) > 5 and np.concatenate([p.embedded(table) for p in parts]) == pytest.approx(whole.embedded(table))
+    assert np.concatenate([p.measures[:, 10:] for p in parts]) == pytest.approx(whole.measures[:, 10:])
 
 
 def test_scores_equal_a_plain_forward_pass():
     rng = np.random.default_rng(4)
     net = quality.Network(rng.normal(size=quality.MEASURES), rng.random(quality.MEASURES) + 0.5)
     texts = ["Some words, a few.", None, "x " * 200, "", "Été 12 | 13 !! " * 30, "y" * 300]
-    for text, got in zip(texts, quality.scores_of(net, quality._Words(net.p["E"]), texts), strict=True):
+    for text, got in zip(texts, quality.scores_of(net, texts), strict=True):
         words = (text or "").encode().lower().split()
         if not words:
             assert got == 0
             continue
-        x, p = quality.passages(text)[0], net.p
-        h = []
+        ((part,), p, h) = quality.passages(text), net.p, []
+        x, at = part.measures, [*part.word_at.tolist(), len(words)]
+        same = {}
+        for w, b in zip(words, part.words.tolist(), strict=True):
+            assert same.setdefault(w, b) == b
+        grams = [*part.gram_at.tolist(), len(part.grams)]
+        assert len(part.grams) == sum(map(len, words)) and [g - sum(map(len, words[:a])) for g, a in zip(grams, at, strict=True)] == [0] * len(at)
         for k in range(len(x)):
-            own = [np.mean([p["E"][b] for b in quality.buckets_of(w)], axis=0) for w in words[k * 64 : k * 64 + 64]]
-            h.append(np.tanh(np.concatenate([(x[k] - net.mean) / net.sd, np.mean(own, axis=0)]) @ p["W"] + p["b"]))
+            own = (p["E"][part.words[at[k] : at[k + 1]]].mean(0) + p["E"][part.grams[grams[k] : grams[k + 1]]].mean(0)) / 2
+            h.append(np.tanh(np.concatenate([(x[k] - net.mean) / net.sd, own]) @ p["W"] + p["b"]))
         e = np.exp([(np.tanh(v @ p["V"]) / (1 + np.exp(-(v @ p["U"])))) @ p["w"] for v in h])
         z = sum(a * v for a, v in zip(e / e.sum(), h, strict=True)) @ p["c"] + p["d"][0]
         assert got == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5)
