@@ -46,16 +46,20 @@ def remove(spark: SparkSession, path: str) -> None:
         SCRATCH.remove(path)
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
+def cut(df: DataFrame, label: str, release: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it again.
 
     What follows depends on files that outlive any executor, not on the work
-    that made them.
+    that made them. With ``release`` the shuffle files of that work go at once:
+    Spark deletes them when the driver's JVM collects what refers to them,
+    which may else be long after.
     """
     path = scratch(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
+    if release:
+        df.sparkSession._jvm.System.gc()
     return out
 
 
