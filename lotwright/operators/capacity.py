@@ -10,11 +10,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geometry import SHAPE
 from . import geo_udf, kernel
 
 TEMPLATES = ("I", "L", "H", "C", "S", "Z", "T", "II")
 #: Fixed values of the objectives and of the status queue.
 PENALTY, RESIDUAL_POWER, WIDTH_RATIO, LOW_COVERAGE, TOLERANCE = 1e5, 1.1, 1.6, 0.4, 1e-3
+#: The part of a number by which the next stage may change it.
+NARROW = 0.1
 PENDING, DONE, ERROR, INFEASIBLE, LOW = 0, 1, 191, 192, 193
 PROVISIONAL, PROVISIONAL_ERROR, ECONOMIC, ECONOMIC_ERROR = 2, 29, 3, 39
 
@@ -200,39 +203,74 @@ def pattern_search(f: Callable, low: np.ndarray, high: np.ndarray, x0: np.ndarra
 RESULT = "key bigint, status int, template string, floors int, area double, coverage double, residual double, x array<double>"
 
 
-def best_building(parcels: DataFrame, templates=("I", "L"), floor_height: float = 2.65, separation: float = 7.0, widths=(8.0, 20.0), steps: int = 200, restarts: int = 2, refine: int = 200, tries: int = 2) -> DataFrame:
+def slices_of(build: kernel.Shape, gross: kernel.Shape, slope: float | None, max_height: float, count: int = 24) -> list[tuple[float, kernel.Shape]]:
+    """The envelope: the build area cut by the gross area, which moves in by height / slope; without a slope a prism."""
+    if not slope or not gross:
+        return [(0.0, build), (float(max_height), build)]
+    out = []
+    for h in np.linspace(0.0, float(max_height), count):
+        cut = kernel.intersection(kernel.offset(gross, -h / slope), build)
+        if not cut or kernel.area(cut) <= 0:
+            break
+        out.append((float(h), cut))
+    return out
+
+
+def narrowed(x: np.ndarray, low: np.ndarray, high: np.ndarray, share: float = NARROW) -> tuple[np.ndarray, np.ndarray]:
+    """The limits within ``share`` of a solution's numbers, small ones within as much of a tenth of their limits."""
+    reach = share * np.maximum(np.abs(x), 0.1 * (high - low))
+    return np.maximum(low, x - reach), np.minimum(high, x + reach)
+
+
+def best_building(parcels: DataFrame, templates=("I", "L"), floor_height: float = 2.65, separation: float = 7.0, widths=(8.0, 20.0), steps: int = 200, restarts: int = 2, volume_steps: int = 200, volume_restarts: int = 1, refine: int = 200, tries: int = 2) -> DataFrame:
     """RESULT for each row of (key, build: shape, max_floors, max_height, max_coverage, max_built).
 
-    Templates are searched on the build area, and the best ``tries`` refined
-    with the constraints. The seed comes from the key: results don't depend on
-    partitions. Failures are a status, not an error.
+    Rows may also have ``gross`` (shape) and ``slope``: then the envelope has
+    sloping sides, and the building's shadows must not exceed the envelope's.
+    Three stages: templates are searched for coverage of the build area; the
+    best ``tries`` for floor area in the envelope, in limits narrowed around the
+    first stage's; then they are refined with all constraints. A best coverage
+    of LOW_COVERAGE or less ends the search. The seed comes from the key:
+    results don't depend on partitions. Failures are a status, not an error.
     """
+    from .zoning import envelope_shadow
 
-    def one(key, build, max_floors, max_height, max_coverage, max_built):
-        shape = geo_udf.load(build)
+    def one(key, build, max_floors, max_height, max_coverage, max_built, gross, slope):
+        shape, around = geo_udf.load(build), geo_udf.load(gross)
+        nothing = (None,) * 6
         if not shape or kernel.area(shape) <= 0:
-            return key, INFEASIBLE, None, None, None, None, None, None
+            return key, INFEASIBLE, *nothing
         ring = max(shape, key=lambda r: abs(kernel.ring_area(r)))
         diagonal = float(np.linalg.norm(np.ptp(ring, axis=0)))
-        floors = max(1, min(int(max_floors), int(max_height // floor_height)))
-        slices = [(0.0, shape), (float(max_height), shape)]
+        slices = slices_of(shape, around, None if slope is None or np.isnan(slope) else slope, max_height)
+        if not slices:
+            return key, INFEASIBLE, *nothing
+        floors = max(1, min(int(max_floors), int(slices[-1][0] // floor_height)))
+        shadows = {k: kernel.area(envelope_shadow(slices, k)) for k in "pos"} if len(slices) > 2 else None
         found = []
         for t in templates:
             low, high = limits(t, (1, floors), ring, separation, diagonal, (min(widths[0], diagonal), min(widths[1], diagonal)))
             x, value = differential_evolution(lambda v, t=t: base_objective(t, v, separation, shape), low, high, steps, restarts, int(key) * 31 + len(t))
             found.append((value, t, x, low, high))
         found.sort(key=lambda r: r[0])
-        best = None
+        _, t, x, _, _ = found[0]
+        area, outside = measure(t, x, separation, shape)
+        coverage = area / kernel.area(shape)
+        if coverage <= LOW_COVERAGE:
+            return key, LOW, t, int(round(x[0])), area, coverage, outside, x.tolist()
+        best, told = None, (slices, floor_height, max_coverage, max_built, 0.2, 0.1)
         for _, t, x, low, high in found[:tries]:
-            x, value, broken = pattern_search(lambda v, t=t: constrained(t, v, separation, slices, floor_height, max_coverage, max_built, 0.2, 0.1), low, high, x, refine, int(key))
+            near = narrowed(x, low, high)
+            near[0][0], near[1][0] = low[0], high[0]  # floors are the second stage's to choose
+            x, _ = differential_evolution(lambda v, t=t: volume_objective(t, v, separation, *told), *near, volume_steps, volume_restarts, int(key) * 37 + len(t), fix_floors=False)
+            x, value, broken = pattern_search(lambda v, t=t: constrained(t, v, separation, *told, shadows), *narrowed(x, low, high), x, refine, int(key))
             if (broken <= TOLERANCE).all() and (best is None or value < best[0]):
                 best = (value, t, x)
         if best is None:
-            return key, INFEASIBLE, None, None, None, None, None, None
+            return key, INFEASIBLE, *nothing
         _, t, x = best
-        area, outside = measure(t, x, separation, shape)
-        coverage = area / kernel.area(shape)
-        return key, LOW if coverage <= LOW_COVERAGE else DONE, t, int(round(x[0])), area, coverage, outside, x.tolist()
+        area, outside = measure(t, x, separation, slice_at(slices, min(x[0] * floor_height, slices[-1][0])))
+        return key, DONE, t, int(round(x[0])), area, area / kernel.area(shape), outside, x.tolist()
 
     def run(batches):
         for pdf in batches:
@@ -244,7 +282,8 @@ def best_building(parcels: DataFrame, templates=("I", "L"), floor_height: float
                     rows.append((r[0], ERROR, None, None, None, None, None, None))
             yield pd.DataFrame(rows, columns=["key", "status", "template", "floors", "area", "coverage", "residual", "x"]).astype({"floors": "Int32"})
 
-    own = parcels.select(F.col("key").cast("bigint").alias("key"), "build", F.col("max_floors").cast("int").alias("max_floors"), *[F.col(c).cast("double").alias(c) for c in ("max_height", "max_coverage", "max_built")])
+    given = {"gross": F.lit(None).cast(SHAPE), "slope": F.lit(None).cast("double")} | {c: F.col(c) for c in ("gross", "slope") if c in parcels.columns}
+    own = parcels.select(F.col("key").cast("bigint").alias("key"), geo_udf.flat(F.col("build")).alias("build"), F.col("max_floors").cast("int").alias("max_floors"), *[F.col(c).cast("double").alias(c) for c in ("max_height", "max_coverage", "max_built")], geo_udf.flat(given["gross"]).alias("gross"), given["slope"].alias("slope"))
     return own.repartition("key").mapInPandas(run, RESULT)
 
 

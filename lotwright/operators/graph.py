@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Lots of a combo at most where all their pairs are listed.
+MOST_LOTS = 64
+
+
 def edges_from_matrix(matrix: DataFrame, row: str, values: str) -> DataFrame:
     """(u, v) with u < v from rows of an adjacency matrix (arrays, places from 1)."""
     each = matrix.select(F.col(row).cast("bigint").alias("u"), F.posexplode(values).alias("v", "on"))
@@ -105,11 +110,17 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(vertex, component): the smallest vertex each one reaches.
 
     Labels move along edges and to labels' labels until none changes; every
-    round is written out through a reliable checkpoint where there is a folder
-    for it, so lineage stays short.
+    round is written to the shared folder (spark.checkpoint.dir), so lineage
+    stays short and lost executors cost no round. Raises if ``rounds`` don't
+    settle it.
     """
-    spark = edges.sparkSession
-    keep = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df.persist())
+    context = edges.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = edges.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='lotwright-')}")
+    keep = lambda df: df.checkpoint()
     near = keep(both_ways(edges.select(F.col("u").cast("bigint").alias("u"), F.col("v").cast("bigint").alias("v"))).where("u <> v").distinct())
     labels = keep(vertices(edges).select(F.col("vertex").cast("bigint").alias("vertex"), F.col("vertex").cast("bigint").alias("label")))
     for _ in range(rounds):
@@ -121,6 +132,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         labels = new
         if not changed:
             break
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return labels.select("vertex", F.col("label").alias("component"))
 
 
@@ -131,7 +144,11 @@ def combos_to_edges(members: DataFrame, combo: str, lot: str) -> DataFrame:
 
 
 def adjacency_from_combos(members: DataFrame, combo: str, lot: str) -> DataFrame:
-    """(u, v), u < v: pairs of lots that some combo holds; combos are small."""
+    """(u, v), u < v: pairs of lots that some combo holds, of MOST_LOTS at most (raises beyond)."""
+    size = F.count(F.lit(1)).over(Window.partitionBy(combo))
+    members = members.withColumn("_size", size)
+    small = F.when(F.col("_size") > MOST_LOTS, F.raise_error(F.lit(f"a combo has more than {MOST_LOTS} lots")).cast("boolean")).otherwise(True)
+    members = members.where(small)
     a, b = members.select(combo, F.col(lot).alias("u")), members.select(combo, F.col(lot).alias("v"))
     return a.join(b, combo).where("u < v").select("u", "v").distinct()
 

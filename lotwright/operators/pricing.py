@@ -38,8 +38,52 @@ def start(limits) -> tuple[np.ndarray, np.ndarray]:
     return (low + high) / 2, (low_c + high_c) / 2
 
 
-def optimise(c, market, area, combo_value, d_lots=0.1, d_combos=0.2, d_opt_lots=0.0, d_opt_combos=0.2, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
-    """Bids, prices and their utility, by coordinate ascent in the box, from the middle of the price ranges.
+def blocks_of(c: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The connected parts of a membership matrix: (rows, columns) of each, by their first column; unused lots are in none."""
+    of, out = np.full(c.shape[1], -1), []
+    for first in range(c.shape[1]):
+        if of[first] >= 0 or not c[:, first].any():
+            continue
+        columns = np.zeros(c.shape[1], bool)
+        columns[first] = True
+        while True:
+            rows = (c[:, columns] > 0).any(axis=1)
+            more = (c[rows] > 0).any(axis=0)
+            if (more == columns).all():
+                break
+            columns = more
+        of[columns] = first
+        out.append((np.flatnonzero(rows), np.flatnonzero(columns)))
+    return out
+
+
+def start_utility(c, market, area, combo_value, d_lots=0.1, d_combos=0.2) -> float:
+    """The utility in the middle of the price ranges, summed over the connected parts."""
+    total = 0.0
+    for rows, columns in blocks_of(c):
+        part, own = c[np.ix_(rows, columns)].astype(float), market[columns]
+        limits = bounds(part, own, area[columns], combo_value[rows], d_lots, d_combos)
+        total += expected_utility(*start(limits), part, own, limits)
+    return total
+
+
+def optimise(c, market, area, combo_value, **options) -> tuple[np.ndarray, np.ndarray, float]:
+    """Bids, prices and their utility: each connected part by itself, utilities added.
+
+    Whether exactly a combo's lots are bought concerns the lots of its part
+    only. Lots without a combo get their market price.
+    """
+    c = np.asarray(c)
+    market, area, combo_value = (np.asarray(v, float) for v in (market, area, combo_value))
+    lots, combos, total = market.copy(), np.zeros(len(combo_value)), 0.0
+    for rows, columns in blocks_of(c):
+        lots[columns], combos[rows], utility = _optimise_part(c[np.ix_(rows, columns)], market[columns], area[columns], combo_value[rows], **options)
+        total += utility
+    return lots, combos, total
+
+
+def _optimise_part(c, market, area, combo_value, d_lots=0.1, d_combos=0.2, d_opt_lots=0.0, d_opt_combos=0.2, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
+    """One part, by coordinate ascent in the box, from the middle of the price ranges.
 
     In one price the utility is a quadratic, so each step is exact: three values
     tell it. The box goes from the market's to the project's value of a lot, the
@@ -113,21 +157,37 @@ def optimal_bids(members: DataFrame) -> DataFrame:
         c, combos, lots = matrix(pdf)
         args = (lots["market"].to_numpy(float), lots["area"].to_numpy(float), combos["combo_value"].to_numpy(float))
         bids, prices, utility = optimise(c, *args)
-        limits = bounds(c.astype(float), *args, 0.1, 0.2)
-        first = expected_utility(*start(limits), c.astype(float), args[0], limits)
+        first = start_utility(c, *args)
         return pd.DataFrame([(pdf["location"].iloc[0], utility, first, lots["lot"].tolist(), bids.tolist(), combos["combo"].tolist(), prices.tolist())], columns=["location", "utility", "start_utility", "lots", "bids", "combos", "prices"])
 
     return members.select("location", "combo", "lot", "market", "area", "combo_value").groupBy("location").applyInPandas(run, BIDS)
 
 
+MARGINAL = "location bigint, lot bigint, value double"
+
+
+def marginal_values(members: DataFrame) -> DataFrame:
+    """MARGINAL for each lot of each location: the utility lost without it and its combos; members as for optimal_bids."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        c, combos, lots = matrix(pdf)
+        values = marginal_lot_values(c, lots["market"].to_numpy(float), lots["area"].to_numpy(float), combos["combo_value"].to_numpy(float))
+        return pd.DataFrame({"location": pdf["location"].iloc[0], "lot": lots["lot"].to_numpy(), "value": values})
+
+    return members.select("location", "combo", "lot", "market", "area", "combo_value").groupBy("location").applyInPandas(run, MARGINAL)
+
+
 def purchase_probability(members: DataFrame, lots: DataFrame) -> DataFrame:
     """(location, combo, probability) that exactly its lots are bought.
 
-    members: (location, combo, lot); lots: (location, lot, p). A location's
-    probabilities of no purchase are a product, of which a combo's own lots'
-    are replaced; sums of logarithms would lose zeros, so F.product it is.
+    members: (location, combo, lot); lots: (location, lot, p). The product of a
+    location's probabilities of no purchase is taken once, certain purchases
+    apart; a combo's own lots then replace theirs, so the work is linear in lots
+    and members.
     """
-    pairs = members.select("location", "combo").distinct().join(lots, "location")
-    own = members.select("location", "combo", "lot").withColumn("_in", F.lit(1))
-    pairs = pairs.join(own, ["location", "combo", "lot"], "left")
-    return pairs.groupBy("location", "combo").agg(F.product(F.when(F.col("_in") == 1, F.col("p")).otherwise(1 - F.col("p"))).alias("probability"))
+    rest, certain = F.when(F.col("p") < 1, 1 - F.col("p")).otherwise(1.0), (F.col("p") >= 1).cast("int")
+    every = lots.groupBy("location").agg(F.product(rest).alias("_rest"), F.sum(certain).alias("_certain"))
+    own = members.select("location", "combo", "lot").distinct().join(lots, ["location", "lot"])
+    own = own.groupBy("location", "combo").agg(F.product("p").alias("_bought"), F.product(rest).alias("_own_rest"), F.sum(certain).alias("_own_certain"))
+    met = own.join(every, "location")
+    return met.select("location", "combo", F.when(F.col("_certain") > F.col("_own_certain"), 0.0).otherwise(F.col("_bought") * F.col("_rest") / F.col("_own_rest")).alias("probability"))

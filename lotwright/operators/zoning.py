@@ -71,7 +71,7 @@ def setback_area(shape: Column, street_sides: Column, front: Column, side: Colum
         return geo_udf.store(kernel.offset_edges(ring, [-f if k in on else -s for k in range(len(ring))]))
 
     f = F.pandas_udf(lambda *cols: pd.Series([one(*row) for row in zip(*cols, strict=True)]), g.SHAPE)
-    return f(shape, street_sides, front, side)
+    return f(geo_udf.flat(shape), street_sides, front, side)
 
 
 def slice_heights(slope: Column, height: Column, step: float = 0.1, reach: float = 50.0) -> Column:
@@ -131,7 +131,7 @@ def envelope_shadow(slices: list[tuple[float, kernel.Shape]], towards: str, publ
 
 def shadow_area(base: Column, height: Column, towards: str) -> Column:
     f = F.pandas_udf(lambda b, h: pd.Series([kernel.area(building_shadow(geo_udf.load(x), float(z), towards)) for x, z in zip(b, h, strict=True)]), "double")
-    return f(base, height)
+    return f(geo_udf.flat(base), height)
 
 
 def streets(target: kernel.Shape, parcels: kernel.Shape, radius: float, contact: float = 4.0, step: float = 0.25, most: float = 10.0, share: float = 0.8) -> dict:
@@ -167,14 +167,15 @@ def streets(target: kernel.Shape, parcels: kernel.Shape, radius: float, contact:
 
 def street_sides(df: DataFrame, shape: str, parcels: str, radius: float) -> DataFrame:
     """``df`` with the street sides (from 0), their widths, and the gross and public shapes."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
-    def run(batches):
-        for pdf in batches:
-            found = [streets(geo_udf.load(s), geo_udf.load(p), radius) for s, p in zip(pdf[shape], pdf[parcels], strict=True)]
-            yield pdf.assign(sides=[f["sides"] for f in found], widths=[f["widths"] for f in found], gross=[geo_udf.store(f["gross"]) for f in found], public=[geo_udf.store(f["public"]) for f in found])
+    @F.pandas_udf(f"sides array<int>, widths array<double>, gross {g.SHAPE}, public {g.SHAPE}")
+    def run(own: pd.Series, others: pd.Series) -> pd.DataFrame:
+        found = [streets(geo_udf.load(s), geo_udf.load(p), radius) for s, p in zip(own, others, strict=True)]
+        rows = [(f["sides"], f["widths"], geo_udf.store(f["gross"]), geo_udf.store(f["public"])) for f in found]
+        return pd.DataFrame(rows, columns=["sides", "widths", "gross", "public"])
 
-    return df.mapInPandas(run, f"{fields}, sides array<int>, widths array<double>, gross {g.SHAPE}, public {g.SHAPE}")
+    told = df.withColumn("_streets", run(geo_udf.flat(F.col(shape)), geo_udf.flat(F.col(parcels))))
+    return told.select(*df.columns, "_streets.sides", "_streets.widths", "_streets.gross", "_streets.public")
 
 
 def prism_faces(slices: list[tuple[float, np.ndarray]], near: float = 5.0) -> list[np.ndarray]:

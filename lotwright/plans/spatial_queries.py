@@ -341,13 +341,3 @@ SELECT k, CAST(i AS INTEGER) AS place, s[i + 1] AS line FROM l, LATERAL (SELECT
 def scr_lines(t):
     b = boxes(t).withColumn("ring", g.box(F.col("x"), F.col("y"), F.col("w"), F.col("h")))
     return export.script_lines(b, "k", "ring", F.lit(3.0), F.lit(3))
-
-
-@query()
-def location_decisions(t):
-    """Locations, market comparison and best combos of orders whose lots are parts, end to end."""
-    members = t("lineitem").select(F.col("l_orderkey").alias("combo"), F.floor(F.col("l_orderkey") / 5).alias("lot")).distinct()
-    located = pipeline.locate(members)
-    costs = t("orders").select(F.col("o_orderkey").alias("combo"), F.col("o_totalprice").alias("cost"))
-    prices = members.select("lot").distinct().withColumn("price", F.col("lot") % 11 * 20000 + 10000.0)
-    return pipeline.summarise(pipeline.compare(located, costs, prices))

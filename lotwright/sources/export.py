@@ -49,6 +49,15 @@ def feature_collection(df: DataFrame, group: str, text: str, order: list[str]) -
     return df.groupBy(group).agg(F.concat(F.lit(head), F.array_join(parts, ","), F.lit("]}")).alias("geojson"))
 
 
+def summary_features(df: DataFrame, key: str, ring: str, properties: list[str]) -> DataFrame:
+    """(key, feature): a GeoJSON feature of each location's ring, with its centroid and ``properties``."""
+    from ..functions.geometry import centroid
+
+    c = centroid(F.col(ring))
+    own = F.struct(c["x"].alias("centroid_x"), c["y"].alias("centroid_y"), *properties)
+    return df.select(key, feature(F.col(ring), own).alias("feature"))
+
+
 def script_lines(df: DataFrame, key: str, ring: str, height: Column, floors: Column) -> DataFrame:
     """(key, place, line): drawing commands for a ring, extruded and copied floor by floor."""
     number = lambda c: F.call_function("format_number", F.lit(c).cast("double"), F.lit("0.####"))

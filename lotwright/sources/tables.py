@@ -15,6 +15,27 @@ def simple_query(source: DataFrame, select: list[str] | None = None, where: str
     return out if select is None else out.select(*select)
 
 
+def sql_query(spark: SparkSession, text: str, tables: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The result of SQL text over ``tables``, known to it by their names (and over what the session has registered)."""
+    for name, df in (tables or {}).items():
+        df.createOrReplaceTempView(name)
+    return spark.sql(text)
+
+
+def read_jdbc(spark: SparkSession, url: str, query: str, user: str, password: str, key: str | None = None, bounds: tuple[int, int] = (0, 1), parts: int = 1, **options) -> DataFrame:
+    """A database query's rows, read in ``parts`` ranges of a numeric ``key`` where one is given."""
+    reader = spark.read.format("jdbc").option("url", url).option("user", user).option("password", password).options(**options)
+    if key is None:
+        return reader.option("query", query).load()
+    ranges = {"partitionColumn": key, "lowerBound": bounds[0], "upperBound": bounds[1], "numPartitions": parts}
+    return reader.option("dbtable", f"({query}) q").options(**ranges).load()
+
+
+def typed(df: DataFrame, columns: dict[str, tuple[str, str]]) -> DataFrame:
+    """The columns a table is loaded with: its own name, the file's and the type; text that isn't of the type becomes null."""
+    return df.select(*[F.expr(f"try_cast(`{source}` AS {kind})").alias(name) for name, (source, kind) in columns.items()])
+
+
 def create_table(spark: SparkSession, name: str, columns: list[tuple[str, str]], key: str | None = None) -> DataFrame:
     """An empty managed table with a lower-case name; ``key`` must be one of its columns."""
     if key is not None and key not in [c for c, _ in columns]:

@@ -5,8 +5,10 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lotwright.operators import capacity, economics, graph, kernel, lots, pricing, zoning
+from lotwright.functions import geometry as g
+from lotwright.operators import capacity, economics, geo_udf, graph, kernel, lots, pricing, zoning
 
 TYPES = {"util": [40, 60, 80, 110], "interior": [36, 54, 72, 99], "terrace": [8, 12, 16, 22], "parking": [1, 1, 1, 2], "storage": [1, 1, 1, 1], "price": [3600, 5100, 6600, 8800]}
 PROJECT = {"land": 1500.0, "base": 600.0, "max_coverage": 750.0, "floors": 7, "max_units": 60, "common_share": 0.2, "return": 1.2, "far": 1.0}
@@ -98,3 +100,47 @@ def test_shadow_and_streets():
     assert kernel.area(found["gross"]) > 100
     assert len(zoning.prism_faces([(0.0, square[0]), (3.0, square[0])])) == 5
     assert economics.disabled_parking(45) == 2 and math.isclose(economics.disabled_parking(600), 6.0)
+
+
+def test_unconnected_parts_are_priced_apart():
+    rng = np.random.default_rng(2)
+    one, two = np.array([[1, 1, 0], [0, 1, 1]]), np.array([[1, 1], [1, 0]])
+    c = np.zeros((4, 6), int)
+    c[:2, :3], c[2:, 3:5] = one, two
+    market, area, value = rng.uniform(50, 70, 6), rng.uniform(10, 20, 6), np.array([150.0, 140.0, 160.0, 90.0])
+    lots, combos, utility = pricing.optimise(c, market, area, value)
+    a = pricing.optimise(one, market[:3], area[:3], value[:2])
+    b = pricing.optimise(two, market[3:5], area[3:5], value[2:])
+    assert utility == pytest.approx(a[2] + b[2]) and lots[5] == market[5]
+    assert lots[:5] == pytest.approx(np.concatenate([a[0], b[0]])) and combos == pytest.approx(np.concatenate([a[1], b[1]]))
+    assert [(r.tolist(), k.tolist()) for r, k in pricing.blocks_of(c)] == [([0, 1], [0, 1, 2]), ([2, 3], [3, 4])]
+    # A lot of one part takes nothing from the other.
+    whole = pricing.marginal_lot_values(c, market, area, value)
+    assert whole[:3] == pytest.approx(pricing.marginal_lot_values(one, market[:3], area[:3], value[:2]), abs=1e-6) and whole[5] == pytest.approx(0)
+
+
+def test_bids_against_a_grid():
+    c, market, area, value = np.array([[1, 1]]), np.array([60.0, 50.0]), np.array([10.0, 10.0]), np.array([150.0])
+    lots, combos, utility = pricing.optimise(c, market, area, value)
+    limits = pricing.bounds(c.astype(float), market, area, value, 0.1, 0.2)
+    own = pricing.lot_values(c, area, value)
+    mid = pricing.start(limits)
+    axes = [np.linspace(min(a, m), max(b, m), 25) for a, b, m in zip([*market, value[0] * 0.8], [*own, value[0] * 1.2], [*mid[0], *mid[1]], strict=True)]
+    best = max(pricing.expected_utility(np.array([x, y]), np.array([z]), c.astype(float), market, limits) for x in axes[0] for y in axes[1] for z in axes[2])
+    assert utility >= best - 1e-6 * abs(best)
+
+
+def test_components_raise_where_they_do_not_settle(spark):
+    path = spark.createDataFrame([(k, k + 1) for k in range(40)], "u bigint, v bigint")
+    with pytest.raises(RuntimeError):
+        graph.components(path, rounds=1)
+    assert graph.components(path).where("component = 0").count() == 41
+
+
+def test_shapes_with_rings_of_different_sizes(spark):
+    wkt = spark.createDataFrame([("POLYGON((0 0,4 0,4 4,0 4,0 0))", "POLYGON((10 0,14 0,10 4,10 0))")], "a string, b string")
+    shapes = wkt.select(F.concat(g.from_wkt(F.col("a")), g.from_wkt(F.col("b"))).alias("s"))
+    row = shapes.select(g.shape_area(geo_udf.union(F.col("s"), F.col("s"))).alias("area"), g.shape_area(geo_udf.hull(F.col("s"))).alias("hull")).first()
+    assert row.area == pytest.approx(24) and row.hull > 24
+    kept = geo_udf.dissolve(shapes.withColumn("k", F.lit(1)), ["k"], "s").select(g.shape_area(F.col("s"))).first()[0]
+    assert kept == pytest.approx(24)
