@@ -308,3 +308,24 @@ def test_pipeline(spark):
             rows = out.toPandas()
             kept = spark.createDataFrame(rows, out.schema)
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() == len(rows)
+
+
+def test_pipeline_odd(spark, odd, none):
+    """Every stage on rows with nulls, repeats, long texts and clashing names, and on an empty table."""
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, SF)
+        rows = out.collect()
+        if name == "tokens":
+            assert len(rows) == 10 and sum(r.doc_id is None for r in rows) == 2
+            continue
+        assert out.columns == odd.columns, name
+        if name == "quality":
+            assert all((r.text or "").strip() and r.score == 0.5 for r in rows)
+        if name == "near_dedup":
+            assert sorted((str(r.doc_id) for r in rows)) == ["11", "12", "2", "3", "None"]
+        if name == "decontamination":
+            assert len(rows) == 10
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, SF).count() == 0, name
