@@ -213,6 +213,7 @@ def _cover(starts: np.ndarray, length: int) -> tuple[list[int], list[int]]:
 
 
 _SALTS = 32
+_HOT = 2000
 _SHARD_SCHEMA = "h bigint, c1 bigint, c2 bigint, lo array<int>, hi array<int>, slice int, digests binary, windows binary"
 _WINDOW = np.dtype([("c1", "<i8"), ("c2", "<i8"), ("start", "<i4")])
 
@@ -279,8 +280,11 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM)
                 yield pa.RecordBatch.from_arrays([*own, pa.array(value), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(again)], names=["doc_id", "tie", "h", "first", "last", "again"])
 
     runs = cut(docs.select("doc_id", "tie", "text").mapInArrow(anchors, "doc_id bigint, tie bigint, h bigint, first int, last int, again boolean"), "runs")
-    shared = runs.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again")).where("n > 1 or again").select("h")
-    wanted = runs.join(shared, "h").groupBy("doc_id", "tie").agg(F.collect_list(F.struct("h", "first", "last")).alias("runs"))
+    shared = cut(runs.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again")).where("n > 1 or again").select("h", "n"), "shared")
+    # Fewer than _HOT hashes can have more than 1 / _HOT of all runs each: these are broadcast, so no task gets a hot one whole.
+    hot = F.broadcast(shared.where(F.col("n") * _HOT > runs.count()).select("h"))
+    cold = runs.join(hot, "h", "left_anti").join(shared.select("h"), "h", "left_semi")
+    wanted = runs.join(hot, "h", "left_semi").union(cold).groupBy("doc_id", "tie").agg(F.collect_list(F.struct("h", "first", "last")).alias("runs"))
 
     def contexts(batches):
         for batch in batches:
@@ -300,7 +304,7 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM)
 
     met = docs.join(wanted, ["doc_id", "tie"]).select("doc_id", "tie", "text", "runs")
     found = cut(met.mapInArrow(contexts, "doc_id bigint, tie bigint, h bigint, first int, ctx binary, c1 bigint, c2 bigint"), "contexts")
-    discard(runs)
+    discard(runs, shared)
     different = cut(found.groupBy("h", "c1", "c2").agg(F.count(F.lit(1)).alias("weight"), F.first("ctx").alias("ctx")), "different")
     total = different.agg(F.coalesce(F.sum(F.length("ctx")), F.lit(0))).first()[0]
     shards = max(1, -(-total // SHARD_BYTES))

@@ -201,6 +201,8 @@ def test_poisson_mix_large_rate_and_salted_join(spark, monkeypatch):
 @pytest.mark.parametrize("shard", [3000, 1_500_000])
 def test_suffix_dedup(spark, monkeypatch, docs, shard):
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard)
+    # With 20 most hashes are joined as cold ones, with 2000 as hot ones.
+    monkeypatch.setattr(suffix_dedup, "_HOT", 20 if shard < 1_000_000 else 2000)
     rng = np.random.default_rng(1)
     line = rng.integers(97, 123, 450, dtype=np.uint8).tobytes().decode()
     noise = lambda n: rng.integers(97, 123, n, dtype=np.uint8).tobytes().decode()
