@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, language_id, poisson_mix, quality, simhash, suffix_dedup, token_files, toxicity, weighted_sampling
+from . import decontaminate, html_text, language_id, periodic_runs, poisson_mix, quality, simhash, suffix_dedup, token_files, toxicity, weighted_sampling
 
 
 def _pipeline(spark, sf_dir):
@@ -24,6 +24,7 @@ def queries():
         "op8_language_id": language_id.op8,
         "op9_suffix_dedup": suffix_dedup.op9,
         "op10_simhash_near_dedup": simhash.op10,
+        "op11_periodic_runs": periodic_runs.op11,
     }
 
 
