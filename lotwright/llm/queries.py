@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, language_id, periodic_runs, poisson_mix, quality, simhash, suffix_dedup, token_files, toxicity, weighted_sampling
+from . import decontaminate, hard_negatives, html_text, language_id, periodic_runs, poisson_mix, quality, simhash, suffix_dedup, token_files, toxicity, warc, weighted_sampling
 
 
 def _pipeline(spark, sf_dir):
@@ -25,8 +25,10 @@ def queries():
         "op9_suffix_dedup": suffix_dedup.op9,
         "op10_simhash_near_dedup": simhash.op10,
         "op11_periodic_runs": periodic_runs.op11,
+        "op12_warc": warc.op12,
+        "op13_hard_negatives": hard_negatives.op13,
     }
 
 
 def oracle_sql():
-    return {"op6_poisson_mix": poisson_mix.OP6_SQL}
+    return {"op6_poisson_mix": poisson_mix.OP6_SQL, "op12_warc": warc.OP12_SQL, "op13_hard_negatives": hard_negatives.OP13_SQL}
