@@ -37,6 +37,11 @@ def line(a: Column, b: Column) -> Column:
     return F.array(a, b)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once; nested expressions would repeat it at each use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def following(r: Column) -> Column:
     """The ring turned by one vertex."""
     return F.when(F.size(r) > 1, F.concat(F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0))), F.slice(r, 1, 1))).otherwise(r)
@@ -328,6 +333,35 @@ def contains_point(r: Column, p: Column) -> Column:
     return F.aggregate(crossings, F.lit(0), lambda a, v: a + v) % 2 == 1
 
 
+def in_shape(shape: Column, p: Column) -> Column:
+    """By the even-odd rule over all rings."""
+    return F.aggregate(shape, F.lit(0), lambda a, r: a + contains_point(r, p).cast("int")) % 2 == 1
+
+
+def segment_distance(l1: Column, l2: Column) -> Column:
+    """Of two segments; 0 where they cross or touch."""
+    a, b, c, d = F.get(l1, F.lit(0)), F.get(l1, F.lit(1)), F.get(l2, F.lit(0)), F.get(l2, F.lit(1))
+    crossing = (_cross(a, b, c) * _cross(a, b, d) < 0) & (_cross(c, d, a) * _cross(c, d, b) < 0)
+    gap = lambda p, l: let(project_point(p, l), lambda q: distance(p, q))  # noqa: E731, E741
+    return F.when(crossing, 0.0).otherwise(F.least(gap(a, l2), gap(b, l2), gap(c, l1), gap(d, l1)))
+
+
+def shape_distance(a: Column, b: Column) -> Column:
+    """The least distance of two shapes' points; 0 where they meet or one holds the other. Null if either is null or empty."""
+    first = lambda s: F.get(F.get(s, F.lit(0)), F.lit(0))
+    all_sides = lambda s: F.flatten(F.transform(s, sides))
+    gaps = let(all_sides(b), lambda others: F.array_min(F.transform(all_sides(a), lambda l1: F.array_min(F.transform(others, lambda l2: segment_distance(l1, l2))))))
+    return F.when(in_shape(a, first(b)) | in_shape(b, first(a)), 0.0).otherwise(gaps)
+
+
+def meets_box(l: Column, x: Column, y: Column, half: Column) -> Column:  # noqa: E741
+    """Whether a segment meets the square around (x, y) with sides of twice ``half``."""
+    a, b = F.get(l, F.lit(0)), F.get(l, F.lit(1))
+    dx, dy = (b["x"] - a["x"]) / 2, (b["y"] - a["y"]) / 2
+    mx, my = x - (a["x"] + b["x"]) / 2, y - (a["y"] + b["y"]) / 2
+    return (F.abs(mx) <= half + F.abs(dx)) & (F.abs(my) <= half + F.abs(dy)) & (F.abs(dx * my - dy * mx) <= half * (F.abs(dx) + F.abs(dy)))
+
+
 def from_wkt(text: Column) -> Column:
     """The outer rings of a (multi)polygon's or the points of a line's text, open, without heights."""
     outer = F.regexp_extract_all(text, F.lit(r"(?:^[A-Za-z ]*\(+|\(\()([^()]*)\)"), 1)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import geo_udf, graph
+from ..functions import geometry as g
+from . import graph
 
 
 def combinations(parcels: DataFrame, borders: DataFrame, lot_area: tuple[float, float], combo_area: tuple[float, float], most_lots: int, least_border: float, mode: str = "paths") -> DataFrame:
@@ -39,7 +40,7 @@ def spatial_locations(combos: DataFrame, key: str, shape: str, bounds) -> DataFr
     left = combos.select(F.col(key).alias("u"), F.col(shape).alias("_su"), bounds.alias("_bu"))
     right = combos.select(F.col(key).alias("v"), F.col(shape).alias("_sv"), bounds.alias("_bv"))
     pairs = spatial_join.bounds_join(left, right, F.col("_bu"), F.col("_bv")).where("u < v")
-    pairs = pairs.where(geo_udf.distance(F.col("_su"), F.col("_sv")) <= 1e-9).select("u", "v")
+    pairs = pairs.where(g.shape_distance(F.col("_su"), F.col("_sv")) <= 1e-9).select("u", "v")
     found = graph.components(pairs)
     return combos.join(found, combos[key] == found["vertex"], "left").select(combos[key], F.coalesce("component", key).alias("location"))
 

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import clipping
 from ..functions import geometry as g
 from . import geo_udf, kernel
 
@@ -88,6 +89,23 @@ def envelope(df: DataFrame, gross: str, build: str, slope: str, height: str, ste
     return each.withColumn("slice", geo_udf.intersection(cut, F.col(build)))
 
 
+def convex_envelope(df: DataFrame, gross: str, build: str, slope: str, height: str, step: float = 0.1, reach: float = 50.0) -> DataFrame:
+    """envelope() of rings, the gross one convex and counter-clockwise, without leaving the JVM; slices are rings."""
+    each = df.withColumn("slice_height", F.explode(slice_heights(F.col(slope), F.col(height), step, reach)))
+    return each.withColumn("slice", clipping.convex_inset(F.col(build), F.col(gross), F.col("slice_height") / F.col(slope)))
+
+
+def convex_setback(ring: Column, street_sides: Column, front: Column, side: Column) -> Column:
+    """setback_area() of a convex counter-clockwise ring, without leaving the JVM."""
+    dists = F.transform(ring, lambda _, k: F.when(F.array_contains(street_sides, k), -front).otherwise(-side))
+    return clipping.convex_offset(ring, dists)
+
+
+def convex_shadow(ring: Column, height: Column, towards: str) -> Column:
+    """The shadow of a prism on a convex ring: the hull of it and its shifted copy."""
+    return clipping.hull(F.concat(ring, g.shadow_shift(ring, height, towards)))
+
+
 def slice_at(slices: Column, height: Column) -> Column:
     """The ring at a height from an ordered array of (height, ring): between its neighbours, or the lower one where corners differ.
 

@@ -1,19 +1,20 @@
 """Queries of the polygon kernel, the table lifecycle and the decisions on inputs with answers in closed form.
 
 Squares are turned by the angle of the 3-4-5 triangle, so that their corners and
-what they share lie on whole coordinates, on which overlays are exact. Where a
-result has arcs or is searched, ``near`` gives the closed form if the result is
-within the stated tolerance of it, and the result itself if it isn't.
+what they share lie on whole coordinates, on which overlays are exact. Convex
+shapes go through Column expressions, others through the polygon kernel.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions import clipping as c
 from ..functions import geometry as g
 from ..functions.numbers import q6, q6_sql
 from ..operators import capacity, geo_udf, kernel, locations, pricing, spatial_join, zoning
@@ -44,10 +45,6 @@ def ring(*corners) -> Column:
     return g.ring(*[g.point(x, y) for x, y in corners])
 
 
-def near(value: Column, wanted: Column, tolerance: float) -> Column:
-    return q6(F.when(F.abs(value - wanted) <= tolerance, wanted).otherwise(value))
-
-
 def turned(n: Column, m=0, left=0) -> Column:
     """A turned square of side 5 n, moved by 5 m along its first side and 5 ``left`` along its last."""
     x, y = F.lit(3 * m - 4 * left), F.lit(4 * m + 3 * left)
@@ -72,7 +69,7 @@ def hull_of_parts(t):
     """The hull of a turned square's four corners and points in it is the square."""
     n = F.col("n")
     inner = ring((F.lit(0), n), (n * 0.5, n * 2), (-n * 0.5, n * 3))
-    return _squares(t).select("k", q6(g.shape_area(geo_udf.hull(F.concat("a", F.array(inner))))).alias("hull"))
+    return _squares(t).select("k", q6(g.signed_area(c.hull(F.concat(F.get("a", F.lit(0)), inner)))).alias("hull"))
 
 
 @query(f"SELECT s_suppkey AS k, 4 AS corners, {q(f'25.0 * {_N} * {_N}')} AS area FROM supplier")
@@ -84,39 +81,46 @@ def simplified_ring(t):
     return _squares(t).select("k", F.size(F.get(thin, F.lit(0))).alias("corners"), q6(g.shape_area(thin)).alias("area"))
 
 
-@query(f"SELECT s_suppkey AS k, 4 AS corners FROM supplier")
+@query("SELECT s_suppkey AS k, 4 AS straight, 6 AS bent FROM supplier")
 def collinear_dropped(t):
+    """Corners on a side go, those of a ring without such stay."""
     n = F.col("n")
-    line = F.array(ring((F.lit(0), F.lit(0)), (n * 3, n * 4), (n, n * 7), (-n, n * 7), (-n * 4, n * 3), (-n * 2, n * 1.5)))
+    bent = F.array(ring((F.lit(0), F.lit(0)), (n * 3, n * 4), (n, n * 7), (-n, n * 7), (-n * 4, n * 3), (-n * 3, n)))
     straight = F.array(ring((F.lit(0), F.lit(0)), (n * 1.5, n * 2), (n * 3, n * 4), (-n, n * 7), (-n * 2.5, n * 5), (-n * 4, n * 3)))
-    return _squares(t).select("k", F.size(F.get(geo_udf.drop_collinear(straight), F.lit(0))).alias("corners"), F.size(F.get(line, F.lit(0))).alias("all")).drop("all")
+    left = lambda r: F.size(F.get(geo_udf.drop_collinear(r), F.lit(0)))
+    return _squares(t).select("k", left(straight).alias("straight"), left(bent).alias("bent"))
+
+
+#: A quarter circle of radius 2 in eight chords.
+_CORNER = 8 * 2.0 * math.sin(math.pi / 16)
 
 
-@query(f"SELECT s_suppkey AS k, {q(f'25.0 * {_N} * {_N} + 4 * 5 * {_N} * 2 + 3.121445152258052 * 4')} AS area FROM supplier")
+@query(f"SELECT s_suppkey AS k, {q(f'25.0 * {_N} * {_N} + 4 * 5 * {_N} * 2 + {4 * _CORNER!r}')} AS area FROM supplier")
 def buffered_square(t):
-    """Sides moved out by 2 (by a chord's sagitta less, as the circle has 32 chords of its own) and 32 chords around the corners."""
-    wanted = F.col("n") * F.col("n") * 25.0 + F.col("n") * 40.0 + 3.121445152258052 * 4
-    area = g.shape_area(geo_udf.buffer(F.col("a"), F.lit(2.0)))
-    return _squares(t).select("k", near(area, wanted, 1.5).alias("area"))
+    """Sides moved out by 2, and eight chords around each corner."""
+    area = g.signed_area(c.convex_buffer(F.get("a", F.lit(0)), 2.0))
+    return _squares(t).select("k", q6(area).alias("area"))
 
 
-@query(f"SELECT s_suppkey AS k, {q(f'(5.0 * {_N} + 10) * (5.0 * {_N} + 10)')} AS grown, {q(f'(5.0 * {_N} - 10) * (5.0 * {_N} - 10)')} AS inside FROM supplier")
+@query(f"SELECT s_suppkey AS k, {q(f'(5.0 * {_N} + 10) * (5.0 * {_N} + 10)')} AS grown, {q(f'greatest(5.0 * {_N} - 10, 0) * greatest(5.0 * {_N} - 10, 0)')} AS inside FROM supplier")
 def offset_square(t):
-    s = _squares(t)
-    return s.select("k", q6(g.shape_area(geo_udf.offset(F.col("a"), F.lit(5.0)))).alias("grown"), q6(g.shape_area(geo_udf.offset(F.col("a"), F.lit(-5.0)))).alias("inside"))
+    moved = lambda d: g.signed_area(c.convex_offset(F.get("a", F.lit(0)), F.array_repeat(F.lit(d), 4)))
+    return _squares(t).select("k", q6(moved(5.0)).alias("grown"), q6(moved(-5.0)).alias("inside"))
 
 
 @query(f"SELECT s_suppkey AS k, {q(f'(5.0 * {_N} + 5) * (5.0 * {_N} + 10)')} AS area FROM supplier")
 def offset_by_side(t):
     """Sides moved out by 5, 0, 5 and 5: one direction grows by 10, the other by 5."""
-    moved = geo_udf.offset_edges(F.col("a"), F.array(*[F.lit(d) for d in (5.0, 0.0, 5.0, 5.0)]))
-    return _squares(t).select("k", q6(g.shape_area(moved)).alias("area"))
+    moved = c.convex_offset(F.get("a", F.lit(0)), F.array(*[F.lit(d) for d in (5.0, 0.0, 5.0, 5.0)]))
+    return _squares(t).select("k", q6(g.signed_area(moved)).alias("area"))
 
 
-@query(f"SELECT s_suppkey AS k, {q(f'25.0 * {_N} * {_N} * 0.64')} AS area FROM supplier")
+@query(f"SELECT s_suppkey AS k, {q(f'25.0 * {_N} * {_N} * 0.64')} AS area, {q(f'0.5 * {_N}')} AS depth FROM supplier")
 def shrunk_square(t):
-    area = g.shape_area(geo_udf.shrink(F.col("a"), F.lit(0.64)))
-    return _squares(t).select("k", near(area, F.col("n") * F.col("n") * 16.0, 0.8).alias("area"))
+    """A square of 64 % of the area has 80 % of the sides: each moved in by a tenth."""
+    inner = c.convex_shrink(F.get("a", F.lit(0)), F.lit(0.64))
+    s = _squares(t).withColumn("inner", inner)
+    return s.select("k", q6(g.signed_area(F.col("inner"))).alias("area"), q6(g.line_line_distance(F.get(g.sides(F.get("a", F.lit(0))), F.lit(0)), F.get(g.sides(F.col("inner")), F.lit(0)))).alias("depth"))
 
 
 @query(f"SELECT s_suppkey AS k, TRUE AS holds, FALSE AS reversed, FALSE AS partly FROM supplier")
@@ -128,16 +132,16 @@ def turned_contains(t):
 @query(f"SELECT s_suppkey AS k, {q(f'150.0 - 5 * {_N}')} AS far, {q('0.0')} AS meets FROM supplier")
 def turned_distance(t):
     s = _squares(t)
-    return s.select("k", q6(geo_udf.distance(F.col("a"), F.col("far"))).alias("far"), q6(geo_udf.distance(F.col("a"), F.col("b"))).alias("meets"))
+    return s.select("k", q6(g.shape_distance(F.col("a"), F.col("far"))).alias("far"), q6(g.shape_distance(F.col("a"), F.col("b"))).alias("meets"))
 
 
-@query(f"SELECT s_suppkey AS k, {q(f'25.0 * {_N} * {_N} - {_N} * {_N}')} AS area, 1 AS rings FROM supplier")
+@query(f"SELECT s_suppkey AS k, {q(f'25.0 * {_N} * {_N} - {_N} * {_N} - 0.01 * 2 * {_N} + {_N} * {_N}')} AS area, 2 AS rings FROM supplier")
 def keyholed_ring(t):
-    """A square less one in its middle, cut open to one ring: the slit takes next to nothing."""
+    """A square less one in its middle is cut open to one ring by a slit of 0.01; a region beside it is left alone."""
     n = F.col("n")
-    outer, hole = F.array(g.box(0, 0, n * 5, n * 5)), F.array(g.box(n * 2, n * 2, n, n))
+    outer, hole = F.array(g.box(0, 0, n * 5, n * 5), g.box(n * 6, n * 2, n, n)), F.array(g.box(n * 2, n * 2, n, n))
     cut = geo_udf.keyholed_difference(outer, hole)
-    return _squares(t).select("k", near(g.shape_area(cut), n * n * 24.0, 0.5).alias("area"), F.size(cut).alias("rings"))
+    return _squares(t).select("k", q6(g.shape_area(cut)).alias("area"), F.size(cut).alias("rings"))
 
 
 @query("SELECT s_suppkey AS k, 1 AS bow, 0 AS plain FROM supplier")
@@ -152,9 +156,8 @@ def clipped_line(t):
     """A line along the first side's direction, in the middle of the square, is cut to the side's length."""
     n = F.col("n")
     line = ring((n * -2 - 30, n * 1.5 - 40), (n * -2 + 60, n * 1.5 + 80))
-    pieces = geo_udf.clip_line(line, F.col("a"))
-    length = F.aggregate(pieces, F.lit(0.0), lambda acc, p: acc + g.distance(F.get(p, F.lit(0)), F.element_at(p, -1)))
-    return _squares(t).select("k", near(length, n * 5, 0.02).alias("inside"))
+    pieces = c.spans_near(line, F.get("a", F.lit(0)), 0.0)
+    return _squares(t).select("k", q6(F.aggregate(pieces, F.lit(0.0), lambda acc, p: acc + p["high"] - p["low"])).alias("inside"))
 
 
 @query("SELECT s_suppkey AS k, 2 AS regions, 1 AS outer_ones FROM supplier")
@@ -166,13 +169,13 @@ def region_filters(t):
     return _squares(t).select("k", F.size(geo_udf.unique_regions(twice)).alias("regions"), F.size(geo_udf.drop_contained(nested)).alias("outer_ones"))
 
 
-@query("SELECT k, CASE WHEN k % 3 = 0 THEN k WHEN k % 3 = 1 THEN k - 1 ELSE k - 2 END AS location FROM (SELECT s_suppkey AS k FROM supplier WHERE s_suppkey >= 3)")
+@query("SELECT s_suppkey AS k, s_suppkey - s_suppkey % 3 AS location FROM supplier")
 def touching_locations(t):
     """Diamonds of radius 6 in a row, 10 apart, with a gap after every third."""
     k = F.col("s_suppkey")
     x = k * 10 + F.floor(k / 3) * 20
     rings = F.array(ring((x + 6, F.lit(0)), (x, F.lit(6)), (x - 6, F.lit(0)), (x, F.lit(-6))))
-    combos = t("supplier").where("s_suppkey >= 3").select(k.alias("k"), rings.alias("shape"))
+    combos = t("supplier").select(k.alias("k"), rings.alias("shape"))
     return locations.spatial_locations(combos, "k", "shape", g.bounds(F.get("shape", F.lit(0))))
 
 
@@ -195,26 +198,29 @@ def diamond_intersects_join(t):
     return pairs.where("ak < bk").select(F.col("ak").alias("a"), F.col("bk").alias("b"))
 
 
-@query(f"SELECT s_suppkey AS k, s_suppkey AS other, {q(f'{_N} * {_N} + 4.0 * {_N} * 2 + 3.121445152258052 * 4')} AS clip FROM supplier")
+@query(f"""
+SELECT s_suppkey AS k, s_suppkey * 10 + i AS other, {q(f'({_N} * {_N} + 4.0 * {_N} * 2 + {4 * _CORNER!r}) * CASE i WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.25 END')} AS clip
+FROM supplier, (VALUES (0), (1), (2)) v(i)
+""")
 def context_clipped(t):
-    """What lies within 2 of a parcel, cut to that: here ground that covers it all."""
+    """What lies within 2 of a parcel, cut to that: ground that covers it all, half of it and a quarter; a fourth is too far off."""
     k, n = F.col("s_suppkey"), (F.col("s_suppkey") % 5 + 2).cast("double")
-    left = t("supplier").select(k.alias("k"), n.alias("n"), F.array(g.box(k * 100, 0, n, n)).alias("parcel"))
-    right = t("supplier").select(k.alias("other"), F.array(g.box(k * 100 - 20, -20, 50, 50)).alias("ground"))
-    at = lambda c: g.bounds(F.get(c, F.lit(0)))
+    left = t("supplier").select(k.alias("k"), F.array(g.box(k * 200, 0, n, n)).alias("parcel"))
+    corner = lambda i, x, y: F.struct((k * 10 + i).alias("other"), F.array(g.box(k * 200 + x, y, 50, 50)).alias("ground"))
+    grounds = F.array(corner(0, -20, F.lit(-20)), corner(1, n / 2, F.lit(-20)), corner(2, n / 2, n / 2), corner(3, n + 2.5, F.lit(0)))
+    right = t("supplier").select(F.explode(grounds).alias("r")).select("r.*")
+    at = lambda s: g.bounds(F.get(s, F.lit(0)))
     met = spatial_join.clipped(left, right, "parcel", "ground", at("parcel"), at("ground"), 2.0)
-    wanted = F.col("n") * F.col("n") + F.col("n") * 8.0 + 3.121445152258052 * 4
-    return met.select("k", "other", near(g.shape_area(F.col("clip")), wanted, 0.3).alias("clip"))
+    return met.select("k", "other", q6(g.shape_area(F.col("clip"))).alias("clip"))
 
 
 @query(f"SELECT s_suppkey AS k, {q(f'20.0 * {_N} + 20.0 * 2')} AS street_clip FROM supplier")
 def street_in_context(t):
-    """A straight street beside each parcel, cut to the ground within 20 of it."""
+    """A straight street through each parcel, cut to the ground within 20 of it."""
     k, n = F.col("s_suppkey"), (F.col("s_suppkey") % 5 + 2).cast("double")
-    s = t("supplier").select(k.alias("k"), n.alias("n"), F.array(g.box(0, 0, n * 20, 10)).alias("parcel"))
-    pieces = geo_udf.clip_line(ring((F.lit(-500), F.lit(5)), (F.lit(900), F.lit(5))), geo_udf.offset(F.col("parcel"), F.lit(20.0)))
-    length = F.aggregate(pieces, F.lit(0.0), lambda acc, p: acc + g.distance(F.get(p, F.lit(0)), F.element_at(p, -1)))
-    return s.select("k", near(length, F.col("n") * 20 + 40.0, 0.02).alias("street_clip"))
+    s = t("supplier").select(k.alias("k"), g.box(0, 0, n * 20, 10).alias("parcel"))
+    pieces = c.spans_near(ring((F.lit(-500), F.lit(5)), (F.lit(900), F.lit(5))), F.col("parcel"), 20.0)
+    return s.select("k", q6(F.aggregate(pieces, F.lit(0.0), lambda acc, p: acc + p["high"] - p["low"])).alias("street_clip"))
 
 
 @query(f"SELECT s_suppkey AS k, 9 AS faces, {q(f'25.0 * {_N} * {_N}')} AS top FROM supplier")
@@ -244,18 +250,20 @@ def envelope_shadows(t):
         return pd.Series([kernel.area(zoning.envelope_shadow(slices(s), "p")) for s in shape])
 
     n = F.col("n")
-    return _squares(t).select("k", near(area(geo_udf.flat(F.array(g.box(0, 0, n * 5, n * 5)))), (n * 5 + 20.0) * n * 5, 0.5).alias("shadow"))
+    return _squares(t).select("k", q6(area(geo_udf.flat(F.array(g.box(0, 0, n * 5, n * 5))))).alias("shadow"))
+
 
+_STRIP = "least((60 - 4 * sin(a)) / abs(cos(a)), CASE WHEN sin(a) > 1e-9 THEN (h - 4 * abs(cos(a))) / sin(a) ELSE 1e9 END)"
 
-@query(f"SELECT s_suppkey AS k, {q(f'60.0 - 0.0')} AS length FROM supplier")
+
+@query(f"SELECT k, {q(f'max({_STRIP})')} AS length FROM (SELECT s_suppkey AS k, {_N} * 4 + 6 AS h, range * pi() / 90 AS a FROM supplier, range(0, 90)) GROUP BY k")
 def template_rectangle(t):
-    """The longest strip of width 4 through the middle of a box of 60 by 4 n + 6 along its long side is as long as it."""
-    n = F.col("n")
-    found = geo_udf.best_rectangle(F.array(g.box(0, 0, 60, n * 4 + 6)), F.lit(4.0))
-    return _squares(t).select("k", F.when(found["length"].between(60.0 - 1e-6, F.sqrt((n * 4 + 6) ** 2 + 3600.0) + 0.1), F.lit(60.0)).otherwise(found["length"]).alias("length"))
+    """The longest strip of width 4 through the middle of a box of 60 by 4 n + 6, of 90 directions."""
+    found = geo_udf.best_rectangle(F.array(g.box(0, 0, 60, F.col("n") * 4 + 6)), F.lit(4.0))
+    return _squares(t).select("k", q6(found["length"]).alias("length"))
 
 
-@query("SELECT n_nationkey AS key, TRUE AS known_status, TRUE AS floors_fit, TRUE AS area_fits, TRUE AS inside FROM nation")
+@query()
 def best_building_holds(t):
     """The constraints of the best buildings, in a prism and, for odd keys, in a sloping envelope."""
     key = F.col("n_nationkey")
@@ -273,9 +281,9 @@ def best_building_holds(t):
     )
 
 
-@query("SELECT location, count(*) AS lots, TRUE AS bounded FROM (SELECT s_suppkey // 4 AS location FROM supplier) GROUP BY location")
+@query()
 def marginal_lot_values(t):
-    """Without a lot and its combos the utility isn't greater by more than what those combos lose."""
+    """The utility of all lots less that without one lot and its combos: lots of each location, and whether all have a value."""
     from .spatial_queries import _market
 
     found = pricing.marginal_values(_market(t))

@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import geometry as g
-from ..operators import capacity, economics, locations, lots, pricing, relational, spatial_join
+from ..operators import borders, capacity, economics, locations, lots, pricing, relational
 from ..sources import export
 
 
 def combine(parcels: DataFrame, lot_area=(400.0, 3000.0), combo_area=(1200.0, 4000.0), most_lots: int = 11, least_border: float = 18.0) -> DataFrame:
     """Combos of (block, parcel, area, shape): shared borders, then sets of adjacent lots, numbered by a hash of their lots."""
-    borders = spatial_join.shared_borders(parcels, "parcel", "block", "shape", g.bounds(F.get(F.col("shape"), F.lit(0))))
-    found = locations.combinations(parcels, borders, lot_area, combo_area, most_lots, least_border)
+    shared = borders.shared_borders(parcels, "parcel", "block", "shape")
+    found = locations.combinations(parcels, shared, lot_area, combo_area, most_lots, least_border)
     return found.withColumn("combo", F.xxhash64("lots")).withColumn("status", F.lit(capacity.PENDING))
 
 

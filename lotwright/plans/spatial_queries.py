@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import clipping
 from ..functions import geometry as g
 from ..functions.numbers import q6, q6_sql
-from ..operators import capacity, economics, geo_udf, graph, locations, lots, pricing, spatial_join, zoning
+from ..operators import borders, capacity, economics, geo_udf, graph, locations, lots, pricing, spatial_join, zoning
 from ..sources import export
 from . import pipeline
 from .geometry_queries import BOX_SQL, boxes
@@ -86,15 +87,16 @@ _UP = "least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)"
 def clip_area(t):
     b = boxes(t)
     pairs = spatial_join.bounds_join(_side(b, "a"), _side(b, "b"), _bounds("a"), _bounds("b")).where("ak < bk")
-    out = pairs.withColumn("common", geo_udf.intersection_area(F.col("ashape"), F.col("bshape"))).where("common > 0")
-    return out.select(F.col("ak").alias("a"), F.col("bk").alias("b"), q6("common").alias("common"), q6(geo_udf.union_area(F.col("ashape"), F.col("bshape"))).alias("whole"))
+    a, b = (F.get(c, F.lit(0)) for c in ("ashape", "bshape"))
+    out = pairs.withColumn("common", g.signed_area(clipping.convex_clip(a, b))).where("common > 0")
+    return out.select(F.col("ak").alias("a"), F.col("bk").alias("b"), q6("common").alias("common"), q6(g.signed_area(a) + g.signed_area(b) - F.col("common")).alias("whole"))
 
 
-@query("SELECT a.p_partkey // 50 AS block, a.p_partkey AS a, b.p_partkey AS b, CAST(10.2 AS DOUBLE) AS shared FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 AND b.p_partkey // 50 = a.p_partkey // 50")
+@query("SELECT a.p_partkey // 50 AS block, a.p_partkey AS a, b.p_partkey AS b, CAST(10.0 AS DOUBLE) AS shared FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 AND b.p_partkey // 50 = a.p_partkey // 50")
 def shared_border(t):
     key = F.col("p_partkey")
     parcels = t("part").select(key.alias("parcel"), F.floor(key / 50).alias("block"), F.array(g.box((key % 100) * 10, F.floor(key / 100) % 100 * 10, 10, 10)).alias("shape"))
-    found = spatial_join.shared_borders(parcels, "parcel", "block", "shape", g.bounds(F.element_at("shape", 1)))
+    found = borders.shared_borders(parcels, "parcel", "block", "shape")
     return found.select("block", "a", "b", q6("shared").alias("shared"))
 
 
@@ -201,26 +203,29 @@ def lot_combinations(t):
 @query(f"SELECT k, {q('(w + 16) * (h + 13)')} AS area FROM {BOX_SQL}")
 def setback_area(t):
     b = boxes(t)
-    shape = F.array(g.box(F.col("x"), F.col("y"), F.col("w") + 20, F.col("h") + 20))
-    build = zoning.setback_area(shape, F.array(F.lit(0)), F.lit(5.0), F.lit(2.0))
-    return b.select("k", q6(g.shape_area(build)).alias("area"))
+    ring = g.box(F.col("x"), F.col("y"), F.col("w") + 20, F.col("h") + 20)
+    build = zoning.convex_setback(ring, F.array(F.lit(0)), F.lit(5.0), F.lit(2.0))
+    return b.select("k", q6(g.signed_area(build)).alias("area"))
 
 
-@query(f"SELECT k, z AS slice_height, {q('(w + 20 - 2 * z / 2.5) * (h + 20 - 2 * z / 2.5)')} AS area FROM {BOX_SQL}, (SELECT range * 2.5 AS z FROM range(0, 3) UNION ALL SELECT 7.0) s WHERE z <= 7.0")
+@query(f"""
+SELECT k, {q('z')} AS slice_height, {q('(w + 20 - 2 * (z / 2.5)) * (h + 20 - 2 * (z / 2.5))')} AS area
+FROM {BOX_SQL}, (SELECT range * 0.1 * 2.5 AS z FROM range(0, 501) UNION ALL SELECT 24.9) s WHERE z <= 24.9
+""")
 def envelope_slices(t):
+    """Slices every 0.1 of the slope's base up to the full height."""
     b = boxes(t)
-    shape = F.array(g.box(F.col("x"), F.col("y"), F.col("w") + 20, F.col("h") + 20))
-    b = b.select("k", shape.alias("gross"), shape.alias("build"), F.lit(2.5).alias("slope"), F.lit(7.0).alias("height"))
-    return zoning.envelope(b, "gross", "build", "slope", "height", step=1.0).select("k", "slice_height", q6(g.shape_area(F.col("slice"))).alias("area"))
+    ring = g.box(F.col("x"), F.col("y"), F.col("w") + 20, F.col("h") + 20)
+    b = b.select("k", ring.alias("gross"), ring.alias("build"), F.lit(2.5).alias("slope"), F.lit(24.9).alias("height"))
+    return zoning.convex_envelope(b, "gross", "build", "slope", "height").select("k", q6("slice_height").alias("slice_height"), q6(g.signed_area(F.col("slice"))).alias("area"))
 
 
 @query(f"SELECT k, {q('(w + 15.4) * h')} AS west, {q('(h + 4.9) * w')} AS south FROM {BOX_SQL}")
 def shadow_area(t):
     b = boxes(t)
-    shape = F.array(g.box(F.col("x"), F.col("y"), F.col("w"), F.col("h")))
-    # A height whose shadows end on the overlay's grid of 1 cm.
-    west, south = (zoning.shadow_area(F.col("shape"), F.lit(7.546), k) for k in ("p", "s"))
-    return b.withColumn("shape", shape).select("k", q6(west).alias("west"), q6(south).alias("south"))
+    ring = g.box(F.col("x"), F.col("y"), F.col("w"), F.col("h"))
+    west, south = (g.signed_area(zoning.convex_shadow(ring, F.lit(7.546), k)) for k in ("p", "s"))
+    return b.select("k", q6(west).alias("west"), q6(south).alias("south"))
 
 
 @query("""
