@@ -7,11 +7,8 @@ counted per floor and enumerated with pruning, so the optimum is exact.
 
 from __future__ import annotations
 
-import json
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Default unit costs, in the currency unit UF.
@@ -47,6 +44,8 @@ UNIT_COSTS = {
     "financing": 0.034,
     "contingency": 0.03,
 }
+#: A table of unit costs, a row for each.
+COSTS = "name string, value double"
 VAT = 0.19
 SPREAD, LARGE_UNIT = 2.5, 140.0
 _PER_SALE = ("marketing", "management", "legal", "after_sales", "insurance", "presale_insurance", "other_sales", "contingency")
@@ -140,29 +139,97 @@ def best_mix(types: dict[str, np.ndarray], project: dict, costs: dict | None = N
     return best
 
 
+def cost_table(spark: SparkSession, changed: dict[str, float]) -> DataFrame:
+    """COSTS with the default unit costs, some of them changed."""
+    return spark.createDataFrame([(k, float(v)) for k, v in (UNIT_COSTS | changed).items()], COSTS)
+
+
+def cost_row(table: DataFrame) -> DataFrame:
+    """One row with a struct ``costs``: the greatest value of each known name in COSTS, the default where there is none."""
+    value = lambda k: F.coalesce(F.max(F.when(F.col("name") == k, F.col("value"))), F.lit(UNIT_COSTS[k])).alias(k)
+    return table.agg(F.struct(*[value(k) for k in UNIT_COSTS]).alias("costs"))
+
+
+def with_costs(projects: DataFrame, row: DataFrame) -> DataFrame:
+    """``projects`` with the one row of cost_row()."""
+    one = row.withColumn("_one", F.lit(1))
+    return projects.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").drop("_one")
+
+
 def price_of_mix(sales: Column, rest: Column, land: Column, required: float, costs: dict | None = None) -> Column:
     """The closed form as a Column."""
     c = UNIT_COSTS | (costs or {})
     return (sales / required - rest) / (land * (1 - VAT + c["commission"] + c["other_land"]))
 
 
+def parking_spaces(units_parking: Column, visitor_share: float = 0.15, bikes: float = 0.5, per_space: float = 3.0) -> Column:
+    """parking() as a Column."""
+    normal = units_parking * (1 + visitor_share)
+    return F.greatest(units_parking, normal - normal * bikes / per_space - units_parking * visitor_share)
+
+
+def mixes(projects: DataFrame, types: dict[str, list[float]]) -> DataFrame:
+    """``projects`` (land, base, max_coverage, floors, max_units, common_share, return, far) once for each allowed mix, its units of a floor as c0, c1, ...
+
+    One kind of unit after another: counts go up to what is left of the slab and
+    of the allowed units, so most of what doesn't fit never becomes a row.
+    """
+    n = len(types["util"])
+    each = projects.withColumn("_factor", F.col("floors") - 1).where("_factor >= 1")
+    above = F.col("base") * F.col("_factor") + F.least("base", "max_coverage")
+    each = each.withColumn("_area", above).withColumn("_units", F.col("max_units").cast("double")).withColumn("_least", F.lit(None).cast("double")).withColumn("_greatest", F.lit(None).cast("double"))
+    for k in range(n):
+        util = float(types["util"][k])
+        need = (F.col("common_share") * util + (types["terrace"][k] + types["interior"][k])) * F.col("_factor")
+        most = F.least(F.floor((F.col("_area") + 1e-9) / need), F.floor((F.col("_units") + 1e-9) / F.col("_factor")))
+        fits = F.coalesce(F.greatest("_greatest", F.lit(util)) <= F.least("_least", F.lit(util)) * SPREAD + 1e-9, F.lit(True))
+        if util >= LARGE_UNIT:
+            fits = fits & (F.col("far") > 0)
+        each = each.withColumn(f"c{k}", F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(fits & (most > 0), most).otherwise(0))))
+        used = F.col(f"c{k}") > 0
+        each = each.withColumn("_area", F.col("_area") - need * F.col(f"c{k}")).withColumn("_units", F.col("_units") - F.col("_factor") * F.col(f"c{k}"))
+        each = each.withColumn("_least", F.when(used, F.least("_least", F.lit(util))).otherwise(F.col("_least"))).withColumn("_greatest", F.when(used, F.greatest("_greatest", F.lit(util))).otherwise(F.col("_greatest")))
+    return each.drop("_area", "_units", "_least", "_greatest")
+
+
+def priced_mixes(each: DataFrame, types: dict[str, list[float]], costs: dict | None = None) -> DataFrame:
+    """mixes() with util, common, parking, sales, and the price that is best for each; evaluate() as Columns."""
+    c = UNIT_COSTS | (costs or {})
+    counts = [F.col(f"c{k}") for k in range(len(types["util"]))]
+    total = lambda name: sum((n * float(v) for n, v in zip(counts[1:], types[name][1:], strict=True)), counts[0] * float(types[name][0])) * F.col("_factor")
+    above = F.col("base") * F.col("_factor") + F.least("base", "max_coverage")
+    each = each.withColumn("_above", above).withColumn("parking", parking_spaces(total("parking"))).withColumn("util", total("util")).withColumn("sales", total("price"))
+    each = each.withColumn("common", F.col("_above") - total("terrace") - total("interior")).withColumn("_below", F.col("parking") * 30.0 + total("storage") * 5.0)
+    units = sum(counts[1:], counts[0]) * F.col("_factor")
+    build = F.col("_above") * c["slab_above"] + F.col("_below") * c["slab_below"] + c["inspection"] * c["duration"]
+    rest = (
+        F.col("land") * (c["demolition"] + c["soil"] + c["topography"])
+        + build * (1 + c["financing"])
+        + F.col("util") * c["architecture"]
+        + (F.col("_above") + F.col("_below")) * (c["structure"] + c["specialties"])
+        + units * c["connections"]
+        + F.col("sales") * (sum(c[n] for n in _PER_SALE) + VAT / (1 + VAT))
+        + (c["permits"] + c["sales_room"] + c["accounting"] * c["duration"])
+    )
+    price = (F.col("sales") / F.col("return") - rest) / (F.col("land") * (1 - VAT + c["commission"] + c["other_land"]))
+    return each.withColumn("price", price).drop("_above", "_below")
+
+
 RESULT = "key bigint, feasible boolean, price double, sales double, util double, common double, parking double, per_floor array<int>, mix array<int>"
 
 
-def best_prices(projects: DataFrame, key: str, types: dict[str, list[float]]) -> DataFrame:
-    """RESULT for each row of ``projects`` (land, base, max_coverage, floors, max_units, common_share, return, far)."""
+def best_prices(projects: DataFrame, key: str, types: dict[str, list[float]], costs: dict | None = None) -> DataFrame:
+    """RESULT for each row of ``projects`` (land, base, max_coverage, floors, max_units, common_share, return, far).
+
+    All allowed mixes are rows, and the best of each project is taken on the way
+    to one; ties go to the smaller counts, first kind first. Projects without a
+    mix of a price of 0 or more are not feasible.
+    """
     names = ["land", "base", "max_coverage", "floors", "max_units", "common_share", "return", "far"]
-    told = json.dumps(types)
-
-    def run(batches):
-        own = {k: np.array(v, float) for k, v in json.loads(told).items()}
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                project = dict(zip(names, r[1:], strict=True))
-                project["floors"] = int(project["floors"])
-                b = best_mix(own, project)
-                rows.append((r[0], b is not None, *([b[k] for k in ("price", "sales", "util", "common", "parking", "per_floor", "mix")] if b else [None] * 7)))
-            yield pd.DataFrame(rows, columns=["key", "feasible", "price", "sales", "util", "common", "parking", "per_floor", "mix"])
-
-    return projects.select(F.col(key).cast("bigint").alias("key"), *[F.col(n).cast("double").alias(n) for n in names]).mapInPandas(run, RESULT)
+    own = projects.select(F.col(key).cast("bigint").alias("key"), *[F.col(n).cast("double").alias(n) for n in names])
+    n = len(types["util"])
+    counts = [F.col(f"c{k}").cast("int") for k in range(n)]
+    priced = priced_mixes(mixes(own, types), types, costs).where("price >= 0")
+    found = F.struct("price", "sales", "util", "common", "parking", F.array(*counts).alias("per_floor"), F.array(*[(c * F.col("_factor")).cast("int") for c in counts]).alias("mix"))
+    best = priced.groupBy("key").agg(F.max_by(found, F.struct("price", *[-c for c in counts])).alias("b"))
+    return own.select("key").distinct().join(best, "key", "left").select("key", F.col("b").isNotNull().alias("feasible"), "b.*")

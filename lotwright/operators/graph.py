@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rounds import drop, keep, shared_folder
 
 #: Lots of a combo at most where all their pairs are listed.
 MOST_LOTS = 64
@@ -33,29 +31,82 @@ def neighbours(edges: DataFrame) -> DataFrame:
     return both_ways(edges).groupBy("u").agg(F.array_sort(F.collect_set("v")).alias("neighbours"))
 
 
+def _near(edges: DataFrame, graph: str) -> DataFrame:
+    """Both directions of each edge as (_g, _u, v), once."""
+    near = both_ways(edges.select(graph, F.col("u").cast("bigint").alias("u"), F.col("v").cast("bigint").alias("v"))).where("u <> v")
+    return keep(near.select(F.col(graph).alias("_g"), F.col("u").alias("_u"), "v").distinct())
+
+
+def _rounds(wave: DataFrame, step, longest: int, found) -> DataFrame:
+    """What ``found`` takes of every wave, each made of the last by ``step`` and written to the shared folder."""
+    waves = [keep(wave)]
+    while len(waves) < longest:
+        nxt = keep(step(waves[-1]))
+        waves.append(nxt)
+        if not nxt.limit(1).count():
+            break
+    out = found(waves[0])
+    for w in waves[1:]:
+        out = out.unionByName(found(w))
+    out = keep(out)
+    drop(*waves)
+    return out
+
+
 def simple_paths(edges: DataFrame, graph: str, longest: int) -> DataFrame:
     """(graph, path): every path without a repeated vertex, of at most ``longest`` vertices, in each graph.
 
-    ``edges`` has (graph, u, v); the length bounds the recursion and, with it,
-    the number of paths.
+    ``edges`` has (graph, u, v). A round for each length: paths are rows like any
+    other, their number is bounded by the length alone.
     """
-    spark, name = edges.sparkSession, f"edges_{uuid.uuid4().hex}"
-    both_ways(edges.select(graph, "u", "v")).distinct().createOrReplaceTempView(name)
-    return spark.sql(f"""
-        WITH RECURSIVE paths({graph}, last, path) MAX RECURSION LEVEL {longest + 1} AS (
-          SELECT DISTINCT {graph}, u, array(u) FROM {name}
-          UNION ALL
-          SELECT p.{graph}, e.v, concat(p.path, array(e.v))
-          FROM paths p JOIN {name} e ON p.{graph} = e.{graph} AND p.last = e.u
-          WHERE size(p.path) < {longest} AND NOT array_contains(p.path, e.v)
-        )
-        SELECT {graph}, path FROM paths
-    """)
+    near = _near(edges, graph)
+    start = near.select(F.col("_g").alias(graph), F.array("_u").alias("path")).distinct()
+
+    def step(wave: DataFrame) -> DataFrame:
+        met = wave.join(near, (wave[graph] == near["_g"]) & (F.element_at("path", -1) == near["_u"]))
+        return met.where(~F.array_contains("path", F.col("v"))).select(graph, F.concat("path", F.array("v")).alias("path"))
+
+    out = _rounds(start, step, longest, lambda w: w)
+    drop(near)
+    return out
+
+
+def node_sets(edges: DataFrame, graph: str, longest: int, mode: str = "paths", weights: DataFrame | None = None, most: float | None = None) -> DataFrame:
+    """(graph, nodes): the sets of vertices that some simple path of at most ``longest`` vertices covers.
+
+    A round for each size: of all paths over the same vertices to the same end
+    only one goes on, so the rows are sets with ends, not paths; sets of
+    different sizes differ, so nothing has to be compared with earlier rounds.
+    Mode "connected" gives all connected sets. With ``weights`` (graph, vertex,
+    weight; none below zero) sets beyond ``most`` go at once, with all that
+    would grow from them; vertices without a weight take no part.
+    """
+    if mode not in ("paths", "connected"):
+        raise ValueError(f"unknown mode {mode}")
+    near = _near(edges, graph)
+    weigh = weights is not None
+    if weigh:
+        own = weights.select(F.col(graph).alias("_wg"), F.col("vertex").cast("bigint").alias("_wv"), F.col("weight").cast("double").alias("_w"))
+        plain, near = near, keep(near.join(own, (near["_g"] == own["_wg"]) & (near["v"] == own["_wv"])).select("_g", "_u", "v", "_w"))
+        drop(plain)
+        start = near.select(F.col("_g").alias(graph), F.col("v").alias("last"), F.col("_w").alias("weight")).distinct()
+    else:
+        start = near.select(F.col("_g").alias(graph), F.col("_u").alias("last"), F.lit(0.0).alias("weight")).distinct()
+    start = start.select(graph, F.array("last").alias("nodes"), "last", "weight")
+    start = start.where(F.col("weight") <= most) if weigh and most is not None else start
 
+    def step(wave: DataFrame) -> DataFrame:
+        if mode == "connected":
+            wave = wave.withColumn("last", F.explode("nodes"))
+        met = wave.join(near, (wave[graph] == near["_g"]) & (wave["last"] == near["_u"])).where(~F.array_contains("nodes", F.col("v")))
+        total = F.col("weight") + F.col("_w") if weigh else F.col("weight")
+        met = met.select(graph, F.array_sort(F.concat("nodes", F.array("v"))).alias("nodes"), (F.col("v") if mode == "paths" else F.lit(0).cast("bigint")).alias("last"), total.alias("weight"))
+        met = met.where(F.col("weight") <= most) if weigh and most is not None else met
+        return met.groupBy(graph, "nodes", "last").agg(F.min("weight").alias("weight"))
 
-def node_sets(edges: DataFrame, graph: str, longest: int) -> DataFrame:
-    """(graph, nodes): the sets of vertices that some simple path of at most ``longest`` vertices covers."""
-    return simple_paths(edges, graph, longest).select(graph, F.array_sort("path").alias("nodes")).distinct()
+    out = _rounds(start, step, longest, lambda w: w.select(graph, "nodes").distinct())
+    drop(near)
+    return out
 
 
 def path_sets(neighbours_of: dict, longest: int) -> set[frozenset]:
@@ -116,10 +167,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """
     context = edges.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        folder = edges.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='lotwright-')}")
+        context.setCheckpointDir(shared_folder(edges.sparkSession))
     keep = lambda df: df.checkpoint()
     near = keep(both_ways(edges.select(F.col("u").cast("bigint").alias("u"), F.col("v").cast("bigint").alias("v"))).where("u <> v").distinct())
     labels = keep(vertices(edges).select(F.col("vertex").cast("bigint").alias("vertex"), F.col("vertex").cast("bigint").alias("label")))

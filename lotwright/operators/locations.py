@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from . import graph
+from . import dissolve, graph
 
 
 def combinations(parcels: DataFrame, borders: DataFrame, lot_area: tuple[float, float], combo_area: tuple[float, float], most_lots: int, least_border: float, mode: str = "paths") -> DataFrame:
@@ -14,13 +14,17 @@ def combinations(parcels: DataFrame, borders: DataFrame, lot_area: tuple[float,
 
     parcels: (block, parcel, area); borders: (block, a, b, shared). Lots count if
     their area is strictly within ``lot_area``; they are adjacent if they share
-    ``least_border``. Single lots are sets too.
+    ``least_border``. Single lots are sets too. Sets grow in rounds over all
+    blocks together, and only while their area is in range.
     """
     good = parcels.where((F.col("area") > lot_area[0]) & (F.col("area") < lot_area[1])).select("block", "parcel", "area")
-    near = borders.where(F.col("shared") >= least_border).select("block", F.col("a").alias("u"), F.col("b").alias("v"))
+    # Lengths come from coordinates: a micrometre less is as much.
+    near = borders.where(F.col("shared") >= least_border - 1e-6).select("block", F.col("a").alias("u"), F.col("b").alias("v"))
     near = near.join(good.select("block", F.col("parcel").alias("u")), ["block", "u"], "left_semi").join(good.select("block", F.col("parcel").alias("v")), ["block", "v"], "left_semi")
     alone = good.select("block", F.array("parcel").alias("nodes"))
-    sets = graph.node_sets_by_graph(near, "block", most_lots, mode).where(F.size("nodes") > 1).unionByName(alone)
+    weights = good.select("block", F.col("parcel").alias("vertex"), F.col("area").alias("weight"))
+    # A little more than the most, as sums in another order may differ in their last digits.
+    sets = graph.node_sets(near, "block", most_lots, mode, weights, combo_area[1] * (1 + 1e-9)).where(F.size("nodes") > 1).unionByName(alone)
     each = sets.select("block", "nodes", F.explode("nodes").alias("parcel")).join(good, ["block", "parcel"])
     out = each.groupBy("block", F.col("nodes").alias("lots")).agg(F.sum("area").alias("area"), F.count(F.lit(1)).cast("int").alias("lot_count"), F.max("area").alias("max_lot"), F.min("area").alias("min_lot"))
     return out.where(F.col("area").between(*combo_area) & (F.col("lot_count") <= most_lots))
@@ -45,6 +49,20 @@ def spatial_locations(combos: DataFrame, key: str, shape: str, bounds) -> DataFr
     return combos.join(found, combos[key] == found["vertex"], "left").select(combos[key], F.coalesce("component", key).alias("location"))
 
 
+def regions(parts: DataFrame, keys: list[str], shape: str) -> DataFrame:
+    """keys, regions, one_region, area: of how many regions the union of each group's shapes is; regions that meet in a corner count apart."""
+    found = dissolve.measures(dissolve.rings(parts, keys, shape), keys)
+    count = F.col("rings") - F.col("holes")
+    return found.select(*keys, count.alias("regions"), (count == 1).alias("one_region"), "area")
+
+
+def location_outlines(members: DataFrame, parcels: DataFrame, lot: str = "lot", shape: str = "shape") -> DataFrame:
+    """(location, shape): the outline of each location's lots; members: (location, lot), parcels: (lot, shape)."""
+    own = members.select("location", "lot").distinct()
+    parts = own.join(parcels.select(F.col(lot).alias("lot"), F.col(shape).alias("_shape")), "lot").select("location", F.col("_shape").alias("shape"))
+    return dissolve.shapes(dissolve.rings(parts, ["location"], "shape"), ["location"])
+
+
 def location_lists(members: DataFrame) -> DataFrame:
     """(location, combos): each location's combos in order."""
     return members.groupBy("location").agg(F.array_sort(F.collect_set("combo")).alias("combos"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 #: Parcels fit for high-rise: fewest floors, least density, registered owners.
 MIN_FLOORS, MIN_DENSITY, OWNERS = 3, 200, 1
 #: What an unlimited height or number of floors (-1) stands for.
@@ -30,7 +32,8 @@ def not_in(df: DataFrame, column: str, values: list) -> DataFrame:
 
 def where_exists(df: DataFrame, probe: DataFrame) -> DataFrame:
     """``df`` if ``probe`` has a row, else nothing. The probe ends at its first row."""
-    return df if probe.limit(1).count() else df.where(F.lit(False))
+    one = probe.limit(1).select(F.lit(1).alias("_one"))
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one", "left_semi").drop("_one")
 
 
 def status_queue(df: DataFrame, status: int, order: str = "id") -> DataFrame:
@@ -115,10 +118,14 @@ def best_per_group(df: DataFrame, group: str, value: str, key: str, extra: list[
     return out.select(group, "_best.*", "signs")
 
 
-def every_kth(df: DataFrame, group: str | None, order: Column, k: int) -> DataFrame:
-    """The k-th, 2k-th, ... row of each group by ``order``."""
-    w = Window.partitionBy(group).orderBy(order) if group else Window.orderBy(order)
-    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") % k == 0)
+def every_kth(df: DataFrame, group: str | None, order: Column | list[Column], k: int) -> DataFrame:
+    """The k-th, 2k-th, ... row of each group by ``order``; without a group, of the whole table."""
+    orders = order if isinstance(order, list) else [order]
+    if group:
+        ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*orders)))
+    else:
+        ranked = numbered(df, orders, "rank")
+    return ranked.where(F.col("rank") % k == 0)
 
 
 def first_tries(df: DataFrame, group: str, order: list[Column], tries: int = 2) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import geometry_queries, kernel_queries, parcel_queries, relational_queries, spatial_queries
+from . import geometry_queries, kernel_queries, parcel_queries, relational_queries, spatial_queries, table_queries
 
-_PARTS = (relational_queries, geometry_queries, spatial_queries, kernel_queries, parcel_queries)
+_PARTS = (relational_queries, geometry_queries, spatial_queries, kernel_queries, parcel_queries, table_queries)
 
 
 def queries():

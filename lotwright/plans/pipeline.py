@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import borders, capacity, economics, locations, lots, pricing, relational
-from ..sources import export
+from ..sources import export, tables
 
 
 def combine(parcels: DataFrame, lot_area=(400.0, 3000.0), combo_area=(1200.0, 4000.0), most_lots: int = 11, least_border: float = 18.0) -> DataFrame:
@@ -29,6 +29,38 @@ def economic(results: DataFrame, projects: DataFrame, types: dict) -> DataFrame:
     return priced.withColumn("status", F.when("feasible", capacity.ECONOMIC).otherwise(capacity.ECONOMIC_ERROR))
 
 
+#: What a run makes of a combo: the status that it looks for, and the next one by the outcome's name.
+RUNS = {
+    "volumetric": (capacity.PENDING, {"done": capacity.DONE, "error": capacity.ERROR, "infeasible": capacity.INFEASIBLE, "low": capacity.LOW}),
+    "provisional": (capacity.DONE, {"done": capacity.PROVISIONAL, "error": capacity.PROVISIONAL_ERROR}),
+    "economic": (capacity.PROVISIONAL, {"done": capacity.ECONOMIC, "error": capacity.ECONOMIC_ERROR}),
+}
+
+
+def settle(spark, path: str, parts: list[str], run: str, outcomes: DataFrame) -> int:
+    """Moves the combos of a table of (combo, status, ...) on by the outcomes (combo, outcome) of a run; the partitions written.
+
+    Only combos in the status that the run looks for move; those without an
+    outcome, or with one that the run doesn't have, stay. Partitions without
+    a combo in that status are not touched.
+    """
+    since, then = RUNS[run]
+    told = outcomes.where(F.col("outcome").isin(*then)).groupBy("combo").agg(F.min("outcome").alias("_outcome"))
+    to = F.create_map(*[F.lit(v) for pair in then.items() for v in pair])
+
+    def change(rows: DataFrame) -> DataFrame:
+        met = rows.join(told, "combo", "left")
+        on = (F.col("status") == since) & F.col("_outcome").isNotNull()
+        return met.withColumn("status", F.when(on, to[F.col("_outcome")]).otherwise(F.col("status"))).drop("_outcome")
+
+    return tables.modify_partitions(spark, path, parts, change, F.col("status") == since)
+
+
+def reset(spark, path: str, parts: list[str]) -> int:
+    """All combos pending again; partitions where they are already stay as they are."""
+    return tables.modify_partitions(spark, path, parts, lambda rows: rows.withColumn("status", F.lit(capacity.PENDING).cast(rows.schema["status"].dataType)), F.col("status") != capacity.PENDING)
+
+
 def locate(members: DataFrame) -> DataFrame:
     """members (combo, lot) with their location."""
     return members.join(locations.locations(members), "combo")

@@ -53,9 +53,9 @@ def bundle_weighted_zoning(t):
     return out.select("bundle", *[q6(c).alias(c) for c in out.columns[1:]])
 
 
-@query("SELECT p_partkey FROM part WHERE p_size % 10 >= 3 AND p_retailprice / 5 >= 200 AND p_partkey % 3 = 1 AND p_size * 40.0 < p_retailprice")
+@query("SELECT p_partkey FROM part WHERE p_size % 10 >= 3 AND p_retailprice / 4.5 >= 200 AND p_partkey % 3 = 1 AND p_size * 40.0 < p_retailprice")
 def highrise_filter(t):
-    parcels = t("part").select("p_partkey", (F.col("p_size") % 10).alias("floors"), (F.col("p_retailprice") / 5).alias("density"), (F.col("p_partkey") % 3).alias("owners"), (F.col("p_size") * 40.0).alias("built"), F.col("p_retailprice").alias("land"))
+    parcels = t("part").select("p_partkey", (F.col("p_size") % 10).alias("floors"), (F.col("p_retailprice") / 4.5).alias("density"), (F.col("p_partkey") % 3).alias("owners"), (F.col("p_size") * 40.0).alias("built"), F.col("p_retailprice").alias("land"))
     return relational.highrise(parcels).select("p_partkey")
 
 

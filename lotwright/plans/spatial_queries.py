@@ -302,11 +302,35 @@ def max_land_price_fixed_mix(t):
 TYPES = {"util": [40, 60, 80, 110], "interior": [36, 54, 72, 99], "terrace": [8, 12, 16, 22], "parking": [1, 1, 1, 2], "storage": [1, 1, 1, 1], "price": [3600, 5100, 6600, 8800]}
 
 
-@query()
+def _mix_sql() -> str:
+    """All counts a floor by SQL, the closed form written out, and the best of each project."""
+    c, t, n = economics.UNIT_COSTS, TYPES, len(TYPES["util"])
+    total = lambda name: "(" + " + ".join(f"c{k} * {t[name][k]}" for k in range(n)) + ") * f"
+    per_sale = sum(c[x] for x in ("marketing", "management", "legal", "after_sales", "insurance", "presale_insurance", "other_sales", "contingency"))
+    need = [f"({t['terrace'][k]} + {t['interior'][k]} + 0.2 * {t['util'][k]}) * f" for k in range(n)]
+    text = "WITH p AS (SELECT p_partkey AS key, p_partkey % 10 * 50 + 1300.0 AS land, p_partkey % 7 * 20 + 500.0 AS base, p_partkey % 4 + 4 AS f, p_partkey % 3 - 1.0 AS far FROM part),\n"
+    text += "m0 AS (SELECT *, base * f + least(base, 750.0) AS above FROM p)"
+    for k in range(n):
+        left = " - ".join(["above", *[f"c{i} * {need[i]}" for i in range(k)]])
+        units = " - ".join(["60", *[f"c{i} * f" for i in range(k)]])
+        text += f",\nm{k + 1} AS (SELECT *, unnest(range(0, CAST(greatest(0, least(floor(({left} + 1e-9) / ({need[k]})), floor(({units} + 1e-9) / f))) AS BIGINT) + 1)) AS c{k} FROM m{k})"
+    used = ", ".join(f"CASE WHEN c{k} > 0 THEN {t['util'][k]} END" for k in range(n))
+    text += f",\nu AS (SELECT *, {total('util')} AS util, {total('price')} AS sales, {total('parking')} AS spaces, {total('storage')} AS stores, (c0 + c1 + c2 + c3) * f AS units FROM m{n} WHERE coalesce(greatest({used}) <= 2.5 * least({used}) + 1e-9, TRUE))"
+    text += f",\nw AS (SELECT *, greatest(spaces, spaces * 1.15 - spaces * 1.15 * 0.5 / 3.0 - spaces * 0.15) AS parking, above - {total('terrace')} - {total('interior')} AS common FROM u)"
+    text += ",\nb AS (SELECT *, 30.0 * parking + 5.0 * stores AS below FROM w)"
+    rest = f"({c['demolition']} + {c['soil']} + {c['topography']}) * land + ({c['slab_above']} * above + {c['slab_below']} * below + {c['inspection'] * c['duration']}) * {1 + c['financing']} + {c['architecture']} * util + {c['structure'] + c['specialties']} * (above + below) + {c['connections']} * units + ({per_sale} + 0.19 / 1.19) * sales + {c['permits'] + c['sales_room'] + c['accounting'] * c['duration']}"
+    text += f",\nr AS (SELECT *, (sales / 1.2 - ({rest})) / (land * {1 - 0.19 + c['commission'] + c['other_land']}) AS price FROM b)"
+    text += ",\nx AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY price DESC, c0, c1, c2, c3) AS place FROM r WHERE price >= 0)\n"
+    return text + f"SELECT p.key, x.key IS NOT NULL AS feasible, {q('price')} AS price, {q('sales')} AS sales, {q('util')} AS util, {q('common')} AS common, {q('parking')} AS parking, concat(c0, ',', c1, ',', c2, ',', c3) AS per_floor FROM p LEFT JOIN x ON p.key = x.key AND place = 1"
+
+
+@query(_mix_sql().replace("concat(c0, ',', c1, ',', c2, ',', c3) AS per_floor", "CASE WHEN x.key IS NOT NULL THEN concat(c0, ',', c1, ',', c2, ',', c3) END AS per_floor"))
 def max_land_price_opt(t):
-    key = F.col("s_suppkey")
-    projects = t("supplier").select(key.alias("key"), (key % 10 * 50 + 1300.0).alias("land"), (key % 7 * 20 + 500.0).alias("base"), F.lit(750.0).alias("max_coverage"), (key % 4 + 5).alias("floors"), F.lit(60.0).alias("max_units"), F.lit(0.2).alias("common_share"), F.lit(1.2).alias("return"), (key % 3 - 1.0).alias("far"))
-    return economics.best_prices(projects, "key", TYPES)
+    """The best mix of four kinds of units for a project on every part."""
+    key = F.col("p_partkey")
+    projects = t("part").select(key.alias("key"), (key % 10 * 50 + 1300.0).alias("land"), (key % 7 * 20 + 500.0).alias("base"), F.lit(750.0).alias("max_coverage"), (key % 4 + 5).alias("floors"), F.lit(60.0).alias("max_units"), F.lit(0.2).alias("common_share"), F.lit(1.2).alias("return"), (key % 3 - 1.0).alias("far"))
+    found = economics.best_prices(projects, "key", TYPES)
+    return found.select("key", "feasible", *[q6(c).alias(c) for c in ("price", "sales", "util", "common", "parking")], _text("per_floor").alias("per_floor"))
 
 
 @query()

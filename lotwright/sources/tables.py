@@ -5,10 +5,15 @@ A change is a new DataFrame (or table version); nothing is modified row by row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.numbering import numbered
+from ..operators.rounds import drop, keep
+
 
 def simple_query(source: DataFrame, select: list[str] | None = None, where: str | Column | None = None) -> DataFrame:
     out = source if where is None else source.where(where)
@@ -83,15 +88,32 @@ def modify_rows(df: DataFrame, values: dict[str, Column], condition: Column) ->
 
 
 def insert_rows(df: DataFrame, rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """``df`` and the new rows, numbered after the greatest key by ``order``.
+    """``df`` and the new rows, numbered after the greatest key by ``order``, without gaps and without one task for all."""
+    top = df.agg(F.coalesce(F.max(key), F.lit(0))).first()[0]
+    new = numbered(rows.drop(key), order, key, top + 1)
+    return df.unionByName(new.withColumn(key, F.col(key).cast(df.schema[key].dataType)), allowMissingColumns=True)
 
-    ``rows`` is one batch of a user's insertions: its numbering is one sort of
-    those rows alone.
+
+def modify_partitions(spark: SparkSession, path: str, parts: list[str], change, condition: Column) -> int:
+    """Changes rows of the parquet table at ``path``, partitioned by ``parts``; the number of partitions written anew.
+
+    ``change`` takes the rows of all partitions in which some row meets
+    ``condition``, and returns what stands there afterwards. Other partitions
+    aren't read for it, and their files stay as they are. A partition that
+    ``change`` leaves empty keeps its rows: delete it by its folder.
     """
-    top = df.agg(F.coalesce(F.max(key), F.lit(0))).first()[0]
-    number = F.row_number().over(Window.orderBy(*order))
-    new = rows.drop(key).withColumn(key, (number + F.lit(top)).cast(df.schema[key].dataType))
-    return df.unionByName(new, allowMissingColumns=True)
+    table = spark.read.parquet(path)
+    met = keep(table.where(F.coalesce(condition, F.lit(False))).select(*parts).distinct())
+    count = met.count()
+    if count:
+        same = [table[c].eqNullSafe(met[c]) for c in parts]
+        touched = table.join(met, reduce(lambda a, b: a & b, same), "left_semi")
+        # Written aside first: the files that are read are those to be replaced.
+        new = keep(change(touched).select(*table.columns))
+        new.repartition(*parts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+        drop(new)
+    drop(met)
+    return count
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
