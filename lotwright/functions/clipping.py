@@ -187,3 +187,88 @@ def hull(points: Column) -> Column:
     inner = lambda c: F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(0)))
     whole = lambda ps: F.concat(let(chain(ps), inner), let(chain(F.reverse(ps)), inner))
     return let(given, lambda ps: F.when(F.size(ps) < 3, ps).otherwise(whole(ps)))
+
+
+def _triangles(shape: Column) -> Column:
+    """Triangles (counter-clockwise, with a sign) from each ring's first corner: signed, they add up to the shape, whatever its form."""
+
+    def fan(r: Column) -> Column:
+        def one(k: Column) -> Column:
+            t = F.array(F.get(r, F.lit(0)), F.get(r, k), F.get(r, k + 1))
+            area = g.signed_area(t)
+            return F.struct(F.when(area < 0, F.reverse(t)).otherwise(t).alias("t"), F.signum(area).alias("sign"))
+
+        return F.when(F.size(r) > 2, F.transform(F.sequence(F.lit(1), F.greatest(F.size(r) - 2, F.lit(1))), one))
+
+    return F.filter(F.flatten(F.filter(F.transform(shape, fan), lambda x: x.isNotNull())), lambda x: x["sign"] != 0)
+
+
+def common_area(a: Column, b: Column) -> Column:
+    """The area that two shapes share. Their rings don't cross themselves or each other; outer ones run counter-clockwise, holes clockwise."""
+
+    def met(x: Column, others: Column) -> Column:
+        return F.aggregate(others, F.lit(0.0), lambda s, y: s + let(convex_clip(x["t"], y["t"]), g.signed_area) * x["sign"] * y["sign"])
+
+    return let(_triangles(b), lambda others: F.aggregate(_triangles(a), F.lit(0.0), lambda s, x: s + met(x, others)))
+
+
+def union_area(a: Column, b: Column) -> Column:
+    return g.shape_area(a) + g.shape_area(b) - common_area(a, b)
+
+
+def difference_area(a: Column, b: Column) -> Column:
+    return g.shape_area(a) - common_area(a, b)
+
+
+def is_within(a: Column, b: Column, tolerance: float = 0.01) -> Column:
+    """Whether less than ``tolerance`` of a's area lies outside b."""
+    return difference_area(a, b) < tolerance
+
+
+def holds(a: Column, b: Column) -> Column:
+    """Whether any region of a holds any region of b."""
+    return F.exists(a, lambda ra: F.exists(b, lambda rb: is_within(F.array(rb), F.array(ra))))
+
+
+def drop_collinear(r: Column, tolerance: float = 1e-3) -> Column:
+    """Without corners that change the area by less than ``tolerance`` of it, each tested against those still kept."""
+
+    def step(s: Column, _: Column) -> Column:
+        ring, k = s["r"], s["k"]
+        n = F.size(ring)
+        corner = F.array(F.get(ring, F.pmod(k - 1, n)), F.get(ring, k), F.get(ring, F.pmod(k + 1, n)))
+        flat = let(corner, lambda t: F.abs(g.signed_area(t))) <= F.greatest(F.abs(g.signed_area(ring)), F.lit(1e-12)) * tolerance
+        less = F.struct(F.filter(ring, lambda p, i: i != k).alias("r"), F.greatest(k - 1, F.lit(0)).alias("k"))
+        return F.when((n <= 3) | (k >= n), s).when(flat, less).otherwise(F.struct(ring.alias("r"), (k + 1).alias("k")))
+
+    # Every step drops a corner and goes back one at most, or goes on by one.
+    return F.aggregate(F.sequence(F.lit(1), F.size(r) * 3), F.struct(r.alias("r"), F.lit(0).alias("k")), step, lambda s: s["r"])
+
+
+def self_crossings(r: Column) -> Column:
+    """How many pairs of a ring's sides cross that aren't neighbours."""
+
+    def count(lines: Column) -> Column:
+        n = F.size(lines)
+        apart = lambda i, j: (j > i + 1) & ~((i == 0) & (j == n - 1))
+        crosses = lambda x, y: g.segment_distance(x, y) == 0
+        return F.aggregate(F.flatten(F.transform(lines, lambda x, i: F.transform(lines, lambda y, j: F.when(apart(i, j) & crosses(x, y), 1).otherwise(0)))), F.lit(0), lambda s, v: s + v)
+
+    return let(g.sides(r), count)
+
+
+def unique_regions(shape: Column, tolerance: float = 1.0) -> Column:
+    """Without regions that a later one equals: areas and difference under ``tolerance``."""
+
+    def repeated(r: Column, i: Column) -> Column:
+        same = lambda q: (F.abs(F.abs(g.signed_area(r)) - F.abs(g.signed_area(q))) < tolerance) & (difference_area(F.array(r), F.array(q)) < tolerance)
+        return F.exists(F.slice(shape, i + 2, F.size(shape)), same)
+
+    return F.filter(shape, lambda r, i: ~repeated(r, i))
+
+
+def drop_contained(shape: Column) -> Column:
+    """Without regions inside another one; of equal ones the last stays."""
+    larger = lambda q, j, r, i: (F.abs(g.signed_area(q)) > F.abs(g.signed_area(r)) + 1e-9) | ((F.abs(F.abs(g.signed_area(q)) - F.abs(g.signed_area(r))) <= 1e-9) & (j > i))
+    inside = lambda r, i: F.exists(F.transform(shape, lambda q, j: F.when(i != j, larger(q, j, r, i) & is_within(F.array(r), F.array(q))).otherwise(False)), lambda x: x)
+    return F.filter(shape, lambda r, i: ~inside(r, i))

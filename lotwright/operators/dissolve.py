@@ -22,6 +22,15 @@ CELL, GRID = 1000, 0.01
 _ENDS = ["ax", "ay", "bx", "by"]
 
 
+def cells_along(near: float) -> Column:
+    """The cells around points of a side (ax, ay, bx, by) that are half a cell apart: all that hold a point at most ``near`` from it."""
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    steps = F.ceil(F.sqrt((dx * dx + dy * dy).cast("double")) * 2 / CELL) + 1
+    spots = F.transform(F.sequence(F.lit(0).cast("bigint"), steps), lambda k: F.struct((F.col("ax") + dx * k / steps).alias("x"), (F.col("ay") + dy * k / steps).alias("y")))
+    around = lambda p, c: F.sequence(F.floor((p[c] - CELL / 4 - near) / CELL), F.floor((p[c] + CELL / 4 + near) / CELL))
+    return F.array_distinct(F.flatten(F.transform(spots, lambda p: F.flatten(F.transform(around(p, "x"), lambda i: F.transform(around(p, "y"), lambda j: F.struct(i.alias("i"), j.alias("j"))))))))
+
+
 def outline(parts: DataFrame, keys: list[str], shape: str, grid: float = GRID, tolerance: float = 0.02) -> DataFrame:
     """keys and (ax, ay, bx, by): the pieces of each group's outline in units of ``grid``, the group on their left.
 
@@ -35,11 +44,7 @@ def outline(parts: DataFrame, keys: list[str], shape: str, grid: float = GRID, t
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     size = F.sqrt((dx * dx + dy * dy).cast("double"))
     near = tolerance / grid
-    # Cells around points of the side that are half a cell apart.
-    steps = F.ceil(size * 2 / CELL) + 1
-    spots = F.transform(F.sequence(F.lit(0).cast("bigint"), steps), lambda k: F.struct((F.col("ax") + dx * k / steps).alias("x"), (F.col("ay") + dy * k / steps).alias("y")))
-    around = lambda p, c: F.sequence(F.floor((p[c] - CELL / 4 - near) / CELL), F.floor((p[c] + CELL / 4 + near) / CELL))
-    cells = F.array_distinct(F.flatten(F.transform(spots, lambda p: F.flatten(F.transform(around(p, "x"), lambda i: F.transform(around(p, "y"), lambda j: F.struct(i.alias("i"), j.alias("j"))))))))
+    cells = cells_along(near)
     listed = s.select(*keys, *_ENDS, F.explode(cells).alias("_c")).select(*keys, *_ENDS, F.col("_c.i").alias("_cx"), F.col("_c.j").alias("_cy"))
     met = listed.join(corners, [*keys, "_cx", "_cy"])
     at = ((F.col("x") - F.col("ax")) * dx + (F.col("y") - F.col("ay")) * dy) / size
@@ -125,10 +130,15 @@ def rings(parts: DataFrame, keys: list[str], shape: str, grid: float = GRID, tol
     """keys, ring, place, x, y, corner: the outline's points in order, outer rings counter-clockwise, holes clockwise.
 
     ``corner`` tells where the outline bends. A ring may pass a point twice, where
-    holes meet. Groups of any size are spread over
+    holes meet. Groups with a null key are left out. Groups of any size are spread over
     tasks; null shapes and shapes without area add nothing.
     """
-    found = numbered(outline(parts, keys, shape, grid, tolerance), keys)
+    return points_of(outline(parts, keys, shape, grid, tolerance), keys, grid)
+
+
+def points_of(edges: DataFrame, keys: list[str], grid: float = GRID) -> DataFrame:
+    """The points of rings() from the pieces of an outline."""
+    found = numbered(edges, keys)
     before = found.select(*keys, "ring", F.struct("ax", "ay").alias("from"), F.pmod(F.col("place") + 1, F.col("pieces")).alias("place"))
     met = found.join(before, [*keys, "ring", "place"])
     cross = (F.col("ax") - F.col("from.ax")) * (F.col("by") - F.col("ay")) - (F.col("ay") - F.col("from.ay")) * (F.col("bx") - F.col("ax"))

@@ -3,15 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .rounds import drop, keep, shared_folder
 
-#: Lots of a combo at most where all their pairs are listed.
-MOST_LOTS = 64
-
-
 def edges_from_matrix(matrix: DataFrame, row: str, values: str) -> DataFrame:
     """(u, v) with u < v from rows of an adjacency matrix (arrays, places from 1)."""
     each = matrix.select(F.col(row).cast("bigint").alias("u"), F.posexplode(values).alias("v", "on"))
@@ -192,15 +188,21 @@ def combos_to_edges(members: DataFrame, combo: str, lot: str) -> DataFrame:
 
 
 def adjacency_from_combos(members: DataFrame, combo: str, lot: str) -> DataFrame:
-    """(u, v), u < v: pairs of lots that some combo holds, of MOST_LOTS at most (raises beyond)."""
-    size = F.count(F.lit(1)).over(Window.partitionBy(combo))
-    members = members.withColumn("_size", size)
-    small = F.when(F.col("_size") > MOST_LOTS, F.raise_error(F.lit(f"a combo has more than {MOST_LOTS} lots")).cast("boolean")).otherwise(True)
-    members = members.where(small)
-    a, b = members.select(combo, F.col(lot).alias("u")), members.select(combo, F.col(lot).alias("v"))
+    """(u, v), u < v: the pairs of lots that some combo holds, once each. That is what is asked for, so rows grow with the square of a combo's lots; for components take combos_to_edges()."""
+    own = members.select(combo, lot).distinct()
+    a, b = own.select(combo, F.col(lot).alias("u")), own.select(combo, F.col(lot).alias("v"))
     return a.join(b, combo).where("u < v").select("u", "v").distinct()
 
 
+def with_property(df: DataFrame, name: str, value, condition=None) -> DataFrame:
+    """Vertices or edges with a property set (where ``condition`` holds, else as it was or null)."""
+    value = value if isinstance(value, Column) else F.lit(value)
+    if condition is None:
+        return df.withColumn(name, value)
+    before = F.col(name) if name in df.columns else F.lit(None)
+    return df.withColumn(name, F.when(condition, value).otherwise(before))
+
+
 def induced_subgraph(edges: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
     own = nodes.select(F.col(column).alias("_n")).distinct()
     return edges.join(own, edges["u"] == own["_n"], "left_semi").join(own, edges["v"] == own["_n"], "left_semi")

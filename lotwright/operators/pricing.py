@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import graph, numbering
+
 
 def lot_values(c: np.ndarray, area: np.ndarray, combo_value: np.ndarray) -> np.ndarray:
     """Each lot's area times its combos' value by their area."""
@@ -191,3 +193,59 @@ def purchase_probability(members: DataFrame, lots: DataFrame) -> DataFrame:
     own = own.groupBy("location", "combo").agg(F.product("p").alias("_bought"), F.product(rest).alias("_own_rest"), F.sum(certain).alias("_own_certain"))
     met = own.join(every, "location")
     return met.select("location", "combo", F.when(F.col("_certain") > F.col("_own_certain"), 0.0).otherwise(F.col("_bought") * F.col("_rest") / F.col("_own_rest")).alias("probability"))
+
+
+def with_parts(members: DataFrame, keys: list[str]) -> DataFrame:
+    """``members`` with their connected part as ``part``: lots that combos tie together, within each of the keys."""
+    lots = numbering.numbered(members.select(*keys, "lot").distinct(), [*keys, "lot"], "_id", 0)
+    own = members.join(lots, [*keys, "lot"]).withColumn("_combo", F.struct(*keys, "combo"))
+    found = graph.components(graph.combos_to_edges(own.select("_combo", "_id").distinct(), "_combo", "_id"))
+    return own.join(found, own["_id"] == found["vertex"], "left").withColumn("part", F.coalesce("component", "_id")).drop("_combo", "_id", "vertex", "component")
+
+
+def price_limits(members: DataFrame, keys: list[str], d_lots: float = 0.1, d_combos: float = 0.2) -> tuple[DataFrame, DataFrame]:
+    """(keys, lot, market, low, high) and (keys, combo, low, high): bounds() as Columns."""
+    size = members.groupBy(*keys, "combo").agg(F.sum("area").alias("_size"))
+    own = members.join(size, [*keys, "combo"]).groupBy(*keys, "lot").agg(F.max("market").alias("market"), (F.sum("combo_value") / F.sum("_size") * F.max("area")).alias("_value"))
+    lots = own.select(*keys, "lot", "market", (F.least("market", "_value") * (1 - d_lots)).alias("low"), (F.greatest("market", "_value") * (1 + d_lots)).alias("high"))
+    value = F.col("combo_value")
+    combos = members.select(*keys, "combo", "combo_value").distinct().select(*keys, "combo", (value * (1 - d_combos)).alias("low"), (value * (1 + d_combos)).alias("high"))
+    return lots, combos
+
+
+def utilities(members: DataFrame, keys: list[str], bids: DataFrame | None = None, prices: DataFrame | None = None, **deltas) -> DataFrame:
+    """keys and utility: what the bids (keys, lot, price) and the combos' prices (keys, combo, price) are expected to earn.
+
+    Without them both are in the middle of their ranges. Parts that no combo ties
+    together are bought apart, and their utilities added; members has keys, combo,
+    lot, market, area and combo_value, a row for each lot of each combo.
+    """
+    lots, combos = price_limits(members, keys, **deltas)
+    middle = (F.col("low") + F.col("high")) / 2
+    lots = lots.withColumn("price", middle) if bids is None else lots.join(bids, [*keys, "lot"])
+    combos = combos.withColumn("price", middle) if prices is None else combos.join(prices, [*keys, "combo"])
+    own = with_parts(members, keys).select(*keys, "part", "combo", "lot").distinct()
+    lots = own.select(*keys, "part", "lot").distinct().join(lots.withColumn("p", (F.col("price") - F.col("low")) / (F.col("high") - F.col("low"))), [*keys, "lot"])
+    # A combo of the same name in two keys is in two parts, so parts tell them apart.
+    likely = purchase_probability(own.select(F.col("part").alias("location"), "combo", "lot"), lots.select(F.col("part").alias("location"), "lot", "p")).withColumnRenamed("location", "part")
+    paid = own.join(lots.select(*keys, "lot", "market", F.col("price").alias("_paid")), [*keys, "lot"]).groupBy(*keys, "part", "combo").agg(F.sum("_paid").alias("_paid"), F.sum("market").alias("_market"))
+    sold = (F.col("high") - F.col("price")) / (F.col("high") - F.col("low"))
+    gain = (F.col("price") - F.col("_paid")) * sold + (F.col("_market") - F.col("_paid")) * (1 - sold)
+    met = paid.join(combos, [*keys, "combo"]).join(likely, ["part", "combo"])
+    return met.groupBy(*keys).agg(F.sum(gain * F.col("probability")).alias("utility"))
+
+
+def marginal_utilities(members: DataFrame, **deltas) -> DataFrame:
+    """(location, lot, value): the utility in the middle of the ranges of all lots, less that without one lot and its combos.
+
+    Every lot of a location makes a copy of the location's other combos: rows
+    grow with a location's lots times its members. Ranges are taken anew from
+    what is left; where nothing is left the utility is 0.
+    """
+    whole = utilities(members, ["location"], **deltas)
+    lots = members.select("location", F.col("lot").alias("without")).distinct()
+    holding = members.select("location", F.col("lot").alias("without"), "combo").distinct()
+    rest = lots.join(members, "location").join(holding, ["location", "without", "combo"], "left_anti")
+    left = utilities(rest, ["location", "without"], **deltas).withColumnRenamed("utility", "_left")
+    found = lots.join(whole, "location").join(left, ["location", "without"], "left")
+    return found.select("location", F.col("without").alias("lot"), (F.col("utility") - F.coalesce("_left", F.lit(0.0))).alias("value"))

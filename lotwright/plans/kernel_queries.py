@@ -59,9 +59,8 @@ def _squares(t):
 
 @query(f"SELECT s_suppkey AS k, {q(f'25.0 * ({_N} - 1) * {_N}')} AS shared, {q(f'25.0 * ({_N} + 1) * {_N}')} AS whole, {q(f'25.0 * {_N}')} AS rest FROM supplier")
 def turned_overlays(t):
-    s = _squares(t)
-    areas = [g.shape_area(f(F.col("a"), F.col("b"))) for f in (geo_udf.intersection, geo_udf.union, geo_udf.difference)]
-    return s.select("k", *[q6(a).alias(name) for a, name in zip(areas, ("shared", "whole", "rest"), strict=True)])
+    areas = [f(F.col("a"), F.col("b")) for f in (c.common_area, c.union_area, c.difference_area)]
+    return _squares(t).select("k", *[q6(a).alias(name) for a, name in zip(areas, ("shared", "whole", "rest"), strict=True)])
 
 
 @query(f"SELECT s_suppkey AS k, {q(f'25.0 * {_N} * {_N}')} AS hull FROM supplier")
@@ -87,7 +86,7 @@ def collinear_dropped(t):
     n = F.col("n")
     bent = F.array(ring((F.lit(0), F.lit(0)), (n * 3, n * 4), (n, n * 7), (-n, n * 7), (-n * 4, n * 3), (-n * 3, n)))
     straight = F.array(ring((F.lit(0), F.lit(0)), (n * 1.5, n * 2), (n * 3, n * 4), (-n, n * 7), (-n * 2.5, n * 5), (-n * 4, n * 3)))
-    left = lambda r: F.size(F.get(geo_udf.drop_collinear(r), F.lit(0)))
+    left = lambda r: F.size(c.drop_collinear(F.get(r, F.lit(0))))
     return _squares(t).select("k", left(straight).alias("straight"), left(bent).alias("bent"))
 
 
@@ -125,8 +124,8 @@ def shrunk_square(t):
 
 @query(f"SELECT s_suppkey AS k, TRUE AS holds, FALSE AS reversed, FALSE AS partly FROM supplier")
 def turned_contains(t):
-    s = _squares(t).withColumn("inner", geo_udf.offset(F.col("a"), F.lit(-2.5)))
-    return s.select("k", geo_udf.contains(F.col("a"), F.col("inner")).alias("holds"), geo_udf.contains(F.col("inner"), F.col("a")).alias("reversed"), geo_udf.within(F.col("b"), F.col("a")).alias("partly"))
+    s = _squares(t).withColumn("inner", F.array(c.convex_offset(F.get("a", F.lit(0)), F.array_repeat(F.lit(-2.5), 4))))
+    return s.select("k", c.holds(F.col("a"), F.col("inner")).alias("holds"), c.holds(F.col("inner"), F.col("a")).alias("reversed"), c.is_within(F.col("b"), F.col("a")).alias("partly"))
 
 
 @query(f"SELECT s_suppkey AS k, {q(f'150.0 - 5 * {_N}')} AS far, {q('0.0')} AS meets FROM supplier")
@@ -148,7 +147,7 @@ def keyholed_ring(t):
 def self_crossings(t):
     n = F.col("n")
     bow = F.array(ring((F.lit(0), F.lit(0)), (n, n), (n, F.lit(0)), (F.lit(0), n)))
-    return _squares(t).select("k", geo_udf.crossings(bow).alias("bow"), geo_udf.crossings(F.col("a")).alias("plain"))
+    return _squares(t).select("k", c.self_crossings(F.get(bow, F.lit(0))).alias("bow"), c.self_crossings(F.get("a", F.lit(0))).alias("plain"))
 
 
 @query(f"SELECT s_suppkey AS k, {q(f'5.0 * {_N}')} AS inside FROM supplier")
@@ -166,7 +165,7 @@ def region_filters(t):
     n = F.col("n")
     twice = F.array(g.box(0, 0, n * 5, n * 5), g.box(0, 0, n * 5, n * 5), g.box(n * 9, 0, n, n))
     nested = F.array(g.box(0, 0, n * 5, n * 5), g.box(n, n, n, n))
-    return _squares(t).select("k", F.size(geo_udf.unique_regions(twice)).alias("regions"), F.size(geo_udf.drop_contained(nested)).alias("outer_ones"))
+    return _squares(t).select("k", F.size(c.unique_regions(twice)).alias("regions"), F.size(c.drop_contained(nested)).alias("outer_ones"))
 
 
 @query("SELECT s_suppkey AS k, s_suppkey - s_suppkey % 3 AS location FROM supplier")

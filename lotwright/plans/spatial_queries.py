@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import clipping
 from ..functions import geometry as g
 from ..functions.numbers import q6, q6_sql
-from ..operators import borders, capacity, economics, geo_udf, graph, locations, lots, pricing, spatial_join, zoning
+from ..operators import borders, capacity, dissolve, economics, graph, locations, lots, overlay, pricing, spatial_join, zoning
 from ..sources import export
 from . import pipeline
 from .geometry_queries import BOX_SQL, boxes
@@ -107,8 +107,8 @@ SELECT p_brand, {q("sum(greatest(0, e - greatest(x, coalesce(before, x))))")} AS
 """)
 def box_union_area(t):
     rows = t("part").select("p_brand", F.array(g.box((F.col("p_partkey") % 100) * 10, 0, F.col("p_size") + 1, 1)).alias("shape"))
-    merged = geo_udf.dissolve(rows, ["p_brand"], "shape")
-    return merged.select("p_brand", q6(g.shape_area(F.col("shape"))).alias("area"))
+    found = dissolve.measures(dissolve.points_of(overlay.merged(rows, ["p_brand"], "shape"), ["p_brand"]), ["p_brand"])
+    return found.select("p_brand", q6("area").alias("area"))
 
 
 @query("SELECT p_partkey AS combo, CASE WHEN p_partkey = 0 THEN 0 ELSE (p_partkey - 1) // 7 * 7 + 1 END AS location FROM part")
@@ -276,7 +276,23 @@ u AS (SELECT m.location, m.combo, (max(v) - sum(price)) * 0.5 + sum(p.market - p
 
 @query(f"WITH {_MARKET} SELECT u.location, {q('sum(gain * power(0.5, lots))')} AS utility FROM u JOIN n ON n.location = u.location GROUP BY u.location")
 def expected_utility_mid(t):
-    return pricing.optimal_bids(_market(t)).select("location", q6("start_utility").alias("utility"))
+    return pricing.utilities(_market(t), ["location"]).select("location", q6("utility").alias("utility"))
+
+
+_WITHOUT = _MARKET.replace("m AS (SELECT c.*, l.lot, market, area FROM c JOIN l ON l.location = c.location AND l.lot IN (combo, combo + 1))", """m AS (SELECT c.location * 4 + w AS location, combo, v, l.lot, market, area FROM c JOIN l ON l.location = c.location AND l.lot IN (combo, combo + 1), range(0, 4) r(w)
+  WHERE c.location * 4 + w NOT IN (combo, combo + 1))""").replace("ca AS (SELECT combo, sum(area) AS a FROM m GROUP BY combo)", "ca AS (SELECT location, combo, sum(area) AS a FROM m GROUP BY location, combo)").replace("JOIN ca USING (combo) GROUP BY lot)", "JOIN ca USING (location, combo) GROUP BY m.location, lot)").replace("lv AS (SELECT lot, any_value(m.location) AS location,", "lv AS (SELECT lot, m.location,").replace("JOIN p USING (lot)", "JOIN p USING (location, lot)")
+
+
+@query(f"""
+WITH every AS (WITH {_MARKET} SELECT u.location, sum(gain * power(0.5, lots)) AS utility FROM u JOIN n ON n.location = u.location GROUP BY u.location),
+left_over AS (WITH {_WITHOUT} SELECT u.location AS lot, sum(gain * power(0.5, lots)) AS utility FROM u JOIN n ON n.location = u.location GROUP BY u.location)
+SELECT s_suppkey // 4 AS location, s_suppkey AS lot, {q('every.utility - coalesce(left_over.utility, 0)')} AS value
+FROM supplier JOIN every ON every.location = s_suppkey // 4 LEFT JOIN left_over ON left_over.lot = s_suppkey
+""")
+def marginal_lot_value_mid(t):
+    """What each lot and its combos add to the utility in the middle of the price ranges."""
+    found = pricing.marginal_utilities(_market(t))
+    return found.select("location", "lot", q6("value").alias("value"))
 
 
 @query()

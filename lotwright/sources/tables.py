@@ -125,15 +125,15 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
 
-def write_xlsx(df: DataFrame, path: str, rows: int = 100_000) -> None:
-    """One sheet "data" with the column names in row 1; for reports of at most ``rows`` rows."""
+#: Rows of a sheet at most, by the format.
+SHEET_ROWS = 1_048_576
+
+
+def write_xlsx(df: DataFrame, path: str) -> None:
+    """One sheet "data" with the column names in row 1, written row by row as partitions arrive; raises beyond what a sheet holds."""
     import zipfile
     from xml.sax.saxutils import escape
 
-    found = df.limit(rows + 1).collect()
-    if len(found) > rows:
-        raise ValueError(f"more than {rows} rows")
-
     def cell(v) -> str:
         if v is None:
             return "<c/>"
@@ -141,7 +141,13 @@ def write_xlsx(df: DataFrame, path: str, rows: int = 100_000) -> None:
             return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
         return f"<c><v>{v!r}</v></c>"
 
-    lines = "".join(f"<row>{''.join(map(cell, r))}</row>" for r in [df.columns, *found])
+    def lines():
+        yield df.columns
+        for n, r in enumerate(df.toLocalIterator(), 2):
+            if n > SHEET_ROWS:
+                raise ValueError(f"more than {SHEET_ROWS} rows")
+            yield r
+
     main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
     office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     package = "http://schemas.openxmlformats.org/package/2006"
@@ -151,4 +157,8 @@ def write_xlsx(df: DataFrame, path: str, rows: int = 100_000) -> None:
         z.writestr("_rels/.rels", f'{head}<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
         z.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{main}" xmlns:r="{office}"><sheets><sheet name="data" sheetId="1" r:id="r1"/></sheets></workbook>')
         z.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{office}/worksheet" Target="sheet1.xml"/></Relationships>')
-        z.writestr("xl/sheet1.xml", f'{head}<worksheet xmlns="{main}"><sheetData>{lines}</sheetData></worksheet>')
+        with z.open("xl/sheet1.xml", "w", force_zip64=True) as sheet:
+            sheet.write(f'{head}<worksheet xmlns="{main}"><sheetData>'.encode())
+            for r in lines():
+                sheet.write(f"<row>{''.join(map(cell, r))}</row>".encode())
+            sheet.write(b"</sheetData></worksheet>")

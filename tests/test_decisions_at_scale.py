@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lotwright.operators import capacity, economics, graph, locations, lots, numbering, relational
+from lotwright.operators import capacity, economics, graph, locations, lots, numbering, pricing, relational
 from lotwright.plans import pipeline
 from lotwright.sources import tables
 from tests.test_decisions import PROJECT, TYPES
@@ -182,3 +182,41 @@ def test_outlines_of_locations(spark):
     assert sorted(len(r) for r in got[2]) == [4, 4]
     found = locations.regions(members.join(parcels, "lot"), ["location"], "shape").collect()
     assert {r.location: (r.regions, r.one_region, round(r.area, 6)) for r in found} == {1: (1, True, 300.0), 2: (2, False, 200.0)}
+
+
+def test_utilities_equal_the_matrix_form(spark):
+    rng, rows, want, marginal = random.Random(8), [], {}, {}
+    for place in range(8):
+        n = rng.randint(2, 5)
+        market, area = [rng.uniform(50, 90) for _ in range(n)], [rng.uniform(10, 20) for _ in range(n)]
+        combos = sorted({tuple(sorted(rng.sample(range(n), rng.randint(1, 2)))) for _ in range(rng.randint(1, 4))})
+        value = [rng.uniform(90, 200) for _ in combos]
+        # Combos have the same numbers at every location, lots too.
+        rows += [(place, k, lot, market[lot], area[lot], value[k]) for k, cs in enumerate(combos) for lot in cs]
+        used = sorted({lot for cs in combos for lot in cs})
+        c = np.array([[int(lot in cs) for lot in used] for cs in combos])
+        m, a, v = np.array([market[k] for k in used]), np.array([area[k] for k in used]), np.array(value)
+        want[place] = pricing.start_utility(c, m, a, v)
+        for j, lot in enumerate(used):
+            left = c[:, j] == 0
+            still = c[left].sum(axis=0) > 0
+            rest = pricing.start_utility(c[left][:, still], m[still], a[still], v[left]) if left.any() else 0.0
+            marginal[place, lot] = want[place] - rest
+    df = spark.createDataFrame(rows, "location bigint, combo bigint, lot bigint, market double, area double, combo_value double")
+    assert {r.location: r.utility for r in pricing.utilities(df, ["location"]).collect()} == pytest.approx(want)
+    assert {(r.location, r.lot): r.value for r in pricing.marginal_utilities(df).collect()} == pytest.approx(marginal)
+    one = df.where("location = 0")
+    bids = one.select("location", "lot", F.col("market").alias("price")).distinct()
+    lots_, combos_ = pricing.price_limits(one, ["location"])
+    prices = combos_.select("location", "combo", F.col("low").alias("price"))
+    got = pricing.utilities(one, ["location"], bids, prices).first().utility
+    own = [r for r in rows if r[0] == 0]
+    used, names = sorted({r[2] for r in own}), sorted({r[1] for r in own})
+    c = np.array([[int(any(r[1] == k and r[2] == lot for r in own)) for lot in used] for k in names])
+    m, a, v = (np.array([next(r[i] for r in own if r[j] == x) for x in xs]) for i, j, xs in ((3, 2, used), (4, 2, used), (5, 1, names)))
+    total = 0.0
+    for rr, cc in pricing.blocks_of(c):
+        part = c[np.ix_(rr, cc)].astype(float)
+        limits = pricing.bounds(part, m[cc], a[cc], v[rr], 0.1, 0.2)
+        total += pricing.expected_utility(m[cc], limits[2], part, m[cc], limits)
+    assert got == pytest.approx(total)

@@ -3,12 +3,13 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lotwright.functions import clipping as c
 from lotwright.functions import geometry as g
-from lotwright.operators import borders, dissolve, hulls, spatial_join, streets
+from lotwright.operators import borders, dissolve, hulls, kernel, overlay, spatial_join, streets
 
 
 def plan(df):
@@ -154,7 +155,7 @@ def test_bounds_of_all_sizes(spark):
 
 
 def star(rng, x, y, r, n=24):
-    return [(x + r * rng.uniform(0.4, 1) * math.cos(2 * math.pi * k / n), y + r * rng.uniform(0.4, 1) * math.sin(2 * math.pi * k / n)) for k in range(n)]
+    return [(x + k * math.cos(2 * math.pi * i / n), y + k * math.sin(2 * math.pi * i / n)) for i, k in enumerate(r * rng.uniform(0.4, 1) for _ in range(n))]
 
 
 def inside(ring, p):
@@ -264,3 +265,63 @@ def test_offsets_of_convex_rings(spark):
     chords = 6 * 6 * 0.5 * math.sin(math.pi / 18)
     strip = 5.0 * 2 + 2 * 2 / math.sqrt(3)
     assert list(got) == pytest.approx([grown(1), grown(-1), grown(-4), 0.0, area * 0.3, area + 6 * side + chords, area / 2, area - strip])
+
+
+def test_overlays_of_any_form(spark):
+    rng, rows = random.Random(11), []
+    for k in range(18):
+        a, b = [star(rng, 0, 0, 50, rng.randint(5, 14))], [star(rng, rng.uniform(-30, 30), rng.uniform(-30, 30), rng.choice([8, 40]), rng.randint(4, 12))]
+        if k % 5 == 0:
+            # A hole, and sides that both shapes share.
+            b = [[(-20.0, -20.0), (25.0, -20.0), (25.0, 22.0), (-20.0, 22.0)], [(-5.0, -5.0), (-5.0, 6.0), (7.0, 6.0), (7.0, -5.0)]]
+        if k % 6 == 1:
+            b = a
+        if k % 6 == 2:
+            a, b = [[(0.0, 0.0), (30.0, 0.0), (30.0, 20.0), (0.0, 20.0)]], [[(10.0, 20.0), (20.0, 20.0), (20.0, 30.0), (10.0, 30.0)]]
+        if k % 6 == 3:
+            b = [[(x + 500.0, y) for x, y in a[0]]]
+        rows.append((k, a, b))
+    df = spark.createDataFrame(rows, f"k int, a {g.SHAPE}, b {g.SHAPE}")
+    a, b = F.col("a"), F.col("b")
+    areas = {r.k: r for r in df.select("k", c.common_area(a, b).alias("intersection"), c.union_area(a, b).alias("union"), c.difference_area(a, b).alias("difference")).collect()}
+    plain = {"intersection": kernel.intersection, "union": lambda x, y: kernel.union([x, y]), "difference": kernel.difference}
+    for kind, f in plain.items():
+        found = overlay.rings(df, ["k"], "a", "b", kind)
+        got = {r.k: r for r in dissolve.measures(found, ["k"]).collect()}
+        for k, x, y in rows:
+            want = f(*[[np.array(r) for r in s] for s in (x, y)])
+            area = sum(kernel.ring_area(r) for r in want)
+            # Both work on a grid of 1 cm; the Column's area doesn't.
+            assert areas[k][kind] == pytest.approx(area, abs=2)
+            assert (got[k].area if k in got else 0.0) == pytest.approx(area, abs=2)
+            assert (got[k].rings if k in got else 0) == len(want)
+    with pytest.raises(ValueError, match="unknown kind"):
+        overlay.overlay(df, ["k"], "a", "b", "xor")
+
+
+def test_tests_of_regions(spark):
+    square, inner, far = [(0.0, 0.0), (9.0, 0.0), (9.0, 9.0), (0.0, 9.0)], [(1.0, 1.0), (2.0, 1.0), (2.0, 2.0), (1.0, 2.0)], [(20.0, 0.0), (21.0, 0.0), (21.0, 1.0)]
+    df = spark.createDataFrame([([square, inner, square, far],)], f"s {g.SHAPE}")
+    r = df.select(c.unique_regions(F.col("s")).alias("u"), c.drop_contained(F.col("s")).alias("d"), c.holds(F.slice("s", 1, 1), F.slice("s", 2, 1)).alias("h"), c.holds(F.slice("s", 2, 1), F.slice("s", 1, 1)).alias("n"), c.self_crossings(F.get("s", F.lit(0))).alias("x")).first()
+    back = lambda s: [[(p.x, p.y) for p in ring] for ring in s]
+    assert back(r.u) == [inner, square, far] and back(r.d) == [square, far]
+    assert (r.h, r.n, r.x) == (True, False, 0)
+    rng = random.Random(12)
+    rings = [[(float(rng.randrange(9)), float(rng.randrange(9))) for _ in range(rng.randint(3, 9))] for _ in range(20)]
+    thin = spark.createDataFrame([(r,) for r in rings], f"r {g.RING}").select("r", c.drop_collinear(F.col("r")).alias("t")).collect()
+    assert all([(p.x, p.y) for p in x.t] == [tuple(p) for p in kernel.drop_collinear(np.array([(p.x, p.y) for p in x.r]))] for x in thin)
+
+
+def test_unions_of_groups_that_overlap(spark):
+    rng, rows, want = random.Random(13), [], {}
+    for place in range(4):
+        stars = [star(rng, rng.uniform(-60, 60), rng.uniform(-60, 60), rng.uniform(5, 40), rng.randint(4, 9)) for _ in range(9)]
+        stars += [stars[0], [(200.0, 0.0), (210.0, 0.0), (210.0, 10.0), (200.0, 10.0)], [(210.0, 2.0), (215.0, 2.0), (215.0, 10.0), (210.0, 10.0)]]
+        rows += [(place, [r[::-1] if k % 2 else r]) for k, r in enumerate(stars)]
+        want[place] = kernel.union([[np.array(r)] for r in stars])
+    found = overlay.merged(spark.createDataFrame([*rows, (None, rows[0][1]), (1, None)], f"k int, s {g.SHAPE}"), ["k"], "s")
+    got = {r.k: r for r in dissolve.measures(dissolve.points_of(found, ["k"]), ["k"]).collect()}
+    assert got.keys() == want.keys()
+    for k, rings in want.items():
+        assert got[k].area == pytest.approx(sum(kernel.ring_area(r) for r in rings), abs=4)
+        assert got[k].rings - got[k].holes == sum(kernel.ring_area(r) > 0 for r in rings)
