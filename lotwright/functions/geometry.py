@@ -370,6 +370,12 @@ def from_wkt(text: Column) -> Column:
     return F.transform(outer, lambda t: F.when(closed(points(t)), F.slice(points(t), 1, F.size(points(t)) - 1)).otherwise(points(t)))
 
 
+def lines_from_wkt(text: Column) -> Column:
+    """The lines of a (multi)line's text as arrays of points, without heights; closed ones keep their last point."""
+    points = lambda t: F.transform(F.split(F.trim(t), r"\s*,\s*"), lambda c: point(F.element_at(F.split(c, r"\s+"), 1).cast("double"), F.element_at(F.split(c, r"\s+"), 2).cast("double")))
+    return F.transform(F.regexp_extract_all(text, F.lit(r"\(([^()]+)\)"), 1), points)
+
+
 def to_wkt(r: Column) -> Column:
     texts = F.transform(F.concat(r, F.slice(r, 1, 1)), lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string")))
     return F.concat(F.lit("POLYGON (("), F.array_join(texts, ", "), F.lit("))"))

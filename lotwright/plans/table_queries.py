@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import geometry as g
 from ..functions.numbers import q6, q6_sql
 from ..operators import capacity, economics, relational
 from ..operators.rounds import shared_folder
@@ -80,3 +81,27 @@ def costs_from_a_file(spark, t):
     own = economics.with_costs(t("part"), row)
     area = F.col("p_size") * 10 + 100
     return own.select("p_partkey", q6(area * (F.col("costs.slab_above") + F.col("costs.architecture")) + F.col("costs.sales_room")).alias("cost"))
+
+
+@query(f"SELECT p_partkey AS k, CASE WHEN p_size % 2 = 0 THEN 1 ELSE 2 END AS lines, CASE WHEN p_size % 2 = 0 THEN 3 ELSE 5 END AS points, {q6_sql('p_size + 10.0 + CASE WHEN p_size % 2 = 0 THEN 0 ELSE 5 END')} AS length FROM part")
+def street_texts(spark, t):
+    """Lines and multiple lines read from text, some of them with heights."""
+    size, x = F.col("p_size"), F.col("p_partkey") % 1000
+    at = lambda dx, dy: F.concat_ws(" ", (x + dx).cast("string"), dy.cast("string"))
+    first = F.concat(at(F.lit(0), F.lit(0)), F.lit(", "), at(size, F.lit(0)), F.lit(","), at(size, F.lit(10)))
+    tall = F.concat(at(F.lit(0), F.lit(7)), F.lit(" 12.5, "), at(F.lit(3), F.lit(11)), F.lit(" 13"))
+    text = F.when(size % 2 == 0, F.concat(F.lit("LINESTRING ("), first, F.lit(")"))).otherwise(F.concat(F.lit("MULTILINESTRING Z (("), F.regexp_replace(first, ",", " 4,"), F.lit(" 4), ("), tall, F.lit("))")))
+    lines = t("part").select(F.col("p_partkey").alias("k"), g.lines_from_wkt(text).alias("l"))
+    each = F.flatten(F.transform("l", lambda r: F.zip_with(r, F.slice(r, 2, F.size(r)), lambda a, b: F.when(b.isNotNull(), g.distance(a, b)).otherwise(0.0))))
+    return lines.select("k", F.size("l").alias("lines"), F.size(F.flatten("l")).alias("points"), q6(F.aggregate(each, F.lit(0.0), lambda s, v: s + v)).alias("length"))
+
+
+@query("SELECT s_suppkey AS rol, TRY_CAST(CASE WHEN s_suppkey % 7 = 0 THEN 'n/a' ELSE CAST(s_suppkey * 2 AS VARCHAR) END AS DOUBLE) AS price, s_name AS owner FROM supplier WHERE s_suppkey % 11 <> 0")
+def valuations_from_a_file(spark, t):
+    """A CSV file under its own headers, loaded under the table's names and types; rows without an id are left out."""
+    path = f"{shared_folder(spark)}/valuations"
+    key = F.col("s_suppkey")
+    raw = t("supplier").select(F.when(key % 11 == 0, F.lit(None)).otherwise(key.cast("string")).alias("Rol"), F.when(key % 7 == 0, "n/a").otherwise((key * 2).cast("string")).alias("Precio"), F.col("s_name").alias("Dueno"))
+    tables.write_csv(raw, path)
+    read = tables.read_csv(spark, path, "Rol string, Precio string, Dueno string")
+    return tables.typed(read, {"rol": ("Rol", "bigint"), "price": ("Precio", "double"), "owner": ("Dueno", "string")}).where("rol IS NOT NULL")

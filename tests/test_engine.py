@@ -102,3 +102,43 @@ def test_pipeline_stages(spark):
     found = pipeline.bid(located.join(prices.select("lot", F.col("price").alias("market"), F.lit(900.0).alias("area")), "lot"), compared)
     r = found.first()
     assert r.utility >= r.start_utility
+
+
+def test_database_queries_in_ranges(spark):
+    """Against the database that Spark brings along, in memory."""
+    url = "jdbc:derby:memory:lots;create=true"
+    driver = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    rows = spark.range(50).select(F.col("id").alias("LOT"), (F.col("id") * 2.5).alias("AREA"))
+    rows.write.jdbc(url, "LOTS", mode="overwrite", properties=driver)
+    text = "SELECT LOT, AREA FROM LOTS WHERE LOT >= 10"
+    whole = tables.read_jdbc(spark, url, text, "app", "app", **driver)
+    parts = tables.read_jdbc(spark, url, text, "app", "app", key="LOT", bounds=(10, 50), parts=4, **driver)
+    want = [(k, k * 2.5) for k in range(10, 50)]
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect())) == want
+    assert parts.rdd.getNumPartitions() == 4
+
+
+def test_files_on_another_file_system(spark, tmp_path):
+    """Paths go through Hadoop's file systems: one that is mounted serves like the local one."""
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.lots.link./in", f"file://{tmp_path}")
+    path = "viewfs://lots/in/prices"
+    tables.write_csv(spark.createDataFrame([(1, "a"), (2, None)], "id int, name string"), path)
+    assert sorted(map(tuple, tables.read_csv(spark, path, "id int, name string").collect())) == [(1, "a"), (2, None)]
+    assert list((tmp_path / "prices").glob("*.csv"))
+
+
+def test_sheets_are_written_row_by_row(spark, tmp_path, monkeypatch):
+    path = tmp_path / "a.xlsx"
+    tables.write_xlsx(spark.range(300).selectExpr("id", "concat('<', id, '>') AS name", "CAST(NULL AS DOUBLE) AS gone").repartition(3), str(path))
+    text = zipfile.ZipFile(path).read("xl/sheet1.xml").decode()
+    assert text.count("<row>") == 301 and "&lt;7&gt;" in text and text.endswith("</sheetData></worksheet>")
+    monkeypatch.setattr(tables, "SHEET_ROWS", 10)
+    with pytest.raises(ValueError, match="more than 10 rows"):
+        tables.write_xlsx(spark.range(20), str(path))
+
+
+def test_properties_are_set(spark):
+    edges = spark.createDataFrame([(1, 2, 0.5), (2, 3, 1.5)], "u int, v int, shared double")
+    got = graph.with_property(graph.with_property(edges, "kind", "wall", F.col("shared") > 1), "shared", 2.0, F.col("u") == 1)
+    assert sorted(map(tuple, got.collect())) == [(1, 2, 2.0, None), (2, 3, 1.5, "wall")]
+    assert [r.n for r in graph.with_property(edges, "n", 7).collect()] == [7, 7]
