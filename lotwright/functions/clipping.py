@@ -272,3 +272,98 @@ def drop_contained(shape: Column) -> Column:
     larger = lambda q, j, r, i: (F.abs(g.signed_area(q)) > F.abs(g.signed_area(r)) + 1e-9) | ((F.abs(F.abs(g.signed_area(q)) - F.abs(g.signed_area(r))) <= 1e-9) & (j > i))
     inside = lambda r, i: F.exists(F.transform(shape, lambda q, j: F.when(i != j, larger(q, j, r, i) & is_within(F.array(r), F.array(q))).otherwise(False)), lambda x: x)
     return F.filter(shape, lambda r, i: ~inside(r, i))
+
+
+def simplify(r: Column, tolerance: float = 0.05) -> Column:
+    """Douglas-Peucker from the first corner and the one farthest from it; counter-clockwise. Rings that would vanish stay as they are."""
+
+    def thin(closed: Column) -> Column:
+        farthest = F.array_max(F.transform(closed, lambda p, i: F.struct(g.distance(p, F.get(closed, F.lit(0))).alias("d"), (-i).alias("i"))))
+        span = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+        start = let(-farthest["i"], lambda k: F.struct(F.array(span(F.lit(0), k), span(k, F.size(closed) - 1)).alias("open"), F.array(F.lit(0), k.cast("int")).alias("kept")))
+
+        def step(s: Column, _: Column) -> Column:
+            last = F.get(s["open"], F.size(s["open"]) - 1)
+            rest = F.slice(s["open"], 1, F.greatest(F.size(s["open"]) - 1, F.lit(0)))
+
+            def split(x: Column) -> Column:
+                line = g.line(F.get(closed, x["i"]), F.get(closed, x["j"]))
+                gap = lambda k: let(F.get(closed, k), lambda p: let(g.project_point(p, line), lambda q: g.distance(p, q)))
+                best = F.array_max(F.transform(F.sequence(x["i"] + 1, F.greatest(x["j"] - 1, x["i"] + 1)), lambda k: F.struct(gap(k).alias("d"), (-k).alias("k"))))
+
+                def at(b: Column) -> Column:
+                    k = -b["k"]
+                    more = F.struct(F.concat(rest, F.array(span(x["i"], k), span(k, x["j"]))).alias("open"), F.concat(s["kept"], F.array(k)).alias("kept"))
+                    return F.when((x["j"] - x["i"] > 1) & (b["d"] > tolerance), more).otherwise(F.struct(rest.alias("open"), s["kept"].alias("kept")))
+
+                return let(best, at)
+
+            return F.when(F.size(s["open"]) == 0, s).otherwise(let(last, split))
+
+        kept = F.aggregate(F.sequence(F.lit(1), F.size(closed) * 2 + 2), start, step, lambda s: F.array_distinct(F.array_sort(F.filter(s["kept"], lambda k: k < F.size(closed) - 1))))
+        return F.transform(kept, lambda k: F.get(closed, k))
+
+    return let(let(F.concat(r, F.slice(r, 1, 1)), thin), lambda t: g.with_orientation(F.when(F.size(t) >= 3, t).otherwise(r)))
+
+
+def best_rectangle(r: Column, width, steps: int = 90, reach: float = 1000.0) -> Column:
+    """The angle in [0, pi) and length of the longest rectangle of ``width`` through the middle of the corners inside a ring of any form, of ``steps`` angles; ties go to the smallest."""
+    width = F.lit(width)
+    mean = lambda c: F.aggregate(r, F.lit(0.0), lambda s, p: s + p[c]) / F.size(r)
+    middle = g.point(mean("x"), mean("y"))
+
+    def end(base: Column, ux: Column, uy: Column) -> Column:
+        """How far one goes from a point inside."""
+        spans = spans_near(g.line(base, g.point(base["x"] + ux * reach, base["y"] + uy * reach)), r, 0.0)
+        return let(spans, lambda s: F.when((F.size(s) > 0) & (F.get(s, F.lit(0))["low"] < 1e-6), F.get(s, F.lit(0))["high"]).otherwise(0.0))
+
+    def along(m: Column, a: Column) -> Column:
+        offsets = F.array(*[F.lit(k / 4 - 0.5) for k in range(5)])
+        base = lambda k: g.point(m["x"] - F.sin(a) * width * k, m["y"] + F.cos(a) * width * k)
+        ends = lambda w: F.array_min(F.transform(offsets, lambda k: let(base(k), lambda p: end(p, F.cos(a) * w, F.sin(a) * w))))
+        return F.struct((ends(1) + ends(-1)).alias("length"), (-a).alias("back"), a.alias("angle"))
+
+    found = let(middle, lambda m: F.array_max(F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda k: let(k * (math.pi / steps), lambda a: along(m, a)))))
+    return F.struct(found["angle"].alias("angle"), found["length"].alias("length"))
+
+
+def ring_from_lines(lines: Column, reach: float = 1.0) -> Column:
+    """The ring whose sides lie on consecutive lines: corners where neighbours meet, or between them where that is far off."""
+    before = F.concat(F.slice(lines, -1, 1), F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0))))
+
+    def corner(p: Column, q: Column) -> Column:
+        a, b, c, d = F.get(p, F.lit(0)), F.get(p, F.lit(1)), F.get(q, F.lit(0)), F.get(q, F.lit(1))
+        den = (b["x"] - a["x"]) * (d["y"] - c["y"]) - (b["y"] - a["y"]) * (d["x"] - c["x"])
+        t = ((c["x"] - a["x"]) * (d["y"] - c["y"]) - (c["y"] - a["y"]) * (d["x"] - c["x"])) / F.nullif(den, F.lit(0.0))
+        met = F.when(F.abs(den) > 1e-12, g.point(a["x"] + (b["x"] - a["x"]) * t, a["y"] + (b["y"] - a["y"]) * t)).otherwise(b)
+        between = g.point((b["x"] + c["x"]) / 2, (b["y"] + c["y"]) / 2)
+        return let(met, lambda m: F.when(g.distance(m, b) <= reach + g.distance(a, b), m).otherwise(between))
+
+    return F.zip_with(before, lines, corner)
+
+
+def prism_faces(slices: Column, near: float = 5.0) -> Column:
+    """The faces (arrays of x, y, z) between consecutive slices of an array of (height, ring): parallel sides at most ``near`` apart are joined, the top closed."""
+    high = lambda p, z: F.struct(p["x"].alias("x"), p["y"].alias("y"), z.alias("z"))
+
+    def between(low: Column, up: Column) -> Column:
+        def face(side: Column) -> Column:
+            a, b = F.get(side, F.lit(0)), F.get(side, F.lit(1))
+            dx, dy, n = b["x"] - a["x"], b["y"] - a["y"], g.line_length(side)
+
+            def one(other: Column) -> Column:
+                c, d = F.get(other, F.lit(0)), F.get(other, F.lit(1))
+                mx, my = (c["x"] + d["x"]) / 2 - a["x"], (c["y"] + d["y"]) / 2 - a["y"]
+                turn = F.abs(dx * (d["y"] - c["y"]) - dy * (d["x"] - c["x"])) / (n * g.line_length(other))
+                gap = F.abs(dx * my - dy * mx) / n
+                return F.when((turn < g.PARALLEL) & (gap <= near), F.struct(gap.alias("gap"), other.alias("other")))
+
+            best = F.array_min(F.filter(F.transform(g.sides(up["ring"]), one), lambda x: x.isNotNull()))
+            quad = lambda x: F.array(high(a, low["height"]), high(b, low["height"]), high(F.get(x["other"], F.lit(1)), up["height"]), high(F.get(x["other"], F.lit(0)), up["height"]))
+            return let(best, lambda x: F.when(x.isNotNull(), quad(x)))
+
+        return F.filter(F.transform(g.sides(low["ring"]), face), lambda f: f.isNotNull())
+
+    pairs = F.zip_with(slices, F.slice(slices, 2, F.size(slices)), lambda a, b: F.when(b.isNotNull(), between(a, b)))
+    top = let(F.get(slices, F.size(slices) - 1), lambda t: F.transform(t["ring"], lambda p: high(p, t["height"])))
+    return F.concat(F.flatten(F.filter(pairs, lambda x: x.isNotNull())), F.array(top))

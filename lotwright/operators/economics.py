@@ -2,12 +2,11 @@
 
 For a mix of units every cost but the land's is known, and the required return
 is linear in the price: the best price of a mix has a closed form. Mixes are
-counted per floor and enumerated with pruning, so the optimum is exact.
+counted per floor, every allowed one is a row, so the optimum is exact.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,94 +50,6 @@ SPREAD, LARGE_UNIT = 2.5, 140.0
 _PER_SALE = ("marketing", "management", "legal", "after_sales", "insurance", "presale_insurance", "other_sales", "contingency")
 
 
-def parking(units_parking: float, visitor_share: float = 0.15, bikes: float = 0.5, per_space: float = 3.0) -> float:
-    """The spaces to sell: one for each unit's need, or the normal ones less the bicycles' discount and the visitors'."""
-    normal = units_parking * (1 + visitor_share)
-    return max(units_parking, normal - normal * bikes / per_space - units_parking * visitor_share)
-
-
-def disabled_parking(dwellings: float) -> float:
-    for most, spaces in ((20, 1), (50, 2), (200, 3), (400, 4), (500, 5)):
-        if dwellings <= most:
-            return float(spaces)
-    return 0.01 * dwellings
-
-
-def evaluate(units: np.ndarray, types: dict[str, np.ndarray], project: dict, costs: dict | None = None) -> dict:
-    """Areas, sales, the costs without land, and the best land price a square metre of one mix."""
-    c = UNIT_COSTS | (costs or {})
-    total = lambda name: float(units @ types[name])
-    land, base, floors = project["land"], project["base"], project["floors"]
-    above = base * (floors - 1) + min(base, project["max_coverage"])
-    spaces, stores = parking(total("parking")), total("storage")
-    below = 30.0 * spaces + 5.0 * stores
-    util, sales = total("util"), total("price")
-    common = above - total("terrace") - total("interior")
-    build = c["slab_above"] * above + c["slab_below"] * below + c["inspection"] * c["duration"]
-    per_sale = sum(c[n] for n in _PER_SALE)
-    rest = (
-        c["demolition"] * land
-        + build * (1 + c["financing"])
-        + c["architecture"] * util
-        + (c["structure"] + c["specialties"]) * (above + below)
-        + (c["soil"] + c["topography"]) * land
-        + c["connections"] * float(units.sum())
-        + c["permits"]
-        + per_sale * sales
-        + c["sales_room"]
-        + c["accounting"] * c["duration"]
-        + VAT / (1 + VAT) * sales
-    )
-    per_price = land * (1 - VAT + c["commission"] + c["other_land"])
-    return {"units": float(units.sum()), "util": util, "common": common, "parking": spaces, "storage": stores, "above": above, "below": below, "sales": sales, "rest": rest, "per_price": per_price, "price": (sales / project["return"] - rest) / per_price}
-
-
-def total_cost(found: dict, price: float) -> float:
-    return found["rest"] + found["per_price"] * price
-
-
-def allowed(units: np.ndarray, types: dict[str, np.ndarray], project: dict, found: dict) -> bool:
-    used = types["util"][units > 0]
-    return bool(
-        units.sum() <= project["max_units"] + 1e-9
-        and found["common"] >= found["util"] * project["common_share"] - 1e-9
-        and (not len(used) or used.max() <= SPREAD * used.min() + 1e-9)
-        and (project.get("far", 1.0) > 0 or not (used >= LARGE_UNIT).any())
-    )
-
-
-def best_mix(types: dict[str, np.ndarray], project: dict, costs: dict | None = None) -> dict | None:
-    """The allowed mix of the greatest non-negative price, ties to the first in order of counts; None if there is none."""
-    types = {k: np.asarray(v, float) for k, v in types.items()}
-    n, factor = len(types["util"]), project["floors"] - 1
-    above = project["base"] * factor + min(project["base"], project["max_coverage"])
-    # What a floor's units take of the slab: their own area and the common share.
-    need = (types["terrace"] + types["interior"] + project["common_share"] * types["util"]) * factor
-    best = None
-    counts = np.zeros(n, int)
-
-    def go(k: int, area: float, units: int) -> None:
-        nonlocal best
-        if k == n:
-            own = counts * factor
-            found = evaluate(own.astype(float), types, project, costs)
-            if found["price"] >= 0 and allowed(own, types, project, found) and (best is None or found["price"] > best["price"] + 1e-12):
-                best = found | {"per_floor": counts.tolist(), "mix": own.tolist()}
-            return
-        used = types["util"][:k][counts[:k] > 0]
-        while True:
-            go(k + 1, area, units)
-            counts[k] += 1
-            area, units = area + need[k], units + factor
-            sizes = np.append(used, types["util"][k])
-            if factor < 1 or area > above + 1e-9 or units > project["max_units"] + 1e-9 or sizes.max() > SPREAD * sizes.min() + 1e-9 or project.get("far", 1.0) <= 0 and types["util"][k] >= LARGE_UNIT:
-                break
-        counts[k] = 0
-
-    go(0, 0.0, 0)
-    return best
-
-
 def cost_table(spark: SparkSession, changed: dict[str, float]) -> DataFrame:
     """COSTS with the default unit costs, some of them changed."""
     return spark.createDataFrame([(k, float(v)) for k, v in (UNIT_COSTS | changed).items()], COSTS)
@@ -163,11 +74,20 @@ def price_of_mix(sales: Column, rest: Column, land: Column, required: float, cos
 
 
 def parking_spaces(units_parking: Column, visitor_share: float = 0.15, bikes: float = 0.5, per_space: float = 3.0) -> Column:
-    """parking() as a Column."""
+    """The spaces to sell: one for each unit's need, or the normal ones less the bicycles' discount and the visitors'."""
     normal = units_parking * (1 + visitor_share)
     return F.greatest(units_parking, normal - normal * bikes / per_space - units_parking * visitor_share)
 
 
+def disabled_spaces(dwellings: Column) -> Column:
+    """Parking spaces for disabled people among so many dwellings; the steps are fixed values."""
+    steps = ((20, 1), (50, 2), (200, 3), (400, 4), (500, 5))
+    found = F.when(dwellings <= steps[0][0], float(steps[0][1]))
+    for most, spaces in steps[1:]:
+        found = found.when(dwellings <= most, float(spaces))
+    return found.otherwise(dwellings * 0.01)
+
+
 def mixes(projects: DataFrame, types: dict[str, list[float]]) -> DataFrame:
     """``projects`` (land, base, max_coverage, floors, max_units, common_share, return, far) once for each allowed mix, its units of a floor as c0, c1, ...
 
@@ -193,7 +113,7 @@ def mixes(projects: DataFrame, types: dict[str, list[float]]) -> DataFrame:
 
 
 def priced_mixes(each: DataFrame, types: dict[str, list[float]], costs: dict | None = None) -> DataFrame:
-    """mixes() with util, common, parking, sales, and the price that is best for each; evaluate() as Columns."""
+    """mixes() with util, common, parking, sales, and the price that is best for each."""
     c = UNIT_COSTS | (costs or {})
     counts = [F.col(f"c{k}") for k in range(len(types["util"]))]
     total = lambda name: sum((n * float(v) for n, v in zip(counts[1:], types[name][1:], strict=True)), counts[0] * float(types[name][0])) * F.col("_factor")

@@ -15,39 +15,6 @@ NO_COMBOS, NO_SOLUTION, FAILED = -333333, -222222, -999999
 BITS = 62
 
 
-def strategic(combos: list[int], lots: int) -> int | None:
-    """The smallest set of lots (as bits) that meets every combo, and, for each lot outside it, lies whole in a combo without that lot.
-
-    Lots of all combos belong to it. Ties go to the smallest number. Sets are
-    tried by size: the definition, for a few lots; strategic_lots() finds the same
-    for many locations and lots.
-    """
-    forced = -1
-    for c in combos:
-        forced &= c
-    forced &= (1 << lots) - 1
-
-    def fits(s: int) -> bool:
-        return all(c & s for c in combos) and all(s >> k & 1 or any(not c >> k & 1 and c & s == s for c in combos) for k in range(lots))
-
-    def grow(s: int, left: int, low: int):
-        if left == 0:
-            if fits(s):
-                yield s
-            return
-        missed = next((c for c in combos if not c & s), None)
-        for k in range(lots):
-            if not s >> k & 1 and (missed >> k & 1 if missed is not None else k >= low):
-                yield from grow(s | 1 << k, left - 1, 0 if missed is not None else k + 1)
-
-    size = bin(forced).count("1")
-    for more in range(lots - size + 1):
-        found = min(grow(forced, more, 0), default=None)
-        if found is not None:
-            return found
-    return None
-
-
 def _words(members: DataFrame, words: int) -> list[Column]:
     """Of grouped rows with ``place``, their places as bits."""
     bit = lambda w: F.when(F.floor(F.col("place") / BITS) == w, F.expr(f"shiftleft(1L, CAST(place % {BITS} AS INT))")).otherwise(F.lit(0).cast("bigint"))

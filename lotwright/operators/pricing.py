@@ -2,181 +2,94 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geometry import let
 from . import graph, numbering
+from .rounds import keep
 
 
-def lot_values(c: np.ndarray, area: np.ndarray, combo_value: np.ndarray) -> np.ndarray:
-    """Each lot's area times its combos' value by their area."""
-    own = c.T.astype(float)
-    return own @ combo_value / np.maximum(own @ (c @ area), 1e-12) * area
-
-
-def bounds(c, market, area, combo_value, d_lots: float, d_combos: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Prices at which lots surely aren't and are bought, and combos surely are and aren't sold."""
-    value = lot_values(c, area, combo_value)
-    return np.minimum(market, value) * (1 - d_lots), np.maximum(market, value) * (1 + d_lots), combo_value * (1 - d_combos), combo_value * (1 + d_combos)
-
-
-def purchase_probabilities(c, lots, low, high) -> np.ndarray:
-    """That exactly a combo's lots are bought, for each combo."""
-    p = (lots - low) / (high - low)
-    return np.prod(np.where(c == 1, p, 1 - p), axis=1)
-
-
-def expected_utility(lots, combos, c, market, limits) -> float:
-    low, high, low_c, high_c = limits
-    sold = (high_c - combos) / (high_c - low_c)
-    gain = (combos - c @ lots) * sold + c @ (market - lots) * (1 - sold)
-    return float(gain @ purchase_probabilities(c, lots, low, high))
-
+BIDS = "location bigint, utility double, start_utility double, lots array<bigint>, bids array<double>, combos array<bigint>, prices array<double>"
 
-def start(limits) -> tuple[np.ndarray, np.ndarray]:
-    low, high, low_c, high_c = limits
-    return (low + high) / 2, (low_c + high_c) / 2
 
+def _part_utility(x: Column, lots: Column, combos: Column) -> Column:
+    """Of one part: bids ``x`` of its lots, and combos with the places of their lots and what they are worth when bought."""
+    p = lambda k: (F.get(x, k) - F.get(lots, k)["low"]) / (F.get(lots, k)["high"] - F.get(lots, k)["low"])
+    places = F.sequence(F.lit(0), F.size(lots) - 1)
 
-def blocks_of(c: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The connected parts of a membership matrix: (rows, columns) of each, by their first column; unused lots are in none."""
-    of, out = np.full(c.shape[1], -1), []
-    for first in range(c.shape[1]):
-        if of[first] >= 0 or not c[:, first].any():
-            continue
-        columns = np.zeros(c.shape[1], bool)
-        columns[first] = True
-        while True:
-            rows = (c[:, columns] > 0).any(axis=1)
-            more = (c[rows] > 0).any(axis=0)
-            if (more == columns).all():
-                break
-            columns = more
-        of[columns] = first
-        out.append((np.flatnonzero(rows), np.flatnonzero(columns)))
-    return out
+    def one(c: Column) -> Column:
+        paid = F.aggregate(c["of"], F.lit(0.0), lambda s, k: s + F.get(x, k))
+        likely = F.aggregate(places, F.lit(1.0), lambda s, k: s * F.when(F.array_contains(c["of"], k), p(k)).otherwise(1 - p(k)))
+        return (c["worth"] - paid) * likely
 
+    return F.aggregate(combos, F.lit(0.0), lambda s, c: s + one(c))
 
-def start_utility(c, market, area, combo_value, d_lots=0.1, d_combos=0.2) -> float:
-    """The utility in the middle of the price ranges, summed over the connected parts."""
-    total = 0.0
-    for rows, columns in blocks_of(c):
-        part, own = c[np.ix_(rows, columns)].astype(float), market[columns]
-        limits = bounds(part, own, area[columns], combo_value[rows], d_lots, d_combos)
-        total += expected_utility(*start(limits), part, own, limits)
-    return total
 
+def _best_bid(x: Column, j: Column, lots: Column, combos: Column) -> Column:
+    """The bid for lot ``j`` that is best beside the others: utility is a quadratic in it, whose top has a closed form."""
+    p = lambda k: (F.get(x, k) - F.get(lots, k)["low"]) / (F.get(lots, k)["high"] - F.get(lots, k)["low"])
+    places = F.filter(F.sequence(F.lit(0), F.size(lots) - 1), lambda k: k != j)
 
-def optimise(c, market, area, combo_value, **options) -> tuple[np.ndarray, np.ndarray, float]:
-    """Bids, prices and their utility: each connected part by itself, utilities added.
+    def one(c: Column) -> Column:
+        paid = F.aggregate(F.filter(c["of"], lambda k: k != j), F.lit(0.0), lambda s, k: s + F.get(x, k))
+        likely = F.aggregate(places, F.lit(1.0), lambda s, k: s * F.when(F.array_contains(c["of"], k), p(k)).otherwise(1 - p(k)))
+        return F.struct(likely.alias("q"), (likely * (c["worth"] - paid)).alias("v"), F.array_contains(c["of"], j).alias("own"))
 
-    Whether exactly a combo's lots are bought concerns the lots of its part
-    only. Lots without a combo get their market price.
-    """
-    c = np.asarray(c)
-    market, area, combo_value = (np.asarray(v, float) for v in (market, area, combo_value))
-    lots, combos, total = market.copy(), np.zeros(len(combo_value)), 0.0
-    for rows, columns in blocks_of(c):
-        lots[columns], combos[rows], utility = _optimise_part(c[np.ix_(rows, columns)], market[columns], area[columns], combo_value[rows], **options)
-        total += utility
-    return lots, combos, total
+    zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("d"))
+    add = lambda s, t: F.struct((s["a"] + F.when(t["own"], t["v"]).otherwise(0.0)).alias("a"), (s["b"] + F.when(t["own"], t["q"]).otherwise(0.0)).alias("b"), (s["d"] + F.when(t["own"], 0.0).otherwise(t["v"])).alias("d"))
+    lot = F.get(lots, j)
+    top = lambda s: (s["a"] - s["d"] + s["b"] * lot["low"]) / (s["b"] * 2)
+    return let(F.aggregate(F.transform(combos, one), zero, add), lambda s: F.when(s["b"] > 0, F.greatest(lot["least"], F.least(lot["most"], top(s)))).otherwise(F.get(x, j)))
 
 
-def _optimise_part(c, market, area, combo_value, d_lots=0.1, d_combos=0.2, d_opt_lots=0.0, d_opt_combos=0.2, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
-    """One part, by coordinate ascent in the box, from the middle of the price ranges.
+def optimal_bids(members: DataFrame, d_lots: float = 0.1, d_combos: float = 0.2, d_opt_lots: float = 0.0, d_opt_combos: float = 0.2, sweeps: int = 40) -> DataFrame:
+    """BIDS for each location, from (location, combo, lot, market, area, combo_value).
 
-    In one price the utility is a quadratic, so each step is exact: three values
-    tell it. The box goes from the market's to the project's value of a lot, the
-    deltas wider, and holds the start.
+    A combo's price is best at a value that no bid changes. Bids go from the
+    middle of their ranges, one after another, to what is best beside the others,
+    ``sweeps`` times. Parts that no combo ties together are rows of their own;
+    the lots and combos of a part are arrays in its row.
     """
-    c = np.asarray(c, float)
-    market, area, combo_value = (np.asarray(v, float) for v in (market, area, combo_value))
-    limits = bounds(c, market, area, combo_value, d_lots, d_combos)
-    lots, combos = start(limits)
-    value = lot_values(c, area, combo_value)
-    low = np.concatenate([market * (1 - d_opt_lots), combo_value * (1 - d_opt_combos)])
-    high = np.concatenate([value * (1 + d_opt_lots), combo_value * (1 + d_opt_combos)])
-    x, n = np.concatenate([lots, combos]), len(lots)
-    low, high = np.minimum(low, x), np.maximum(high, x)
-    f = lambda y: expected_utility(y[:n], y[n:], c, market, limits)
-    best = f(x)
-    for _ in range(rounds):
-        before = best
-        for k in range(len(x)):
-            a, b = low[k], high[k]
-            if b - a < 1e-12:
-                continue
-            tries = np.array([a, (a + b) / 2, b])
-            values = []
-            for t in tries:
-                y = x.copy()
-                y[k] = t
-                values.append(f(y))
-            q2, q1, _ = np.polyfit(np.array([0, 0.5, 1]), values, 2)
-            at = [0.0, 1.0] + ([float(np.clip(-q1 / (2 * q2), 0, 1))] if q2 < -1e-15 else [])
-            for s in at:
-                y = x.copy()
-                y[k] = a + (b - a) * s
-                v = f(y)
-                if v > best + 1e-9:
-                    best, x = v, y
-        if best - before < 1e-6 * max(1.0, abs(best)):
-            break
-    return x[:n], x[n:], best
-
-
-def marginal_lot_values(c, market, area, combo_value, **options) -> np.ndarray:
-    """The utility lost without each lot and its combos."""
-    c = np.asarray(c)
-    whole = optimise(c, market, area, combo_value, **options)[2]
-    out = []
-    for j in range(c.shape[1]):
-        rows = c[:, j] == 0
-        used = c[rows].sum(axis=0) > 0
-        rest = optimise(c[rows][:, used], np.asarray(market)[used], np.asarray(area)[used], np.asarray(combo_value)[rows], **options)[2] if rows.any() else 0.0
-        out.append(whole - rest)
-    return np.array(out)
-
-
-def matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, pd.DataFrame, pd.DataFrame]:
-    """A group's membership matrix, its combos and its lots, both in order of ids."""
-    combos = pdf[["combo", "combo_value"]].drop_duplicates("combo").sort_values("combo")
-    lots = pdf[["lot", "market", "area"]].drop_duplicates("lot").sort_values("lot")
-    c = np.zeros((len(combos), len(lots)), int)
-    c[np.searchsorted(combos["combo"], pdf["combo"]), np.searchsorted(lots["lot"], pdf["lot"])] = 1
-    return c, combos, lots
-
-
-BIDS = "location bigint, utility double, start_utility double, lots array<bigint>, bids array<double>, combos array<bigint>, prices array<double>"
-
-
-def optimal_bids(members: DataFrame) -> DataFrame:
-    """BIDS for each location, from (location, combo, lot, market, area, combo_value): locations are small and independent."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        c, combos, lots = matrix(pdf)
-        args = (lots["market"].to_numpy(float), lots["area"].to_numpy(float), combos["combo_value"].to_numpy(float))
-        bids, prices, utility = optimise(c, *args)
-        first = start_utility(c, *args)
-        return pd.DataFrame([(pdf["location"].iloc[0], utility, first, lots["lot"].tolist(), bids.tolist(), combos["combo"].tolist(), prices.tolist())], columns=["location", "utility", "start_utility", "lots", "bids", "combos", "prices"])
-
-    return members.select("location", "combo", "lot", "market", "area", "combo_value").groupBy("location").applyInPandas(run, BIDS)
+    members = members.select("location", "combo", F.col("lot").cast("bigint").alias("lot"), "market", "area", "combo_value")
+    lots, combos = price_limits(members, ["location"], d_lots, d_combos)
+    own = with_parts(members, ["location"]).select("location", "part", "combo", "lot").distinct()
+    middle = (F.col("low") + F.col("high")) / 2
+    box = [F.col("market") * (1 - d_opt_lots), F.col("value") * (1 + d_opt_lots)]
+    lot = F.struct("lot", "low", "high", "market", F.least(box[0], middle).alias("least"), F.greatest(box[1], middle).alias("most"), middle.alias("start"))
+    lots = own.select("location", "part", "lot").distinct().join(lots, ["location", "lot"]).groupBy("location", "part").agg(F.sort_array(F.collect_list(lot)).alias("lots"))
+    met = own.join(members.select("location", "lot", "market").distinct(), ["location", "lot"]).groupBy("location", "part", "combo").agg(F.sort_array(F.collect_set("lot")).alias("names"), F.sum("market").alias("sum"))
+    met = met.join(combos, ["location", "combo"])
+    price = F.greatest(F.least(F.col("value") * (1 - d_opt_combos), middle), F.least(F.greatest(F.col("value") * (1 + d_opt_combos), middle), (F.col("high") + F.col("sum")) / 2))
+    sold = lambda c: (F.col("high") - c) / (F.col("high") - F.col("low"))
+    worth = lambda c: c * sold(c) + F.col("sum") * (1 - sold(c))
+    combo = F.struct(F.col("combo").cast("bigint").alias("combo"), "names", price.alias("price"), worth(price).alias("worth"), worth(middle).alias("first"))
+    parts = met.groupBy("location", "part").agg(F.sort_array(F.collect_list(combo)).alias("combos")).join(lots, ["location", "part"])
+    placed = lambda worth: F.transform("combos", lambda c: F.struct(F.transform(c["names"], lambda n: (F.array_position(F.transform("lots", lambda x: x["lot"]), n) - 1).cast("int")).alias("of"), c[worth].alias("worth")))
+    parts = parts.withColumn("best", placed("worth")).withColumn("first", placed("first")).withColumn("start", F.transform("lots", lambda x: x["start"]))
+    turn = lambda x, t: let(F.pmod(t, F.size("lots")), lambda j: let(_best_bid(x, j, F.col("lots"), F.col("best")), lambda v: F.transform(x, lambda y, k: F.when(k == j, v).otherwise(y))))
+    parts = parts.withColumn("x", F.aggregate(F.sequence(F.lit(0), F.size("lots") * sweeps - 1), F.col("start"), turn))
+    parts = parts.select("location", "lots", "x", "combos", _part_utility(F.col("x"), F.col("lots"), F.col("best")).alias("utility"), _part_utility(F.col("start"), F.col("lots"), F.col("first")).alias("start_utility"))
+    pairs = F.zip_with("lots", "x", lambda a, b: F.struct(a["lot"].alias("lot"), b.alias("bid")))
+    found = parts.groupBy(F.col("location").cast("bigint").alias("location")).agg(F.sum("utility").alias("utility"), F.sum("start_utility").alias("start_utility"), F.array_sort(F.flatten(F.collect_list(pairs))).alias("l"), F.array_sort(F.flatten(F.collect_list(F.transform("combos", lambda c: F.struct(c["combo"].alias("combo"), c["price"].alias("price")))))).alias("c"))
+    return found.select("location", "utility", "start_utility", F.transform("l", lambda v: v["lot"]).alias("lots"), F.transform("l", lambda v: v["bid"]).alias("bids"), F.transform("c", lambda v: v["combo"]).alias("combos"), F.transform("c", lambda v: v["price"]).alias("prices"))
 
 
 MARGINAL = "location bigint, lot bigint, value double"
 
 
-def marginal_values(members: DataFrame) -> DataFrame:
-    """MARGINAL for each lot of each location: the utility lost without it and its combos; members as for optimal_bids."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        c, combos, lots = matrix(pdf)
-        values = marginal_lot_values(c, lots["market"].to_numpy(float), lots["area"].to_numpy(float), combos["combo_value"].to_numpy(float))
-        return pd.DataFrame({"location": pdf["location"].iloc[0], "lot": lots["lot"].to_numpy(), "value": values})
+def marginal_values(members: DataFrame, **options) -> DataFrame:
+    """MARGINAL for each lot of each location: the best utility less that without the lot and its combos; members as for optimal_bids.
 
-    return members.select("location", "combo", "lot", "market", "area", "combo_value").groupBy("location").applyInPandas(run, MARGINAL)
+    As in marginal_utilities() every lot makes a copy of its location's other combos.
+    """
+    whole = optimal_bids(members, **options).select("location", "utility")
+    lots = keep(numbering.numbered(members.select("location", F.col("lot").alias("without")).distinct(), ["location", "without"], "_case"))
+    holding = members.select("location", F.col("lot").alias("without"), "combo").distinct()
+    rest = lots.join(members, "location").join(holding, ["location", "without", "combo"], "left_anti")
+    left = optimal_bids(rest.drop("location", "without").withColumnRenamed("_case", "location"), **options).select(F.col("location").alias("_case"), F.col("utility").alias("_left"))
+    found = lots.join(whole, "location").join(left, "_case", "left")
+    return found.select(F.col("location").cast("bigint").alias("location"), F.col("without").cast("bigint").alias("lot"), (F.col("utility") - F.coalesce("_left", F.lit(0.0))).alias("value"))
 
 
 def purchase_probability(members: DataFrame, lots: DataFrame) -> DataFrame:
@@ -204,12 +117,12 @@ def with_parts(members: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def price_limits(members: DataFrame, keys: list[str], d_lots: float = 0.1, d_combos: float = 0.2) -> tuple[DataFrame, DataFrame]:
-    """(keys, lot, market, low, high) and (keys, combo, low, high): bounds() as Columns."""
+    """(keys, lot, market, value, low, high) and (keys, combo, value, low, high): bounds() as Columns."""
     size = members.groupBy(*keys, "combo").agg(F.sum("area").alias("_size"))
     own = members.join(size, [*keys, "combo"]).groupBy(*keys, "lot").agg(F.max("market").alias("market"), (F.sum("combo_value") / F.sum("_size") * F.max("area")).alias("_value"))
-    lots = own.select(*keys, "lot", "market", (F.least("market", "_value") * (1 - d_lots)).alias("low"), (F.greatest("market", "_value") * (1 + d_lots)).alias("high"))
+    lots = own.select(*keys, "lot", "market", F.col("_value").alias("value"), (F.least("market", "_value") * (1 - d_lots)).alias("low"), (F.greatest("market", "_value") * (1 + d_lots)).alias("high"))
     value = F.col("combo_value")
-    combos = members.select(*keys, "combo", "combo_value").distinct().select(*keys, "combo", (value * (1 - d_combos)).alias("low"), (value * (1 + d_combos)).alias("high"))
+    combos = members.select(*keys, "combo", "combo_value").distinct().select(*keys, "combo", value.alias("value"), (value * (1 - d_combos)).alias("low"), (value * (1 + d_combos)).alias("high"))
     return lots, combos
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clipping
 from ..functions import geometry as g
-from . import geo_udf, kernel
+from . import dissolve, geo_udf, kernel, overlay, spatial_join
 
 #: Fixed values of the planning rules.
 FUSION_BONUS, CONTEXT_PER_METRE, CONTEXT_MOST, HABITANTS_PER_DWELLING = 1.3, 2.7474774194546216, 140.0, 4.0
@@ -106,6 +106,49 @@ def convex_shadow(ring: Column, height: Column, towards: str) -> Column:
     return clipping.hull(F.concat(ring, g.shadow_shift(ring, height, towards)))
 
 
+def slices_shadow(slices: DataFrame, keys: list[str], ring: str, height: str, towards: str, ground: str | None = None) -> DataFrame:
+    """keys and area: the shadow of an envelope, the union of its slices' shifted rings, slices a row each.
+
+    ``ground`` names a column with the public ground and streets (a shape, the
+    same for all slices of a key) that are taken off it. Keys of any number of
+    slices are spread over tasks.
+    """
+    moved = slices.withColumn("_moved", F.array(g.shadow_shift(F.col(ring), F.col(height), towards)))
+    points = dissolve.points_of(overlay.merged(moved, keys, "_moved"), keys)
+    if ground is None:
+        return dissolve.measures(points, keys).select(*keys, "area")
+    pairs = dissolve.shapes(points, keys).join(slices.groupBy(*keys).agg(F.first(ground).alias("_ground")), keys)
+    return pairs.select(*keys, clipping.difference_area(F.col("shape"), F.col("_ground")).alias("area"))
+
+
+def side_streets(parcels: DataFrame, key: str, ring: str, radius: float, contact: float = 4.0, step: float = 0.25, least: float = 10.0, share: float = 0.8) -> DataFrame:
+    """(key, side, width) of the sides (from 0) of convex parcels that face a street: ground that no parcel covers.
+
+    A side faces a street if half a metre in front of it is free for ``contact``
+    metres. The street is ``least`` wide or more, and goes on in steps while
+    ``share`` of each is free, up to ``radius``. All parcels stand in each other's
+    way; they don't overlap. Rings are counter-clockwise and have one convex ring.
+    """
+    own = parcels.select(F.col(key).alias("key"), F.col(ring).alias("_ring"))
+    n = int(round(radius / step))
+    # Strips in front of a side, from nothing to each width; neighbours' sides bound them.
+    grown = lambda k, d: clipping.convex_offset(F.col("_ring"), F.transform("_ring", lambda _, i: F.when(i == k, d).otherwise(0.0)))
+    front = own.select("key", "_ring", F.posexplode(g.sides(F.col("_ring"))).alias("side", "_side"))
+    front = front.withColumn("_reach", g.let(grown(F.col("side"), F.lit(float(radius))), lambda r: clipping.half_planes(r, F.array(F.reverse("_side")))))
+    others = own.select(F.col("key").alias("_other"), F.col("_ring").alias("_there"))
+    met = spatial_join.bounds_join(front, others, g.bounds(F.col("_reach")), g.bounds(F.col("_there"))).where("key <> _other")
+    met = met.withColumn("_there", clipping.convex_clip(F.col("_there"), F.col("_reach"))).where(F.size("_there") > 2)
+    met = front.select("key", "side", "_side", "_reach").join(met.groupBy("key", "side").agg(F.collect_list("_there").alias("_cover")), ["key", "side"], "left")
+    widths = F.sequence(F.lit(0), F.lit(n))
+    near = lambda r, d: clipping.half_planes(r, F.array(g.parallel_line(F.col("_side"), -d)))
+    area = lambda r, d: g.let(near(r, d), lambda x: F.abs(g.signed_area(x)))
+    free = lambda d: g.let(area(F.col("_reach"), d), lambda whole: F.struct(whole.alias("all"), (whole - F.aggregate(F.coalesce("_cover", F.expr("cast(array() AS array<array<struct<x:double,y:double>>>)")), F.lit(0.0), lambda s, r: s + area(r, d))).alias("free")))
+    met = met.withColumn("_near", free(F.lit(0.5))["free"] / 0.5).where(F.col("_near") >= contact)
+    met = met.withColumn("_steps", F.transform(widths, lambda k: free(k * step)))
+    ends = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: (k * step >= least) & (F.get("_steps", k + 1)["free"] - F.get("_steps", k)["free"] < (F.get("_steps", k + 1)["all"] - F.get("_steps", k)["all"]) * share))
+    return met.select("key", "side", (F.coalesce(F.get(ends, F.lit(0)), F.lit(n)) * step).alias("width"))
+
+
 def slice_at(slices: Column, height: Column) -> Column:
     """The ring at a height from an ordered array of (height, ring): between its neighbours, or the lower one where corners differ.
 

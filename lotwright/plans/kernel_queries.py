@@ -76,8 +76,8 @@ def simplified_ring(t):
     """Points within 5 cm of a square's sides go; its corners stay."""
     n = F.col("n")
     rough = F.array(ring((F.lit(0), F.lit(0)), (n * 2.5, F.lit(0.02)), (n * 5, F.lit(0)), (n * 5, n * 5), (n * 2, n * 5 + 0.03), (F.lit(0), n * 5)))
-    thin = geo_udf.simplify(rough)
-    return _squares(t).select("k", F.size(F.get(thin, F.lit(0))).alias("corners"), q6(g.shape_area(thin)).alias("area"))
+    s = _squares(t).select("k", c.simplify(F.get(rough, F.lit(0))).alias("thin"))
+    return s.select("k", F.size("thin").alias("corners"), q6(g.signed_area(F.col("thin"))).alias("area"))
 
 
 @query("SELECT s_suppkey AS k, 4 AS straight, 6 AS bent FROM supplier")
@@ -225,31 +225,17 @@ def street_in_context(t):
 @query(f"SELECT s_suppkey AS k, 9 AS faces, {q(f'25.0 * {_N} * {_N}')} AS top FROM supplier")
 def prism_of_slices(t):
     """Three equal slices: four faces between each two, and the top."""
-
-    @F.pandas_udf("faces int, top double")
-    def faces(shape: pd.Series) -> pd.DataFrame:
-        out = []
-        for s in shape:
-            r = geo_udf.load(s)[0]
-            found = zoning.prism_faces([(0.0, r), (3.0, r), (6.0, r)])
-            out.append((len(found), abs(kernel.ring_area(found[-1][:, :2]))))
-        return pd.DataFrame(out, columns=["faces", "top"])
-
-    s = _squares(t).select("k", faces(geo_udf.flat(F.col("a"))).alias("f"))
-    return s.select("k", "f.faces", q6("f.top").alias("top"))
+    level = lambda z: F.struct(F.lit(z).alias("height"), F.get("a", F.lit(0)).alias("ring"))
+    s = _squares(t).select("k", c.prism_faces(F.array(level(0.0), level(3.0), level(6.0))).alias("f"))
+    return s.select("k", F.size("f").alias("faces"), q6(g.signed_area(F.element_at("f", -1))).alias("top"))
 
 
 @query(f"SELECT s_suppkey AS k, {q(f'(5.0 * {_N} + 20.0) * 5.0 * {_N}')} AS shadow FROM supplier")
 def envelope_shadows(t):
     """A prism of height 9.8 and slices less apart than its width: the shadow westwards is 20 longer than the base."""
-
-    @F.pandas_udf("double")
-    def area(shape: pd.Series) -> pd.Series:
-        slices = lambda s: [(h * 0.49, geo_udf.load(s)) for h in range(0, 21)]
-        return pd.Series([kernel.area(zoning.envelope_shadow(slices(s), "p")) for s in shape])
-
     n = F.col("n")
-    return _squares(t).select("k", q6(area(geo_udf.flat(F.array(g.box(0, 0, n * 5, n * 5))))).alias("shadow"))
+    slices = _squares(t).select("k", F.explode(F.transform(F.sequence(F.lit(0), F.lit(20)), lambda k: k * 0.49)).alias("height"), g.box(0, 0, n * 5, n * 5).alias("ring"))
+    return zoning.slices_shadow(slices, ["k"], "ring", "height", "p").select("k", q6("area").alias("shadow"))
 
 
 _STRIP = "least((60 - 4 * sin(a)) / abs(cos(a)), CASE WHEN sin(a) > 1e-9 THEN (h - 4 * abs(cos(a))) / sin(a) ELSE 1e9 END)"
@@ -258,7 +244,7 @@ _STRIP = "least((60 - 4 * sin(a)) / abs(cos(a)), CASE WHEN sin(a) > 1e-9 THEN (h
 @query(f"SELECT k, {q(f'max({_STRIP})')} AS length FROM (SELECT s_suppkey AS k, {_N} * 4 + 6 AS h, range * pi() / 90 AS a FROM supplier, range(0, 90)) GROUP BY k")
 def template_rectangle(t):
     """The longest strip of width 4 through the middle of a box of 60 by 4 n + 6, of 90 directions."""
-    found = geo_udf.best_rectangle(F.array(g.box(0, 0, 60, F.col("n") * 4 + 6)), F.lit(4.0))
+    found = c.best_rectangle(g.box(0, 0, 60, F.col("n") * 4 + 6), 4.0)
     return _squares(t).select("k", q6(found["length"]).alias("length"))
 
 

