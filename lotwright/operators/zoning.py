@@ -133,17 +133,20 @@ def side_streets(parcels: DataFrame, key: str, ring: str, radius: float, contact
     n = int(round(radius / step))
     # Strips in front of a side, from nothing to each width; neighbours' sides bound them.
     grown = lambda k, d: clipping.convex_offset(F.col("_ring"), F.transform("_ring", lambda _, i: F.when(i == k, d).otherwise(0.0)))
+    # Around the first corner: areas far from the origin lose digits.
+    there = lambda r: F.transform(r, lambda p: g.point(p["x"] - F.col("_origin.x"), p["y"] - F.col("_origin.y")))
     front = own.select("key", "_ring", F.posexplode(g.sides(F.col("_ring"))).alias("side", "_side"))
     front = front.withColumn("_reach", g.let(grown(F.col("side"), F.lit(float(radius))), lambda r: clipping.half_planes(r, F.array(F.reverse("_side")))))
     others = own.select(F.col("key").alias("_other"), F.col("_ring").alias("_there"))
     met = spatial_join.bounds_join(front, others, g.bounds(F.col("_reach")), g.bounds(F.col("_there"))).where("key <> _other")
     met = met.withColumn("_there", clipping.convex_clip(F.col("_there"), F.col("_reach"))).where(F.size("_there") > 2)
-    met = front.select("key", "side", "_side", "_reach").join(met.groupBy("key", "side").agg(F.collect_list("_there").alias("_cover")), ["key", "side"], "left")
+    met = front.join(met.groupBy("key", "side").agg(F.collect_list("_there").alias("_cover")), ["key", "side"], "left").withColumn("_origin", F.get("_ring", F.lit(0)))
+    met = met.select("key", "side", there(F.col("_side")).alias("_side"), there(F.col("_reach")).alias("_reach"), F.transform("_cover", there).alias("_cover"))
     widths = F.sequence(F.lit(0), F.lit(n))
     near = lambda r, d: clipping.half_planes(r, F.array(g.parallel_line(F.col("_side"), -d)))
     area = lambda r, d: g.let(near(r, d), lambda x: F.abs(g.signed_area(x)))
     free = lambda d: g.let(area(F.col("_reach"), d), lambda whole: F.struct(whole.alias("all"), (whole - F.aggregate(F.coalesce("_cover", F.expr("cast(array() AS array<array<struct<x:double,y:double>>>)")), F.lit(0.0), lambda s, r: s + area(r, d))).alias("free")))
-    met = met.withColumn("_near", free(F.lit(0.5))["free"] / 0.5).where(F.col("_near") >= contact)
+    met = met.withColumn("_near", free(F.lit(0.5))["free"] / 0.5).where(F.col("_near") >= contact - 1e-6)
     met = met.withColumn("_steps", F.transform(widths, lambda k: free(k * step)))
     ends = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: (k * step >= least) & (F.get("_steps", k + 1)["free"] - F.get("_steps", k)["free"] < (F.get("_steps", k + 1)["all"] - F.get("_steps", k)["all"]) * share))
     return met.select("key", "side", (F.coalesce(F.get(ends, F.lit(0)), F.lit(n)) * step).alias("width"))
