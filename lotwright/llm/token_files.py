@@ -45,17 +45,16 @@ class _Cache:
     def __init__(self, most: int):
         self.most, self.new, self.old = most, {}, {}
 
-    def missing(self, keys) -> list:
-        """Those of the different ``keys`` that are not held; the others are held until the next call."""
+    def missing(self, keys: set) -> list:
+        """Those of ``keys`` that are not held; the others are held until the next call."""
         if len(self.new) > self.most:
             self.old, self.new = self.new, {}
         new, old, out = self.new, self.old, []
-        for k in keys:
-            if k not in new:
-                if k in old:
-                    new[k] = old[k]
-                else:
-                    out.append(k)
+        for k in keys.difference(new):
+            if k in old:
+                new[k] = old[k]
+            else:
+                out.append(k)
         return out
 
 
@@ -116,7 +115,10 @@ class WordEncoder:
         known, extra = self.words.new, {}
         plain, other = {}, []
         for w in words:
-            if self.by_part and len(w) <= _CACHED_LENGTH and not _RARE.search(w) and "<|" not in w:
+            if self.by_part and len(w) <= _CACHED_LENGTH and w.isascii() and w.isalpha():
+                # Letters alone are one part.
+                plain[w] = [w.lower()]
+            elif self.by_part and len(w) <= _CACHED_LENGTH and not _RARE.search(w) and "<|" not in w:
                 plain[w] = _CUT.findall(w.lower())
             else:
                 other.append(w)
