@@ -10,6 +10,7 @@ ids of any document, without copying the rest.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import uuid
@@ -265,6 +266,8 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer_path: str, *, by_wor
         shard = TaskContext.get().partitionId()
         end = np.array([end_id], dtype=encoder.dtype).tobytes()
         for batch in batches:
+            # The caches hold a million objects and no cycles: the collector need not walk them again.
+            gc.freeze()
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 out = out or SequenceWriter(folder, shard, encoder.dtype, length, end_id)
