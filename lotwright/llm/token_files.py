@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import scratch, table
 
 SEQUENCE_LENGTH, BATCH_SEQUENCES, END_ID = 2048, 64, 1
-_CACHED_WORDS, _CACHED_LENGTH = 500_000, 64
+_CACHED_WORDS, _CACHED_PARTS, _CACHED_LENGTH = 400_000, 80_000, 64
 #: Fixed value: the pattern of parts in the tokenizer's file.
 _PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The same for words without the characters of _RARE.
@@ -85,7 +85,7 @@ class WordEncoder:
         steps = [x.get("type") for x in (told.get("normalizer") or {}).get("normalizers", [])]
         cutter = ((told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
         self.by_part = by_word and steps == ["NFC", "Replace", "Lowercase"] and (cutter.get("pattern") or {}).get("Regex") == _PARTS and told["model"].get("end_of_word_suffix") == "</w>"
-        self.words, self.parts = _Cache(_CACHED_WORDS), _Cache(_CACHED_WORDS)
+        self.words, self.parts = _Cache(_CACHED_WORDS), _Cache(_CACHED_PARTS)
         if self.by_part:
             self.last = np.zeros(size, dtype=bool)
             for piece, i in self.tokenizer.get_vocab().items():
@@ -266,7 +266,8 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer_path: str, *, by_wor
         shard = TaskContext.get().partitionId()
         end = np.array([end_id], dtype=encoder.dtype).tobytes()
         for batch in batches:
-            # The caches hold a million objects and no cycles: the collector need not walk them again.
+            # The caches hold a million objects and no cycles: once what is new has been looked at, the collector need not walk them again.
+            gc.collect()
             gc.freeze()
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
