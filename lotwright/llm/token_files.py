@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import scratch, table
 
 SEQUENCE_LENGTH, BATCH_SEQUENCES, END_ID = 2048, 64, 1
-_CACHED_WORDS, _CACHED_PARTS, _CACHED_LENGTH = 400_000, 80_000, 64
+_CACHED_WORDS, _CACHED_PARTS, _CACHED_LENGTH = 300_000, 60_000, 64
 #: Fixed value: the pattern of parts in the tokenizer's file.
 _PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The same for words without the characters of _RARE.
