@@ -98,6 +98,12 @@ class WordEncoder:
             cls._made[path, by_word] = cls(path, by_word)
         return cls._made[path, by_word]
 
+    @classmethod
+    def forget(cls) -> None:
+        """Drops the worker's encoders and what they cache: other stages' tasks may need the memory."""
+        cls._made.clear()
+        gc.unfreeze()
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype=self.dtype).tobytes() for x in found]
