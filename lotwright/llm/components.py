@@ -18,8 +18,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     ``edges`` has two bigint columns ``a`` and ``b``. Rounds of large-star and
     small-star alternate until nothing changes; each needs aggregations with
     map-side partial sums and equality joins (which adaptive execution splits
-    where a node is hot), and is written to the shared folder. Only a count and
-    a checksum reach the driver. Nulls and loops are ignored. The result
+    where a node is hot), and is written to the shared folder. Joins are by merge:
+    edges in small files would be broadcast, which the driver holds. Only a count and
+    a checksum reach it. Nulls and loops are ignored. The result
     ``(node, component)`` lists the nodes that reach a smaller one.
     """
     e = edges.where(F.col("a") != F.col("b"))
@@ -30,9 +31,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(e.select("lo", "hi"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(low, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        small = large.join(low.hint("merge"), "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         done, e = e, cut(small.union(low.select("hi", F.col("m").alias("lo"))).distinct(), "edges")
         discard(done)
         after = _state(e)

@@ -97,7 +97,7 @@ def near_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     spread = nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     entries = variants(spread, radius)
     shared = entries.groupBy("variant", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = cut(entries.join(shared, ["variant", "value"]), "variants")
+    met = cut(entries.join(shared.hint("merge"), ["variant", "value"]), "variants")
 
     firsts, at, seg_of, bit_of = [], 0, [], []
     for mask in segments(radius):
@@ -114,7 +114,7 @@ def near_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     # Equal segments share all their variants: their pair counts at the first.
     once = (differ.bitwiseAND(F.col("mask")) != 0) | F.col("x.variant").isin(firsts)
     x = left.alias("x")
-    y = right.alias("y")
+    y = right.hint("merge").alias("y")
     pairs = x.join(
         y,
         (F.col("x.variant") == F.col("y.variant"))
@@ -156,11 +156,12 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = R
     links = near_links(nodes.select("fp"), radius)
     found = cut(connected_components(links), "components")
     discard(links)
-    placed = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "doc_id", F.coalesce("component", "fp").alias("component"))
+    placed = nodes.join(found.hint("merge"), nodes["fp"] == found["node"], "left").select("fp", "doc_id", F.coalesce("component", "fp").alias("component"))
     least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    classes = placed.select("fp", "component").join(least, "component").select("fp", "component_id")
+    classes = placed.select("fp", "component").join(least.hint("merge"), "component").select("fp", "component_id")
+    # By merge, as all joins here: what would be broadcast goes through the driver.
     # A third of all rows may share a fingerprint: adaptive execution splits it, the other side has one row a fingerprint.
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(classes.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def op10(spark, sf_dir):

@@ -331,3 +331,13 @@ def test_pipeline_odd(spark, odd, none):
             assert len(rows) == 10
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, SF).count() == 0, name
+
+
+def test_near_duplicates_broadcasts_nothing(spark):
+    """Broadcasts are held by the driver: fingerprints and components must not reach it, however small their files."""
+    docs = spark.createDataFrame([(k, f"one two three {k // 2}") for k in range(40)], "doc_id bigint, text string")
+    plan = simhash.near_duplicates(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    edges = spark.createDataFrame([(k, k + 1) for k in range(20)], "a bigint, b bigint")
+    found = components.connected_components(edges).collect()
+    assert sorted((r["node"], r["component"]) for r in found) == [(k, 0) for k in range(1, 21)]
