@@ -47,7 +47,7 @@ def shared_borders(parcels: DataFrame, key: str, block: str, shape: str, toleran
     """
     s = sides(parcels.select(F.col(block).alias("block"), F.col(key).alias("k"), F.col(shape).alias("_shape")), ["block", "k"], "_shape")
     corners = s.groupBy("block").agg(F.min("x0").alias("cx"), F.min("y0").alias("cy"))
-    s = s.join(corners, "block")
+    s = s.join(corners.hint("merge"), "block")
     for c in ("x0", "x1"):
         s = s.withColumn(c, F.col(c) - F.col("cx"))
     for c in ("y0", "y1"):
@@ -75,7 +75,7 @@ def shared_borders(parcels: DataFrame, key: str, block: str, shape: str, toleran
     b = b.withColumn("_off", F.explode(_steps(F.col("w.off") - wide, F.col("w.off") + wide, OFFSET)))
     b = b.withColumn("_stretch", F.explode(_steps(F.col("w.low") - wide, F.col("w.high") + wide, STRETCH))).drop("w")
 
-    pairs = a.join(b, ["block", "_turn", "_off", "_stretch"]).where("a_k < b_k")
+    pairs = a.join(b.hint("merge"), ["block", "_turn", "_off", "_stretch"]).where("a_k < b_k")
     ax, ay, bx, by = F.col("a_x1") - F.col("a_x0"), F.col("a_y1") - F.col("a_y0"), F.col("b_x1") - F.col("b_x0"), F.col("b_y1") - F.col("b_y0")
     size = F.sqrt(ax * ax + ay * ay)
     # Places and distances of b's ends in a's frame; a runs from 0 to its size.

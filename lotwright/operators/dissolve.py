@@ -46,12 +46,12 @@ def outline(parts: DataFrame, keys: list[str], shape: str, grid: float = GRID, t
     near = tolerance / grid
     cells = cells_along(near)
     listed = s.select(*keys, *_ENDS, F.explode(cells).alias("_c")).select(*keys, *_ENDS, F.col("_c.i").alias("_cx"), F.col("_c.j").alias("_cy"))
-    met = listed.join(corners, [*keys, "_cx", "_cy"])
+    met = listed.join(corners.hint("merge"), [*keys, "_cx", "_cy"])
     at = ((F.col("x") - F.col("ax")) * dx + (F.col("y") - F.col("ay")) * dy) / size
     aside = F.abs((F.col("y") - F.col("ay")) * dx - (F.col("x") - F.col("ax")) * dy) / size
     met = met.where((aside <= near) & (at > near) & (at < size - near))
     cuts = met.groupBy(*keys, *_ENDS).agg(F.sort_array(F.collect_list(F.struct(at.alias("at"), "x", "y"))).alias("cuts"))
-    s = s.join(cuts, [*keys, *_ENDS], "left")
+    s = s.join(cuts.hint("merge"), [*keys, *_ENDS], "left")
     spot = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
     # A side without cuts is its two ends.
     inner = F.transform("cuts", lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y")))
@@ -78,7 +78,7 @@ def followed(edges: DataFrame, keys: list[str]) -> DataFrame:
     on = F.atan2(F.col("f.by") - F.col("f.ay"), F.col("f.bx") - F.col("f.ax"))
     right = F.pmod(back - on, F.lit(2 * math.pi))
     right = F.when(right < 1e-12, 2 * math.pi).otherwise(right)
-    return into.join(out, [*keys, "x", "y"]).groupBy(*keys, "e").agg(F.min_by("f", right).alias("next"))
+    return into.join(out.hint("merge"), [*keys, "x", "y"]).groupBy(*keys, "e").agg(F.min_by("f", right).alias("next"))
 
 
 def _hop(df: DataFrame, keys: list[str], columns: dict[str, Column]) -> DataFrame:
@@ -88,7 +88,7 @@ def _hop(df: DataFrame, keys: list[str], columns: dict[str, Column]) -> DataFram
     on = df["next"] == F.col("n.e")
     for c in same:
         on = on & c
-    return df.join(there, on, "left").select(*keys, "e", *[c.alias(n) for n, c in columns.items()])
+    return df.join(there.hint("merge"), on, "left").select(*keys, "e", *[c.alias(n) for n, c in columns.items()])
 
 
 def numbered(edges: DataFrame, keys: list[str], rounds: int = 60) -> DataFrame:
@@ -110,7 +110,7 @@ def numbered(edges: DataFrame, keys: list[str], rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"rings did not settle in {rounds} rounds")
     named = seen.select(*keys, "e", "ring")
-    led = links.join(named, [*keys, "e"]).withColumn("next", F.when(F.col("e") != F.col("ring"), F.col("next")))
+    led = links.join(named.hint("merge"), [*keys, "e"]).withColumn("next", F.when(F.col("e") != F.col("ring"), F.col("next")))
     left = keep(led.withColumn("left", F.when(F.col("next").isNull(), 0).otherwise(1).cast("bigint")))
     drop(links, seen)
     for _ in range(rounds):
@@ -122,7 +122,7 @@ def numbered(edges: DataFrame, keys: list[str], rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"places did not settle in {rounds} rounds")
     sizes = left.groupBy(*keys, "ring").agg(F.count(F.lit(1)).alias("pieces"))
-    placed = left.join(sizes, [*keys, "ring"])
+    placed = left.join(sizes.hint("merge"), [*keys, "ring"])
     return placed.select(*keys, "ring", F.pmod(F.col("pieces") - F.col("left"), F.col("pieces")).alias("place"), "pieces", "e.*")
 
 
@@ -140,7 +140,7 @@ def points_of(edges: DataFrame, keys: list[str], grid: float = GRID) -> DataFram
     """The points of rings() from the pieces of an outline."""
     found = numbered(edges, keys)
     before = found.select(*keys, "ring", F.struct("ax", "ay").alias("from"), F.pmod(F.col("place") + 1, F.col("pieces")).alias("place"))
-    met = found.join(before, [*keys, "ring", "place"])
+    met = found.join(before.hint("merge"), [*keys, "ring", "place"])
     cross = (F.col("ax") - F.col("from.ax")) * (F.col("by") - F.col("ay")) - (F.col("ay") - F.col("from.ay")) * (F.col("bx") - F.col("ax"))
     sizes = F.sqrt((F.pow(F.col("ax") - F.col("from.ax"), 2) + F.pow(F.col("ay") - F.col("from.ay"), 2)) * (F.pow(F.col("bx") - F.col("ax"), 2) + F.pow(F.col("by") - F.col("ay"), 2)))
     return met.select(*keys, "ring", "place", (F.col("ax") * grid).alias("x"), (F.col("ay") * grid).alias("y"), (F.abs(cross) > math.sin(5e-3) * sizes).alias("corner"), *_ENDS)

@@ -32,7 +32,7 @@ def _cells(s: DataFrame, keys: list[str], near: float) -> DataFrame:
 def _cut(s: DataFrame, other: DataFrame, keys: list[str], near: float) -> DataFrame:
     """Pieces (keys, l, h, way) of sides between the places where the other shape's sides meet them; way: 1 from l to h, -1 back."""
     there = _cells(other, keys, near).select(*keys, "_cx", "_cy", *[F.col(c).alias(f"o{c}") for c in _ENDS])
-    met = _cells(s, keys, near).join(there, [*keys, "_cx", "_cy"])
+    met = _cells(s, keys, near).join(there.hint("merge"), [*keys, "_cx", "_cy"])
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     ox, oy = F.col("obx") - F.col("oax"), F.col("oby") - F.col("oay")
     size = F.sqrt((dx * dx + dy * dy).cast("double"))
@@ -48,7 +48,7 @@ def _cut(s: DataFrame, other: DataFrame, keys: list[str], near: float) -> DataFr
     cuts = met.select(*keys, *_ENDS, F.explode(F.array(cross, *on)).alias("p")).where("p IS NOT NULL")
     at = ((F.col("p.x") - F.col("ax")) * dx + (F.col("p.y") - F.col("ay")) * dy) / size
     cuts = cuts.withColumn("at", at).where((F.col("at") > 0) & (F.col("at") < size)).groupBy(*keys, *_ENDS).agg(F.sort_array(F.collect_set(F.struct("at", "p"))).alias("cuts"))
-    s = s.join(cuts, [*keys, *_ENDS], "left")
+    s = s.join(cuts.hint("merge"), [*keys, *_ENDS], "left")
     ends = [spot(F.col(f"{c}x"), F.col(f"{c}y")) for c in "ab"]
     inner = F.transform("cuts", lambda c: c["p"])
     points = F.when(F.col("cuts").isNull(), F.array(*ends)).otherwise(F.concat(F.array(ends[0]), inner, F.array(ends[1])))
@@ -79,7 +79,7 @@ def merged(parts: DataFrame, keys: list[str], shape: str, grid: float = dissolve
     spots = edges.withColumn("_spot", aside).withColumn("_k", F.struct(*keys))
     rings_ = own.select(F.struct(*keys).alias("_g"), "_ring")
     inner = spatial_join.contains_points(rings_, spots, "_ring", "_spot", g.bounds(F.col("_ring")), on=("_g", "_k"))
-    return edges.join(inner.select(*keys, *_ENDS).distinct(), [*keys, *_ENDS], "left_anti")
+    return edges.join(inner.select(*keys, *_ENDS).distinct().hint("merge"), [*keys, *_ENDS], "left_anti")
 
 
 def overlay(pairs: DataFrame, keys: list[str], a: str, b: str, kind: str, grid: float = dissolve.GRID, tolerance: float = 0.0) -> DataFrame:
@@ -101,7 +101,7 @@ def overlay(pairs: DataFrame, keys: list[str], a: str, b: str, kind: str, grid:
     for k in keys[1:]:
         same = same & net[k].eqNullSafe(shapes[f"_{k}"])
     middle = g.point((F.col("l.x") + F.col("h.x")) / 2 * grid, (F.col("l.y") + F.col("h.y")) / 2 * grid)
-    met = net.join(shapes, same)
+    met = net.join(shapes.hint("merge"), same)
     inside = F.when(F.col("b") == 0, g.in_shape(F.col("_sb"), middle)).when(F.col("a") == 0, g.in_shape(F.col("_sa"), middle))
     met = met.select(*keys, "l", "h", F.signum("a").cast("int").alias("a"), F.signum("b").cast("int").alias("b"), F.coalesce(inside, F.lit(False)).alias("inside"))
     alone_a, alone_b, both = F.col("b") == 0, F.col("a") == 0, (F.col("a") != 0) & (F.col("b") != 0)

@@ -140,7 +140,7 @@ def side_streets(parcels: DataFrame, key: str, ring: str, radius: float, contact
     others = own.select(F.col("key").alias("_other"), F.col("_ring").alias("_there"))
     met = spatial_join.bounds_join(front, others, g.bounds(F.col("_reach")), g.bounds(F.col("_there"))).where("key <> _other")
     met = met.withColumn("_there", clipping.convex_clip(F.col("_there"), F.col("_reach"))).where(F.size("_there") > 2)
-    met = front.join(met.groupBy("key", "side").agg(F.collect_list("_there").alias("_cover")), ["key", "side"], "left").withColumn("_origin", F.get("_ring", F.lit(0)))
+    met = front.join(met.groupBy("key", "side").agg(F.collect_list("_there").alias("_cover")).hint("merge"), ["key", "side"], "left").withColumn("_origin", F.get("_ring", F.lit(0)))
     met = met.select("key", "side", there(F.col("_side")).alias("_side"), there(F.col("_reach")).alias("_reach"), F.transform("_cover", there).alias("_cover"))
     widths = F.sequence(F.lit(0), F.lit(n))
     near = lambda r, d: clipping.half_planes(r, F.array(g.parallel_line(F.col("_side"), -d)))

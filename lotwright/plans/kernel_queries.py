@@ -20,6 +20,7 @@ from ..functions.numbers import q6, q6_sql
 from ..operators import capacity, geo_udf, kernel, locations, pricing, spatial_join, zoning
 from ..sources import export, tables
 from . import pipeline
+from .reading import reader
 
 QUERIES, SQL = {}, {}
 q = q6_sql
@@ -30,7 +31,7 @@ _N = "(s_suppkey % 5 + 2)"
 def query(sql: str | None = None, session: bool = False):
     def put(f):
         def run(spark, sf_dir):
-            read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+            read = reader(spark, sf_dir)
             return f(spark, read) if session else f(read)
 
         QUERIES[f.__name__] = run
@@ -193,8 +194,9 @@ def _bounds(side: str):
 
 @query(f"SELECT a.k AS a, b.k AS b FROM {_DIAMONDS} a JOIN {_DIAMONDS} b ON a.k < b.k AND abs(a.x - b.x) + abs(a.y - b.y) <= a.r + b.r")
 def diamond_intersects_join(t):
-    pairs = spatial_join.intersects(_diamonds(t, "a"), _diamonds(t, "b"), "ashape", "bshape", _bounds("a"), _bounds("b"))
-    return pairs.where("ak < bk").select(F.col("ak").alias("a"), F.col("bk").alias("b"))
+    sides = [spatial_join.stacked(_diamonds(t, s), f"{s}k") for s in "ab"]
+    pairs = spatial_join.intersects(*sides, "ashape", "bshape", _bounds("a"), _bounds("b"))
+    return spatial_join.unstacked(pairs.select("ak", "bk"), "ak", "bk").where("ak < bk").select(F.col("ak").alias("a"), F.col("bk").alias("b"))
 
 
 @query(f"""

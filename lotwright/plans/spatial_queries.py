@@ -11,6 +11,7 @@ from ..operators import borders, capacity, dissolve, economics, graph, locations
 from ..sources import export
 from . import pipeline
 from .geometry_queries import BOX_SQL, boxes
+from .reading import reader
 
 QUERIES, SQL = {}, {}
 q = q6_sql
@@ -18,7 +19,7 @@ q = q6_sql
 
 def query(sql: str | None = None):
     def put(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(reader(spark, sf_dir))
         if sql:
             SQL[f.__name__] = sql
         return f
@@ -38,20 +39,28 @@ def _side(b, prefix: str):
     return b.withColumn(f"{prefix}shape", F.array(g.box(x, y, w, h)))
 
 
+def _stacks(t):
+    """The boxes, copies of one place and size in stacks."""
+    return spatial_join.stacked(boxes(t).select(*"kxywh"), "k")
+
+
 _MEET = "a.x <= b.x + b.w AND b.x <= a.x + a.w AND a.y <= b.y + b.h AND b.y <= a.y + a.h"
 
 
 @query(f"SELECT a.k AS a, b.k AS b FROM {BOX_SQL} a JOIN {BOX_SQL} b ON a.k < b.k AND {_MEET}")
 def box_intersects_join(t):
-    b = boxes(t)
-    pairs = spatial_join.bounds_join(_side(b, "a"), _side(b, "b"), _bounds("a"), _bounds("b")).where("ak < bk")
-    return pairs.select(F.col("ak").alias("a"), F.col("bk").alias("b"))
+    b = _stacks(t)
+    pairs = spatial_join.bounds_join(_side(b, "a"), _side(b, "b"), _bounds("a"), _bounds("b"))
+    return spatial_join.unstacked(pairs.select(F.col("ak").alias("a"), F.col("bk").alias("b")), "a", "b").where("a < b")
 
 
 @query(f"SELECT a.k AS a, count(*) AS n FROM {BOX_SQL} a JOIN {BOX_SQL} b ON {_MEET} GROUP BY a.k")
 def parcels_per_block(t):
+    """Each different box is counted against all others, times their copies."""
     b = boxes(t)
-    return spatial_join.bounds_join(_side(b, "a"), _side(b, "b"), _bounds("a"), _bounds("b")).groupBy(F.col("ak").alias("a")).agg(F.count(F.lit(1)).alias("n"))
+    some = b.groupBy(*"xywh").agg(F.count(F.lit(1)).alias("k"))
+    met = spatial_join.bounds_join(_side(some, "a"), _side(some, "b"), _bounds("a"), _bounds("b")).groupBy(*[F.col(f"a{c}").alias(c) for c in "xywh"]).agg(F.sum("bk").alias("n"))
+    return b.join(met.hint("merge"), [*"xywh"]).select(F.col("k").alias("a"), "n")
 
 
 @query(f"""
@@ -60,9 +69,11 @@ SELECT DISTINCT k FROM {BOX_SQL} a JOIN p ON px > x AND px < x + w AND py > y AN
 """)
 def box_contains_points(t):
     key = F.col("event_id")
-    points = t("events").select("event_id", g.point((key * 37 % 1000) + 0.5, (key * 91 % 1000) + 0.25).alias("p"))
-    rings = _side(boxes(t), "").withColumn("ring", F.element_at("shape", 1))
-    return spatial_join.contains_points(rings, points, "ring", "p", _bounds()).select("k").distinct()
+    points = t("events").select(g.point((key * 37 % 1000) + 0.5, (key * 91 % 1000) + 0.25).alias("p")).distinct()
+    b = boxes(t)
+    rings = b.select(*"xywh").distinct().withColumn("ring", g.box(*[F.col(c) for c in "xywh"]))
+    found = spatial_join.contains_points(rings, points, "ring", "p", _bounds()).select(*"xywh").distinct()
+    return b.join(found.hint("merge"), [*"xywh"]).select("k").distinct()
 
 
 _SUPPLIER = "(SELECT s_suppkey AS j, CAST(s_suppkey * 53 % 1000 AS DOUBLE) AS u, CAST(s_suppkey * 29 % 1000 AS DOUBLE) AS v FROM supplier)"
@@ -76,7 +87,8 @@ def dwithin_join(t):
     key = F.col("s_suppkey")
     targets = t("supplier").select(key.alias("j"), F.array(g.box((key * 53 % 1000).cast("double"), (key * 29 % 1000).cast("double"), 4, 4)).alias("target"))
     around = g.bounds(F.element_at("target", 1))
-    return spatial_join.dwithin(targets, _side(boxes(t), ""), "target", "shape", around, _bounds(), 15.0).select("j", "k")
+    pairs = spatial_join.dwithin(spatial_join.stacked(targets, "j"), _side(_stacks(t), ""), "target", "shape", around, _bounds(), 15.0)
+    return spatial_join.unstacked(pairs.select("j", "k"), "j", "k")
 
 
 _OVER = "least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)"
@@ -85,11 +97,12 @@ _UP = "least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)"
 
 @query(f"SELECT a.k AS a, b.k AS b, {q(f'({_OVER}) * ({_UP})')} AS common, {q(f'a.w * a.h + b.w * b.h - ({_OVER}) * ({_UP})')} AS whole FROM {BOX_SQL} a JOIN {BOX_SQL} b ON a.k < b.k AND {_OVER} > 0 AND {_UP} > 0")
 def clip_area(t):
-    b = boxes(t)
-    pairs = spatial_join.bounds_join(_side(b, "a"), _side(b, "b"), _bounds("a"), _bounds("b")).where("ak < bk")
+    b = _stacks(t)
+    pairs = spatial_join.bounds_join(_side(b, "a"), _side(b, "b"), _bounds("a"), _bounds("b"))
     a, b = (F.get(c, F.lit(0)) for c in ("ashape", "bshape"))
     out = pairs.withColumn("common", g.signed_area(clipping.convex_clip(a, b))).where("common > 0")
-    return out.select(F.col("ak").alias("a"), F.col("bk").alias("b"), q6("common").alias("common"), q6(g.signed_area(a) + g.signed_area(b) - F.col("common")).alias("whole"))
+    found = out.select(F.col("ak").alias("a"), F.col("bk").alias("b"), q6("common").alias("common"), q6(g.signed_area(a) + g.signed_area(b) - F.col("common")).alias("whole"))
+    return spatial_join.unstacked(found, "a", "b").where("a < b")
 
 
 @query("SELECT a.p_partkey // 50 AS block, a.p_partkey AS a, b.p_partkey AS b, CAST(10.0 AS DOUBLE) AS shared FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 AND b.p_partkey // 50 = a.p_partkey // 50")
