@@ -20,12 +20,13 @@ def half_planes(r: Column, lines: Column) -> Column:
 
     def half(ring: Column, side: Column) -> Column:
         p, q = F.get(side, F.lit(0)), F.get(side, F.lit(1))
+        way = F.struct(p["x"].alias("x"), p["y"].alias("y"), (q["x"] - p["x"]).alias("dx"), (q["y"] - p["y"]).alias("dy"))
         # Corners with how far left of the line they lie.
-        marked = F.transform(ring, lambda v: F.struct(v.alias("p"), ((q["x"] - p["x"]) * (v["y"] - p["y"]) - (q["y"] - p["y"]) * (v["x"] - p["x"])).alias("left")))
+        marked = let(way, lambda w: F.transform(ring, lambda v: F.struct(v.alias("p"), (w["dx"] * (v["y"] - w["y"]) - w["dy"] * (v["x"] - w["x"])).alias("left"))))
 
         def step(a: Column, b: Column) -> Column:
-            k = a["left"] / (a["left"] - b["left"])
-            x = g.point(a["p"]["x"] + (b["p"]["x"] - a["p"]["x"]) * k, a["p"]["y"] + (b["p"]["y"] - a["p"]["y"]) * k)
+            at = lambda k: g.point(a["p"]["x"] + (b["p"]["x"] - a["p"]["x"]) * k, a["p"]["y"] + (b["p"]["y"] - a["p"]["y"]) * k)
+            x = let(a["left"] / (a["left"] - b["left"]), at)
             own = F.array(a["p"])
             return F.when((a["left"] >= 0) & (b["left"] >= 0) | (a["left"] == 0), own).when(a["left"] > 0, F.concat(own, F.array(x))).when(b["left"] > 0, F.array(x)).otherwise(F.slice(own, 1, 0))
 
@@ -51,16 +52,20 @@ def convex_offset(r: Column, dists: Column) -> Column:
     eight times the greatest distance from the ring's bounds.
     """
 
-    def around(b: Column) -> Column:
-        far = F.greatest(F.array_max(F.transform(dists, F.abs)) * 8, F.lit(1.0))
-        return g.box(b["x0"] - far, b["y0"] - far, b["x1"] - b["x0"] + far * 2, b["y1"] - b["y0"] + far * 2)
+    def around(b: Column, far: Column) -> Column:
+        low, size = F.struct((b["x0"] - far).alias("x"), (b["y0"] - far).alias("y")), F.struct((b["x1"] - b["x0"] + far * 2).alias("x"), (b["y1"] - b["y0"] + far * 2).alias("y"))
+        return let(F.struct(low.alias("low"), size.alias("size")), lambda v: g.box(v["low"]["x"], v["low"]["y"], v["size"]["x"], v["size"]["y"]))
 
-    return half_planes(let(g.bounds(r), around), moved_sides(r, dists))
+    def offset(v: Column) -> Column:
+        far = F.greatest(F.array_max(F.transform(v["dists"], F.abs)) * 8, F.lit(1.0))
+        return half_planes(let(g.bounds(v["r"]), lambda b: let(far, lambda f: around(b, f))), moved_sides(v["r"], v["dists"]))
+
+    return let(F.struct(r.alias("r"), dists.alias("dists")), offset)
 
 
 def convex_inset(r: Column, within: Column, dist: Column) -> Column:
     """The part of ``r`` that is at least ``dist`` inside the sides of a convex counter-clockwise ring."""
-    return half_planes(r, F.transform(g.sides(within), lambda side: g.parallel_line(side, dist)))
+    return half_planes(r, let(dist, lambda d: F.transform(g.sides(within), lambda side: g.parallel_line(side, d))))
 
 
 def convex_shrink(r: Column, ratio: Column, rounds: int = 48) -> Column:
@@ -112,10 +117,14 @@ def _span(low: Column, high: Column) -> Column:
 def spans_near(l: Column, r: Column, dist) -> Column:  # noqa: E741
     """The stretches (low, high; lengths from the segment's start) of a segment at most ``dist`` from a ring of any form or in it, in order and apart."""
     dist = F.lit(float(dist)) if not isinstance(dist, Column) else dist
-    a, b = F.get(l, F.lit(0)), F.get(l, F.lit(1))
-    size = g.distance(a, b)
-    frame = F.struct(a["x"].alias("x"), a["y"].alias("y"), ((b["x"] - a["x"]) / size).alias("ux"), ((b["y"] - a["y"]) / size).alias("uy"), size.alias("size"), dist.alias("dist"))
-    return F.when(size > 0, let(frame, lambda s: _spans(s, r)))
+
+    def framed(v: Column) -> Column:
+        a, b, size = v["a"], v["b"], v["size"]
+        frame = F.struct(a["x"].alias("x"), a["y"].alias("y"), ((b["x"] - a["x"]) / size).alias("ux"), ((b["y"] - a["y"]) / size).alias("uy"), size.alias("size"), dist.alias("dist"))
+        return F.when(size > 0, let(frame, lambda s: _spans(s, r)))
+
+    ends = let(l, lambda v: F.struct(F.get(v, F.lit(0)).alias("a"), F.get(v, F.lit(1)).alias("b")))
+    return let(let(ends, lambda v: F.struct(v["a"].alias("a"), v["b"].alias("b"), g.distance(v["a"], v["b"]).alias("size"))), framed)
 
 
 def _spans(s: Column, r: Column) -> Column:
@@ -134,15 +143,15 @@ def _spans(s: Column, r: Column) -> Column:
         return [F.when(F.abs(per) > 1e-12, f(*ends)).when(within, sign * math.inf).otherwise(-sign * math.inf) for f, sign in ((F.least, -1), (F.greatest, 1))]
 
     def strip(p: Column, q: Column) -> Column:
-        m = F.sqrt((q["t"] - p["t"]) * (q["t"] - p["t"]) + (q["h"] - p["h"]) * (q["h"] - p["h"]))
-        side = F.struct(m.alias("m"), ((q["t"] - p["t"]) / m).alias("wx"), ((q["h"] - p["h"]) / m).alias("wy"), p["t"].alias("t"), p["h"].alias("h"))
+        size = F.sqrt((q["t"] - p["t"]) * (q["t"] - p["t"]) + (q["h"] - p["h"]) * (q["h"] - p["h"]))
+        side = lambda m: F.struct(m.alias("m"), ((q["t"] - p["t"]) / m).alias("wx"), ((q["h"] - p["h"]) / m).alias("wy"), p["t"].alias("t"), p["h"].alias("h"))
 
         def cut(w: Column) -> Column:
             ahead = between(-w["t"] * w["wx"] - w["h"] * w["wy"], w["wx"], F.lit(0.0), w["m"])
             across = between(w["t"] * w["wy"] - w["h"] * w["wx"], -w["wy"], -dist, dist)
             return _span(F.greatest(ahead[0], across[0]), F.least(ahead[1], across[1]))
 
-        return F.when(m > 0, let(side, cut))
+        return let(size, lambda m: F.when(m > 0, let(side(m), cut)))
 
     def crossing(p: Column, q: Column) -> Column:
         return F.when(p["h"] * q["h"] <= 0, p["t"] + (q["t"] - p["t"]) * p["h"] / F.nullif(p["h"] - q["h"], F.lit(0.0)))
@@ -151,7 +160,8 @@ def _spans(s: Column, r: Column) -> Column:
         cuts = F.filter(F.zip_with(c, g.following(c), crossing), lambda t: t.isNotNull() & (t > 0) & (t < size))
         marks = F.array_sort(F.concat(F.array(F.lit(0.0), size), cuts))
         flat = F.transform(c, lambda p: g.point(p["t"], p["h"]))
-        inside = let(marks, lambda m: F.zip_with(m, F.slice(m, 2, F.size(m)), lambda low, high: F.when(high.isNotNull() & g.contains_point(flat, g.point((low + high) / 2, 0.0)), _span(low, high))))
+        within = lambda f, m: F.zip_with(m, F.slice(m, 2, F.size(m)), lambda low, high: F.when(high.isNotNull() & g.contains_point(f, g.point((low + high) / 2, 0.0)), _span(low, high)))
+        inside = let(flat, lambda f: let(marks, lambda m: within(f, m)))
         found = F.concat(F.transform(c, disc), F.zip_with(c, g.following(c), strip), inside)
         found = F.transform(F.filter(found, lambda x: x.isNotNull()), lambda x: _span(F.greatest(x["low"], F.lit(0.0)), F.least(x["high"], size)))
         return F.aggregate(F.array_sort(F.filter(found, lambda x: x["high"] > x["low"])), F.slice(F.array(_span(F.lit(0.0), F.lit(0.0))), 1, 0), _merge)
@@ -308,7 +318,10 @@ def simplify(r: Column, tolerance: float = 0.05) -> Column:
 
 def best_rectangle(r: Column, width, steps: int = 90, reach: float = 1000.0) -> Column:
     """The angle in [0, pi) and length of the longest rectangle of ``width`` through the middle of the corners inside a ring of any form, of ``steps`` angles; ties go to the smallest."""
-    width = F.lit(width)
+    return let(r, lambda v: _best_rectangle(v, F.lit(width), steps, reach))
+
+
+def _best_rectangle(r: Column, width: Column, steps: int, reach: float) -> Column:
     mean = lambda c: F.aggregate(r, F.lit(0.0), lambda s, p: s + p[c]) / F.size(r)
     middle = g.point(mean("x"), mean("y"))
 
@@ -319,12 +332,13 @@ def best_rectangle(r: Column, width, steps: int = 90, reach: float = 1000.0) ->
 
     def along(m: Column, a: Column) -> Column:
         offsets = F.array(*[F.lit(k / 4 - 0.5) for k in range(5)])
-        base = lambda k: g.point(m["x"] - F.sin(a) * width * k, m["y"] + F.cos(a) * width * k)
-        ends = lambda w: F.array_min(F.transform(offsets, lambda k: let(base(k), lambda p: end(p, F.cos(a) * w, F.sin(a) * w))))
-        return F.struct((ends(1) + ends(-1)).alias("length"), (-a).alias("back"), a.alias("angle"))
+        turned = F.struct(F.cos(a).alias("cos"), F.sin(a).alias("sin"))
+        base = lambda u, k: g.point(m["x"] - u["sin"] * width * k, m["y"] + u["cos"] * width * k)
+        ends = lambda u, w: F.array_min(F.transform(offsets, lambda k: let(base(u, k), lambda p: end(p, u["cos"] * w, u["sin"] * w))))
+        return let(turned, lambda u: F.struct((ends(u, 1) + ends(u, -1)).alias("length"), (-a).alias("back"), a.alias("angle")))
 
     found = let(middle, lambda m: F.array_max(F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda k: let(k * (math.pi / steps), lambda a: along(m, a)))))
-    return F.struct(found["angle"].alias("angle"), found["length"].alias("length"))
+    return let(found, lambda x: F.struct(x["angle"].alias("angle"), x["length"].alias("length")))
 
 
 def ring_from_lines(lines: Column, reach: float = 1.0) -> Column:

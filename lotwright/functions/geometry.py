@@ -44,7 +44,12 @@ def let(value: Column, body) -> Column:
 
 def following(r: Column) -> Column:
     """The ring turned by one vertex."""
-    return F.when(F.size(r) > 1, F.concat(F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0))), F.slice(r, 1, 1))).otherwise(r)
+    return let(r, lambda v: F.when(F.size(v) > 1, F.concat(F.slice(v, 2, F.greatest(F.size(v) - 1, F.lit(0))), F.slice(v, 1, 1))).otherwise(v))
+
+
+def by_side(r: Column, body) -> Column:
+    """``body`` of each vertex and the next, as an array; the ring is computed once, however long its expression."""
+    return let(r, lambda v: F.zip_with(v, following(v), body))
 
 
 def _sum(values: Column) -> Column:
@@ -53,7 +58,7 @@ def _sum(values: Column) -> Column:
 
 def signed_area(r: Column) -> Column:
     """Positive for counter-clockwise rings."""
-    return _sum(F.zip_with(r, following(r), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])) / 2
+    return _sum(by_side(r, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])) / 2
 
 
 def polygon_area(shape: Column) -> Column:
@@ -76,7 +81,7 @@ def largest_region(shape: Column) -> Column:
 
 def orientation(r: Column) -> Column:
     """1 counter-clockwise, -1 otherwise (degenerate rings too)."""
-    turn = _sum(F.zip_with(r, following(r), lambda a, b: (b["x"] - a["x"]) * (b["y"] + a["y"])))
+    turn = _sum(by_side(r, lambda a, b: (b["x"] - a["x"]) * (b["y"] + a["y"])))
     return F.when(turn < 0, 1).otherwise(-1)
 
 
@@ -85,7 +90,7 @@ def reverse_ring(r: Column) -> Column:
 
 
 def with_orientation(r: Column, direction: int = 1) -> Column:
-    return F.when(orientation(r) == direction, r).otherwise(F.reverse(r))
+    return let(r, lambda v: F.when(orientation(v) == direction, v).otherwise(F.reverse(v)))
 
 
 def translate(r: Column, dx, dy) -> Column:
@@ -104,20 +109,24 @@ def rotate(r: Column, angle, cx=0.0, cy=0.0) -> Column:
 
 
 def bounds(r: Column) -> Column:
-    xs, ys = F.transform(r, lambda p: p["x"]), F.transform(r, lambda p: p["y"])
-    return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
+    values = lambda v: F.struct(F.transform(v, lambda p: p["x"]).alias("xs"), F.transform(v, lambda p: p["y"]).alias("ys"))
+    ends = lambda c: F.struct(F.array_min(c["xs"]).alias("x0"), F.array_min(c["ys"]).alias("y0"), F.array_max(c["xs"]).alias("x1"), F.array_max(c["ys"]).alias("y1"))
+    return let(let(r, values), ends)
 
 
 def localise(r: Column) -> Column:
     """The ring with its bounds' lower left corner at the origin."""
-    b = bounds(r)
-    return translate(r, -b["x0"], -b["y0"])
+    return let(r, lambda v: let(bounds(v), lambda b: translate(v, -b["x0"], -b["y0"])))
 
 
 def centroid(r: Column) -> Column:
-    cross = F.zip_with(r, following(r), lambda a, b: F.struct((a["x"] * b["y"] - b["x"] * a["y"]).alias("c"), (a["x"] + b["x"]).alias("x"), (a["y"] + b["y"]).alias("y")))
-    area6 = signed_area(r) * 6
-    return point(_sum(F.transform(cross, lambda t: t["c"] * t["x"])) / area6, _sum(F.transform(cross, lambda t: t["c"] * t["y"])) / area6)
+    cross = by_side(r, lambda a, b: F.struct((a["x"] * b["y"] - b["x"] * a["y"]).alias("c"), (a["x"] + b["x"]).alias("x"), (a["y"] + b["y"]).alias("y")))
+
+    def middle(cs: Column) -> Column:
+        area6 = _sum(F.transform(cs, lambda t: t["c"])) / 2 * 6
+        return let(area6, lambda a: point(_sum(F.transform(cs, lambda t: t["c"] * t["x"])) / a, _sum(F.transform(cs, lambda t: t["c"] * t["y"])) / a))
+
+    return let(cross, middle)
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -126,7 +135,7 @@ def distance(a: Column, b: Column) -> Column:
 
 def side_lengths(r: Column) -> Column:
     """Side i goes from vertex i to the next."""
-    return F.zip_with(r, following(r), distance)
+    return by_side(r, distance)
 
 
 def perimeter(r: Column) -> Column:
@@ -148,33 +157,37 @@ def line_angle(l: Column) -> Column:  # noqa: E741
 
 def outer_angles(r: Column) -> Column:
     """The direction of each side."""
-    return F.zip_with(r, following(r), direction)
+    return by_side(r, direction)
 
 
 def inner_angles(r: Column) -> Column:
     """The angle inside a counter-clockwise ring at the start of each side."""
-    n = F.size(r)
-    own = lambda i: F.get(r, F.pmod(i, n))
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: _turn(direction(own(i), own(i + n - 1)) - direction(own(i), own(i + 1))))
+
+    def angles(v: Column) -> Column:
+        n = F.size(v)
+        own = lambda i: F.get(v, F.pmod(i, n))
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: _turn(direction(own(i), own(i + n - 1)) - direction(own(i), own(i + 1))))
+
+    return let(r, angles)
 
 
 def diagonals(r: Column) -> Column:
     """The matrix of distances between vertices."""
-    return F.transform(r, lambda a: F.transform(r, lambda b: distance(a, b)))
+    return let(r, lambda v: F.transform(v, lambda a: F.transform(v, lambda b: distance(a, b))))
 
 
 def point_distances(a: Column, b: Column) -> Column:
-    return F.transform(a, lambda p: F.transform(b, lambda q: distance(p, q)))
+    return let(b, lambda v: F.transform(a, lambda p: F.transform(v, lambda q: distance(p, q))))
 
 
 def min_vertex_distance(a: Column, b: Column) -> Column:
     """The least distance between vertices of two rings, with their places (from 1)."""
-    pairs = F.flatten(F.transform(a, lambda p, i: F.transform(b, lambda q, j: F.struct(distance(p, q).alias("distance"), (i + 1).alias("i"), (j + 1).alias("j")))))
-    return F.array_min(pairs)
+    pairs = lambda v: F.flatten(F.transform(a, lambda p, i: F.transform(v, lambda q, j: F.struct(distance(p, q).alias("distance"), (i + 1).alias("i"), (j + 1).alias("j")))))
+    return F.array_min(let(b, pairs))
 
 
 def sides(r: Column) -> Column:
-    return F.zip_with(r, following(r), line)
+    return by_side(r, line)
 
 
 def _cross(o: Column, a: Column, b: Column) -> Column:
@@ -182,10 +195,13 @@ def _cross(o: Column, a: Column, b: Column) -> Column:
 
 
 def is_convex(r: Column) -> Column:
-    n = F.size(r)
-    own = lambda i: F.get(r, F.pmod(i, n))
-    turns = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.signum(_cross(own(i), own(i + 1), own(i + 2))))
-    return F.forall(turns, lambda t: t >= 0) | F.forall(turns, lambda t: t <= 0)
+
+    def turns(v: Column) -> Column:
+        n = F.size(v)
+        own = lambda i: F.get(v, F.pmod(i, n))
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.signum(_cross(own(i), own(i + 1), own(i + 2))))
+
+    return let(let(r, turns), lambda ts: F.forall(ts, lambda t: t >= 0) | F.forall(ts, lambda t: t <= 0))
 
 
 def sub_shape(shape: Column, first: int, count: int = 1) -> Column:
@@ -227,15 +243,21 @@ def along(l: Column, alpha) -> Column:  # noqa: E741
 
 def line_line_distance(l1: Column, l2: Column) -> Column:
     """Signed distance of l2's middle from the line of l1."""
-    return point_line_distance(mid_point(l2), l1) * halfspace_sign(mid_point(l2), l1)
+    given = F.struct(mid_point(l2).alias("p"), l1.alias("l"))
+    return let(given, lambda v: point_line_distance(v["p"], v["l"]) * halfspace_sign(v["p"], v["l"]))
 
 
 def parallel_line(l: Column, dist) -> Column:  # noqa: E741
     """Moved by ``dist`` to the left of its direction."""
-    a, b = F.get(l, F.lit(0)), F.get(l, F.lit(1))
-    n = distance(a, b)
-    dx, dy = -(b["y"] - a["y"]) / n * dist, (b["x"] - a["x"]) / n * dist
-    return line(point(a["x"] + dx, a["y"] + dy), point(b["x"] + dx, b["y"] + dy))
+    ends = F.struct(F.get(l, F.lit(0)).alias("a"), F.get(l, F.lit(1)).alias("b"), F.lit(dist).cast("double").alias("dist"))
+
+    def shift(v: Column) -> Column:
+        a, b = v["a"], v["b"]
+        by = lambda n: F.struct(v.alias("v"), (-(b["y"] - a["y"]) / n * v["dist"]).alias("dx"), ((b["x"] - a["x"]) / n * v["dist"]).alias("dy"))
+        return let(distance(a, b), by)
+
+    moved = lambda s: line(point(s["v"]["a"]["x"] + s["dx"], s["v"]["a"]["y"] + s["dy"]), point(s["v"]["b"]["x"] + s["dx"], s["v"]["b"]["y"] + s["dy"]))
+    return let(let(ends, shift), moved)
 
 
 def line_from(p: Column, angle, length) -> Column:
@@ -321,16 +343,12 @@ def shadow_shift(r: Column, height, towards: str) -> Column:
 
 def contains_point(r: Column, p: Column) -> Column:
     """By the even-odd rule."""
-    n = F.size(r)
-    crossings = F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.when(
-            ((F.get(r, i)["y"] > p["y"]) != (F.get(r, F.pmod(i + 1, n))["y"] > p["y"]))
-            & (p["x"] < (F.get(r, F.pmod(i + 1, n))["x"] - F.get(r, i)["x"]) * (p["y"] - F.get(r, i)["y"]) / F.nullif(F.get(r, F.pmod(i + 1, n))["y"] - F.get(r, i)["y"], F.lit(0.0)) + F.get(r, i)["x"]),
-            1,
-        ).otherwise(0),
-    )
-    return F.aggregate(crossings, F.lit(0), lambda a, v: a + v) % 2 == 1
+
+    def crossings(q: Column) -> Column:
+        left = lambda a, b: q["x"] < (b["x"] - a["x"]) * (q["y"] - a["y"]) / F.nullif(b["y"] - a["y"], F.lit(0.0)) + a["x"]
+        return by_side(r, lambda a, b: F.when(((a["y"] > q["y"]) != (b["y"] > q["y"])) & left(a, b), 1).otherwise(0))
+
+    return F.aggregate(let(p, crossings), F.lit(0), lambda a, v: a + v) % 2 == 1
 
 
 def in_shape(shape: Column, p: Column) -> Column:
