@@ -11,14 +11,22 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .borders import sides
 from .rounds import drop, keep
 
 #: Units of a cell by which corners and sides are joined, and of the grid in metres.
 CELL, GRID = 1000, 0.01
+#: Corners of a group up to which all are tried on each of its sides, and pieces of a group up to which one task follows its rings.
+FEW, SMALL = 64, 20_000
+#: Pieces that a task follows at once, about.
+BATCH = 200_000
 _ENDS = ["ax", "ay", "bx", "by"]
 
 
@@ -44,9 +52,16 @@ def outline(parts: DataFrame, keys: list[str], shape: str, grid: float = GRID, t
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     size = F.sqrt((dx * dx + dy * dy).cast("double"))
     near = tolerance / grid
-    cells = cells_along(near)
-    listed = s.select(*keys, *_ENDS, F.explode(cells).alias("_c")).select(*keys, *_ENDS, F.col("_c.i").alias("_cx"), F.col("_c.j").alias("_cy"))
-    met = listed.join(corners.hint("merge"), [*keys, "_cx", "_cy"])
+    # Corners of groups that have few are all tried: sides need not be listed under cells, which are many more rows to exchange.
+    sizes = corners.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    few = F.col("_n") <= FEW
+    at_once = F.array(F.struct(F.lit(0).cast("bigint").alias("i"), F.lit(0).cast("bigint").alias("j")))
+    corners = corners.join(sizes.hint("merge"), keys)
+    for c in ("_cx", "_cy"):
+        corners = corners.withColumn(c, F.when(few, F.lit(0).cast("bigint")).otherwise(F.col(c)))
+    listed = s.join(sizes.hint("merge"), keys).select(*keys, *_ENDS, F.explode(F.when(few, at_once).otherwise(cells_along(near))).alias("_c"))
+    listed = listed.select(*keys, *_ENDS, F.col("_c.i").alias("_cx"), F.col("_c.j").alias("_cy"))
+    met = listed.join(corners.drop("_n").hint("merge"), [*keys, "_cx", "_cy"])
     at = ((F.col("x") - F.col("ax")) * dx + (F.col("y") - F.col("ay")) * dy) / size
     aside = F.abs((F.col("y") - F.col("ay")) * dx - (F.col("x") - F.col("ax")) * dy) / size
     met = met.where((aside <= near) & (at > near) & (at < size - near))
@@ -92,12 +107,87 @@ def _hop(df: DataFrame, keys: list[str], columns: dict[str, Column]) -> DataFram
 
 
 def numbered(edges: DataFrame, keys: list[str], rounds: int = 60) -> DataFrame:
-    """keys, ring (its smallest piece), place (from 0 at that piece), pieces of the ring, and the piece's ends.
+    """keys, ring (its smallest piece), place (from 0 at that piece), pieces of the ring, where the piece before begins (from), and the piece's ends.
 
-    A round doubles the way that each piece sees: there are about twice the
-    logarithm of the longest ring's pieces. Raises if ``rounds`` don't settle it.
+    Groups of up to SMALL pieces are exchanged once and followed side by side in
+    tasks; what larger ones need is exchanged in rounds. A round doubles the way
+    that each piece sees: there are about twice the logarithm of the longest
+    ring's pieces. Raises if ``rounds`` don't settle it.
     """
     links = keep(followed(edges, keys))
+    sizes = links.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    large = keep(sizes.where(F.col("_n") > SMALL).select(*keys))
+    if not large.limit(1).count():
+        return _followed_in_tasks(links, keys, rounds)
+    far = keep(links.join(large.hint("merge"), keys, "left_semi"))
+    return _followed_in_tasks(links.join(large.hint("merge"), keys, "left_anti"), keys, rounds).unionByName(_in_rounds(far, keys, rounds))
+
+
+def _followed_in_tasks(links: DataFrame, keys: list[str], rounds: int) -> DataFrame:
+    """numbered() of links (keys, e, next) of groups of which a task can hold each; all groups of a batch are followed at once."""
+    group = [F.xxhash64(*keys).alias("_g"), F.xxhash64(F.lit(1), *keys).alias("_h")]
+    rows = links.select(F.struct(*keys).alias("k"), *group, "e", "next").repartition("_g", "_h").sortWithinPartitions("_g", "_h", "e")
+    piece, start = rows.schema["e"].dataType, StructType([StructField(c, LongType()) for c in ("ax", "ay")])
+    schema = StructType([rows.schema["k"], StructField("ring", piece), StructField("place", LongType()), StructField("pieces", LongType()), StructField("from", start), StructField("e", piece)])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            held, size = [*held, batch], size + batch.num_rows
+            if size < BATCH:
+                continue
+            # The last hash's rows wait for what may follow of their group.
+            rows = pa.Table.from_batches(held)
+            g = rows.column("_g").to_numpy()
+            end = int(np.searchsorted(g, g[-1]))
+            if end:
+                yield from ring_places(rows.slice(0, end), rounds).to_batches()
+                held, size = rows.slice(end).to_batches(), len(g) - end
+        if size:
+            yield from ring_places(pa.Table.from_batches(held), rounds).to_batches()
+
+    return rows.mapInArrow(run, schema).select("k.*", "ring", "place", "pieces", "from", "e.*")
+
+
+def ring_places(rows: pa.Table, rounds: int = 60) -> pa.Table:
+    """(k, ring, place, pieces, from, e) of rows (k, _g, _h, e, next): a group's pieces lie side by side, in order."""
+    rows, n = rows.combine_chunks(), rows.num_rows
+    g, h = (rows.column(c).to_numpy() for c in ("_g", "_h"))
+    group = np.concatenate([[0], np.cumsum((g[1:] != g[:-1]) | (h[1:] != h[:-1]))])
+    own, then = ([pc.struct_field(rows.column(name), c).to_numpy() for c in _ENDS] for name in ("e", "next"))
+    # Each piece's next one: equal rows of group and ends lie side by side, the piece itself before those that name it.
+    both = [np.concatenate([group, group]), *[np.concatenate(x) for x in zip(own, then, strict=True)]]
+    order = np.lexsort(both[::-1])
+    new = np.concatenate([[True], np.any([v[order][1:] != v[order][:-1] for v in both], axis=0)])
+    follows = np.empty(2 * n, np.int64)
+    follows[order] = order[np.maximum.accumulate(np.where(new, np.arange(2 * n), 0))]
+    follows = follows[n:]
+    every = np.arange(n)
+    ring, ahead = every, follows
+    for _ in range(rounds):
+        least = np.minimum(ring, ring[ahead])
+        if (least == ring).all():
+            break
+        ring, ahead = least, ahead[ahead]
+    else:
+        raise RuntimeError(f"rings did not settle in {rounds} rounds")
+    # Steps left to the ring's smallest piece; row n is behind it.
+    left = np.append((ring != every).astype(np.int64), 0)
+    ahead = np.append(np.where(ring == every, n, follows), n)
+    while (ahead != n).any():
+        left, ahead = left + left[ahead], ahead[ahead]
+    pieces = np.bincount(ring, minlength=n)[ring]
+    place = (pieces - left[:n]) % pieces
+    by_place = np.lexsort((place, ring))
+    first = np.concatenate([[0], np.cumsum(np.bincount(ring, minlength=n))])[ring]
+    before = by_place[first + (place - 1) % pieces]
+    e = pa.concat_arrays(rows.column("e").chunks)
+    start = pa.StructArray.from_arrays([pa.array(own[k][before]) for k in (0, 1)], ["ax", "ay"])
+    return pa.table({"k": rows.column("k"), "ring": e.take(pa.array(ring)), "place": place, "pieces": pieces, "from": start, "e": e})
+
+
+def _in_rounds(links: DataFrame, keys: list[str], rounds: int) -> DataFrame:
+    """numbered() of links of groups of any size."""
     seen = keep(links.withColumn("ring", F.col("e")))
     for _ in range(rounds):
         new = keep(_hop(seen, keys, {"next": F.col("n.next"), "ring": F.least("ring", "n.ring"), "old": F.col("ring")}))
@@ -123,7 +213,9 @@ def numbered(edges: DataFrame, keys: list[str], rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"places did not settle in {rounds} rounds")
     sizes = left.groupBy(*keys, "ring").agg(F.count(F.lit(1)).alias("pieces"))
     placed = left.join(sizes.hint("merge"), [*keys, "ring"])
-    return placed.select(*keys, "ring", F.pmod(F.col("pieces") - F.col("left"), F.col("pieces")).alias("place"), "pieces", "e.*")
+    found = placed.select(*keys, "ring", F.pmod(F.col("pieces") - F.col("left"), F.col("pieces")).alias("place"), "pieces", "e.*")
+    before = found.select(*keys, "ring", F.struct("ax", "ay").alias("from"), F.pmod(F.col("place") + 1, F.col("pieces")).alias("place"))
+    return found.join(before.hint("merge"), [*keys, "ring", "place"]).select(*keys, "ring", "place", "pieces", "from", *_ENDS)
 
 
 def rings(parts: DataFrame, keys: list[str], shape: str, grid: float = GRID, tolerance: float = 0.02) -> DataFrame:
@@ -138,9 +230,7 @@ def rings(parts: DataFrame, keys: list[str], shape: str, grid: float = GRID, tol
 
 def points_of(edges: DataFrame, keys: list[str], grid: float = GRID) -> DataFrame:
     """The points of rings() from the pieces of an outline."""
-    found = numbered(edges, keys)
-    before = found.select(*keys, "ring", F.struct("ax", "ay").alias("from"), F.pmod(F.col("place") + 1, F.col("pieces")).alias("place"))
-    met = found.join(before.hint("merge"), [*keys, "ring", "place"])
+    met = numbered(edges, keys)
     cross = (F.col("ax") - F.col("from.ax")) * (F.col("by") - F.col("ay")) - (F.col("ay") - F.col("from.ay")) * (F.col("bx") - F.col("ax"))
     sizes = F.sqrt((F.pow(F.col("ax") - F.col("from.ax"), 2) + F.pow(F.col("ay") - F.col("from.ay"), 2)) * (F.pow(F.col("bx") - F.col("ax"), 2) + F.pow(F.col("by") - F.col("ay"), 2)))
     return met.select(*keys, "ring", "place", (F.col("ax") * grid).alias("x"), (F.col("ay") * grid).alias("y"), (F.abs(cross) > math.sin(5e-3) * sizes).alias("corner"), *_ENDS)

@@ -368,3 +368,21 @@ def test_shadows_of_slices(spark):
     df = spark.createDataFrame([(*s, ground) for s in slices], f"k int, z double, r {g.RING}, ground {g.SHAPE}")
     assert {r.k: r.area for r in zoning.slices_shadow(df, ["k"], "r", "z", "p").collect()} == pytest.approx({1: 120.0, 2: 120.0})
     assert {r.k: r.area for r in zoning.slices_shadow(df, ["k"], "r", "z", "p", "ground").collect()} == pytest.approx({1: 96.0, 2: 96.0})
+
+
+def test_rings_of_small_groups_are_followed_in_tasks(spark, monkeypatch):
+    """The same rings as by rounds, and no files of rounds but the links' and the large groups'."""
+    square = lambda x, y, n=10.0: [[(x, y), (x + n, y), (x + n, y + n), (x, y + n)]]
+    rows = [(f"b{k}" if k else None, square(10.0 * i, 10.0 * j)) for k in range(4) for i in range(3) for j in range(3) if (i, j) != (1, 1)] + [("far", square(0.0, 0.0)), ("far", square(40.0, 0.0))]
+    own = spark.createDataFrame(rows, f"block string, shape {g.SHAPE}")
+    kept = []
+    keep = dissolve.keep
+    monkeypatch.setattr(dissolve, "keep", lambda df: kept.append(1) or keep(df))
+    found = lambda: sorted(map(str, dissolve.rings(own, ["block"], "shape").collect()))
+    monkeypatch.setattr(dissolve, "BATCH", 5)
+    in_tasks = found()
+    assert len(kept) == 2
+    monkeypatch.setattr(dissolve, "SMALL", 9)
+    monkeypatch.setattr(dissolve, "FEW", 2)
+    assert found() == in_tasks and len(in_tasks) == 3 * 16 + 8
+    assert len(kept) > 4
