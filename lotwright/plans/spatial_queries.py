@@ -8,6 +8,7 @@ from ..functions import clipping
 from ..functions import geometry as g
 from ..functions.numbers import q6, q6_sql
 from ..operators import borders, capacity, dissolve, economics, graph, locations, lots, overlay, pricing, spatial_join, zoning
+from ..operators.rounds import spread
 from ..sources import export
 from . import pipeline
 from .geometry_queries import BOX_SQL, boxes
@@ -226,11 +227,12 @@ SELECT k, {q('z')} AS slice_height, {q('(w + 20 - 2 * (z / 2.5)) * (h + 20 - 2 *
 FROM {BOX_SQL}, (SELECT range * 0.1 * 2.5 AS z FROM range(0, 501) UNION ALL SELECT 24.9) s WHERE z <= 24.9
 """)
 def envelope_slices(t):
-    """Slices every 0.1 of the slope's base up to the full height."""
-    b = boxes(t)
+    """Slices every 0.1 of the slope's base up to the full height; those of copies of one box are worked out once."""
+    b = spread(_stacks(t))
     ring = g.box(F.col("x"), F.col("y"), F.col("w") + 20, F.col("h") + 20)
     b = b.select("k", ring.alias("gross"), ring.alias("build"), F.lit(2.5).alias("slope"), F.lit(24.9).alias("height"))
-    return zoning.convex_envelope(b, "gross", "build", "slope", "height").select("k", q6("slice_height").alias("slice_height"), q6(g.signed_area(F.col("slice"))).alias("area"))
+    found = zoning.convex_envelope(b, "gross", "build", "slope", "height").select("k", q6("slice_height").alias("slice_height"), q6(g.signed_area(F.col("slice"))).alias("area"))
+    return spatial_join.unstacked(found, "k")
 
 
 @query(f"SELECT k, {q('(w + 15.4) * h')} AS west, {q('(h + 4.9) * w')} AS south FROM {BOX_SQL}")

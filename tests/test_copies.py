@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lotwright.functions import geometry as g
 from lotwright.operators import borders, rounds, spatial_join
+from lotwright.plans import spatial_queries
 from lotwright.plans.reading import reader
 
 
@@ -49,3 +50,13 @@ def test_kept_rows_release_their_shuffle_files(spark):
     rounds.drop(kept)
     where = spark._jvm.org.apache.hadoop.fs.Path(kept._kept)
     assert not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def test_slices_of_copies_of_a_box_are_worked_out_once(spark, tmp_path):
+    """Parts 20,000 apart and of one size are copies of one box: each gets all slices, worked out from one row of both."""
+    keys = [(k, 5 + k % 2) for k in (1, 2, 20001, 20004)]
+    spark.createDataFrame(keys, "p_partkey bigint, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    found = spatial_queries.QUERIES["envelope_slices"](spark, str(tmp_path))
+    assert "collect_list" in found._jdf.queryExecution().optimizedPlan().toString()
+    rows = {k: sorted((r.slice_height, r.area) for r in found.where(F.col("k") == k).collect()) for k, _ in keys}
+    assert all(len(r) == 101 for r in rows.values()) and rows[1] == rows[20001] != rows[2]
