@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions import clipping
 from ..functions import geometry as g
-from . import dissolve, geo_udf, kernel, overlay, spatial_join
+from . import dissolve, geo_udf, kernel, overlay, side_by_side, spatial_join
 
 #: Fixed values of the planning rules.
 FUSION_BONUS, CONTEXT_PER_METRE, CONTEXT_MOST, HABITANTS_PER_DWELLING = 1.3, 2.7474774194546216, 140.0, 4.0
@@ -131,25 +133,101 @@ def side_streets(parcels: DataFrame, key: str, ring: str, radius: float, contact
     """
     own = parcels.select(F.col(key).alias("key"), F.col(ring).alias("_ring"))
     n = int(round(radius / step))
-    # Strips in front of a side, from nothing to each width; neighbours' sides bound them.
-    grown = lambda k, d: clipping.convex_offset(F.col("_ring"), F.transform("_ring", lambda _, i: F.when(i == k, d).otherwise(0.0)))
-    # Around the first corner: areas far from the origin lose digits.
-    there = lambda r: F.transform(r, lambda p: g.point(p["x"] - F.col("_origin.x"), p["y"] - F.col("_origin.y")))
-    front = own.select("key", "_ring", F.posexplode(g.sides(F.col("_ring"))).alias("side", "_side"))
-    front = front.withColumn("_reach", g.let(grown(F.col("side"), F.lit(float(radius))), lambda r: clipping.half_planes(r, F.array(F.reverse("_side")))))
+    depths = np.array([0.5, *[k * step for k in range(n + 1)]])
+    fronts = own.mapInArrow(lambda batches: _fronts(batches, radius, depths), StructType([*own.schema.fields, *_fields("_reach:struct<x0:double,y0:double,x1:double,y1:double>,_rows:array<struct<side:int,areas:array<double>>>")]))
     others = own.select(F.col("key").alias("_other"), F.col("_ring").alias("_there"))
-    met = spatial_join.bounds_join(front, others, g.bounds(F.col("_reach")), g.bounds(F.col("_there"))).where("key <> _other")
-    met = met.withColumn("_there", clipping.convex_clip(F.col("_there"), F.col("_reach"))).where(F.size("_there") > 2)
-    met = front.join(met.groupBy("key", "side").agg(F.collect_list("_there").alias("_cover")).hint("merge"), ["key", "side"], "left").withColumn("_origin", F.get("_ring", F.lit(0)))
-    met = met.select("key", "side", there(F.col("_side")).alias("_side"), there(F.col("_reach")).alias("_reach"), F.transform("_cover", there).alias("_cover"))
-    widths = F.sequence(F.lit(0), F.lit(n))
-    near = lambda r, d: clipping.half_planes(r, F.array(g.parallel_line(F.col("_side"), -d)))
-    area = lambda r, d: g.let(near(r, d), lambda x: F.abs(g.signed_area(x)))
-    free = lambda d: g.let(area(F.col("_reach"), d), lambda whole: F.struct(whole.alias("all"), (whole - F.aggregate(F.coalesce("_cover", F.expr("cast(array() AS array<array<struct<x:double,y:double>>>)")), F.lit(0.0), lambda s, r: s + area(r, d))).alias("free")))
-    met = met.withColumn("_near", free(F.lit(0.5))["free"] / 0.5).where(F.col("_near") >= contact - 1e-6)
-    met = met.withColumn("_steps", F.transform(widths, lambda k: free(k * step)))
-    ends = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: (k * step >= least) & (F.get("_steps", k + 1)["free"] - F.get("_steps", k)["free"] < (F.get("_steps", k + 1)["all"] - F.get("_steps", k)["all"]) * share))
-    return met.select("key", "side", (F.coalesce(F.get(ends, F.lit(0)), F.lit(n)) * step).alias("width"))
+    met = spatial_join.bounds_join(fronts.select("key", "_ring", "_reach"), others, F.col("_reach"), g.bounds(F.col("_there"))).where("key <> _other")
+    met = met.select("key", "_ring", F.xxhash64("_ring").alias("_hash"), "_there")
+    covered = met.mapInArrow(lambda batches: _covered(batches, radius, depths), StructType([met.schema["key"], *_fields("_hash:bigint,side:int,areas:array<double>")]))
+    whole = fronts.select("key", F.xxhash64("_ring").alias("_hash"), F.explode("_rows").alias("r")).select("key", "_hash", "r.*", F.lit(True).alias("own"))
+    # What is there and what is covered of it go in one exchange.
+    rows = whole.unionByName(covered.withColumn("own", F.lit(False)))
+    area = lambda k: F.get("areas", F.lit(k))
+    sums = [f(F.sum(F.when(F.col("own"), area(k)).otherwise(otherwise)), k) for k in range(n + 2) for f, otherwise in ((lambda c, k: c.alias(f"all{k - 1}"), F.lit(0.0)), (lambda c, k: c.alias(f"free{k - 1}"), -area(k)))]
+    rows = rows.groupBy("key", "_hash", "side").agg(*sums).where(F.col("free-1") / 0.5 >= contact - 1e-6)
+    more = lambda c, k: F.col(f"{c}{k + 1}") - F.col(f"{c}{k}")
+    ends = [F.when(more("free", k) < more("all", k) * share, k) for k in range(n) if k * step >= least]
+    return rows.select("key", "side", (F.coalesce(*ends, F.lit(n)) * step).alias("width"))
+
+
+def _fields(text: str) -> list[StructField]:
+    return list(StructType.fromDDL(text).fields)
+
+
+def _in_front(x, y, sizes, rows, side, radius):
+    """The chosen sides' lines, and the ground in front of them."""
+    px, py, dx, dy = side_by_side.sides(x, y, sizes)
+    at = (np.cumsum(sizes) - sizes)[rows] + side
+    return (px[at], py[at], dx[at], dy[at]), side_by_side.fronts(x, y, sizes, rows, side, radius)
+
+
+def _each_side(x, y, sizes):
+    """Each ring's row and number for every side with a length."""
+    _, _, dx, dy = side_by_side.sides(x, y, sizes)
+    there = (dx != 0) | (dy != 0)
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    return rows[there], (np.arange(len(x)) - (np.cumsum(sizes) - sizes)[rows])[there]
+
+
+def _origin(x, y, sizes):
+    """The rings' first corners, around which areas keep their digits."""
+    at = np.minimum(np.cumsum(sizes) - sizes, max(len(x) - 1, 0))
+    return (x[at], y[at]) if len(x) else (np.zeros(len(sizes)), np.zeros(len(sizes)))
+
+
+def _areas(areas: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(areas) + 1) * areas.shape[1], pa.int32()), pa.array(areas.ravel()))
+
+
+def _fronts(batches, radius: float, depths: np.ndarray):
+    """Of rows (key, _ring): the bounds of what lies in front of the ring's sides, and each side's areas within the depths."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, side_by_side.ROWS):
+            part = batch.slice(at, side_by_side.ROWS)
+            x, y, sizes = side_by_side.corners(part.column(1))
+            ox, oy = _origin(x, y, sizes)
+            rows, side = _each_side(x, y, sizes)
+            lines, (rx, ry, counts) = _in_front(x - np.repeat(ox, sizes), y - np.repeat(oy, sizes), sizes, rows, side, radius)
+            areas = side_by_side.areas_within(*side_by_side.along_side(rx, ry, counts, *lines), counts, depths)
+            own = np.repeat(rows, counts)
+            bounds = []
+            for f, v, o, start in ((np.minimum, rx, ox, np.inf), (np.minimum, ry, oy, np.inf), (np.maximum, rx, ox, -np.inf), (np.maximum, ry, oy, -np.inf)):
+                to = np.full(len(sizes), start)
+                f.at(to, own, v)
+                bounds.append(pa.array(to + o, mask=~np.isfinite(to)))
+            each = pa.StructArray.from_arrays([pa.array(side, pa.int32()), _areas(areas)], ["side", "areas"])
+            ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(sizes)))])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.StructArray.from_arrays(bounds, ["x0", "y0", "x1", "y1"]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)], names=["key", "_ring", "_reach", "_rows"])
+
+
+def _covered(batches, radius: float, depths: np.ndarray):
+    """Of rows (key, _ring, _hash, _there): the areas within the depths that the other ring takes in front of each side it meets."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, side_by_side.ROWS):
+            part = batch.slice(at, side_by_side.ROWS)
+            x, y, sizes = side_by_side.corners(part.column(1))
+            ox, oy = _origin(x, y, sizes)
+            x, y = x - np.repeat(ox, sizes), y - np.repeat(oy, sizes)
+            tx, ty, there = side_by_side.corners(part.column(3))
+            tx, ty = tx - np.repeat(ox, there), ty - np.repeat(oy, there)
+            rows, side = _each_side(x, y, sizes)
+            rows, side = rows[there[rows] > 0], side[there[rows] > 0]
+            # Only sides of which the other ring is in front, and near enough.
+            px, py, dx, dy = side_by_side.sides(x, y, sizes)
+            k = (np.cumsum(sizes) - sizes)[rows] + side
+            cx, cy, counts = side_by_side.taken(tx, ty, there, rows)
+            _, h = side_by_side.along_side(cx, cy, counts, px[k], py[k], dx[k], dy[k])
+            first = np.cumsum(counts) - counts
+            near = (np.maximum.reduceat(h, first) > 0) & (np.minimum.reduceat(h, first) < radius) if len(h) else np.zeros(0, bool)
+            rows, side = rows[near], side[near]
+            if not len(rows):
+                continue
+            lines, (rx, ry, counts) = _in_front(x, y, sizes, rows, side, radius)
+            cx, cy, n = side_by_side.half_planes(*side_by_side.taken(tx, ty, there, rows), side_by_side.sides(rx, ry, counts), counts)
+            areas = side_by_side.areas_within(*side_by_side.along_side(cx, cy, n, *lines), n, depths)
+            met = np.flatnonzero(areas[:, -1] > 0)
+            own = pa.array(rows[met])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(own), part.column(2).take(own), pa.array(side[met], pa.int32()), _areas(areas[met])], names=["key", "_hash", "side", "areas"])
 
 
 def slice_at(slices: Column, height: Column) -> Column:
