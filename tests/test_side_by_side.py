@@ -54,7 +54,10 @@ def test_streets_in_bulk_are_the_same(spark, dist):
     lines = [[(rng.uniform(-12, 12), rng.uniform(-12, 12)) for _ in range(rng.choice([1, 2, 3]))] for _ in range(40)] + [[(0.0, -50.0), (0.0, 50.0)], [(1.0, 1.0), (1.0, 1.0)], None]
     lots = spark.createDataFrame([(k, [r]) for k, r in enumerate(_rings(4, 12))] + [(90, None), (91, []), (92, [[(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]])], f"k int, shape {g.SHAPE}")
     roads = spark.createDataFrame([(f"s{k}", x) for k, x in enumerate(lines)], f"s string, line {g.RING}")
+    # Small batches, of which some have nothing near.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
     plain, bulk = ({(r.parcel, r.street): r for r in streets.in_context(roads, lots, "s", "line", "k", "shape", dist, 7.0, bulk=b).collect()} for b in (False, True))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert plain.keys() == bulk.keys() and len(bulk) > 100
     for k, r in plain.items():
         assert bulk[k].length == pytest.approx(r.length, abs=1e-9)
