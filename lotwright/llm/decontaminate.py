@@ -2,9 +2,9 @@
 
 Texts are coded with the benchmark's words and cut into blocks. Word weights
 come from the blocks of all documents. A randomised singular value
-decomposition of weighted passages (a bounded sample of the documents' blocks,
-and the items) gives a space of DIMENSIONS directions: executors add up the
-product of the passages' covariance with a random matrix. Windows of blocks and
+decomposition of weighted passages (the blocks of all documents, and the items)
+gives a space of DIMENSIONS directions: executors add up the product of the
+passages' covariance with a random matrix. Windows of blocks and
 items are compared by cosine in that space. Candidates are verified by a
 weighted longest common subsequence, and by a check of the item's answer (its
 last words).
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import cut, table, unique_name
 
 DIMENSIONS, OVERSAMPLE = 96, 8
-#: The space is fitted on about so many blocks, those of documents chosen by hash; every block is searched.
-SAMPLE_BLOCKS, FIT_TASKS = 200_000, 16
+#: Tasks that add up what those before them found for each word.
+FIT_TASKS = 16
 #: Words of a block; blocks of the windows that items of rising length are sought in, doubled on to the longest item.
 BLOCK, WINDOWS = 24, (2, 4)
 COSINE = 0.4
@@ -98,12 +98,13 @@ def block_counts(coded: DataFrame, terms: int) -> tuple[int, np.ndarray]:
     return int(out[0]), out
 
 
-def latent_space(coded: DataFrame, blocks: int, weight: np.ndarray, items: list[np.ndarray], dimensions: int = DIMENSIONS, seed: int = 5) -> np.ndarray:
+def latent_space(coded: DataFrame, weight: np.ndarray, items: list[np.ndarray], dimensions: int = DIMENSIONS, seed: int = 5) -> np.ndarray:
     """(terms, dimensions): the leading right singular vectors of weighted passages.
 
-    The passages are the blocks of a sample of documents and the items, both
-    with the same total energy. With their covariance G and a random matrix O,
-    G O is summed in FIT_TASKS parts; G is then about (G O)(O' G O)^-1 (G O)'.
+    The passages are the blocks of all documents and the items, both with the
+    same total energy. With their covariance G and a random matrix O, each task
+    gives its part of G O, and FIT_TASKS tasks sum these by words, so the driver
+    gets one row for each word; G is then about (G O)(O' G O)^-1 (G O)'.
     """
     used = np.flatnonzero(weight)
     size = min(dimensions + OVERSAMPLE, len(used))
@@ -134,13 +135,23 @@ def latent_space(coded: DataFrame, blocks: int, weight: np.ndarray, items: list[
         total[0, 0] = energy
         yield pa.RecordBatch.from_arrays([pa.array([0, *at.tolist()]), pa.array([total[0], *(total[at] * weight[at][:, None])], pa.list_(pa.float32()))], names=["term", "y"])
 
-    rate = min(1.0, SAMPLE_BLOCKS / max(blocks, 1))
-    chosen = coded.where(F.pmod(F.xxhash64("tie", "doc_id"), F.lit(1 << 30)) < int(rate * (1 << 30))).select("ids")
+    def add_up(batches):
+        held = {}
+        for batch in batches:
+            values = batch.column(1).values.to_numpy().reshape(-1, size)
+            for term, y in zip(batch.column(0).to_pylist(), values, strict=True):
+                if term in held:
+                    held[term] += y
+                else:
+                    held[term] = y.astype(np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array([*held], pa.int64()), pa.array([*held.values()], pa.list_(pa.float64()))], names=["term", "y"])
+
+    parts = coded.select("ids").mapInArrow(run, "term bigint, y array<float>").repartition(FIT_TASKS, "term")
     y, energy = np.zeros((len(weight), size)), 0.0
-    for part in chosen.coalesce(FIT_TASKS).mapInArrow(run, "term bigint, y array<float>").toArrow().to_batches():
-        at, values = part.column(0).to_numpy(), part.column(1).values.to_numpy().reshape(-1, size).astype(np.float64)
+    for part in parts.mapInArrow(add_up, "term bigint, y array<double>").toArrow().to_batches():
+        at, values = part.column(0).to_numpy(), part.column(1).values.to_numpy().reshape(-1, size)
         energy += values[at == 0, 0].sum()
-        np.add.at(y, at[at > 0], values[at > 0])
+        y[at[at > 0]] = values[at > 0]
     own = sum(float((weight[x] ** 2).sum()) for x in items)
     for x in items:
         np.add.at(y, x, (scaled[x].sum(0, dtype=np.float64) * weight[x][:, None]) * (energy or own) / max(own, 1e-12))
@@ -203,7 +214,7 @@ def _check(docs: DataFrame, items: list[tuple[int, list[str]]], cosine: float) -
     for x in ids:
         if len(np.unique(x[rare[x] > 0])) < RARE_WORDS:
             rare[x] = weight[x]
-    space = latent_space(coded, n, rare, ids)
+    space = latent_space(coded, rare, ids)
     queries = np.array([rare[x] @ space[x] for x in ids]).reshape(len(ids), space.shape[1])
     queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)
     windows = windows_for(max(len(x) for x in ids))

@@ -1,6 +1,7 @@
 """Decontamination where items are long, or stand in a document more than once."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lotwright.llm import decontaminate
 
@@ -85,3 +86,22 @@ def test_rows_go_by_their_own_text(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, bad_id string")
     kept = decontaminate.without_contaminated(docs, spark.createDataFrame([(1, item), (2, None), (None, "")], "item_id bigint, text string"))
     assert kept.columns == docs.columns and sorted(map(str, (r.bad_id for r in kept.collect()))) == ["n", "n", "y", "z", "z"]
+
+
+def test_the_space_is_that_of_all_blocks(spark):
+    """Of more documents than a sample of 200,000 blocks would take: the exact directions of all blocks and the items."""
+    rng = np.random.default_rng(12)
+    docs, terms = rng.integers(0, 12, (700, 10 * decontaminate.BLOCK)).astype("<u4"), 12
+    # A few documents alone hold a direction of much energy.
+    docs[5:8] = 7
+    rows = spark.createDataFrame([(k, k, bytearray(d.tobytes())) for k, d in enumerate(docs)], "doc_id bigint, tie bigint, ids binary").repartition(6)
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(40)))).drop("copy")
+    weight = np.concatenate([[0.0], rng.uniform(0.5, 2, terms - 1)])
+    items = [np.array([3, 4, 4]), np.array([9])]
+    space = decontaminate.latent_space(rows, weight, items, dimensions=5)
+    blocks = np.array([np.bincount(b, minlength=terms) * weight for d in docs for b in d.reshape(-1, decontaminate.BLOCK)])
+    own = np.array([np.bincount(x, minlength=terms) * weight for x in items])
+    energy = sum((weight[b] ** 2).sum() for b in docs)
+    g = 40 * blocks.T @ blocks + own.T @ own * 40 * energy / sum((weight[x] ** 2).sum() for x in items)
+    want = np.linalg.eigh(g)[1][:, -5:]
+    assert np.abs(space @ space.T - want @ want.T).max() < 1e-4
