@@ -8,7 +8,9 @@ dissolve, so shapes of any size and form are spread over tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -29,31 +31,78 @@ def _cells(s: DataFrame, keys: list[str], near: float) -> DataFrame:
     return s.withColumn("_c", F.explode(dissolve.cells_along(near))).select(*keys, *_ENDS, F.col("_c.i").alias("_cx"), F.col("_c.j").alias("_cy"))
 
 
-def _cut(s: DataFrame, other: DataFrame, keys: list[str], near: float) -> DataFrame:
-    """Pieces (keys, l, h, way) of sides between the places where the other shape's sides meet them; way: 1 from l to h, -1 back."""
-    there = _cells(other, keys, near).select(*keys, "_cx", "_cy", *[F.col(c).alias(f"o{c}") for c in _ENDS])
-    met = _cells(s, keys, near).join(there.hint("merge"), [*keys, "_cx", "_cy"])
+def _crossing(near: float) -> tuple[Column, list[Column]]:
+    """Where a side meets another (oax, ...), put on the grid: the crossing, and the other's ends at most ``near`` from it."""
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     ox, oy = F.col("obx") - F.col("oax"), F.col("oby") - F.col("oay")
-    size = F.sqrt((dx * dx + dy * dy).cast("double"))
     den = (dx * oy - dy * ox).cast("double")
     t = ((F.col("oax") - F.col("ax")) * oy - (F.col("oay") - F.col("ay")) * ox) / F.nullif(den, F.lit(0.0))
     u = ((F.col("oax") - F.col("ax")) * dy - (F.col("oay") - F.col("ay")) * dx) / F.nullif(den, F.lit(0.0))
-    spot = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     # Both shapes must get the same point: it is worked out along the smaller side.
     own = F.struct(*_ENDS) < F.struct(*[F.col(f"o{c}") for c in _ENDS])
     place = lambda c, d, e: F.round(F.when(own, F.col(f"a{c}") + d * t).otherwise(F.col(f"oa{c}") + e * u)).cast("bigint")
-    cross = F.when(t.between(0, 1) & u.between(0, 1), spot(place("x", dx, ox), place("y", dy, oy)))
-    on = [F.when(F.abs((F.col(y) - F.col("ay")) * dx - (F.col(x) - F.col("ax")) * dy) <= size * near, spot(F.col(x), F.col(y))) for x, y in (("oax", "oay"), ("obx", "oby"))]
-    cuts = met.select(*keys, *_ENDS, F.explode(F.array(cross, *on)).alias("p")).where("p IS NOT NULL")
+    cross = F.when(t.between(0, 1) & u.between(0, 1), _spot(place("x", dx, ox), place("y", dy, oy)))
+    return cross, [F.when(_beside(F.col(x), F.col(y), near), _spot(F.col(x), F.col(y))) for x, y in (("oax", "oay"), ("obx", "oby"))]
+
+
+def _spot(x: Column, y: Column) -> Column:
+    return F.struct(x.alias("x"), y.alias("y"))
+
+
+def _beside(x: Column, y: Column, near: float) -> Column:
+    """Whether a point is at most ``near`` from a side's line."""
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    return F.abs((y - F.col("ay")) * dx - (x - F.col("ax")) * dy) <= F.sqrt((dx * dx + dy * dy).cast("double")) * near
+
+
+def _cut(s: DataFrame, other: DataFrame, keys: list[str], near: float) -> DataFrame:
+    """Pieces (keys, l, h, way) of sides between the places where the other shape's sides meet them; way: 1 from l to h, -1 back."""
+    there = _cells(other, keys, near).select(*keys, "_cx", "_cy", *[F.col(c).alias(f"o{c}") for c in _ENDS])
+    met = _cells(s, keys, near).join(there.hint("merge"), [*keys, "_cx", "_cy"])
+    cross, on = _crossing(near)
+    return _pieces(s, met.select(*keys, *_ENDS, F.explode(F.array(cross, *on)).alias("p")).where("p IS NOT NULL"), keys)
+
+
+def _cut_by_all(s: DataFrame, keys: list[str], near: float) -> DataFrame:
+    """_cut of a group's sides by each other, of which many may lie on one line.
+
+    Sides of one direction do not cross, so only cells' sides of different
+    directions are joined; their ends are joined with sides as points, once for
+    however many sides that end there.
+    """
+    listed = _cells(s, keys, near)
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    # Parallel sides have the same quotient, others another one: whole numbers below 2**26 (671 km) are told apart by doubles.
+    way = F.when(dx == 0, F.lit(math.inf)).otherwise(dy.cast("double") / dx + 0.0)
+    listed = keep(listed.withColumn("_way", way))
+    place = [*keys, "_cx", "_cy"]
+    ways = listed.select(*place, F.col("_way").alias("_other")).distinct()
+    left = listed.join(ways.hint("merge"), place).where("_way <> _other").drop("_way")
+    right = listed.select(*place, F.col("_way").alias("_other"), *[F.col(c).alias(f"o{c}") for c in _ENDS])
+    cross, _ = _crossing(near)
+    # Few bytes become many pairs: dealt by number, as few tasks would else join them.
+    n = max(int(s.sparkSession.conf.get("spark.sql.shuffle.partitions")), s.sparkSession.sparkContext.defaultParallelism)
+    left, right = (x.repartition(n, *place, "_other") for x in (left, right))
+    crossed = left.join(right.hint("merge"), [*place, "_other"]).select(*keys, *_ENDS, cross.alias("p")).where("p IS NOT NULL")
+    ends = s.select(*keys, F.explode(F.array(_spot(F.col("ax"), F.col("ay")), _spot(F.col("bx"), F.col("by")))).alias("p")).distinct()
+    ends = ends.withColumn("_cx", F.floor(F.col("p.x") / dissolve.CELL)).withColumn("_cy", F.floor(F.col("p.y") / dissolve.CELL))
+    beside = listed.drop("_way").join(ends.hint("merge"), place).where(_beside(F.col("p.x"), F.col("p.y"), near))
+    return _pieces(s, crossed.unionByName(beside.select(*keys, *_ENDS, "p")), keys)
+
+
+def _pieces(s: DataFrame, cuts: DataFrame, keys: list[str]) -> DataFrame:
+    """The pieces of sides between the cuts (keys, ax, ay, bx, by, p)."""
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    size = F.sqrt((dx * dx + dy * dy).cast("double"))
     at = ((F.col("p.x") - F.col("ax")) * dx + (F.col("p.y") - F.col("ay")) * dy) / size
     cuts = cuts.withColumn("at", at).where((F.col("at") > 0) & (F.col("at") < size)).groupBy(*keys, *_ENDS).agg(F.sort_array(F.collect_set(F.struct("at", "p"))).alias("cuts"))
     s = s.join(cuts.hint("merge"), [*keys, *_ENDS], "left")
-    ends = [spot(F.col(f"{c}x"), F.col(f"{c}y")) for c in "ab"]
+    ends = [_spot(F.col(f"{c}x"), F.col(f"{c}y")) for c in "ab"]
     inner = F.transform("cuts", lambda c: c["p"])
     points = F.when(F.col("cuts").isNull(), F.array(*ends)).otherwise(F.concat(F.array(ends[0]), inner, F.array(ends[1])))
-    s = s.select(*keys, points.alias("p"))
-    pieces = s.select(*keys, F.explode(F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda k: F.struct(F.element_at("p", k).alias("a"), F.element_at("p", k + 1).alias("b")))).alias("e")).where("e.a <> e.b")
+    # The points are put together once a side, not once for each piece.
+    two = lambda p: F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    pieces = s.select(*keys, F.explode(g.let(points, two)).alias("e")).where("e.a <> e.b")
     ahead = F.col("e.a") < F.col("e.b")
     low, high = F.when(ahead, F.col("e.a")).otherwise(F.col("e.b")), F.when(ahead, F.col("e.b")).otherwise(F.col("e.a"))
     return pieces.select(*keys, low.alias("l"), high.alias("h"), F.when(ahead, 1).otherwise(-1).alias("way"))
@@ -70,7 +119,7 @@ def merged(parts: DataFrame, keys: list[str], shape: str, grid: float = dissolve
     """
     own = parts.select(*keys, F.get(outward(F.col(shape)), F.lit(0)).alias("_ring")).where("_ring IS NOT NULL").distinct()
     s = _sides(own.withColumn("_one", F.array("_ring")), keys, "_one", grid)
-    pieces = keep(_cut(s, s, keys, 0.5).groupBy(*keys, "l", "h").agg(F.min("way").alias("low"), F.max("way").alias("high")).where("low = high"))
+    pieces = keep(_cut_by_all(s, keys, 0.5).groupBy(*keys, "l", "h").agg(F.min("way").alias("low"), F.max("way").alias("high")).where("low = high"))
     start, end = (F.when(F.col("high") > 0, F.col(x)).otherwise(F.col(y)) for x, y in (("l", "h"), ("h", "l")))
     edges = pieces.select(*keys, start["x"].alias("ax"), start["y"].alias("ay"), end["x"].alias("bx"), end["y"].alias("by"))
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
