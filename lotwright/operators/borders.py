@@ -14,14 +14,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import geometry as g
 from . import side_by_side
-from .rounds import whole_groups
+from .rounds import changes, whole_groups
 
 #: Steps of direction (radians), offset and stretch (metres) by which sides are joined.
 TURN, OFFSET, STRETCH = 0.01, 1.0, 32.0
@@ -94,12 +93,6 @@ def _in_tasks(parcels: DataFrame, tolerance: float) -> DataFrame:
     return rows.mapInArrow(run, StructType([*kinds, StructField("shared", DoubleType())]))
 
 
-def changes(column: pa.ChunkedArray) -> np.ndarray:
-    """Where a column without nulls has another value than in the row before."""
-    other = pc.not_equal(column.slice(1), column.slice(0, max(len(column) - 1, 0)))
-    return np.concatenate([np.ones(min(len(column), 1), bool), other.to_numpy()])
-
-
 def _parts(rows: pa.Table) -> Iterator[pa.Table]:
     """The table in pieces of about CORNERS corners, blocks whole."""
     rings = rows.column("_shape").combine_chunks()

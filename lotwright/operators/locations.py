@@ -9,22 +9,33 @@ from ..functions import geometry as g
 from . import dissolve, graph
 
 
-def combinations(parcels: DataFrame, borders: DataFrame, lot_area: tuple[float, float], combo_area: tuple[float, float], most_lots: int, least_border: float, mode: str = "paths") -> DataFrame:
+def combinations(parcels: DataFrame, borders: DataFrame, lot_area: tuple[float, float], combo_area: tuple[float, float], most_lots: int, least_border: float, mode: str = "paths", bulk: bool = False) -> DataFrame:
     """(block, lots, area, lot_count, max_lot, min_lot): sets of adjacent lots whose total area is in range.
 
     parcels: (block, parcel, area); borders: (block, a, b, shared). Lots count if
     their area is strictly within ``lot_area``; they are adjacent if they share
     ``least_border``. Single lots are sets too. Sets grow in rounds over all
-    blocks together, and only while their area is in range.
+    blocks together, and only while their area is in range. With ``bulk``, blocks
+    of up to graph.FEW such lots are listed in tasks, whole; parcels are whole numbers.
     """
     good = parcels.where((F.col("area") > lot_area[0]) & (F.col("area") < lot_area[1])).select("block", "parcel", "area")
     # Lengths come from coordinates: a micrometre less is as much.
     near = borders.where(F.col("shared") >= least_border - 1e-6).select("block", F.col("a").alias("u"), F.col("b").alias("v"))
+    # A little more than the most, as sums in another order may differ in their last digits.
+    most = combo_area[1] * (1 + 1e-9)
+    if bulk:
+        weights = good.select("block", F.col("parcel").alias("vertex"), F.col("area").alias("weight"))
+        found = graph.weighed_sets(weights, near, "block", most_lots, mode, most, combo_area)
+        found = found.select("block", F.col("nodes").alias("lots"), F.col("weight").alias("area"), F.col("count").alias("lot_count"), F.col("greatest").alias("max_lot"), F.col("least").alias("min_lot"))
+        large = good.groupBy("block").count().where(F.col("count") > graph.FEW).select("block")
+        if not large.limit(1).count():
+            return found
+        rest = [df.join(large.hint("merge"), "block", "left_semi") for df in (parcels, borders)]
+        return found.unionByName(combinations(*rest, lot_area, combo_area, most_lots, least_border, mode))
     near = near.join(good.select("block", F.col("parcel").alias("u")), ["block", "u"], "left_semi").join(good.select("block", F.col("parcel").alias("v")), ["block", "v"], "left_semi")
     alone = good.select("block", F.array("parcel").alias("nodes"))
     weights = good.select("block", F.col("parcel").alias("vertex"), F.col("area").alias("weight"))
-    # A little more than the most, as sums in another order may differ in their last digits.
-    sets = graph.node_sets(near, "block", most_lots, mode, weights, combo_area[1] * (1 + 1e-9)).where(F.size("nodes") > 1).unionByName(alone)
+    sets = graph.node_sets(near, "block", most_lots, mode, weights, most).where(F.size("nodes") > 1).unionByName(alone)
     each = sets.select("block", "nodes", F.explode("nodes").alias("parcel")).join(good, ["block", "parcel"])
     out = each.groupBy("block", F.col("nodes").alias("lots")).agg(F.sum("area").alias("area"), F.count(F.lit(1)).cast("int").alias("lot_count"), F.max("area").alias("max_lot"), F.min("area").alias("min_lot"))
     return out.where(F.col("area").between(*combo_area) & (F.col("lot_count") <= most_lots))

@@ -27,9 +27,8 @@ def _found(df):
     return {(r.block, r.a, r.b): r.shared for r in df.collect()}
 
 
-def test_bulk_borders_are_those_of_the_joins(spark, monkeypatch):
+def test_bulk_borders_are_those_of_the_joins(spark):
     """Small blocks in tasks, one of more corners by the joins; rows of one parcel, nulls, parcels of several rings."""
-    monkeypatch.setattr(borders, "CORNERS", 60)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
     rows = _rows(random.Random(8), [14, 9, 2, 1, 20, 80])
     rows += [("b0", "k900", rows[3][2] + rows[5][2]), ("b0", "k002", rows[7][2]), ("b1", "k901", None), ("b1", "k902", []), (None, "k1", rows[0][2]), ("b2", None, rows[0][2])]
@@ -59,3 +58,10 @@ def test_borders_of_rows_need_one_exchange(spark, tmp_path):
 def test_groups_are_not_cut():
     batches = [pa.RecordBatch.from_pydict({"k": k}) for k in ([1, 1, 2], [2, 2, 2], [2, 3], [4, 4, 4, 5])]
     assert [t.column("k").to_pylist() for t in whole_groups(iter(batches), "k", 2)] == [[1, 1], [2, 2, 2, 2, 2], [3, 4, 4, 4], [5]]
+
+
+def test_pieces_of_a_batch_hold_whole_blocks(monkeypatch):
+    monkeypatch.setattr(borders, "CORNERS", 10)
+    ring = [{"x": 0.0, "y": 0.0}] * 4
+    rows = pa.table({"block": [1, 1, 2, 2, 2, 2, 3, 4, 5], "k": range(9), "_shape": [[ring]] * 7 + [None, [ring, ring]]})
+    assert [t.column("k").to_pylist() for t in borders._parts(rows)] == [[0, 1], [2, 3, 4, 5], [6, 7], [8]]
