@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .rounds import spread
+
 #: Default unit costs, in the currency unit UF.
 UNIT_COSTS = {
     "duration": 24.0,
@@ -143,13 +145,19 @@ def best_prices(projects: DataFrame, key: str, types: dict[str, list[float]], co
 
     All allowed mixes are rows, and the best of each project is taken on the way
     to one; ties go to the smaller counts, first kind first. Projects without a
-    mix of a price of 0 or more are not feasible.
+    mix of a price of 0 or more are not feasible. Projects that differ in their
+    key alone are worked out once: the mixes of all would be sorted for their best.
     """
     names = ["land", "base", "max_coverage", "floors", "max_units", "common_share", "return", "far"]
     own = projects.select(F.col(key).cast("bigint").alias("key"), *[F.col(n).cast("double").alias(n) for n in names])
+    own = own.select("key", F.struct(*names).alias("project")).distinct()
     n = len(types["util"])
     counts = [F.col(f"c{k}").cast("int") for k in range(n)]
-    priced = priced_mixes(mixes(own, types), types, costs).where("price >= 0")
+    # Dealt anew, as few different projects may hash to few tasks.
+    different = spread(own.select("project").distinct()).select("project", "project.*")
+    priced = priced_mixes(mixes(different, types), types, costs).where("price >= 0")
     found = F.struct("price", "sales", "util", "common", "parking", F.array(*counts).alias("per_floor"), F.array(*[(c * F.col("_factor")).cast("int") for c in counts]).alias("mix"))
-    best = priced.groupBy("key").agg(F.max_by(found, F.struct("price", *[-c for c in counts])).alias("b"))
-    return own.select("key").distinct().join(best, "key", "left").select("key", F.col("b").isNotNull().alias("feasible"), "b.*")
+    best = priced.groupBy("project").agg(F.max_by(found, F.struct("price", *[-c for c in counts])).alias("b"))
+    better = F.struct("b.price", *[-F.get("b.per_floor", F.lit(k)) for k in range(n)])
+    each = own.join(best, "project", "left").groupBy("key").agg(F.max_by("b", F.when(F.col("b").isNotNull(), better)).alias("b"))
+    return each.select("key", F.col("b").isNotNull().alias("feasible"), "b.*")
