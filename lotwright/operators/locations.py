@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from . import dissolve, graph
+from .rounds import dealt
 
 
 def combinations(parcels: DataFrame, borders: DataFrame, lot_area: tuple[float, float], combo_area: tuple[float, float], most_lots: int, least_border: float, mode: str = "paths", bulk: bool = False) -> DataFrame:
@@ -86,8 +87,9 @@ def location_summary(members: DataFrame) -> DataFrame:
     return by.join(members.groupBy("location").agg(F.countDistinct("lot").alias("different_lots")), "location")
 
 
-def combos_per_lot(members: DataFrame) -> DataFrame:
-    return members.groupBy("location", "lot").agg(F.countDistinct("combo").alias("combos"))
+def combos_per_lot(members: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(location, lot, combos): members are exchanged once, to ``tasks`` if given."""
+    return dealt(members, tasks, "location", "lot").groupBy("location", "lot").agg(F.countDistinct("combo").alias("combos"))
 
 
 def with_location(results: DataFrame, found: DataFrame, on: str = "combo") -> DataFrame:

@@ -11,6 +11,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that a task of an exchange should get, at most: what it sorts or hashes must not grow with the input.
+TASK_ROWS = 500_000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where that is unset, a temporary folder, but on one machine only."""
@@ -29,6 +32,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism))
 
 
+def tasks_for(rows: int, spark: SparkSession) -> int:
+    """Tasks for an exchange of so many rows: as many as a shuffle has, more where one would get over TASK_ROWS."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
+def dealt(df: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
+    """``df`` exchanged by ``keys`` to so many tasks; as it is where that is None."""
+    return df if tasks is None else df.repartition(tasks, *keys)
+
+
 def keep(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again: what follows starts from files, whose size is known.
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import q6, q6_sql
 from ..operators import locations, relational
+from ..operators.rounds import dealt, tasks_for
 from ..sources import tables
 
 QUERIES, SQL = {}, {}
@@ -188,8 +189,17 @@ def dedupe_combis(t):
     return found.select(F.col("l_orderkey").alias("combo"), text_of(F.array_sort(F.array_distinct("lots"))).alias("lots"))
 
 
+def _tasks(table):
+    """For exchanges of a table's rows; its files tell how many there are."""
+    return tasks_for(table.count(), table.sparkSession)
+
+
 def _members(t):
-    return t("lineitem").join(t("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").select(F.col("o_custkey").alias("location"), F.col("l_orderkey").alias("combo"), F.col("l_partkey").alias("lot"))
+    lines = t("lineitem")
+    tasks = _tasks(lines)
+    lines = dealt(lines.select("l_orderkey", "l_partkey"), tasks, "l_orderkey")
+    orders = dealt(t("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), tasks, "l_orderkey")
+    return lines.join(orders, "l_orderkey").select(F.col("o_custkey").alias("location"), F.col("l_orderkey").alias("combo"), F.col("l_partkey").alias("lot"))
 
 
 _MEMBERS = "(SELECT o_custkey AS location, l_orderkey AS combo, l_partkey AS lot FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"
@@ -212,7 +222,7 @@ def location_summary(t):
 
 @query(f"SELECT location, lot, count(DISTINCT combo) AS combos FROM {_MEMBERS} GROUP BY ALL")
 def combos_per_lot(t):
-    return locations.combos_per_lot(_members(t))
+    return locations.combos_per_lot(_members(t), _tasks(t("lineitem")))
 
 
 @query("SELECT l_orderkey AS combo, max(l_quantity) AS max_lot, min(l_quantity) AS min_lot FROM lineitem GROUP BY l_orderkey")
