@@ -8,7 +8,7 @@ from ..functions import clipping
 from ..functions import geometry as g
 from ..functions.numbers import q6, q6_sql
 from ..operators import borders, capacity, dissolve, economics, graph, locations, lots, overlay, pricing, spatial_join, zoning
-from ..operators.rounds import spread
+from ..operators.rounds import dealt, spread, tasks_for
 from ..sources import export
 from . import pipeline
 from .geometry_queries import BOX_SQL, boxes
@@ -191,7 +191,8 @@ def property_filter(t):
 
 @query("SELECT DISTINCT least(a.l_suppkey, b.l_suppkey) AS u, greatest(a.l_suppkey, b.l_suppkey) AS v FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey")
 def combos_adjacency(t):
-    return graph.adjacency_from_combos(t("lineitem"), "l_orderkey", "l_suppkey")
+    lines = t("lineitem")
+    return graph.adjacency_from_combos(lines, "l_orderkey", "l_suppkey", tasks_for(lines.count(), lines.sparkSession))
 
 
 @query("SELECT l_orderkey, l_suppkey FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_suppkey = 7)")
