@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import let
 from . import graph, numbering
-from .rounds import keep
+from .rounds import dealt, keep
 
 
 BIDS = "location bigint, utility double, start_utility double, lots array<bigint>, bids array<double>, combos array<bigint>, prices array<double>"
@@ -92,18 +92,18 @@ def marginal_values(members: DataFrame, **options) -> DataFrame:
     return found.select(F.col("location").cast("bigint").alias("location"), F.col("without").cast("bigint").alias("lot"), (F.col("utility") - F.coalesce("_left", F.lit(0.0))).alias("value"))
 
 
-def purchase_probability(members: DataFrame, lots: DataFrame) -> DataFrame:
+def purchase_probability(members: DataFrame, lots: DataFrame, tasks: int | None = None) -> DataFrame:
     """(location, combo, probability) that exactly its lots are bought.
 
     members: (location, combo, lot); lots: (location, lot, p). The product of a
     location's probabilities of no purchase is taken once, certain purchases
     apart; a combo's own lots then replace theirs, so the work is linear in lots
-    and members.
+    and members. Rows are exchanged to ``tasks`` if given.
     """
     rest, certain = F.when(F.col("p") < 1, 1 - F.col("p")).otherwise(1.0), (F.col("p") >= 1).cast("int")
-    every = lots.groupBy("location").agg(F.product(rest).alias("_rest"), F.sum(certain).alias("_certain"))
-    own = members.select("location", "combo", "lot").distinct().join(lots, ["location", "lot"])
-    own = own.groupBy("location", "combo").agg(F.product("p").alias("_bought"), F.product(rest).alias("_own_rest"), F.sum(certain).alias("_own_certain"))
+    every = dealt(lots, tasks, "location").groupBy("location").agg(F.product(rest).alias("_rest"), F.sum(certain).alias("_certain"))
+    own = dealt(members.select("location", "combo", "lot"), tasks, "location", "lot").distinct().join(dealt(lots, tasks, "location", "lot"), ["location", "lot"])
+    own = dealt(own, tasks, "location").groupBy("location", "combo").agg(F.product("p").alias("_bought"), F.product(rest).alias("_own_rest"), F.sum(certain).alias("_own_certain"))
     met = own.join(every, "location")
     return met.select("location", "combo", F.when(F.col("_certain") > F.col("_own_certain"), 0.0).otherwise(F.col("_bought") * F.col("_rest") / F.col("_own_rest")).alias("probability"))
 

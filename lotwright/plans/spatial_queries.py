@@ -263,10 +263,13 @@ SELECT c.location, c.combo, {q("product(CASE WHEN m.lot IS NULL THEN 1 - p ELSE
 FROM c JOIN l ON c.location = l.location LEFT JOIN m ON m.location = c.location AND m.combo = c.combo AND m.lot = l.lot GROUP BY ALL
 """)
 def purchase_prob(t):
-    members = t("lineitem").join(t("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
-    members = members.select(F.col("o_custkey").alias("location"), F.col("l_orderkey").alias("combo"), F.col("l_partkey").alias("lot")).distinct()
+    lines = t("lineitem")
+    tasks = tasks_for(lines.count(), lines.sparkSession)
+    lines, orders = dealt(lines.select("l_orderkey", "l_partkey"), tasks, "l_orderkey"), dealt(t("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), tasks, "l_orderkey")
+    members = lines.join(orders, "l_orderkey").select(F.col("o_custkey").alias("location"), F.col("l_orderkey").alias("combo"), F.col("l_partkey").alias("lot"))
+    members = dealt(members, tasks, "location", "lot").distinct()
     own = members.select("location", "lot").distinct().withColumn("p", (F.col("lot") % 10 + 1) / 12.0)
-    return pricing.purchase_probability(members, own).select("location", "combo", q6(F.col("probability") * 1e6).alias("probability"))
+    return pricing.purchase_probability(members, own, tasks).select("location", "combo", q6(F.col("probability") * 1e6).alias("probability"))
 
 
 def _market(t):

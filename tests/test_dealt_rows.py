@@ -11,7 +11,7 @@ def test_tasks_grow_with_the_rows(spark):
     assert rounds.tasks_for(10 * rounds.TASK_ROWS + 1, spark) == 11
 
 
-@pytest.mark.parametrize("queries, name", [(relational_queries, "combos_per_lot"), (spatial_queries, "combos_adjacency")])
+@pytest.mark.parametrize("queries, name", [(relational_queries, "combos_per_lot"), (spatial_queries, "combos_adjacency"), (spatial_queries, "purchase_prob")])
 def test_exchanges_of_lines_are_dealt_by_their_number(spark, tmp_path, monkeypatch, queries, name):
     """900 lines, at most 100 to a task: nine tasks and more; before, as many as any shuffle has."""
     lines = [(o, n, o * 7 % 50 + n, o * 3 % 11 + n) for o in range(300) for n in range(3)]
