@@ -235,15 +235,25 @@ def slice_at(slices: Column, height: Column) -> Column:
 
     Below the first slice, the first; above the last, the last.
     """
-    below = F.element_at(F.filter(slices, lambda s: s["height"] < height), -1)
-    above = F.get(F.filter(slices, lambda s: s["height"] >= height), F.lit(0))
-    share = (above["height"] - height) / (above["height"] - below["height"])
-    mixed = F.zip_with(below["ring"], above["ring"], lambda a, b: g.point(a["x"] * share + b["x"] * (F.lit(1.0) - share), a["y"] * share + b["y"] * (F.lit(1.0) - share)))
-    first, last = F.get(slices, F.lit(0))["ring"], F.element_at(slices, -1)["ring"]
-    same = F.size(below["ring"]) == F.size(above["ring"])
-    none_below = F.size(F.filter(slices, lambda s: s["height"] < height)) == 0
-    none_above = F.size(F.filter(slices, lambda s: s["height"] >= height)) == 0
-    return F.when(none_below, first).when(none_above, last).when(same, mixed).otherwise(F.element_at(F.filter(slices, lambda s: s["height"] < height), -1)["ring"])
+    at = F.struct(slices.alias("slices"), height.alias("height"))
+
+    def around(v: Column) -> Column:
+        under = F.filter(v["slices"], lambda s: s["height"] < v["height"])
+        over = F.filter(v["slices"], lambda s: s["height"] >= v["height"])
+        below = g.let(under, lambda u: F.get(u, F.size(u) - 1))
+        return F.struct(below.alias("below"), F.when(v["height"].isNull(), F.get(v["slices"], F.lit(0))).otherwise(F.get(over, F.lit(0))).alias("above"), v["height"].alias("height"))
+
+    def shared(v: Column) -> Column:
+        share = (v["above"]["height"] - v["height"]) / (v["above"]["height"] - v["below"]["height"])
+        return F.struct(v["below"]["ring"].alias("below"), v["above"]["ring"].alias("above"), share.alias("share"))
+
+    def mixed(v: Column) -> Column:
+        mix = lambda a, b, c: a[c] * v["share"] + b[c] * (F.lit(1.0) - v["share"])
+        rings = F.zip_with(v["below"], v["above"], lambda a, b: g.point(mix(a, b, "x"), mix(a, b, "y")))
+        return F.when(v["below"].isNull(), v["above"]).when(v["above"].isNull(), v["below"]).when(F.size(v["below"]) == F.size(v["above"]), rings).otherwise(v["below"])
+
+    # Each step is computed once: within expressions of corners it would be at each of their uses.
+    return g.let(g.let(g.let(at, around), shared), mixed)
 
 
 _SHIFT = {"p": (-1 / 0.49, 0.0), "o": (1 / 0.49, 0.0), "s": (0.0, -1 / 1.54)}
