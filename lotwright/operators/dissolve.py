@@ -16,10 +16,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, MapType, StructField, StructType, VariantType
+from pyspark.sql.window import Window
 
+from . import outlines
 from .borders import sides
-from .rounds import drop, keep
+from .rounds import drop, keep, whole_groups
 
 #: Units of a cell by which corners and sides are joined, and of the grid in metres.
 CELL, GRID = 1000, 0.01
@@ -236,17 +238,65 @@ def points_of(edges: DataFrame, keys: list[str], grid: float = GRID) -> DataFram
     return met.select(*keys, "ring", "place", (F.col("ax") * grid).alias("x"), (F.col("ay") * grid).alias("y"), (F.abs(cross) > math.sin(5e-3) * sizes).alias("corner"), *_ENDS)
 
 
+def _cross() -> Column:
+    """Twice what a piece adds to its ring's area, seen from the ring's first point: products of far places would not fit in 64 bits."""
+    ax, ay, bx, by = (F.col(c) - F.col(f"ring.a{c[1]}") for c in _ENDS)
+    return ax * by - bx * ay
+
+
 def measures(points: DataFrame, keys: list[str], grid: float = GRID) -> DataFrame:
     """keys and area, perimeter, rings, holes and corners of rings()' points."""
-    cross = (F.col("ax") * F.col("by") - F.col("bx") * F.col("ay")).cast("double") * (grid * grid / 2)
+    cross = _cross().cast("double") * (grid * grid / 2)
     size = F.sqrt(F.pow(F.col("bx") - F.col("ax"), 2) + F.pow(F.col("by") - F.col("ay"), 2)) * grid
     each = points.groupBy(*keys, "ring").agg(F.sum(cross).alias("area"), F.sum(size).alias("size"), F.count_if("corner").alias("corners"))
     return each.groupBy(*keys).agg(F.sum("area").alias("area"), F.sum("size").alias("perimeter"), F.count(F.lit(1)).alias("rings"), F.count_if(F.col("area") < 0).alias("holes"), F.sum("corners").alias("corners"))
 
 
+def measured(parts: DataFrame, keys: list[str], shape: str, grid: float = GRID, tolerance: float = 0.02) -> DataFrame:
+    """measures() of rings(): groups of up to outlines.SMALL corners are exchanged once, whole, and worked out in numpy; larger ones go by the joins."""
+    own = parts.select(*keys, F.col(shape).alias("_shape"))
+    return by_size(own, keys, lambda corners, group: outlines.dissolved(outlines.grid_sides(corners, group, grid), tolerance / grid), lambda large: measures(rings(large, keys, "_shape", grid, tolerance), keys, grid), grid)
+
+
+def by_size(own: DataFrame, keys: list[str], pieces, joined, grid: float) -> DataFrame:
+    """measures() of the groups of (keys, _shape): by ``pieces`` of their corners in tasks, of groups with more than outlines.SMALL by ``joined``.
+
+    Groups with a null key are left out.
+    """
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    own = own.where(known)
+    if any(isinstance(own.schema[k].dataType, (ArrayType, BinaryType, MapType, StructType, VariantType)) for k in keys):
+        return joined(own)
+    corners = F.coalesce(F.aggregate("_shape", F.lit(0).cast("bigint"), lambda n, r: n + F.greatest(F.size(r), F.lit(0))), F.lit(0).cast("bigint"))
+    every = Window.partitionBy(*keys).orderBy(*keys).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # The window exchanges and sorts; the sort after it says what the task counts on and costs nothing.
+    rows = own.withColumn("_n", F.sum(corners).over(every)).where(F.col("_n") <= outlines.SMALL).select(*keys, "_shape").sortWithinPartitions(*keys)
+
+    def run(batches):
+        for table in whole_groups(batches, keys):
+            for part, group in outlines.parts(table, keys, ["_shape"]):
+                groups = int(group[-1]) + 1
+                p, a, b = pieces(outlines.corners_of(part.column("_shape").combine_chunks()), group)
+                found, *values = outlines.measures(p, a, b, groups, grid)
+                first = pa.array(np.searchsorted(group, found))
+                columns = [part.column(k).take(first).combine_chunks() for k in keys]
+                columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns] if len(found) else []
+                if columns:
+                    yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, values)], names=[*keys, *outlines.MEASURES])
+
+    fields = [StructField(k, own.schema[k].dataType) for k in keys]
+    found = rows.mapInArrow(run, StructType([*fields, *outlines.fields().fields]))
+    large = own.groupBy(*keys).agg(F.sum(corners).alias("_n")).where(F.col("_n") > outlines.SMALL).select(*keys)
+    if not large.limit(1).count():
+        return found
+    return found.unionByName(joined(own.join(large.hint("merge"), keys, "left_semi")))
+
+
 def shapes(points: DataFrame, keys: list[str]) -> DataFrame:
     """keys and shape: the corners of rings()' points as arrays, for shapes that a row can hold; outer rings first, the largest first."""
     corner = F.when(F.col("corner"), F.struct("place", F.struct("x", "y").alias("p")))
-    each = points.groupBy(*keys, "ring").agg(F.sort_array(F.collect_list(corner)).alias("c"), F.sum(F.col("ax") * F.col("by") - F.col("bx") * F.col("ay")).alias("twice"))
+    each = points.groupBy(*keys, "ring").agg(F.sort_array(F.collect_list(corner)).alias("c"), F.sum(_cross()).alias("twice"))
     ring = F.struct((-F.col("twice")).alias("less"), "ring", F.transform("c", lambda c: c["p"]).alias("p"))
     return each.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(ring)), lambda r: r["p"]).alias("shape"))

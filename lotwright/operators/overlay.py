@@ -10,15 +10,19 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions import geometry as g
-from . import dissolve, spatial_join
+from . import dissolve, outlines, spatial_join
 from .borders import outward, sides
-from .rounds import keep
+from .rounds import keep, spread_by
 
 _ENDS = ["ax", "ay", "bx", "by"]
+KINDS = ("union", "intersection", "difference")
 
 
 def _sides(pairs: DataFrame, keys: list[str], shape: str, grid: float) -> DataFrame:
@@ -131,6 +135,14 @@ def merged(parts: DataFrame, keys: list[str], shape: str, grid: float = dissolve
     return edges.join(inner.select(*keys, *_ENDS).distinct().hint("merge"), [*keys, *_ENDS], "left_anti")
 
 
+def merged_measures(parts: DataFrame, keys: list[str], shape: str, grid: float = dissolve.GRID) -> DataFrame:
+    """dissolve.measures() of merged()'s outlines: groups of up to outlines.SMALL corners, equal shapes counted once, are worked out in tasks, whole."""
+    ring = F.get(outward(F.col(shape)), F.lit(0))
+    own = parts.select(*keys, F.when(ring.isNotNull(), F.array(ring)).alias("_shape")).where("_shape IS NOT NULL").distinct()
+    joined = lambda large: dissolve.measures(dissolve.points_of(merged(large, keys, "_shape", grid), keys, grid), keys, grid)
+    return dissolve.by_size(spread_by(own, *keys), keys, lambda corners, group: outlines.merged(corners, group, grid), joined, grid)
+
+
 def overlay(pairs: DataFrame, keys: list[str], a: str, b: str, kind: str, grid: float = dissolve.GRID, tolerance: float = 0.0) -> DataFrame:
     """keys and (ax, ay, bx, by): the pieces of the outline of a and b's "union", "intersection" or "difference", in units of ``grid``.
 
@@ -138,7 +150,7 @@ def overlay(pairs: DataFrame, keys: list[str], a: str, b: str, kind: str, grid:
     run in opposite directions. Corners at most ``tolerance`` from a side of the
     other shape count as on it. dissolve.numbered() and rings() make rings of it.
     """
-    if kind not in ("union", "intersection", "difference"):
+    if kind not in KINDS:
         raise ValueError(f"unknown kind {kind}")
     near = tolerance / grid + 0.5
     sa, sb = _sides(pairs, keys, a, grid), _sides(pairs, keys, b, grid)
@@ -168,3 +180,47 @@ def rings(pairs: DataFrame, keys: list[str], a: str, b: str, kind: str, grid: fl
     """dissolve.rings() of the overlay: points in order, for dissolve.measures() and shapes(). Pairs with an empty result give no row."""
     return dissolve.points_of(overlay(pairs, keys, a, b, kind, grid, tolerance), keys, grid)
 
+
+
+def measured(pairs: DataFrame, keys: list[str], a: str, b: str, kinds: list[str], grid: float = dissolve.GRID, tolerance: float = 0.0) -> DataFrame:
+    """keys and for each of the kinds a struct of dissolve.measures() of rings(); null where nothing is left.
+
+    Pairs of up to outlines.SMALL corners are worked out in tasks, all kinds at
+    once and without an exchange; larger ones go by the joins. Pairs with a null key are left out.
+    """
+    for kind in kinds:
+        if kind not in KINDS:
+            raise ValueError(f"unknown kind {kind}")
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    own = pairs.where(known).select(*keys, F.col(a).alias("_a"), F.col(b).alias("_b"))
+    count = lambda c: F.coalesce(F.aggregate(c, F.lit(0).cast("bigint"), lambda n, r: n + F.greatest(F.size(r), F.lit(0))), F.lit(0).cast("bigint"))
+    small = count("_a") + count("_b") <= outlines.SMALL
+    names = [f.name for f in outlines.fields()]
+
+    def run(batches):
+        for batch in batches:
+            for rows in outlines.pieces_of(batch, ["_a", "_b"]):
+                n = rows.num_rows
+                columns = [rows.column(k) for k in keys]
+                shapes = [outlines.corners_of(rows.column(c)) for c in ("_a", "_b")]
+                for p, start, stop in outlines.overlaid(*shapes, n, kinds, grid, tolerance):
+                    found, *values = outlines.measures(p, start, stop, n, grid)
+                    at = np.full(n, -1)
+                    at[found] = np.arange(len(found))
+                    gone = at < 0
+                    every = [pa.array(v).take(pa.array(at, mask=gone)) for v in values]
+                    columns.append(pa.StructArray.from_arrays(every, names, mask=pa.array(gone)))
+                yield pa.RecordBatch.from_arrays(columns, names=[*keys, *kinds])
+
+    schema = StructType([*[own.schema[k] for k in keys], *[StructField(kind, outlines.fields()) for kind in kinds]])
+    found = own.where(small).mapInArrow(run, schema)
+    large = own.where(~small)
+    if not large.limit(1).count():
+        return found
+    out = large.select(*keys)
+    for kind in kinds:
+        one = dissolve.measures(rings(large, keys, "_a", "_b", kind, grid, tolerance), keys, grid)
+        out = out.join(one.select(*keys, F.struct(*names).alias(kind)).hint("merge"), keys, "left")
+    return found.unionByName(out)

@@ -29,7 +29,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt to as many tasks as a shuffle has: a small file's rows would else be one task's, with all that is made of them."""
-    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism))
+    return spread_by(df)
+
+
+def spread_by(df: DataFrame, *keys: str) -> DataFrame:
+    """spread() with rows of equal ``keys`` in one task."""
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism), *keys)
 
 
 def tasks_for(rows: int, spark: SparkSession) -> int:
@@ -64,8 +69,9 @@ def drop(*frames: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def whole_groups(batches: Iterable[pa.RecordBatch], key: str, rows: int = 10_000) -> Iterator[pa.Table]:
-    """A task's batches, in order of ``key``, as tables of about ``rows`` rows or more in which no group is cut."""
+def whole_groups(batches: Iterable[pa.RecordBatch], key: str | list[str], rows: int = 10_000) -> Iterator[pa.Table]:
+    """A task's batches, in order of ``key`` (one or several), as tables of about ``rows`` rows or more in which no group is cut."""
+    keys = [key] if isinstance(key, str) else key
     held, size = [], 0
     for batch in batches:
         held, size = [*held, batch], size + batch.num_rows
@@ -73,7 +79,7 @@ def whole_groups(batches: Iterable[pa.RecordBatch], key: str, rows: int = 10_000
             continue
         # The last group's rows wait for what may follow of it.
         table = pa.Table.from_batches(held)
-        other = pc.not_equal(table.column(key), table.column(key)[-1]).to_numpy()
+        other = np.any([pc.not_equal(table.column(k), table.column(k)[-1]).to_numpy() for k in keys], axis=0)
         end = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
         if end:
             yield table.slice(0, end)

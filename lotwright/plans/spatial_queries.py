@@ -121,7 +121,7 @@ SELECT p_brand, {q("sum(greatest(0, e - greatest(x, coalesce(before, x))))")} AS
 """)
 def box_union_area(t):
     rows = t("part").select("p_brand", F.array(g.box((F.col("p_partkey") % 100) * 10, 0, F.col("p_size") + 1, 1)).alias("shape"))
-    found = dissolve.measures(dissolve.points_of(overlay.merged(rows, ["p_brand"], "shape"), ["p_brand"]), ["p_brand"])
+    found = overlay.merged_measures(rows, ["p_brand"], "shape")
     return found.select("p_brand", q6("area").alias("area"))
 
 
