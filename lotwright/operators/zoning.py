@@ -116,9 +116,9 @@ def slices_shadow(slices: DataFrame, keys: list[str], ring: str, height: str, to
     slices are spread over tasks.
     """
     moved = slices.withColumn("_moved", F.array(g.shadow_shift(F.col(ring), F.col(height), towards)))
-    points = dissolve.points_of(overlay.merged(moved, keys, "_moved"), keys)
     if ground is None:
-        return dissolve.measures(points, keys).select(*keys, "area")
+        return overlay.merged_measures(moved, keys, "_moved").select(*keys, "area")
+    points = dissolve.points_of(overlay.merged(moved, keys, "_moved"), keys)
     pairs = dissolve.shapes(points, keys).join(slices.groupBy(*keys).agg(F.first(ground).alias("_ground")), keys)
     return pairs.select(*keys, clipping.difference_area(F.col("shape"), F.col("_ground")).alias("area"))
 
