@@ -103,3 +103,8 @@ def test_queries_do_without_joins(spark, name):
     """Their groups are small: sides, pieces and rings are not exchanged."""
     plan = catalogue.queries()[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "MapInArrow" in plan
+
+
+def test_forks_are_overlaid_once(spark):
+    plan = catalogue.queries()["fork_overlays"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 1 and "MapInArrow" in plan
