@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import clipping
 from ..functions import geometry as g
 from ..functions.numbers import q6, q6_sql
 from ..operators import borders, capacity, dissolve, economics, graph, locations, lots, overlay, pricing, spatial_join, zoning
@@ -98,12 +97,16 @@ _UP = "least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)"
 
 @query(f"SELECT a.k AS a, b.k AS b, {q(f'({_OVER}) * ({_UP})')} AS common, {q(f'a.w * a.h + b.w * b.h - ({_OVER}) * ({_UP})')} AS whole FROM {BOX_SQL} a JOIN {BOX_SQL} b ON a.k < b.k AND {_OVER} > 0 AND {_UP} > 0")
 def clip_area(t):
-    b = _stacks(t)
-    pairs = spatial_join.bounds_join(_side(b, "a"), _side(b, "b"), _bounds("a"), _bounds("b"))
-    a, b = (F.get(c, F.lit(0)) for c in ("ashape", "bshape"))
-    out = pairs.withColumn("common", g.signed_area(clipping.convex_clip(a, b))).where("common > 0")
-    found = out.select(F.col("ak").alias("a"), F.col("bk").alias("b"), q6("common").alias("common"), q6(g.signed_area(a) + g.signed_area(b) - F.col("common")).alias("whole"))
-    return spatial_join.unstacked(found, "a", "b").where("a < b")
+    """Each two different boxes are clipped once, whatever their order and copies."""
+    own = _stacks(t)
+    sides = [_side(own, n).withColumns({f"{n}area": g.signed_area(F.get(f"{n}shape", F.lit(0))), f"{n}first": F.array_min(f"{n}k")}) for n in "ab"]
+    pairs = spatial_join.bounds_join(*sides, _bounds("a"), _bounds("b"))
+    order = [F.struct(*[f"{n}{c}" for c in ("y", "w", "h", "first")]) for n in "ab"]
+    once = pairs.where((F.col("ax") < F.col("bx")) | (F.col("ax") == F.col("bx")) & (order[0] <= order[1]))
+    rings = once.select(F.col("ak").alias("a"), F.col("bk").alias("b"), (F.col("aarea") + F.col("barea")).alias("both"), (F.col("afirst") == F.col("bfirst")).alias("same"), F.get("ashape", F.lit(0)).alias("ra"), F.get("bshape", F.lit(0)).alias("rb"))
+    out = spatial_join.with_common_area(rings, "ra", "rb").where("common > 0")
+    found = out.select("a", "b", q6("common").alias("common"), q6(F.col("both") - F.col("common")).alias("whole"), "same")
+    return spatial_join.unstacked_once(found, "a", "b", F.col("same")).select("a", "b", "common", "whole")
 
 
 @query("SELECT a.p_partkey // 50 AS block, a.p_partkey AS a, b.p_partkey AS b, CAST(10.0 AS DOUBLE) AS shared FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 AND b.p_partkey // 50 = a.p_partkey // 50")
