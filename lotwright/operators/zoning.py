@@ -11,11 +11,14 @@ from pyspark.sql.types import StructField, StructType
 
 from ..functions import clipping
 from ..functions import geometry as g
-from . import dissolve, geo_udf, kernel, overlay, side_by_side, spatial_join
+from . import dissolve, geo_udf, kernel, outlines, overlay, side_by_side
+from .rounds import changes, whole_groups
 
 #: Fixed values of the planning rules.
 FUSION_BONUS, CONTEXT_PER_METRE, CONTEXT_MOST, HABITANTS_PER_DWELLING = 1.3, 2.7474774194546216, 140.0, 4.0
 MOST_PLANS = 100
+#: Width of the lowest level of tiles that tasks work on whole, and the part of it that a reach may take.
+TILE, MARGIN = 2048.0, 1 / 16
 SOCIAL_FLOORS, SOCIAL_DENSITY, SOCIAL_TO_FLOORS, SOCIAL_HEIGHT = (3, 4, 5), 1.25, 4, 14.0
 DEFAULTS = {"shadow_slope": 5.0, "parking_per_unit": 1.0, "visitor_share": 0.15, "parking_area": 30.0, "storage_area": 5.0, "bikes_per_parking": 0.5, "bikes_per_space": 3.0, "max_basements": 7, "parking_coverage": 0.8, "wing_separation": 7.0}
 
@@ -130,24 +133,24 @@ def side_streets(parcels: DataFrame, key: str, ring: str, radius: float, contact
     metres. The street is ``least`` wide or more, and goes on in steps while
     ``share`` of each is free, up to ``radius``. All parcels stand in each other's
     way; they don't overlap. Rings are counter-clockwise and have one convex ring.
+
+    A parcel is worked out in the tile that its reach begins in; parcels that a
+    reach from a tile may come to are sent there too. So each is exchanged about
+    once, and a task holds the parcels of a tile.
     """
-    own = parcels.select(F.col(key).alias("key"), F.col(ring).alias("_ring"))
     n = int(round(radius / step))
     depths = np.array([0.5, *[k * step for k in range(n + 1)]])
-    fronts = own.mapInArrow(lambda batches: _fronts(batches, radius, depths), StructType([*own.schema.fields, *_fields("_reach:struct<x0:double,y0:double,x1:double,y1:double>,_rows:array<struct<side:int,areas:array<double>>>")]))
-    others = own.select(F.col("key").alias("_other"), F.col("_ring").alias("_there"))
-    met = spatial_join.bounds_join(fronts.select("key", "_ring", "_reach"), others, F.col("_reach"), g.bounds(F.col("_there"))).where("key <> _other")
-    met = met.select("key", "_ring", F.xxhash64("_ring").alias("_hash"), "_there")
-    covered = met.mapInArrow(lambda batches: _covered(batches, radius, depths), StructType([met.schema["key"], *_fields("_hash:bigint,side:int,areas:array<double>")]))
-    whole = fronts.select("key", F.xxhash64("_ring").alias("_hash"), F.explode("_rows").alias("r")).select("key", "_hash", "r.*", F.lit(True).alias("own"))
-    # What is there and what is covered of it go in one exchange.
-    rows = whole.unionByName(covered.withColumn("own", F.lit(False)))
-    area = lambda k: F.get("areas", F.lit(k))
-    sums = [f(F.sum(F.when(F.col("own"), area(k)).otherwise(otherwise)), k) for k in range(n + 2) for f, otherwise in ((lambda c, k: c.alias(f"all{k - 1}"), F.lit(0.0)), (lambda c, k: c.alias(f"free{k - 1}"), -area(k)))]
-    rows = rows.groupBy("key", "_hash", "side").agg(*sums).where(F.col("free-1") / 0.5 >= contact - 1e-6)
-    more = lambda c, k: F.col(f"{c}{k + 1}") - F.col(f"{c}{k}")
-    ends = [F.when(more("free", k) < more("all", k) * share, k) for k in range(n) if k * step >= least]
-    return rows.select("key", "side", (F.coalesce(*ends, F.lit(n)) * step).alias("width"))
+    # Of few bytes: a ring as its numbers.
+    own = parcels.select(F.col(key).alias("key"), F.flatten(F.transform(ring, lambda p: F.array(p["x"], p["y"]))).alias("_ring")).where("_ring IS NOT NULL")
+    levels = own.select("_ring").mapInArrow(lambda batches: _levels(batches, radius), StructType(_fields("level:int"))).distinct().collect()
+    levels = sorted(r.level for r in levels)
+    place = _fields("_level:int,_cx:bigint,_cy:bigint,_home:boolean")
+    placed = own.mapInArrow(lambda batches: _placed(batches, radius, levels), StructType([*own.schema.fields, *place]))
+    order = ["_level", "_cx", "_cy"]
+    spark = own.sparkSession
+    dealt_rows = placed.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *order).sortWithinPartitions(*order)
+    found = StructType([own.schema["key"], *_fields("side:int,width:double")])
+    return dealt_rows.mapInArrow(lambda batches: _widths(batches, radius, depths, contact, step, least, share), found)
 
 
 def _fields(text: str) -> list[StructField]:
@@ -175,59 +178,180 @@ def _origin(x, y, sizes):
     return (x[at], y[at]) if len(x) else (np.zeros(len(sizes)), np.zeros(len(sizes)))
 
 
-def _areas(areas: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(areas) + 1) * areas.shape[1], pa.int32()), pa.array(areas.ravel()))
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """x, y and numbers of corners of rings that are lists of numbers."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) // 2
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    return values[::2], values[1::2], sizes
+
+
+def _local(x, y, sizes, ox, oy):
+    return x - np.repeat(ox, sizes), y - np.repeat(oy, sizes), sizes
+
+
+def _reaches(x, y, sizes, radius: float) -> np.ndarray:
+    """(4, rings): bounds (x0, y0, x1, y1) that hold what lies in front of the rings' sides; not finite for rings without corners.
+
+    Where no side meets the next one at less than a right angle, ground in front
+    of it gets no wider, so the ring's bounds grown by the radius hold it.
+    """
+    out = _bounds_of(x, y, sizes) + np.array([[-1.0], [-1.0], [1.0], [1.0]]) * (radius * (1 + 1e-6))
+    _, _, dx, dy = side_by_side.sides(x, y, sizes)
+    after, own = side_by_side.following(sizes), np.repeat(np.arange(len(sizes)), sizes)
+    size = np.hypot(dx, dy)
+    straight = (size > 0) & (dx * dx[after] + dy * dy[after] >= -1e-9 * size * size[after])
+    sharp = np.flatnonzero(np.bincount(own, ~straight, len(sizes)) > 0)
+    if len(sharp):
+        rx, ry, counts = side_by_side.taken(x, y, sizes, sharp)
+        out[:, sharp] = _exact_reaches(rx, ry, counts, radius)
+    return out
 
 
-def _fronts(batches, radius: float, depths: np.ndarray):
-    """Of rows (key, _ring): the bounds of what lies in front of the ring's sides, and each side's areas within the depths."""
+def _exact_reaches(x, y, sizes, radius: float) -> np.ndarray:
+    """The bounds of what lies in front of the rings' sides."""
+    ox, oy = _origin(x, y, sizes)
+    rows, side = _each_side(x, y, sizes)
+    _, (rx, ry, counts) = _in_front(*_local(x, y, sizes, ox, oy), rows, side, radius)
+    own, out = np.repeat(rows, counts), []
+    for f, v, o, start in ((np.minimum, rx, ox, np.inf), (np.minimum, ry, oy, np.inf), (np.maximum, rx, ox, -np.inf), (np.maximum, ry, oy, -np.inf)):
+        to = np.full(len(sizes), start)
+        f.at(to, own, v)
+        out.append(to + o)
+    return np.array(out)
+
+
+def _bounds_of(x, y, sizes) -> np.ndarray:
+    """(4, rings): the bounds of rings that have corners; not finite for others."""
+    out, there = np.full((4, len(sizes)), np.nan), sizes > 0
+    if there.any():
+        first = (np.cumsum(sizes) - sizes)[there]
+        out[:, there] = [f.reduceat(v, first) for f, v in ((np.minimum, x), (np.minimum, y), (np.maximum, x), (np.maximum, y))]
+    return out
+
+
+def _level_of(reach: np.ndarray) -> np.ndarray:
+    """The lowest level of whose tiles a reach is MARGIN at most along both axes; -1 for no reach."""
+    extent = np.maximum(reach[2] - reach[0], reach[3] - reach[1])
+    there = np.isfinite(extent)
+    level = np.ceil(np.log(np.where(there, np.maximum(extent, 1e-9), 1.0) / (TILE * MARGIN)) / np.log(4.0))
+    return np.where(there, np.maximum(level, 0), -1).astype(np.int32)
+
+
+def _levels(batches, radius: float):
     for batch in batches:
-        for at in range(0, batch.num_rows, side_by_side.ROWS):
-            part = batch.slice(at, side_by_side.ROWS)
-            x, y, sizes = side_by_side.corners(part.column(1))
-            ox, oy = _origin(x, y, sizes)
-            rows, side = _each_side(x, y, sizes)
-            lines, (rx, ry, counts) = _in_front(x - np.repeat(ox, sizes), y - np.repeat(oy, sizes), sizes, rows, side, radius)
-            areas = side_by_side.areas_within(*side_by_side.along_side(rx, ry, counts, *lines), counts, depths)
-            own = np.repeat(rows, counts)
-            bounds = []
-            for f, v, o, start in ((np.minimum, rx, ox, np.inf), (np.minimum, ry, oy, np.inf), (np.maximum, rx, ox, -np.inf), (np.maximum, ry, oy, -np.inf)):
-                to = np.full(len(sizes), start)
-                f.at(to, own, v)
-                bounds.append(pa.array(to + o, mask=~np.isfinite(to)))
-            each = pa.StructArray.from_arrays([pa.array(side, pa.int32()), _areas(areas)], ["side", "areas"])
-            ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(sizes)))])
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.StructArray.from_arrays(bounds, ["x0", "y0", "x1", "y1"]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)], names=["key", "_ring", "_reach", "_rows"])
-
-
-def _covered(batches, radius: float, depths: np.ndarray):
-    """Of rows (key, _ring, _hash, _there): the areas within the depths that the other ring takes in front of each side it meets."""
+        levels = np.unique(_level_of(_reaches(*_flat(batch.column(0)), radius)))
+        yield pa.RecordBatch.from_arrays([pa.array(levels[levels >= 0])], names=["level"])
+
+
+def _placed(batches, radius: float, levels: list[int]):
+    """Rows (key, _ring) once for the tile that their reach begins in (home), and once for each other tile from which a reach may come to them."""
     for batch in batches:
-        for at in range(0, batch.num_rows, side_by_side.ROWS):
-            part = batch.slice(at, side_by_side.ROWS)
-            x, y, sizes = side_by_side.corners(part.column(1))
-            ox, oy = _origin(x, y, sizes)
-            x, y = x - np.repeat(ox, sizes), y - np.repeat(oy, sizes)
-            tx, ty, there = side_by_side.corners(part.column(3))
-            tx, ty = tx - np.repeat(ox, there), ty - np.repeat(oy, there)
-            rows, side = _each_side(x, y, sizes)
-            rows, side = rows[there[rows] > 0], side[there[rows] > 0]
-            # Only sides of which the other ring is in front, and near enough.
-            px, py, dx, dy = side_by_side.sides(x, y, sizes)
-            k = (np.cumsum(sizes) - sizes)[rows] + side
-            cx, cy, counts = side_by_side.taken(tx, ty, there, rows)
-            _, h = side_by_side.along_side(cx, cy, counts, px[k], py[k], dx[k], dy[k])
-            first = np.cumsum(counts) - counts
-            near = (np.maximum.reduceat(h, first) > 0) & (np.minimum.reduceat(h, first) < radius) if len(h) else np.zeros(0, bool)
-            rows, side = rows[near], side[near]
-            if not len(rows):
-                continue
-            lines, (rx, ry, counts) = _in_front(x, y, sizes, rows, side, radius)
-            cx, cy, n = side_by_side.half_planes(*side_by_side.taken(tx, ty, there, rows), side_by_side.sides(rx, ry, counts), counts)
-            areas = side_by_side.areas_within(*side_by_side.along_side(cx, cy, n, *lines), n, depths)
-            met = np.flatnonzero(areas[:, -1] > 0)
-            own = pa.array(rows[met])
-            yield pa.RecordBatch.from_arrays([part.column(0).take(own), part.column(2).take(own), pa.array(side[met], pa.int32()), _areas(areas[met])], names=["key", "_hash", "side", "areas"])
+        x, y, sizes = _flat(batch.column(1))
+        reach, bounds = _reaches(x, y, sizes, radius), _bounds_of(x, y, sizes)
+        own, known = _level_of(reach), np.isfinite(bounds).all(axis=0)
+        for level in levels:
+            size = TILE * 4.0**level
+            home = own == level
+            hx, hy = (np.floor(np.where(home, v, 0.0) / size).astype(np.int64) for v in reach[:2])
+            low = [np.floor((np.where(known, v, 0.0) - size * MARGIN) / size).astype(np.int64) for v in bounds[:2]]
+            high = [np.floor(np.where(known, v, 0.0) / size).astype(np.int64) for v in bounds[2:]]
+            wide, tall = (np.where(known, h - w + 1, 0) for w, h in zip(low, high, strict=True))
+            rows = np.repeat(np.arange(len(sizes)), wide * tall)
+            k = np.arange(len(rows)) - np.repeat(np.cumsum(wide * tall) - wide * tall, wide * tall)
+            cx, cy = low[0][rows] + k // np.maximum(tall[rows], 1), low[1][rows] + k % np.maximum(tall[rows], 1)
+            other = ~(home[rows] & (cx == hx[rows]) & (cy == hy[rows]))
+            at = np.flatnonzero(home)
+            rows, cx, cy = (np.concatenate(v) for v in ((rows[other], at), (cx[other], hx[at]), (cy[other], hy[at])))
+            columns = [c.take(pa.array(rows)) for c in batch.columns]
+            homes = np.arange(len(rows)) >= len(rows) - len(at)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(rows), level, np.int32)), pa.array(cx), pa.array(cy), pa.array(homes)], names=["key", "_ring", "_level", "_cx", "_cy", "_home"])
+
+
+def _widths(batches, radius: float, depths: np.ndarray, contact: float, step: float, least: float, share: float):
+    """(key, side, width) of the homes of rows in order of tiles, tile by tile."""
+    for table in whole_groups(batches, ["_level", "_cx", "_cy"]):
+        table = table.combine_chunks()
+        tile = np.cumsum(np.any([changes(table.column(c)) for c in ("_level", "_cx", "_cy")], axis=0)) - 1
+        rings = table.column("_ring").combine_chunks()
+        x, y, sizes = _flat(rings)
+        home, keys = np.flatnonzero(table.column("_home").to_numpy()), _numbers(table.column("key").combine_chunks())
+        for at in range(0, len(home), side_by_side.ROWS):
+            yield from _widths_of(table, home[at : at + side_by_side.ROWS], keys, tile, x, y, sizes, radius, depths, contact, step, least, share)
+
+
+def _numbers(column: pa.Array) -> list[np.ndarray]:
+    """Numbers that are equal where keys are, for each field of a struct."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.chunk(0)
+    if pa.types.is_struct(column.type):
+        return [v for c in column.flatten() for v in _numbers(c)]
+    return [column.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)]
+
+
+def _widths_of(table, home, keys, tile, x, y, sizes, radius, depths, contact, step, least, share):
+    """_widths of some homes, among all rows of their tiles."""
+    bounds, known = _bounds_of(x, y, sizes), table.column("key").is_valid().to_numpy()
+    hx, hy, corners = side_by_side.taken(x, y, sizes, home)
+    reach = _reaches(hx, hy, corners, radius)
+    ox, oy = _origin(hx, hy, corners)
+    hx, hy, _ = _local(hx, hy, corners, ox, oy)
+    rows, side = _each_side(hx, hy, corners)
+    lines, (rx, ry, counts) = _in_front(hx, hy, corners, rows, side, radius)
+    whole = side_by_side.areas_within(*side_by_side.along_side(rx, ry, counts, *lines), counts, depths)
+    free = whole.copy()
+    number = np.full((len(home), int(corners.max(initial=0))), -1)
+    number[rows, side] = np.arange(len(rows))
+    # Rows of a tile in order of their left ends, so a reach meets a stretch of them.
+    there = np.flatnonzero(np.isfinite(bounds).all(axis=0))
+    there = there[np.lexsort((bounds[0][there], tile[there]))]
+    tiles = int(tile[-1]) + 1 if len(tile) else 0
+    begins, widest = np.searchsorted(tile[there], np.arange(tiles + 1)), np.zeros(tiles)
+    np.maximum.at(widest, tile[there], (bounds[2] - bounds[0])[there])
+    own = tile[home]
+    first, last = (outlines.places(bounds[0][there], begins, own, v, s) for v, s in ((reach[0] - widest[own], "left"), (reach[2], "right")))
+    for k, o in outlines.each(first, np.where(np.isfinite(reach[0]), last - first, 0)):
+        o = there[o]
+        near = (reach[0][k] <= bounds[2][o]) & (bounds[0][o] <= reach[2][k]) & (reach[1][k] <= bounds[3][o]) & (bounds[1][o] <= reach[3][k]) & known[home[k]] & known[o]
+        near[near] = ~np.all([c[home[k[near]]] == c[o[near]] for c in keys], axis=0)
+        k, o = k[near], o[near]
+        for part in range(0, len(k), side_by_side.ROWS):
+            pair, other = k[part : part + side_by_side.ROWS], o[part : part + side_by_side.ROWS]
+            mine, theirs = side_by_side.taken(hx, hy, corners, pair), side_by_side.taken(x, y, sizes, other)
+            pairs, sides, areas = _covered(mine, _local(*theirs, ox[pair], oy[pair]), radius, depths)
+            np.subtract.at(free, number[pair[pairs], sides], areas)
+    faces = free[:, 0] / 0.5 >= contact - 1e-6
+    width = np.full(len(rows), float(depths.size - 2) * step)
+    for k in reversed(range(depths.size - 2)):
+        if k * step >= least:
+            width = np.where(free[:, k + 2] - free[:, k + 1] < (whole[:, k + 2] - whole[:, k + 1]) * share, k * step, width)
+    rows, side, width = rows[faces], side[faces], width[faces]
+    if len(rows):
+        key = table.column("key").combine_chunks().take(pa.array(home[rows]))
+        yield pa.RecordBatch.from_arrays([key, pa.array(side, pa.int32()), pa.array(width)], names=["key", "side", "width"])
+
+
+def _covered(mine, theirs, radius: float, depths: np.ndarray):
+    """(pair, side, areas): what the second ring of each pair takes within the depths in front of each side of the first that it meets."""
+    x, y, sizes = mine
+    tx, ty, there = theirs
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, len(depths)))
+    rows, side = _each_side(x, y, sizes)
+    rows, side = rows[there[rows] > 0], side[there[rows] > 0]
+    # Only sides of which the other ring is in front, and near enough.
+    px, py, dx, dy = side_by_side.sides(x, y, sizes)
+    k = (np.cumsum(sizes) - sizes)[rows] + side
+    cx, cy, counts = side_by_side.taken(tx, ty, there, rows)
+    _, h = side_by_side.along_side(cx, cy, counts, px[k], py[k], dx[k], dy[k])
+    first = np.cumsum(counts) - counts
+    near = (np.maximum.reduceat(h, first) > 0) & (np.minimum.reduceat(h, first) < radius) if len(h) else np.zeros(0, bool)
+    rows, side = rows[near], side[near]
+    if not len(rows):
+        return none
+    lines, (rx, ry, counts) = _in_front(x, y, sizes, rows, side, radius)
+    cx, cy, n = side_by_side.half_planes(*side_by_side.taken(tx, ty, there, rows), side_by_side.sides(rx, ry, counts), counts)
+    areas = side_by_side.areas_within(*side_by_side.along_side(cx, cy, n, *lines), n, depths)
+    met = np.flatnonzero(areas[:, -1] > 0)
+    return rows[met], side[met], areas[met]
 
 
 def slice_at(slices: Column, height: Column) -> Column:
