@@ -63,7 +63,7 @@ def spatial_locations(combos: DataFrame, key: str, shape: str, bounds) -> DataFr
 
 def regions(parts: DataFrame, keys: list[str], shape: str) -> DataFrame:
     """keys, regions, one_region, area: of how many regions the union of each group's shapes is; regions that meet in a corner count apart."""
-    found = dissolve.measures(dissolve.rings(parts, keys, shape), keys)
+    found = dissolve.measured(parts, keys, shape)
     count = F.col("rings") - F.col("holes")
     return found.select(*keys, count.alias("regions"), (count == 1).alias("one_region"), "area")
 

@@ -98,7 +98,7 @@ def test_areas_far_from_the_origin(spark):
         assert (r.area, r.perimeter, r.rings, r.holes, r.corners) == (pytest.approx(600, abs=1e-6), pytest.approx(100, abs=1e-6), 1, 0, 4)
 
 
-@pytest.mark.parametrize("name", ["box_union_area", "envelope_shadows", "row_outlines", "cell_outlines"])
+@pytest.mark.parametrize("name", ["box_union_area", "envelope_shadows", "row_outlines", "cell_outlines", "regions_of_lots"])
 def test_queries_do_without_joins(spark, name):
     """Their groups are small: sides, pieces and rings are not exchanged."""
     plan = catalogue.queries()[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
